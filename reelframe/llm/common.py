@@ -49,3 +49,27 @@ def fresh(names, wanted: str) -> str:
 def hash_order(*columns):
     """A fixed pseudo-random order that does not depend on partitioning."""
     return F.xxhash64(F.lit(20_011), *[F.col(c) for c in columns])
+
+
+def annotate(df: DataFrame, text: str, keep: list[str], fields: list[tuple[str, str]], make) -> DataFrame:
+    """The keep columns of df with further columns computed from its text column, in one Arrow pass without a shuffle.
+
+    make() runs once per partition and returns a function from a list of texts (or None) to one Arrow array per field.
+    Texts reach Python whole; a batch is cut into slices of 512 rows, so memory follows the texts of one slice.
+    """
+    import pyarrow as pa
+
+    source = df.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)], F.col(f"`{text}`").cast("string").alias("t"))
+    kinds = [source.schema[f"k{i}"].dataType.simpleString() for i in range(len(keep))]
+    schema = ", ".join([f"k{i} {k}" for i, k in enumerate(kinds)] + [f"f{i} {k}" for i, (_, k) in enumerate(fields)])
+    n, names = len(keep), [f"k{i}" for i in range(len(keep))] + [f"f{i}" for i in range(len(fields))]
+
+    def run(batches):
+        work = make()
+        for batch in batches:
+            for low in range(0, batch.num_rows, 512):
+                part = batch.slice(low, 512)
+                yield pa.RecordBatch.from_arrays([part.column(i) for i in range(n)] + list(work(part.column(n).to_pylist())), names)
+
+    out = source.mapInArrow(run, schema)
+    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], *[F.col(f"f{i}").alias(c) for i, (c, _) in enumerate(fields)])

@@ -2,26 +2,73 @@
 
 from __future__ import annotations
 
-import importlib
-import os
-import sys
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import hnsw, kneser_ney, langid, licences, mixing, mjpeg, packing, simhash, tagpath, toxicity
+from .common import crc_mod
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def op9_simhash_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from . import simhash
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.score_held_out(_table(spark, sf_dir, "documents"))
+
+
+def op2_mjpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mjpeg.digest(_table(spark, sf_dir, "documents"))
+
+
+def op3_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, ["doc_id"])
+    return scored.select("doc_id", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
+def op4_language_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.predict(docs, langid.fit(docs), ["doc_id"])
+    return found.select("doc_id", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op5_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tagpath.digest(_table(spark, sf_dir, "pages"))
+
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
+def op7_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.copies(_table(spark, sf_dir, "documents"))
+    taken = (F.col("copies") * F.col("size")).alias("taken")
+    return mixed.select("doc_id", "size", "source_size", "target", taken, "copies")
+
+
+def op8_hnsw_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op9_simhash_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {
-    "op9_simhash_anchor_dedup": op9_simhash_anchor_dedup,
-}
+def op10_bin_completion_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_kneser_ney, op2_mjpeg_media, op3_toxicity_counterfactual, op4_language_kernel, op5_tag_path_text, op6_license_scan,
+    op7_pivotal_mix, op8_hnsw_embedding_dedup, op9_simhash_anchor_dedup, op10_bin_completion_packing, pipeline,
+)}
 
 ORACLES: dict[str, str] = {}
