@@ -1,0 +1,308 @@
+"""Near-duplicate vectors through hierarchical navigable small-world graphs, one graph per shard.
+
+Equal vectors are one node.  Nodes are dealt to shards; a shard's task builds the graph of its own nodes and then streams all
+nodes through it as queries.  Searches run in lock step over a block of queries, so every step is a few array operations.
+A search descends the levels, fills a beam on the lowest one, and then follows links from every node found within the
+threshold until no new one turns up.  An audit compares some queries of each block with an exact scan of the shard; while
+it misses links, the beam widens.  Cosines are verified in double precision.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+from .components import connected_components
+from .simhash import _forest
+
+THRESHOLD = 0.9
+#: Nodes a shard may hold (its vectors and links stay in one task's memory) and the least number of shards.
+SHARD_NODES, LEAST_SHARDS = 262_144, 6
+LINKS, BUILD_BEAM, BEAM = 12, 32, 16
+BLOCK = 1024
+AUDITED, RECALL = 32, 0.99
+
+
+class Graph:
+    """The graph of one shard: unit vectors x (float32) and neighbour lists per level, -1 where there is none."""
+
+    def __init__(self, unit: np.ndarray, seed: int = 1):
+        n = len(unit)
+        self.x = np.ascontiguousarray(unit, np.float32)
+        rng = np.random.default_rng(seed)
+        # Order and levels come from a fixed stream, so a repeated attempt builds the same graph.
+        level = np.minimum((-np.log(rng.random(n) + 1e-12) / np.log(LINKS)).astype(int), 6)
+        order = np.argsort(-level, kind="stable")
+        self.top = int(level.max()) if n else 0
+        self.links = [np.full((n, LINKS * (2 if k == 0 else 1)), -1, np.int32) for k in range(self.top + 1)]
+        self.entry = int(order[0]) if n else -1
+        at = 1
+        while at < n:
+            size = min(max(16, at), BLOCK, n - at)
+            self._insert(order[at : at + size], level)
+            at += size
+
+    def _insert(self, new: np.ndarray, level: np.ndarray) -> None:
+        q = self.x[new]
+        start = np.full((len(new), 1), self.entry, np.int64)
+        inner = q @ q.T
+        np.fill_diagonal(inner, -2)
+        for k in range(self.top, -1, -1):
+            mine = np.flatnonzero(level[new] >= k)
+            if not len(mine):
+                start = self.search(q, start, k, 1)[0][:, :1]
+                continue
+            ids, sims = self.search(q, start, k, BUILD_BEAM)
+            start = ids[:, :1]
+            # Nodes inserted together also see each other.
+            fellow = np.argsort(-inner[np.ix_(mine, mine)], axis=1)[:, : min(LINKS, len(mine) - 1)]
+            other = new[mine][fellow] if fellow.size else np.zeros((len(mine), 0), np.int64)
+            both = np.hstack([ids[mine], other])
+            score = np.hstack([sims[mine], np.take_along_axis(inner[np.ix_(mine, mine)], fellow, 1) if fellow.size else np.zeros((len(mine), 0))])
+            self._connect(new[mine], both, score, k)
+
+    def _connect(self, nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray, k: int) -> None:
+        width = self.links[k].shape[1]
+        chosen = self._diverse(ids, sims, LINKS)
+        self.links[k][nodes, : chosen.shape[1]] = chosen
+        src = np.repeat(nodes, chosen.shape[1])
+        dst = chosen.ravel()
+        ok = dst >= 0
+        src, dst = src[ok], dst[ok]
+        order = np.argsort(dst, kind="stable")
+        src, dst = src[order], dst[order]
+        targets, first = np.unique(dst, return_index=True)
+        bounds = np.r_[first, len(dst)]
+        most = int(np.diff(bounds).max()) if len(targets) else 0
+        added = np.full((len(targets), most), -1, np.int64)
+        row = np.repeat(np.arange(len(targets)), np.diff(bounds))
+        added[row, np.arange(len(dst)) - first[row]] = src
+        merged = np.hstack([self.links[k][targets].astype(np.int64), added])
+        for low in range(0, len(targets), BLOCK):
+            t, m = targets[low : low + BLOCK], merged[low : low + BLOCK]
+            sim = np.where(m >= 0, np.einsum("qd,qmd->qm", self.x[t], self.x[np.maximum(m, 0)]), -3)
+            kept = self._diverse(m, sim, width)
+            self.links[k][t] = -1
+            self.links[k][t, : kept.shape[1]] = kept
+
+    def _diverse(self, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
+        """At most `most` neighbours: first those nearer to the node than to one already taken, then the nearest others."""
+        order = np.argsort(-sims, axis=1, kind="stable")
+        ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+        double = np.zeros(ids.shape, bool)
+        srt = np.argsort(ids, axis=1, kind="stable")
+        s = np.take_along_axis(ids, srt, 1)
+        np.put_along_axis(double, srt[:, 1:], s[:, 1:] == s[:, :-1], 1)
+        valid = (ids >= 0) & ~double
+        if ids.shape[1] > 4 * most:
+            ids, sims, valid = ids[:, : 4 * most], sims[:, : 4 * most], valid[:, : 4 * most]
+        v = self.x[np.maximum(ids, 0)]
+        between = np.einsum("qad,qbd->qab", v, v)
+        taken = np.zeros(ids.shape, bool)
+        for j in range(ids.shape[1]):
+            close = ((between[:, j] > sims[:, j, None]) & taken).any(1)
+            taken[:, j] = valid[:, j] & ~close & (taken.sum(1) < most)
+        rank = np.where(taken, 0, np.where(valid, 1, 2))
+        pick = np.argsort(rank, axis=1, kind="stable")[:, :most]
+        return np.where(np.take_along_axis(rank, pick, 1) < 2, np.take_along_axis(ids, pick, 1), -1)
+
+    def search(self, q: np.ndarray, start: np.ndarray, k: int, beam: int, visited: np.ndarray | None = None):
+        """Lock-step best-first search of level k: (ids, similarities) by falling similarity, -1 and -2 where none."""
+        n, links = len(q), self.links[k]
+        seen = np.zeros((n, len(self.x)), bool) if visited is None else visited
+        ids = np.full((n, beam), -1, np.int64)
+        sims = np.full((n, beam), -2.0, np.float32)
+        done = np.ones((n, beam), bool)
+        w = min(start.shape[1], beam)
+        ids[:, :w], done[:, :w] = start[:, :w], False
+        sims[:, :w] = np.einsum("qd,qmd->qm", q, self.x[start[:, :w]])
+        np.put_along_axis(seen, start, True, 1)
+        live = np.arange(n)
+        while len(live):
+            open_ = np.where(done[live], -3, sims[live])
+            best = open_.argmax(1)
+            on = open_[np.arange(len(live)), best] > -2
+            live, best = live[on], best[on]
+            if not len(live):
+                break
+            node = ids[live, best]
+            done[live, best] = True
+            near = links[node].astype(np.int64)
+            fresh = (near >= 0) & ~np.take_along_axis(seen[live], np.maximum(near, 0), 1) if len(live) < n // 4 else (near >= 0) & ~seen[live[:, None], np.maximum(near, 0)]
+            r, c = np.nonzero(fresh)
+            if not len(r):
+                continue
+            found = near[r, c]
+            seen[live[r], found] = True
+            s = np.full(near.shape, -3.0, np.float32)
+            s[r, c] = np.einsum("id,id->i", q[live[r]], self.x[found])
+            all_s = np.hstack([sims[live], s])
+            top = np.argpartition(-all_s, beam - 1, axis=1)[:, :beam]
+            sims[live] = np.take_along_axis(all_s, top, 1)
+            ids[live] = np.where(sims[live] > -2, np.take_along_axis(np.hstack([ids[live], near]), top, 1), -1)
+            done[live] = np.take_along_axis(np.hstack([done[live], ~fresh]), top, 1) | (sims[live] <= -2)
+        order = np.argsort(-sims, axis=1, kind="stable")
+        return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
+
+    def within(self, q: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) pairs with similarity of at least threshold that the search meets."""
+        start = np.full((len(q), 1), self.entry, np.int64)
+        for k in range(self.top, 0, -1):
+            start = self.search(q, start, k, 1)[0][:, :1]
+        seen = np.zeros((len(q), len(self.x)), bool)
+        ids, sims = self.search(q, start, 0, beam, seen)
+        row, col = np.nonzero(sims >= threshold)
+        found = [(row, ids[row, col])]
+        known = np.zeros_like(seen)  # what the beam passed over is met again by the links of what it kept
+        known[found[0]] = True
+        while len(found[-1][0]):
+            fr, fn = found[-1]
+            hits_r, hits_n = [], []
+            for low in range(0, len(fr), 65_536):
+                near = self.links[0][fn[low : low + 65_536]].astype(np.int64)
+                r = np.repeat(fr[low : low + 65_536], near.shape[1])
+                near = near.ravel()
+                ok = near >= 0
+                r, near = r[ok], near[ok]
+                ok = ~known[r, near]
+                r, near = r[ok], near[ok]
+                ok = np.einsum("id,id->i", q[r], self.x[near]) >= threshold
+                r, near = r[ok], near[ok]
+                key = np.unique(r * np.int64(len(self.x)) + near)
+                r, near = key // len(self.x), key % len(self.x)
+                known[r, near] = True
+                hits_r.append(r), hits_n.append(near)
+            found.append((np.concatenate(hits_r), np.concatenate(hits_n)))
+        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+
+
+def audited(graph: Graph, q: np.ndarray, threshold: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, int]:
+    """within(), with the beam doubled until an exact scan for some queries finds at most 1 % more links."""
+    sample = np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int)
+    true = (q[sample] @ graph.x.T >= threshold).sum()
+    while True:
+        row, node = graph.within(q, threshold, beam)
+        met = np.isin(row, sample).sum()
+        if met >= RECALL * true or beam >= len(graph.x):
+            return row, node, beam
+        beam *= 2
+
+
+ROLE = "shard int, role int, key long, weight long, vector binary"
+
+
+def _search_shards(threshold: float):
+    """Rows of whole shards, own nodes (role 0) before queries (role 1) -> links counted and components contracted."""
+
+    def run(batches):
+        state = {"shard": None}
+
+        def begin(shard):
+            state.update(shard=shard, own=[], graph=None, queue=[], beam=BEAM)
+
+        def flush():
+            if state["graph"] is None:
+                own = state["own"]
+                state["keys"] = np.array([o[0] for o in own], np.int64)
+                state["weights"] = np.array([o[1] for o in own], np.int64)
+                state["double"] = {}
+                dims = {}
+                for i, o in enumerate(own):
+                    dims.setdefault(len(o[2]), []).append(i)
+                state["graph"] = {}
+                for d, at in dims.items():
+                    v = np.stack([np.frombuffer(own[i][2], np.float64) for i in at])
+                    state["graph"][d] = (Graph(v), np.array(at), v)
+                state["own"] = []
+            queue, state["queue"] = state["queue"], []
+            by = {}
+            for o in queue:
+                by.setdefault(len(o[2]), []).append(o)
+            for d, rows in by.items():
+                if d not in state["graph"]:
+                    continue
+                graph, at, exact = state["graph"][d]
+                keys = np.array([r[0] for r in rows], np.int64)
+                q = np.stack([np.frombuffer(r[2], np.float64) for r in rows])
+                step = max(16, min(BLOCK, 32_000_000 // max(len(graph.x), 1)))
+                for low in range(0, len(rows), step):
+                    # Single precision is off by less than 1e-5; doubles decide.
+                    row, node, state["beam"] = audited(graph, q[low : low + step].astype(np.float32), threshold - 1e-5, state["beam"])
+                    row = row + low
+                    sure = np.concatenate([np.einsum("id,id->i", q[row[i : i + 262_144]], exact[node[i : i + 262_144]]) >= threshold for i in range(0, len(row), 262_144)] or [np.zeros(0, bool)])
+                    row, node = row[sure], at[node[sure]]
+                    other = keys[row] != state["keys"][node]
+                    row, node = row[other], node[other]
+                    if not len(row):
+                        continue
+                    n = np.bincount(row, weights=state["weights"][node], minlength=len(rows)).astype(np.int64)
+                    hit = np.flatnonzero(n)
+                    a, b = _forest(keys[row], state["keys"][node])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.r_[keys[hit], a]), pa.array(np.r_[n[hit], b]), pa.array(np.r_[np.zeros(len(hit), bool), np.ones(len(a), bool)])], ["a", "b", "edge"]
+                    )
+
+        for batch in batches:
+            for shard, role, key, weight, vector in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if shard != state["shard"]:
+                    if state["shard"] is not None:
+                        yield from flush()
+                    begin(shard)
+                if role == 0:
+                    state["own"].append((key, weight, vector))
+                else:
+                    state["queue"].append((key, weight, vector))
+                    if len(state["queue"]) >= BLOCK:
+                        yield from flush()
+        if state["shard"] is not None:
+            yield from flush()
+
+    return run
+
+
+def _unit(batches):
+    for b in batches:
+        lists = b.column("v").to_pylist()
+        out = []
+        for x in lists:
+            x = np.array(x, np.float64)
+            x = x / np.abs(x).max()
+            out.append((x / np.sqrt(x @ x)).tobytes())
+        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("weight"), b.column("low"), pa.array(out, pa.binary())], ["key", "weight", "low", "vector"])
+
+
+def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD, shard_nodes: int = SHARD_NODES, shards: int = 0) -> DataFrame:
+    """vec_id, n_links, component_id, kept for every row.
+
+    Vectors that are null, empty, zero or hold a null or non-finite component link with nothing and are their own
+    component; vectors of different length never link; equal vectors link with each other.  A row without vec_id counts
+    as a link of others but names no component (its own is that of its links, or null).  An empty table gives no rows.
+    """
+    spark = vectors.sparkSession
+    v = F.col(f"`{column}`").cast("array<double>")
+    finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    good = v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.when(good, v).alias("v"))
+    rows = rows.select("vec_id", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("key"), "v")
+    grouped = rows.filter("v is not null").groupBy("key").agg(F.count("*").alias("weight"), F.min("vec_id").alias("low"), F.first("v").alias("v"))
+    nodes = materialize(grouped.mapInArrow(_unit, "key long, weight long, low long, vector binary"), "nodes")
+    n = nodes.count()
+    count = shards or max(LEAST_SHARDS, -(-n // shard_nodes))
+    own = nodes.select(F.pmod(F.col("key"), F.lit(count)).cast("int").alias("shard"), F.lit(0).alias("role"), "key", "weight", "vector")
+    asked = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("shard"), F.lit(1).alias("role"), "key", "weight", "vector")
+    dealt = own.unionByName(asked).repartition(count, "shard").sortWithinPartitions("shard", "role", "key")
+    found = materialize(dealt.mapInArrow(_search_shards(threshold), "a long, b long, edge boolean"), "found")
+    roots = connected_components(found.filter("edge").select("a", "b"))
+    linked = roots.join(nodes.select(F.col("key").alias("node"), "low"), "node")
+    named = linked.groupBy("root").agg(F.min("low").alias("component"))
+    moved = linked.join(named, "root").select(F.col("node").alias("key"), "component")
+    counts = found.filter("not edge").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("n"))
+    known = nodes.select("key", "weight", "low").join(moved, "key", "left").join(counts, "key", "left")
+    known = known.select("key", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("component", "low").alias("component"))
+    joined = rows.select("vec_id", "key").join(known, "key", "left")
+    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component"))
+    out = joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
