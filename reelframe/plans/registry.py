@@ -2,5 +2,12 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import pixel_queries, sequence_queries, text_queries
+
+QUERIES: dict = {**pixel_queries.QUERIES, **sequence_queries.QUERIES, **text_queries.QUERIES}
+ORACLES: dict = {**pixel_queries.ORACLES, **sequence_queries.ORACLES, **text_queries.ORACLES}
+
+
+def flagship(spark, sf_dir):
+    """Detect, segment and merge: the whole chain from frames to events."""
+    return sequence_queries.rip_events(spark, sf_dir)
