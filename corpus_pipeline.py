@@ -7,6 +7,7 @@ and reads it back as the next stage's docs.  All stages but the last return the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reelframe.llm import langid, mixing, packing, simhash, toxicity
@@ -31,13 +32,17 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate component: that of its smallest doc_id.
 
-    Only ids and fingerprints are grouped.  Rows that share the smallest doc_id are told apart by a hash of the row, and
-    equal rows by keeping one.
+    Only ids and fingerprints are grouped; texts are shuffled once, by doc_id.  Of several rows with the smallest doc_id the
+    one with the smallest text hash stays.
     """
     found = simhash.near_duplicates(docs.select("doc_id", "text"))
-    keep = found.groupBy("component_id").agg(F.min("doc_id").alias("keep_id")).select("keep_id").distinct()
-    kept = docs.join(keep, docs["doc_id"].cast("long").eqNullSafe(keep["keep_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    keys = [fresh(docs.columns, "id_"), fresh(docs.columns, "no_id_")]
+    by_id = lambda c: [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(keys[0]), F.col(c).isNull().alias(keys[1])]
+    keep = found.groupBy("component_id").agg(F.min("doc_id").alias("keep_id")).select(*by_id("keep_id")).distinct()
+    kept = docs.select("*", *by_id("doc_id")).join(keep, keys, "left_semi")
+    place = fresh(docs.columns, "place_")
+    first = F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64("text")))
+    return kept.withColumn(place, first).filter(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
