@@ -101,21 +101,22 @@ def fit_arrays(features, labels, pairs, l1=2e-4, l2=1e-5, fairness=1.0, rounds=3
     base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
     if not len(y) or y.min() == y.max():
         return Model(base, {})
-    flat = np.concatenate([np.asarray(f, np.int64) for f in features])
-    row = np.repeat(np.arange(len(y)), [len(f) for f in features])
-    pos = np.bincount(flat, weights=y[row], minlength=BINS)
-    all_ = np.bincount(flat, minlength=BINS)
+    # Features of one text are distinct, so counts grow by plain indexing, text by text, without one array of all of them.
+    pos, all_ = np.zeros(BINS), np.zeros(BINS)
+    for f, label in zip(features, y, strict=True):
+        all_[f] += 1
+        if label:
+            pos[f] += 1
     rate = y.mean()
     # Features too rare or too even to get past the l1 term are left out at once.
     chi = (pos - rate * all_) ** 2 / np.maximum(all_ * rate * (1 - rate), 1e-9)
     used = np.flatnonzero((all_ >= 3) & (chi >= 6))
     if not len(used):
         return Model(base, {})
-    to = np.full(BINS, -1, np.int64)
+    to = np.full(BINS, -1, np.int32)
     to[used] = np.arange(len(used))
-    at = to[flat]
-    keep = at >= 0
-    col, row = at[keep], row[keep]
+    kept = [t[t >= 0] for t in (to[f] for f in features)]
+    col, row = np.concatenate(kept), np.repeat(np.arange(len(y), dtype=np.int32), [len(k) for k in kept])
     pc, pr, pv = [], [], []
     for i, (a, b) in enumerate(pairs):
         for f, v in [(f, 1.0) for f in a] + [(f, -1.0) for f in b]:
