@@ -51,6 +51,14 @@ def hash_order(*columns):
     return F.xxhash64(F.lit(20_011), *[F.col(c) for c in columns])
 
 
+def spread_keys(spark: SparkSession, n: int) -> list[int]:
+    """n integers that hash partitioning into n partitions deals to n different ones; plain numbers would collide."""
+    ids = spark.range(64 * n).select(F.col("id").cast("int").alias("i"))
+    rows = ids.groupBy(F.pmod(F.hash("i"), F.lit(n)).alias("p")).agg(F.min("i").alias("i")).collect()
+    found = {r["p"]: r["i"] for r in rows}
+    return [found.get(p, p) for p in range(n)]
+
+
 def annotate(df: DataFrame, text: str, keep: list[str], fields: list[tuple[str, str]], make) -> DataFrame:
     """The keep columns of df with further columns computed from its text column, in one Arrow pass without a shuffle.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, spread_keys
 from .components import connected_components
 from .simhash import _forest
 
@@ -293,7 +293,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", column: str = "e
     count = shards or max(LEAST_SHARDS, -(-n // shard_nodes))
     own = nodes.select(F.pmod(F.col("key"), F.lit(count)).cast("int").alias("shard"), F.lit(0).alias("role"), "key", "weight", "vector")
     asked = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("shard"), F.lit(1).alias("role"), "key", "weight", "vector")
-    dealt = own.unionByName(asked).repartition(count, "shard").sortWithinPartitions("shard", "role", "key")
+    place = F.get(F.array(*[F.lit(k) for k in spread_keys(spark, count)]), F.col("shard"))
+    dealt = own.unionByName(asked).repartition(count, place).sortWithinPartitions("shard", "role", "key")
     found = materialize(dealt.mapInArrow(_search_shards(threshold), "a long, b long, edge boolean"), "found")
     roots = connected_components(found.filter("edge").select("a", "b"))
     linked = roots.join(nodes.select(F.col("key").alias("node"), "low"), "node")
