@@ -10,6 +10,7 @@ its length, a slot.  No text is shuffled, and the driver's work does not grow wi
 from __future__ import annotations
 
 import os
+import re
 import zlib
 
 import numpy as np
@@ -24,14 +25,20 @@ CAPACITY = 4096
 END_ID = 1
 #: Search nodes beyond the first descent; each node is one filling.  It bounds effort, not the rows that are packed.
 NODES = 20_000
-CACHE = 700_000
+CACHE = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+#: A word of letters and ASCII marks after it.  No apostrophe: it can begin a contraction.
+_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,\-./:;=?@\[\]^{|}~]*)")
+
+
 class _Ids(dict):
-    """From a token between white space to its ids as little-endian bytes.
+    """From a token between white space, ASCII in lower case, to its ids as little-endian bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are those of its tokens in order.
+    The tokenizer lower-cases, drops white space and never joins across it, nor across the end of a word of letters; so a
+    text's ids are those of its tokens in order, and a token's those of its word and the marks after it.  Tokens and words
+    are remembered apart: far more tokens than words are new.
     """
 
     def __init__(self, path: str):
@@ -39,17 +46,29 @@ class _Ids(dict):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        tokenizer = Tokenizer.from_file(path)
+        self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
+        self.parts: dict[str, bytes] = {}
 
     def learn(self, tokens: list[bytes]) -> None:
         if len(self) + len(tokens) > CACHE:
             self.clear()
-        texts = [t.decode("utf-8") for t in tokens]
-        for t, e in zip(tokens, self.tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
-            self[t] = np.array(e.ids, "<u4").tobytes()
+        if len(self.parts) > CACHE // 2:
+            self.parts.clear()
+        cut = []
+        for t in tokens:
+            text = t.decode("utf-8")
+            m = _WORD_AND_MARKS.fullmatch(text)
+            cut.append(((m[1], m[2]) if m[2] else (m[1],)) if m and m[1].isalpha() else (text,))
+        new = [p for p in dict.fromkeys(p for c in cut for p in c) if p not in self.parts]
+        for p, e in zip(new, self.encode(new, add_special_tokens=False), strict=True):
+            self.parts[p] = np.array(e.ids, "<u4").tobytes()
+        for t, c in zip(tokens, cut, strict=True):
+            self[t] = self.parts[c[0]] if len(c) == 1 else self.parts[c[0]] + self.parts[c[1]]
 
     def of(self, text: str | None) -> bytes:
-        tokens = (text or "").encode("utf-8", "replace").split()
+        raw = (text or "").encode("utf-8", "replace")
+        tokens = (raw if b"<|" in raw else raw.lower()).split()  # names of special tokens count as written only
         out = []
         for low in range(0, len(tokens), CACHE // 4):
             part = tokens[low : low + CACHE // 4]
