@@ -171,6 +171,8 @@ def test_ids_equal_the_tokenizer(spark, sf_dir):
 
     tok = Tokenizer.from_file(packing.default_tokenizer())
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(edge_docs(spark).select((F.col("doc_id") + 100_000).alias("doc_id"), "text").distinct())
+    odd = ["It's THE end,. of 'tis <|endoftext|> <|EndOfText|> x_y a1b2 \u00b2\u00bd e\u0301 I\u0307 \u212b\u212a word\u2026. a\u0338=\u0338 don't. l'\u00e9t\u00e9, \x1c\u00a0z (A-B) C|D &&& caf\u00e9%%%"]
+    docs = docs.unionByName(spark.createDataFrame([(200_000 + i, t) for i, t in enumerate(odd)], docs.schema))
     texts = {r.doc_id: r.text for r in docs.collect()}
     got = {}
     for r in packing.pieces(docs).collect():
