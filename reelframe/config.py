@@ -117,19 +117,31 @@ class Style:
 class Ocr:
     per_image: int = 1
     scale: float = 1.0
-    mode: str = "gray"
+    divid_into_2_lines: bool = False
+    color_mode: str = "gray"
     antialias: bool = True
     supersample: int = 3
-    dilate: int = 0
-    gamma: float = 0.85
+    stroke_dilate: int = 0
+    coverage_gamma: float = 0.85
     binary_threshold: float = 0.5
-    despeckle: int = 4
-    fg_color: str = "#000000"
+    despeckle_min_area: int = 4
+    text_color: str = "#000000"
     bg_color: str = "#FFFFFF"
     format: str = "png"
     quality: int = 95
-    resize_filter: str = "lanczos3"
-    divid_into_2_lines: bool = False
+    scale_filter: str = "lanczos3"
+    max_width: int = 0
+    padding: int = 0
+    crop_top: int = 0
+    crop_bottom: int = 0
+    crop_left: int = 0
+    crop_right: int = 0
+    rotate: int = 0
+    flip_h: bool = False
+    flip_v: bool = False
+    brightness: int = 0
+    contrast: int = 0
+    grayscale: bool = False
 
 
 @dataclass(frozen=True)

@@ -47,7 +47,7 @@ def runs(values: DataFrame, by: list[str], at: str, value: str) -> DataFrame:
     """Maximal runs of equal neighbouring values: by, run, value, first place, length."""
     order = W.partitionBy(*by).orderBy(at)
     new = F.when(F.lag(value).over(order).eqNullSafe(F.col(value)) & (F.row_number().over(order) > 1), 0).otherwise(1)
-    numbered = values.withColumn("run", F.sum("new").over(order)) if "new" in values.columns else values.withColumn("new_", new).withColumn("run", F.sum("new_").over(order))
+    numbered = values.withColumn("starts_run", new).withColumn("run", F.sum("starts_run").over(order))
     return numbered.groupBy(*by, "run").agg(F.any_value(value).alias(value), F.min(at).alias("first"), F.count("*").alias("length"))
 
 

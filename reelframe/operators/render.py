@@ -104,6 +104,74 @@ def turn(image: np.ndarray, how: str) -> np.ndarray:
     return {"cw": lambda a: np.rot90(a, -1), "ccw": lambda a: np.rot90(a), "180": lambda a: a[::-1, ::-1], "flip_h": lambda a: a[:, ::-1], "flip_v": lambda a: a[::-1]}[how](image)
 
 
+def trim_and_pad(image: np.ndarray, ocr, bg=(255, 255, 255)) -> np.ndarray:
+    """A tile without the configured margins (at least one pixel stays) and with padding of the background."""
+    h, w = image.shape[:2]
+    y0, x0 = min(max(ocr.crop_top, 0), h - 1), min(max(ocr.crop_left, 0), w - 1)
+    y1, x1 = max(h - max(ocr.crop_bottom, 0), y0 + 1), max(w - max(ocr.crop_right, 0), x0 + 1)
+    cut, pad = image[y0:y1, x0:x1], max(ocr.padding, 0)
+    out = np.empty((cut.shape[0] + 2 * pad, cut.shape[1] + 2 * pad, 3), np.uint8)
+    out[:] = bg
+    out[pad : pad + cut.shape[0], pad : pad + cut.shape[1]] = cut
+    return out
+
+
+def toned(image: np.ndarray, brightness: int, contrast: int, grey: bool) -> np.ndarray:
+    c = max(-100, min(100, contrast)) * 2.55
+    factor = (259.0 * (c + 255.0)) / (255.0 * (259.0 - c))
+    v = np.clip(factor * (image.astype(float) - 128.0) + 128.0 + max(-100, min(100, brightness)), 0, 255)
+    if grey:
+        v = np.repeat((v @ np.array([0.299, 0.587, 0.114]))[..., None], 3, axis=2)
+    return np.floor(v + 0.5).astype(np.uint8)
+
+
+#: Reach and weight of each resampling filter.
+KERNELS = {
+    "nearest": (0.5, lambda x: (np.abs(x) <= 0.5).astype(float)),
+    "triangle": (1.0, lambda x: np.maximum(1 - np.abs(x), 0)),
+    "catmullrom": (2.0, lambda x: np.where(np.abs(x) < 1, 1.5 * np.abs(x) ** 3 - 2.5 * x**2 + 1, np.where(np.abs(x) < 2, -0.5 * np.abs(x) ** 3 + 2.5 * x**2 - 4 * np.abs(x) + 2, 0))),
+    "gaussian": (3.0, lambda x: np.exp(-(x**2) / (2 * 0.5**2))),
+    "lanczos3": (3.0, lambda x: np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0)),
+}
+
+
+def resized(image: np.ndarray, width: int, height: int, how: str = "lanczos3") -> np.ndarray:
+    """Separable resampling; the filter widens when the picture shrinks."""
+
+    def along(old: int, new: int) -> np.ndarray:
+        ratio, (reach, weight) = old / new, KERNELS.get(how, KERNELS["lanczos3"])
+        wide = max(ratio, 1.0)
+        centre = (np.arange(new) + 0.5) * ratio
+        if how == "nearest":
+            return np.eye(old)[np.minimum(centre.astype(int), old - 1)]
+        distance = (np.arange(old)[None, :] + 0.5 - centre[:, None]) / wide
+        w = np.where(np.abs(distance) <= reach, weight(distance), 0.0)
+        return w / w.sum(1, keepdims=True)
+
+    h, w = image.shape[:2]
+    out = np.einsum("yh,hwc,xw->yxc", along(h, height), image.astype(float), along(w, width), optimize=True)
+    return np.floor(np.clip(out, 0, 255) + 0.5).astype(np.uint8)
+
+
+def finished(image: np.ndarray, ocr) -> np.ndarray:
+    """The canvas turned, mirrored, toned and held to the largest width, in this order."""
+    how = {90: "cw", 180: "180", 270: "ccw"}.get(ocr.rotate % 360)
+    image = turn(image, how) if how else image
+    image = turn(image, "flip_h") if ocr.flip_h else image
+    image = turn(image, "flip_v") if ocr.flip_v else image
+    if ocr.brightness or ocr.contrast or ocr.grayscale:
+        image = toned(image, ocr.brightness, ocr.contrast, ocr.grayscale)
+    h, w = image.shape[:2]
+    if 0 < ocr.max_width < w:
+        image = resized(image, ocr.max_width, max(int(h * (ocr.max_width / w) + 0.5), 1), ocr.scale_filter.strip().lower())
+    return np.ascontiguousarray(image)
+
+
+def halves(image: np.ndarray, y: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows above y and from y on, at least one each."""
+    return image[: max(y, 1)], image[min(y, len(image) - 1) :]
+
+
 def png(image: np.ndarray) -> bytes:
     """An RGB picture as a PNG file."""
     h, w, _ = image.shape

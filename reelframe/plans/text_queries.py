@@ -128,14 +128,15 @@ def so_first_pending(spark, d):
     return video.batch_state(table(spark, d, "events").select(F.col("user_id").alias("batch"), F.col("event_id").alias("item"), "event_type"), "event_type", "view", ["purchase", "error"]).withColumnRenamed("batch", "user_id")
 
 
-RUNS = """ch AS (SELECT conv_id, turn, CAST(i - 1 AS BIGINT) AS at, length(split_part(text, ' ', i)) % 4 AS c FROM conversations, LATERAL (SELECT unnest(range(1, len(string_split(text, ' ')) + 1)) AS i)),
-rn AS (SELECT *, CASE WHEN lag(c) OVER (PARTITION BY conv_id, turn ORDER BY at) = c THEN 0 ELSE 1 END AS new FROM ch),
-rs AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY at) AS run FROM rn),
-rl AS (SELECT conv_id, turn, run::BIGINT AS run, any_value(c) AS c, min(at) AS first, count(*) AS length FROM rs GROUP BY conv_id, turn, run)"""
+RUNS = """ch AS (SELECT conv_id, turn, CAST(i - 1 AS BIGINT) AS place, length(split_part(text, ' ', i)) % 4 AS c FROM (SELECT conv_id, turn, min(text) AS text FROM conversations GROUP BY conv_id, turn), LATERAL (SELECT unnest(range(1, len(string_split(text, ' ')) + 1)) AS i)),
+rn AS (SELECT *, CASE WHEN lag(c) OVER (PARTITION BY conv_id, turn ORDER BY place) = c THEN 0 ELSE 1 END AS new FROM ch),
+rs AS (SELECT *, sum(new) OVER (PARTITION BY conv_id, turn ORDER BY place) AS run FROM rn),
+rl AS (SELECT conv_id, turn, run::BIGINT AS run, any_value(c) AS c, min(place) AS first, count(*) AS length FROM rs GROUP BY conv_id, turn, run)"""
 
 
 def _runs(spark, d):
-    words = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("at", "w"))
+    turns = table(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    words = turns.select("conv_id", "turn", F.posexplode(F.split("text", " ")).alias("at", "w"))
     places = words.select("conv_id", "turn", F.col("at").cast("long").alias("at"), (F.length("w") % 4).alias("c"))
     return artifacts.runs(places, ["conv_id", "turn"], "at", "c")
 
