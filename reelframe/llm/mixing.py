@@ -119,22 +119,21 @@ def _round_nodes(batches):
         yield from finish(held)
 
 
-def copies(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies for each row of docs.
+def _row_hash():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
 
-    Reruns agree: rows are dealt to leaves and ordered by hashes of doc_id, and draws come from the node's name.  A null or
-    empty text has size 0 and is not taken (its share of words is nothing); null sources are one source; equal rows are
-    interchangeable; an empty table gives no rows.
-    """
+
+def _copies(docs: DataFrame) -> DataFrame:
+    """copies() with row_hash, a hash of the row's id, source and text."""
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(TOKEN_RE)), F.lit(0)).cast("long")
-    sized = materialize(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size")), "sized")
+    sized = materialize(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), _row_hash().alias("row_hash")), "sized")
     aimed, n = with_targets(sized)
     wanted = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     leaves = max(1, -(-n // LEAF))
-    rows = aimed.select("*", F.floor(wanted).alias("whole"), (wanted - F.floor(wanted)).alias("share"), F.pmod(F.xxhash64(F.lit(3), "doc_id", "size"), F.lit(leaves)).alias("node"))
+    rows = aimed.select("*", F.floor(wanted).alias("whole"), (wanted - F.floor(wanted)).alias("share"), F.pmod(F.xxhash64(F.lit(3), "row_hash"), F.lit(leaves)).alias("node"))
     schema = rows.schema
-    order = ["node", "source", F.xxhash64(F.lit(5), "doc_id"), "doc_id", "size"]
+    order = ["node", "source", F.xxhash64(F.lit(5), "row_hash"), "row_hash", "doc_id", "size"]
     fraction = (F.col("share") > 0) & (F.col("share") < 1)
     settled = []
     nodes = leaves
@@ -153,21 +152,33 @@ def copies(docs: DataFrame) -> DataFrame:
         done = done.unionByName(level)
     # The root's last fractional row is rounded by the nearer number of words, in one fixed way.
     taken = F.col("whole") + F.when(F.col("share") >= 0.5, 1).otherwise(0)
-    return done.select("doc_id", "source", "size", "source_size", "target", taken.cast("int").alias("copies"))
+    return done.select("doc_id", "source", "size", "source_size", "target", taken.cast("int").alias("copies"), "row_hash")
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies for each row of docs.
+
+    Reruns agree: rows are dealt to leaves and ordered by hashes of their contents, and draws come from the node's name.  A
+    null or empty text has size 0 and is not taken (its share of words is nothing); null sources are one source; equal rows
+    are interchangeable; an empty table gives no rows.
+    """
+    return _copies(docs).drop("row_hash")
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mixture takes it; columns as in docs.
 
-    Copies are joined by doc_id, and by place among rows of one doc_id, with one shuffle of the texts.
+    Rows meet their numbers of copies by a hash of id, source and text, equal rows by their place among themselves.  The
+    texts are shuffled once: numbering and join share the partitioning, so places are compared outside the join's keys.
     """
-    place = fresh(docs.columns, "place_")
-    times = fresh([*docs.columns, place], "times_")
-    key = fresh([*docs.columns, place, times], "key_")
-    words = F.coalesce(F.regexp_count(F.col("text"), F.lit(TOKEN_RE)), F.lit(0))
-    taken = copies(docs).select(F.col("doc_id").alias(key), F.col("copies").alias(times), "size", "source")
-    taken = taken.withColumn(place, F.row_number().over(W.partitionBy(key).orderBy("source", "size", times))).drop("size", "source")
-    ranked = docs.withColumn(place, F.row_number().over(W.partitionBy(F.col("doc_id").cast("long")).orderBy("source", words)))
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col(key)) & (ranked[place] == taken[place])
+    names = []
+    for wanted in ("hash_", "place_", "times_", "their_place_", "copy_"):
+        names.append(fresh([*docs.columns, *names], wanted))
+    key, place, times, their_place, copy = names
+    equal = W.partitionBy(key)
+    taken = _copies(docs).select(F.col("row_hash").alias(key), F.col("copies").alias(times))
+    taken = taken.withColumn(their_place, F.row_number().over(equal.orderBy(times)))
+    ranked = docs.withColumn(key, _row_hash()).withColumn(place, F.row_number().over(equal.orderBy(key)))
+    same = (ranked[key] == taken[key]) & (F.abs(ranked[place] - taken[their_place]) == 0)
     joined = ranked.join(taken, same).filter(F.col(times) > 0)
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(key)).drop(key)
+    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)
