@@ -91,7 +91,7 @@ def _soft(x, by):
     return np.sign(x) * np.maximum(np.abs(x) - by, 0)
 
 
-def fit_arrays(features, labels, pairs, l1=2e-4, l2=1e-5, fairness=1.0, rounds=300) -> Model:
+def fit_arrays(features, labels, pairs, l1=5e-5, l2=1e-5, fairness=1.0, rounds=300) -> Model:
     """features: an int array per text; labels 0 or 1; pairs: (array, array) per original and swapped sentence.
 
     Minimises log loss + l1 |w| + l2 w^2 / 2 + fairness * mean squared score change over pairs, by accelerated proximal
