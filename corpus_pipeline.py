@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reelframe.llm import langid, mixing, packing, simhash, toxicity
+from reelframe.llm import langid, mixing, nearcopies, packing, toxicity
 from reelframe.llm.common import fresh, materialize
 
 
@@ -35,10 +35,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Only ids and fingerprints are grouped; texts are shuffled once, by doc_id.  Of several rows with the smallest doc_id the
     one with the smallest text hash stays.
     """
-    found = simhash.near_duplicates(docs.select("doc_id", "text"))
     keys = [fresh(docs.columns, "id_"), fresh(docs.columns, "no_id_")]
     by_id = lambda c: [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(keys[0]), F.col(c).isNull().alias(keys[1])]
-    keep = found.groupBy("component_id").agg(F.min("doc_id").alias("keep_id")).select(*by_id("keep_id")).distinct()
+    keep = nearcopies.first_rows(docs).select(*by_id("doc_id")).distinct()
     kept = docs.select("*", *by_id("doc_id")).join(keep, keys, "left_semi")
     place = fresh(docs.columns, "place_")
     first = F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64("text")))

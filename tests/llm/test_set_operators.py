@@ -274,3 +274,43 @@ def test_pipeline_edges(spark, sf_dir):
     for _, stage in p.STAGES:
         empty = stage(spark, empty, sf_dir)
     assert empty.count() == 0
+
+
+def near_copies(rng, n, words):
+    """n texts, each 1 word in 60 or fewer away from one base text: beyond two bits of three-word fingerprints."""
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    out = []
+    for i in range(n):
+        copy = list(base)
+        copy[rng.randrange(words)] = f"x{i}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_pipeline_removes_copies_of_five_word_similarity(spark, sf_dir):
+    import corpus_pipeline as p
+
+    rng = random.Random(5)
+    texts = [t for words in (60, 90, 200, 700) for t in near_copies(rng, 12, words)]
+    texts += [" ".join(f"u{rng.randrange(5000)}" for _ in range(rng.randrange(1, 80))) for _ in range(60)]
+    # Chains: each text is close to the one before it only.
+    chain = [f"c{i}" for i in range(400)]
+    texts += [" ".join(chain[30 * i : 30 * i + 270]) for i in range(5)]
+    sets = [set(simhash.shingle_hashes(t, 5)) for t in texts]
+    links = [(i, j) for i, j in combinations(range(len(texts)), 2) if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j]))]
+    assert len(links) > 100
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    kept = {r.doc_id for r in p.drop_near_duplicates(spark, docs, sf_dir).collect()}
+    assert kept == set(union(len(texts), links))
+
+
+def test_groups_tied_to_an_unlike_text_are_compared_pair_by_pair():
+    import pyarrow as pa
+
+    from reelframe.llm import nearcopies
+
+    cols = {"key": [1, 1, 1, 1, 2, 2], "t": [5, 3, 9, 4, 5, 6], "fp": [50, 30, 90, 40, 50, 60], "n": [10, 10, 10, 99, 10, 10], "root": [0, 1, 0, 2, 7, 7]}
+    batch = pa.RecordBatch.from_pydict(cols)
+    for cut in range(7):
+        out = [r for b in nearcopies._across(iter([batch.slice(0, cut), batch.slice(cut)])) for r in b.to_pylist()]
+        assert {(r["a"], r["b"], r["fa"], r["fb"]) for r in out} == {(3, 5, 30, 50), (3, 9, 30, 90)}
