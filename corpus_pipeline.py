@@ -30,18 +30,18 @@ def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate component: that of its smallest doc_id.
+    """One row of each near-duplicate component: that of its smallest doc_id, of the smallest text hash if several have it.
 
-    Only ids and fingerprints are grouped; texts are shuffled once, by doc_id.  Of several rows with the smallest doc_id the
-    one with the smallest text hash stays.
+    Rows are told apart by id and text, so rows with null or repeated ids stay if they are alone in their component.  Equal
+    rows are reduced to one before texts are shuffled; texts are shuffled once.
     """
-    keys = [fresh(docs.columns, "id_"), fresh(docs.columns, "no_id_")]
-    by_id = lambda c: [F.coalesce(F.col(c).cast("long"), F.lit(0)).alias(keys[0]), F.col(c).isNull().alias(keys[1])]
-    keep = nearcopies.first_rows(docs).select(*by_id("doc_id")).distinct()
-    kept = docs.select("*", *by_id("doc_id")).join(keep, keys, "left_semi")
+    keys = [fresh(docs.columns, "id_"), fresh(docs.columns, "no_id_"), fresh(docs.columns, "text_hash_")]
+    by = lambda text: [F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias(keys[0]), F.col("doc_id").isNull().alias(keys[1]), text.alias(keys[2])]
+    keep = materialize(nearcopies.first_rows(docs).select(*by(F.col("t"))), "keep")
     place = fresh(docs.columns, "place_")
-    first = F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64("text")))
-    return kept.withColumn(place, first).filter(F.col(place) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.row_number().over(W.partitionBy(*keys).orderBy(keys[2]))
+    rows = docs.select("*", *by(nearcopies.text_hash())).withColumn(place, first).filter(F.col(place) == 1)
+    return rows.join(keep, keys, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -314,3 +314,14 @@ def test_groups_tied_to_an_unlike_text_are_compared_pair_by_pair():
     for cut in range(7):
         out = [r for b in nearcopies._across(iter([batch.slice(0, cut), batch.slice(cut)])) for r in b.to_pylist()]
         assert {(r["a"], r["b"], r["fa"], r["fb"]) for r in out} == {(3, 5, 30, 50), (3, 9, 30, 90)}
+
+
+def test_pipeline_keeps_rows_without_or_with_repeated_ids(spark, sf_dir):
+    import corpus_pipeline as p
+
+    rng = random.Random(6)
+    texts = [" ".join(f"v{rng.randrange(5000)}" for _ in range(20)) for _ in range(12)]
+    rows = [(None, t) for t in texts[:6]] + [(None, texts[0])] * 3 + [(7, texts[6]), (7, texts[7]), (8, texts[8]), (None, texts[8]), (9, texts[8])] + [(3, texts[9])] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted((r.doc_id or 0, r.text) for r in p.drop_near_duplicates(spark, docs, sf_dir).collect())
+    assert got == sorted([(0, t) for t in texts[:6]] + [(7, texts[6]), (7, texts[7]), (8, texts[8]), (3, texts[9])])
