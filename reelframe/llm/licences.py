@@ -1,7 +1,7 @@
 """Licence scans through a positional index of rare licence words, in DataFrame operations only.
 
-Each file's licence words are ranked by their inverse document frequency over all files.  The places of the highest-ranked
-ones meet the postings of the licence templates; places that agree on one relative position (file place minus template
+Licence words are weighted by their inverse document frequency over all files.  The places of all licence words of a file
+meet the postings of the licence templates; places that agree on one relative position (file place minus template
 place) vote together, and a template with enough votes and all its mandatory phrases labels the file.  Three fixed phrases
 are also counted place by place, by plain string functions.
 """
@@ -43,8 +43,8 @@ TEMPLATES = [
     ("unlicense", "this is free and unencumbered software released into the public domain", ["released into the public domain"]),
     ("copyright", "copyright c all rights reserved", ["copyright", "all rights reserved"]),
 ]
-#: A file's highest-ranked licence words that are looked up, and the votes a template needs (fewer if it has fewer words).
-LOOKED_UP, VOTES = 16, 3
+#: The votes a template needs (fewer if it has fewer words).
+VOTES = 3
 
 
 def template_words(notice: str) -> list[tuple[int, str]]:
@@ -97,19 +97,17 @@ def _votes(files: DataFrame, rows: int) -> DataFrame:
     postings, phrases = [], {}
     for t, (label, notice, mandatory) in enumerate(TEMPLATES):
         words = template_words(notice)
-        distinct = sorted({w for _, w in words}, key=lambda w: -idf[w])
-        need, weight = min(VOTES, len(distinct)), sum(idf[w] for w in distinct[:LOOKED_UP])
+        distinct = sorted({w for _, w in words})
+        need, weight = min(VOTES, len(distinct)), sum(idf[w] for w in distinct)
         phrases[t] = mandatory
         postings += [(w, t, label, i, need, idf[w], weight) for i, w in words]
     postings = spark.createDataFrame(postings, "w string, template int, label string, at int, need int, idf double, weight double")
-    ranks = F.create_map(*[F.lit(x) for w in VOCABULARY for x in (w, idf[w])])
-    looked_up = F.slice(F.array_sort(F.transform("hits", lambda w: F.struct((-ranks[w]).alias("r"), w.alias("w")))), 1, LOOKED_UP)
     verified = F.array_compact(F.array(*[
         F.when(F.forall(F.array(*[F.lit(f" {p} ") for p in ps]), lambda p: F.contains(F.col("s"), p)), F.lit(t)) for t, ps in phrases.items()
     ]))
-    files = files.filter("s is not null").select("doc_id", "text_hash", "s", verified.alias("verified"), F.transform(looked_up, lambda x: x["w"]).alias("top"))
+    files = files.filter("s is not null").select("doc_id", "text_hash", "s", verified.alias("verified"), "hits")
     files = files.filter(F.size("verified") > 0)
-    placed = files.select("doc_id", "text_hash", "verified", "top", F.posexplode(F.split(F.trim("s"), " ")).alias("place", "w")).filter(F.array_contains(F.col("top"), F.col("w")))
+    placed = files.select("doc_id", "text_hash", "verified", "hits", F.posexplode(F.split(F.trim("s"), " ")).alias("place", "w")).filter(F.array_contains(F.col("hits"), F.col("w")))
     met = placed.join(F.broadcast(postings), "w").filter(F.array_contains(F.col("verified"), F.col("template")))
     votes = met.groupBy("doc_id", "text_hash", "template", "label", "need", "weight", (F.col("place") - F.col("at")).alias("shift"))
     # A word has one idf, so its places at one shift count once by the maximum per word; words differ in their postings.

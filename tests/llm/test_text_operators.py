@@ -276,3 +276,12 @@ def test_licence_phrases_and_labels(spark, docs):
 def test_licence_edges(spark):
     assert licences.scan(edge_docs(spark)).count() == 9
     assert licences.scan(edge_docs(spark).limit(0)).count() == 0
+
+
+def test_licences_of_a_file_with_several_notices(spark):
+    """The second notice's words are the corpus's most frequent licence words and the last by rank."""
+    text = licences.TEMPLATES[0][1] + " released under the mit license"
+    rows = [(0, text)] + [(i, "license mit released") for i in range(1, 40)]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].labels == "apache-2.0,mit" and got[0].score == pytest.approx(1.0)
+    assert got[1].labels == ""
