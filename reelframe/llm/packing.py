@@ -12,6 +12,7 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from .common import materialize
 
 CAPACITY = 4096
 END_ID = 1
-#: Search nodes beyond the first descent; each node is one filling.  It bounds effort, not the rows that are packed.
-NODES = 20_000
+#: Steps of the search for better packings than best fit.  They bound effort, not the rows that are packed.
+STEPS = 200_000
 CACHE = 1_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -121,60 +122,85 @@ def lower_bound(count: np.ndarray, capacity: int) -> int:
     return best
 
 
-def fillings(left: np.ndarray, room: int, most: int = 4, width: int = 24) -> list[tuple[int, ...]]:
-    """Undominated fillings of room with lengths that remain, least waste first; at most most of them.
-
-    A single length that fills the room dominates every other filling.  Else lengths are tried from the largest; a branch
-    is dropped when even a full room below it could not beat the worst filling kept (the waste bound), and a filling into
-    which a skipped longer length would still fit is dominated.
+def _bits(on: np.ndarray) -> int:
+    """An integer whose bit i tells on[i]."""
+    return int.from_bytes(np.packbits(on, bitorder="little").tobytes(), "little")
+
+
+def _sums(chosen: list[tuple[int, int]], limit: int) -> tuple[int, int]:
+    """Bits of the sums that some chosen pieces have, and of those that two or more have."""
+    some, several, mask = 1, 0, (1 << limit + 1) - 1
+    for length, times in chosen:
+        step = 1
+        while times > 0:
+            n = min(step, times)
+            shifted = some << length * n
+            several |= (several << length * n | (shifted if n > 1 else shifted & ~(1 << length))) & mask
+            some |= shifted & mask
+            times, step = times - n, 2 * step
+    return some, several
+
+
+def dominated(chosen: list[tuple[int, int]], rest: int, others: int, room: int) -> bool:
+    """True if a piece left out (bits of others) could stand for chosen pieces that are together as long, if they are
+    several, or up to rest shorter: whatever it replaces fits wherever it was, so the filling with it is at least as good."""
+    some, several = _sums(chosen, room)
+    if several & others:
+        return True
+    longer, width = some << 1, 1  # lengths 1 to width beyond a sum
+    while width < rest:
+        step = min(width, rest - width)
+        longer |= longer << step
+        width += step
+    return rest > 0 and bool(longer & others)
+
+
+def fillings(left: np.ndarray, room: int, waste: int | None = None, effort: list[int] | None = None):
+    """Yields the undominated fillings of room with lengths that remain, as ((length, times), ...), longest lengths first.
+
+    A piece that fills what is left dominates every other way to go on.  A branch ends where all shorter pieces together
+    could not bring its waste down to the bound.  effort, if given, holds the steps that may still be taken.
     """
-    if room <= 0:
-        return [()]
-    if room < len(left) and left[room] > 0:
-        return [(room,)]
+    waste = room if waste is None else waste
     have = np.flatnonzero(left[: room + 1])
-    if not len(have):
-        return [()]
-    found: list[tuple[int, tuple[int, ...]]] = []
-    budget = [400]
-
-    def grow(rest: int, top: int, chosen: tuple[int, ...]) -> None:
-        if budget[0] <= 0 or len(found) >= most and found[-1][0] == 0:
+    have = have[have > 0]
+    counts = left[have]
+    words = np.cumsum(have * counts)
+    lengths, counts, words = have.tolist(), counts.tolist(), words.tolist()
+    available = _bits(left[: room + 1] > 0) & ~1
+    effort = [1 << 60] if effort is None else effort
+
+    def others(chosen):
+        return available & ~sum(1 << n for n, t in chosen if t >= left[n])
+
+    def grow(rest: int, top: int, chosen: list):
+        """Fillings of rest with lengths[:top]."""
+        effort[0] -= 1
+        if effort[0] < 0:
             return
-        budget[0] -= 1
-        at = int(np.searchsorted(have, min(rest, top), side="right"))
-        tried = 0
-        while at > 0 and tried < width:
-            at -= 1
-            length = int(have[at])
-            if chosen.count(length) >= left[length]:
-                continue
-            tried += 1
-            after = rest - length
-            if after == 0:
-                keep(0, (*chosen, length))
+        if not rest:
+            if not dominated(chosen, 0, others(chosen), room):
+                yield tuple(chosen)
+            return
+        high = bisect_right(lengths, rest, 0, top)
+        if high and lengths[high - 1] == rest:
+            last = [*chosen, (rest, 1)]
+            if not dominated(last, 0, others(last), room):
+                yield tuple(last)
+            return
+        if not high:
+            if rest <= waste and not dominated(chosen, rest, others(chosen), room):
+                yield tuple(chosen)
+            return
+        for at in range(high - 1, -1, -1):
+            if rest - words[at] > waste:
                 return
-            if after <= length and left[after] > chosen.count(after) + (after == length):
-                keep(0, (*chosen, length, after))
-                if len(found) >= most:
+            for times in range(min(counts[at], rest // lengths[at]), 0, -1):
+                yield from grow(rest - times * lengths[at], at, [*chosen, (lengths[at], times)])
+                if effort[0] < 0:
                     return
-                continue
-            grow(after, length, (*chosen, length))
-            if len(found) >= most and found[-1][0] == 0:
-                return
-        if not tried:
-            keep(rest, chosen)
-
-    def keep(waste: int, chosen: tuple[int, ...]) -> None:
-        if len(found) >= most and waste >= found[-1][0]:
-            return
-        if (waste, chosen) not in found:
-            found.append((waste, chosen))
-            found.sort(key=lambda f: (f[0], [-x for x in f[1]]))
-            del found[most:]
 
-    grow(room, room, ())
-    return [f for _, f in found] or [()]
+    yield from grow(room, len(lengths), [])
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -186,7 +212,7 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
             use[top] = 1
             while rest > 0:
                 fit = np.flatnonzero(left[: min(rest, top) + 1] > use[: min(rest, top) + 1])
-                if not len(fit):
+                if not len(fit) or not fit[-1]:
                     break
                 length = int(fit[-1])
                 times = int(min(rest // length, left[length] - use[length]))
@@ -200,46 +226,80 @@ def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int
     return done
 
 
-def complete(count: np.ndarray, capacity: int = CAPACITY, nodes: int = NODES) -> tuple[list[tuple[tuple[int, ...], int]], int]:
-    """(patterns as (lengths of a bin, times), lower bound) for count pieces of each length 0..capacity."""
+def complete(count: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) -> tuple[list[tuple[tuple[int, ...], int]], int, bool]:
+    """(patterns as (lengths of a bin, times), lower bound, whether surely no packing has fewer bins).
+
+    Branch and bound by bin completion: a node is the largest length left, its branches are the undominated fillings around
+    it, and the waste that an improved packing may have bounds them.  The first branch is repeated as often as the counts
+    allow, others are taken once.  Each round allows one more swerve from the first branch than the round before.  The search
+    ends when the lower bound is met, when a round has left nothing out, or when its steps are spent.
+    """
     bound = lower_bound(count, capacity)
     best = best_fit(count, capacity)
-    total = lambda p: sum(n for _, n in p)
-    spent = [0]
-
-    def descend(left: np.ndarray, done: list, used: int, swerve: int) -> None:
-        """Depth first; at most swerve bins take another than the best filling."""
-        nonlocal best
-        left, done = left.copy(), list(done)
-        size = np.arange(len(left))
-        top = len(left) - 1
-        while True:
-            while top > 0 and left[top] <= 0:
-                top -= 1
-            if top == 0:
-                if used < total(best):
-                    best = done
+    words = int((np.arange(len(count)) * count).sum())
+    fewest = sum(n for _, n in best)
+    effort, cut = [steps], False
+    allowed = lambda: (fewest - 1) * capacity - words  # noqa: E731  waste of a packing with one bin less
+
+    def branches(left: np.ndarray, top: int, waste: int, swerves: int):
+        """(filling, times, swerves left) of a node."""
+        nonlocal cut
+        without = left.copy()
+        without[top] -= 1
+        for k, filling in enumerate(fillings(without, capacity - top, waste, effort)):
+            if k == 0:
+                use = dict(filling)
+                use[top] = use.get(top, 0) + 1
+                times = int(min(left[n] // t for n, t in use.items()))
+                yield filling, times, swerves
+                cut = cut or times > 1 and not swerves
+                if times > 1 and swerves:
+                    yield filling, 1, swerves - 1
+            elif swerves:
+                yield filling, 1, swerves - 1
+            else:
+                cut = True
                 return
-            if used + -(-int((left * size).sum()) // capacity) >= total(best) or total(best) == bound or spent[0] > nodes + capacity:
-                return
-            spent[0] += 1
-            left[top] -= 1
-            options = fillings(left, capacity - top)
-            left[top] += 1
-            for other in options[1:] if swerve else []:
-                use = np.bincount([top, *other], minlength=len(left))
-                descend(left - use, [*done, ((top, *other), 1)], used + 1, swerve - 1)
-            use = np.bincount([top, *options[0]], minlength=len(left))
-            on = use > 0
-            times = int((left[on] // use[on]).min())
-            left -= use * times
-            used += times
-            done.append(((top, *options[0]), times))
 
-    for swerve in range(3):
-        if total(best) > bound and spent[0] <= nodes:
-            descend(count, [], 0, swerve)
-    return best, bound
+    def search(swerves: int) -> None:
+        nonlocal best, fewest
+        done: list[tuple[int, tuple, int]] = []
+        stack: list[tuple] = []
+
+        def push(left: np.ndarray, waste: int, used: int, swerves: int) -> None:
+            nonlocal best, fewest
+            on = np.flatnonzero(left > 0)
+            if len(on):
+                stack.append((left, waste, used, int(on[-1]), branches(left, int(on[-1]), allowed() - waste, swerves)))
+            elif used < fewest:
+                best, fewest = [((t, *(n for n, k in f for _ in range(k))), m) for t, f, m in done], used
+
+        push(count, 0, 0, swerves)
+        while stack:
+            left, waste, used, top, ways = stack[-1]
+            del done[len(stack) - 1 :]
+            found = next(ways, None) if fewest > bound and effort[0] >= 0 else None
+            if found is None:
+                stack.pop()
+                continue
+            filling, times, rest = found
+            more = waste + times * (capacity - top - sum(n * t for n, t in filling))
+            if more > allowed():
+                continue
+            done.append((top, filling, times))
+            left = left.copy()
+            for n, t in ((top, 1), *filling):
+                left[n] -= t * times
+            push(left, more, used + times, rest)
+
+    swerves = 0
+    while fewest > bound and effort[0] >= 0:
+        cut = False
+        search(swerves)
+        if not cut:
+            break
+        swerves += 1
+    return best, bound, fewest == bound or effort[0] >= 0
 
 
 def slots(patterns: list[tuple[tuple[int, ...], int]]) -> dict[str, np.ndarray]:

@@ -203,18 +203,46 @@ def fewest(sizes, capacity):
     return best[0]
 
 
-def test_completion_is_near_the_optimum():
+def test_completion_finds_the_optimum_of_small_sets():
     rnd = random.Random(6)
-    worse = 0
-    for _ in range(60):
-        sizes = sorted((rnd.randint(3, 30) for _ in range(rnd.randint(1, 11))), reverse=True)
-        patterns, bound = packing.complete(np.bincount(sizes, minlength=31), 30)
+    for k in range(120):
+        room = rnd.choice([10, 30, 60])
+        sizes = sorted((rnd.randint(1 + k % 3, room) for _ in range(rnd.randint(1, 11))), reverse=True)
+        patterns, bound, sure = packing.complete(np.bincount(sizes, minlength=room + 1), room)
         assert sorted((x for p, n in patterns for x in p * n), reverse=True) == sizes
-        assert all(sum(p) <= 30 for p, _ in patterns)
-        best, got = fewest(sizes, 30), sum(n for _, n in patterns)
-        assert bound <= best <= got
-        worse += got > best
-    assert worse <= 1
+        assert all(sum(p) <= room for p, _ in patterns)
+        assert sure and bound <= sum(n for _, n in patterns) == fewest(sizes, room)
+
+
+def covers(filling, other):
+    """The pieces of other can be dealt to those of filling so that none gets more than its length."""
+
+    def go(rest, left):
+        return not left or any(rest[k] >= left[0] and go([*rest[:k], rest[k] - left[0], *rest[k + 1 :]], left[1:]) for k in range(len(rest)))
+
+    return go(list(filling), list(other))
+
+
+def test_fillings_are_the_undominated_ones():
+    assert list(packing.fillings(np.bincount([60, 50, 30, 10], minlength=101), 100)) == [((60, 1), (30, 1), (10, 1))]
+    rnd = random.Random(7)
+    for _ in range(150):
+        room = rnd.randint(5, 25)
+        items = [rnd.randint(1, room) for _ in range(rnd.randint(1, 7))]
+        every = {tuple(sorted(c, reverse=True)) for m in range(len(items) + 1) for c in combinations(items, m) if sum(c) <= room}
+        want = {f for f in every if not any(g != f and covers(g, f) for g in every)}
+        got = [tuple(n for n, t in f for _ in range(t)) for f in packing.fillings(np.bincount(items, minlength=room + 1), room)]
+        assert sorted(got) == sorted(want)
+        least = min(room - sum(f) for f in want)
+        few = [tuple(n for n, t in f for _ in range(t)) for f in packing.fillings(np.bincount(items, minlength=room + 1), room, least)]
+        assert sorted(few) == sorted(f for f in want if room - sum(f) <= least)
+
+
+def test_many_tiny_pieces_are_taken_at_once():
+    count = np.zeros(4097, np.int64)
+    count[1], count[4000], count[2100] = 1_000_000, 40, 7
+    patterns, bound, sure = packing.complete(count)
+    assert sure and sum(n for _, n in patterns) == bound
 
 
 def test_packing_is_gapless_and_close_to_the_bound(spark, sf_dir):
