@@ -10,12 +10,13 @@ its length, a slot.  No text is shuffled, and the driver's work does not grow wi
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_right
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,59 +27,117 @@ CAPACITY = 4096
 END_ID = 1
 #: Steps of the search for better packings than best fit.  They bound effort, not the rows that are packed.
 STEPS = 200_000
-CACHE = 1_000_000
+#: Words a worker remembers; it forgets all when there are more.
+CACHE = 500_000
+#: Texts of a slice that is tokenized at once end with the first that takes it beyond so many bytes.
+SLICE = 6_000_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
+#: Letters that stay one letter each in NFC and in lower case, whatever ASCII follows.  U+0130 and letters that NFC takes
+#: apart are not among them: what they leave behind would join the marks after it.
+_LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e\u0391-\u03a1\u03a3-\u03a9\u03b1-\u03c9\u0410-\u044f"
+#: ASCII marks without the apostrophe, which can begin a contraction, and without <, which can begin a special token's name.
+_MARK = r"!-&(-/:;=-@\[-`{-~"
 
-#: A word of letters and ASCII marks after it.  No apostrophe: it can begin a contraction.
-_WORD_AND_MARKS = re.compile(r"([^\W\d_]+)([!\"#$%&()*+,\-./:;=?@\[\]^{|}~]*)")
 
+class _Ids:
+    """Ids of texts, many at a time.
 
-class _Ids(dict):
-    """From a token between white space, ASCII in lower case, to its ids as little-endian bytes.
-
-    The tokenizer lower-cases, drops white space and never joins across it, nor across the end of a word of letters; so a
-    text's ids are those of its tokens in order, and a token's those of its word and the marks after it.  Tokens and words
-    are remembered apart: far more tokens than words are new.
+    The tokenizer lower-cases, drops white space and never joins across it, nor across the border from a letter to a mark.  So
+    white space at such borders changes no id, and the ids of a text are those of its words in order.  Words that are all
+    letters or all marks have one end-of-word id each, the last; they are encoded together, and the ends tell them apart.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
-        tokenizer = Tokenizer.from_file(path)
-        self.encode = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-        self.parts: dict[str, bytes] = {}
-
-    def learn(self, tokens: list[bytes]) -> None:
-        if len(self) + len(tokens) > CACHE:
-            self.clear()
-        if len(self.parts) > CACHE // 2:
-            self.parts.clear()
-        cut = []
-        for t in tokens:
-            text = t.decode("utf-8")
-            m = _WORD_AND_MARKS.fullmatch(text)
-            cut.append(((m[1], m[2]) if m[2] else (m[1],)) if m and m[1].isalpha() else (text,))
-        new = [p for p in dict.fromkeys(p for c in cut for p in c) if p not in self.parts]
-        for p, e in zip(new, self.encode(new, add_special_tokens=False), strict=True):
-            self.parts[p] = np.array(e.ids, "<u4").tobytes()
-        for t, c in zip(tokens, cut, strict=True):
-            self[t] = self.parts[c[0]] if len(c) == 1 else self.parts[c[0]] + self.parts[c[1]]
-
-    def of(self, text: str | None) -> bytes:
-        raw = (text or "").encode("utf-8", "replace")
-        tokens = (raw if b"<|" in raw else raw.lower()).split()  # names of special tokens count as written only
-        out = []
-        for low in range(0, len(tokens), CACHE // 4):
-            part = tokens[low : low + CACHE // 4]
-            if new := [t for t in dict.fromkeys(part) if t not in self]:
-                self.learn(new)
-                if any(t not in self for t in part):  # the cache was emptied meanwhile
-                    self.learn([t for t in dict.fromkeys(part) if t not in self])
-            out += map(self.__getitem__, part)
-        return b"".join(out)
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.place: dict[str, int] = {"": 0}
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.start, self.size, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), 0
+
+    def _encode(self, texts: list[str]) -> list[list[int]]:
+        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        return [e.ids for e in encode(texts, add_special_tokens=False)]
+
+    def _append(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        first, n = len(self.place), len(words)
+        self.place.update(zip(words, range(first, first + n), strict=True))
+        while len(self.flat) < self.used + len(ids):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.start) < first + n:
+            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.start[first : first + n] = self.used + np.cumsum(sizes) - sizes
+        self.size[first : first + n] = sizes
+        self.used += len(ids)
+
+    def learn(self, words: pa.Array) -> None:
+        """Adds words (no one known before) to the table."""
+        plain = pc.match_substring_regex(words, f"^(?:[{_LETTER}]+|[{_MARK}]+)$")
+        easy, odd = words.filter(plain).to_pylist(), words.filter(pc.invert(plain)).to_pylist()
+        for low in range(0, len(easy), 4096):
+            part = easy[low : low + 4096]
+            ids = np.array(self._encode([" ".join(part)])[0], np.uint32)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(part):  # a tokenizer without ends of words
+                odd += part
+                continue
+            self._append(part, ids, np.diff(last, prepend=-1))
+        for low in range(0, len(odd), 4096):
+            part = odd[low : low + 4096]
+            found = self._encode(part)
+            self._append(part, np.array([i for ids in found for i in ids], np.uint32), np.fromiter(map(len, found), np.int64, len(found)))
+
+    def of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, number of ids of each text)."""
+        texts = pc.fill_null(texts, "")
+        cut = pc.replace_substring_regex(pc.ascii_lower(texts), f"([{_LETTER}])([{_MARK}])", r"\1 \2")
+        named = pc.match_substring(texts, "<|")
+        if pc.any(named).as_py():  # names of special tokens count as written, and whole
+            cut = pc.if_else(named, texts, cut)
+        lists = pc.ascii_split_whitespace(cut)
+        coded = lists.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        if len(self.place) + len(words) > CACHE:
+            self.forget()
+        at = [self.place.get(w, -1) for w in words]
+        place = np.array(at, np.int64)
+        if (new := np.flatnonzero(place < 0)).size:
+            self.learn(coded.dictionary.take(pa.array(new)))
+            place[new] = [self.place[words[i]] for i in new.tolist()]
+        word = place[coded.indices.to_numpy()] if len(words) else np.zeros(0, np.int64)
+        sizes = self.size[word]
+        after = np.cumsum(sizes)
+        total = int(after[-1]) if len(after) else 0
+        ids = self.flat[np.repeat(self.start[word] - after + sizes, sizes) + np.arange(total)]
+        after = np.r_[0, after]
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
+        return ids, np.diff(after[ends], prepend=0)
+
+
+@lru_cache(2)
+def _tokenizer(path: str) -> _Ids:
+    """One table of words for all tasks of a worker."""
+    return _Ids(path)
+
+
+def _slices(texts: pa.Array):
+    """(first, rows) of slices of at most 2048 texts that end with the text that takes them to SLICE bytes."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    low = 0
+    while low < len(texts):
+        before = sizes[low - 1] if low else 0
+        high = min(low + 2048, int(np.searchsorted(sizes, before + SLICE)) + 1, len(texts))
+        yield low, high - low
+        low = high
 
 
 def default_tokenizer() -> str:
@@ -93,17 +152,24 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     end = np.array([END_ID], "<u4").tobytes()
 
     def run(batches):
-        ids = _Ids(path)
+        ids = _tokenizer(path)
         for batch in batches:
-            for low in range(0, batch.num_rows, 512):
-                part = batch.slice(low, 512)
-                docs_, nums, starts, sizes, crcs = [], [], [], [], []
-                for d, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    data = ids.of(t) + end
-                    for k, a in enumerate(range(0, len(data) // 4, capacity)):
-                        one = data[4 * a : 4 * (a + capacity)]
-                        docs_.append(d), nums.append(k), starts.append(a), sizes.append(len(one) // 4), crcs.append(zlib.crc32(one))
-                yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(nums, pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for low, n in _slices(batch.column("text")):
+                part = batch.slice(low, n)
+                flat, sizes = ids.of(part.column("text"))
+                flat, stop = flat.astype("<u4", copy=False), np.cumsum(sizes)
+                count = -(-(sizes + 1) // capacity)
+                row = np.repeat(np.arange(n), count)
+                number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                start = number * capacity
+                length = np.minimum(sizes[row] + 1 - start, capacity)
+                a = (stop - sizes)[row] + start
+                own = length - (number == count[row] - 1)  # without the end id
+                data = memoryview(flat).cast("B")
+                crcs = [zlib.crc32(data[4 * x : 4 * (x + k)]) for x, k in zip(a.tolist(), own.tolist(), strict=True)]
+                crcs = [zlib.crc32(end, c) if k < m else c for c, k, m in zip(crcs, own.tolist(), length.tolist(), strict=True)]
+                columns = [part.column("doc_id").take(pa.array(row)), pa.array(number.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crcs, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, PIECES)
 

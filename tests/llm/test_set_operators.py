@@ -185,6 +185,30 @@ def test_ids_equal_the_tokenizer(spark, sf_dir):
             assert p.ids_crc32 == zlib.crc32(np.array(ids[p.start : p.start + p.length], "<u4").tobytes())
 
 
+def test_ids_of_random_strings_equal_the_tokenizer():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    some = [*"abcABCz\u00e9.,;:!?'\"()<>|_-@#%&*+=[]{}~`^$/\\ 019\t\n\u0130\u0131\u00df\u03a3\u03c2\u00c5\u030a\u0307\u0338\u0958\u093c\uac00\u1100\u1161\ufb01\u2126\u0419\u0438\u0306\u0439\u00a0\u2003\x1c\x0b\x0c\u2026\u201c\u2014\U0001f600\u00bd\u00b2\u0663\u4e2d\u0149\u212a\u200d\ufeff\x00\u01c4\u01c5\u03bc\u00b5\u00c0", "'s", "'t", "'re", "'LL", "<|endoftext|>", "<|startoftext|>"]
+    rnd = random.Random(8)
+    texts = ["\u0130, x", "BELL\u0130.", "", None] + ["".join(rnd.choice(some) for _ in range(rnd.randint(0, 30))) for _ in range(20_000)]
+    ids = packing._Ids(packing.default_tokenizer())
+    want = [e.ids for e in tok.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for _ in range(2):  # the second time from memory
+        flat, sizes = ids.of(pa.array(texts, pa.string()))
+        assert sizes.tolist() == [len(w) for w in want] and flat.tolist() == [i for w in want for i in w]
+
+
+def test_slices_hold_all_texts(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "SLICE", 10)
+    texts = pa.array(["a" * 30, "", None, "bbbb", "cccc", "dddd", "e"])
+    found = list(packing._slices(texts))
+    assert found == [(0, 1), (1, 5), (6, 1)] and list(packing._slices(texts.slice(0, 0))) == []
+
+
 def fewest(sizes, capacity):
     best = [len(sizes)]
 
