@@ -1,14 +1,16 @@
 """Main-text extraction by tag-path ratios.
 
-Every text node has a path of tags from the root.  Text length and punctuation are aggregated per path, their ratios are
-smoothed over neighbouring nodes, fused, and compared with a threshold; nodes on paths above it are content.  The content
-element is the deepest one that holds nearly all of it; within an article or main element its short blocks belong too.
+Every text node has a path of tags from the root.  Text length and punctuation are aggregated per path; their ratios, weighted
+by what markup says about a path, are smoothed over neighbouring nodes, fused, and compared with a threshold.  The blocks
+of nodes above it are content.  The content element is the deepest section that holds nearly all of it; its short blocks
+(headings, list items, quotes) belong to the text too, except those below the threshold that markup or links set apart.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -17,18 +19,25 @@ from pyspark.sql import functions as F
 
 from .common import annotate
 
-#: Elements that never hold main text.
-DROPPED = frozenset("head title script style noscript template nav footer aside form button select textarea input iframe object svg canvas audio video dialog menu".split())
+#: Elements that hold no text of the page itself.
+DROPPED = frozenset("head title script style noscript template select textarea button input iframe object svg canvas audio video".split())
+#: Elements that stand beside the main text, unless they hold an article or main element.
+ASIDE = frozenset("nav footer aside form dialog menu header".split())
 #: Elements that begin and end a block.
 BLOCKS = frozenset(
     "html body article section main div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th blockquote pre figure figcaption header footer nav aside address hr details summary form fieldset".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words of a class, id or role that name a part beside the text.
-BESIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|menu\w*|nav\w*|breadcrumbs?|sidebar\w*|side|aside|footer\w*|masthead|header|comments?|commentlist|disqus\w*|replies|respond|cookies?|consent|notices?|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|trending|widget\w*|toolbar|pagination|pager|search\w*|skip|hidden|complementary|contentinfo|navigation)(?=$|[\s_-])",
-    re.I,
+#: Elements that can be the content element.
+SECTIONS = frozenset("# html body article section main div td form header details".split())
+#: Words of a class, id or role that name a part beside the text, and words that may stand with them.
+BESIDE = frozenset(
+    "ad ads adsense advert adverts advertisement advertising banner sponsor sponsored promo promotion menu menus nav navbar navigation breadcrumb breadcrumbs sidebar aside footer masthead comment comments commentlist disqus replies respond cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended trending toolbar pagination pager skip complementary contentinfo search".split()
 )
+NEUTRAL = frozenset("site page main global top bottom left right bar box block list links link items area section container wrapper inner outer panel widget header reader user form 1 2 3".split())
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+#: Weights of paths: below an element named so, and within an article or main element.
+NAMED, ARTICLE = 0.1, 2.0
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
     r"|<(script|style|noscript|template|textarea|title|iframe|svg)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)"
@@ -43,23 +52,45 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 
 
 class _Element:
-    __slots__ = ("beside", "name", "parent", "path")
-
-    def __init__(self, name, parent, beside, label=""):
-        self.name, self.parent, self.beside = name, parent, beside
-        self.path = f"{parent.path}/{name}{label}" if parent else name
-
-
-def parse(page: str) -> list[tuple[_Element, int, str]]:
-    """Text nodes in page order: (innermost element, number of the block, decoded text)."""
-    root = _Element("#", None, False)
-    stack, nodes, block, last = [root], [], 0, 0
+    __slots__ = ("aside", "depth", "held", "holds", "inside", "linked", "main", "name", "named", "other", "parent", "path", "section", "size", "weight")
+
+    def __init__(self, name, parent, aside=False, named=False, label=""):
+        self.name, self.parent, self.aside, self.named = name, parent, aside, named  # aside: None where there is no text
+        self.path = hash((parent and parent.path, name, label))  # names the path of tags within a page
+        self.depth = parent.depth + 1 if parent else 0
+        self.main = bool(parent and parent.main) or name in ("article", "main")
+        self.linked = bool(parent and parent.linked) or name == "a"
+        self.section = self if name in SECTIONS else parent.section
+        self.size = self.held = 0.0  # characters of text and of content
+        self.other = 0  # text nodes that are neither content nor headings
+        self.holds = self.inside = False  # holds: an article or main element with text
+        self.weight = 1.0
+
+
+def names_aside(labels: list[str]) -> bool:
+    """True if one of the words of a class, id or role consists of words for parts beside the text."""
+    for label in labels:
+        parts = [x for x in re.split(r"[-_]+", label.lower()) if x]
+        if any(x in BESIDE for x in parts) and all(x in BESIDE or x in NEUTRAL for x in parts):
+            return True
+    return False
+
+
+def parse(page: str) -> tuple[list[tuple[_Element, int, str]], list[_Element]]:
+    """(text nodes in page order: innermost element, number of the block, decoded text; elements, parents first)."""
+    root = _Element("#", None)
+    stack, nodes, elements, block, last = [root], [], [root], 0, 0
+    opened: Counter[str] = Counter()
 
     def text(upto):
         raw = page[last:upto]
-        if raw and not stack[-1].beside:
+        if raw and stack[-1].aside is not None:
             nodes.append((stack[-1], block, html_lib.unescape(raw)))
 
+    def close(i):
+        opened.subtract(e.name for e in stack[i:])
+        del stack[i:]
+
     for m in _MARK.finditer(page):
         text(m.start())
         last = m.end()
@@ -70,94 +101,130 @@ def parse(page: str) -> list[tuple[_Element, int, str]]:
         if name in BLOCKS:
             block += 1
         if closing:
-            for i in range(len(stack) - 1, 0, -1):
+            for i in range(len(stack) - 1, 0, -1) if opened[name] else ():
                 if stack[i].name == name:
-                    del stack[i:]
+                    close(i)
                     break
                 if name not in BLOCKS and stack[i].name in BLOCKS:
                     break  # an inline end tag does not close a block
             continue
         if name in VOID:
-            if name == "br" and not stack[-1].beside:
+            if name == "br" and stack[-1].aside is not None:
                 nodes.append((stack[-1], block, " "))
             continue
-        if name in BLOCKS and name not in ("html", "body"):
+        if opened["p"] and name in BLOCKS and name not in ("html", "body"):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].name == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].name in BLOCKS:
                     break
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].name in _ENDS.get(name, ()):
-                del stack[i:]
-                break
-            if stack[i].name in ("ul", "ol", "dl", "table", "select"):
-                break
-        labels = " ".join(x for t in _LABEL.findall(attrs) for x in t if x) if attrs else ""
-        beside = stack[-1].beside or name in DROPPED or bool(labels and name not in ("html", "body", "article", "main") and BESIDE.search(labels)) or bool(attrs and _HIDDEN.search(attrs))
-        if name == "header":
-            beside = beside or not any(e.name in ("article", "main") for e in stack)
+        if any(opened[x] for x in _ENDS.get(name, ())):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].name in _ENDS[name]:
+                    close(i)
+                    break
+                if stack[i].name in ("ul", "ol", "dl", "table", "select"):
+                    break
+        labels = " ".join(x for t in _LABEL.findall(attrs) for x in t if x).split() if attrs else []
+        up = stack[-1]
+        if up.aside is None or name in DROPPED or attrs and _HIDDEN.search(attrs):
+            aside = None  # no text at all
+        else:
+            aside = name in ASIDE and not (name == "header" and up.main)
         if not (attrs.endswith("/") and name not in BLOCKS):
-            stack.append(_Element(name, stack[-1], beside, f".{labels.split()[0]}" if labels else ""))
+            stack.append(_Element(name, up, aside, bool(labels and names_aside(labels)), labels[0] if labels else ""))
+            elements.append(stack[-1])
+            opened[name] += 1
     text(len(page))
-    return nodes
+    return nodes, elements
 
 
-def path_scores(paths: list[str], lengths: np.ndarray, marks: np.ndarray, sigma: float = 1.0) -> np.ndarray:
-    """Fused ratio per node: text and punctuation per node of its path, smoothed over neighbours, multiplied."""
-    names, of = np.unique(np.array(paths, object), return_inverse=True) if paths else ([], np.zeros(0, int))
+def _weigh(nodes: list[tuple[_Element, int, str]], elements: list[_Element]) -> None:
+    """Sets the elements' weights; 0 stands for an element beside the text.
+
+    An element that holds an article or main element with text stands beside nothing, nor does a form or a named element
+    that holds most of the text of a page without one.
+    """
+    for e, _, t in nodes:
+        e.size += len(t.strip())
+    for e in reversed(elements[1:]):
+        e.parent.size += e.size
+        e.parent.holds = e.parent.holds or e.holds or e.name in ("article", "main") and not e.named and e.size > 0
+    root = elements[0]
+    for e in elements[1:]:
+        e.weight = e.parent.weight
+        most = not root.holds and e.size > 0.5 * root.size
+        if e.aside and not e.holds and not (most and e.name == "form"):
+            e.weight = 0.0
+        elif e.named and not e.holds and not most:
+            e.weight = min(e.weight, NAMED)
+        elif e.name in ("article", "main") and e.weight == 1.0:
+            e.weight = ARTICLE
+
+
+def path_scores(paths: list, lengths: np.ndarray, marks: np.ndarray, weights: np.ndarray, sigma: float = 1.0) -> np.ndarray:
+    """Fused ratio per node: text and punctuation per node of its path, weighted, smoothed over neighbours, multiplied."""
+    names, of = np.unique(np.array(paths, np.int64), return_inverse=True)
     each = np.maximum(np.bincount(of, minlength=len(names)), 1)
-    text = (np.bincount(of, weights=lengths, minlength=len(names)) / each)[of]
-    punct = (np.bincount(of, weights=marks, minlength=len(names)) / each)[of]
+    text = weights * (np.bincount(of, weights=lengths, minlength=len(names)) / each)[of]
+    punct = weights * (np.bincount(of, weights=marks, minlength=len(names)) / each)[of]
     reach = np.arange(-2, 3)
-    weight = np.exp(-(reach**2) / (2 * sigma**2))
-    smooth = lambda x: np.convolve(x, weight / weight.sum(), mode="full")[2 : 2 + len(x)]
-    return np.sqrt((smooth(text) + text) / 2) * (1 + np.sqrt((smooth(punct) + punct) / 2))
+    near = np.exp(-(reach**2) / (2 * sigma**2))
+    smooth = lambda x: np.convolve(x, near / near.sum(), mode="full")[2 : 2 + len(x)]
+    return weights * np.sqrt((smooth(text) + text) / 2) * (1 + np.sqrt((smooth(punct) + punct) / 2))
 
 
 def extract(page: str | None, share: float = 0.25) -> str:
     """The main text: blocks joined by newlines, white space within a block as one space; '' if there is none."""
-    nodes = [(e, b, t) for e, b, t in parse(page or "") if t]
-    filled = [i for i, (_, _, t) in enumerate(nodes) if not t.isspace()]
+    nodes, elements = parse(page or "")
+    _weigh(nodes, elements)
+    nodes = [n for n in nodes if n[0].weight]
+    filled = [(e, b, t) for e, b, t in nodes if not t.isspace()]
     if not filled:
         return ""
-    lengths = np.array([len(nodes[i][2].strip()) for i in filled], float)
-    marks = np.array([len(_PUNCT.findall(nodes[i][2])) for i in filled], float)
-    scores = path_scores([nodes[i][0].path for i in filled], lengths, marks)
-    content = scores >= share * scores.max()
-    # The deepest element that holds nearly all the content.
-    total = lengths[content].sum()
-    held: dict[_Element, float] = {}
-    for i, size, on in zip(filled, lengths, content, strict=True):
-        e = nodes[i][0]
-        while on and e is not None:
-            held[e] = held.get(e, 0.0) + size
-            e = e.parent
-    holders = [e for e, size in held.items() if size >= 0.9 * total]
-    best = max(holders, key=lambda e: e.path.count("/"))
-    e, article = best, None
-    while e is not None:
-        if e.name in ("article", "main"):
-            article = e
-        e = e.parent
-    best = article or best
-
-    def inside(e):
-        while e is not None:
-            if e is best:
-                return True
-            e = e.parent
-        return False
-
-    if article is not None:
-        chosen = [i for i in range(len(nodes)) if inside(nodes[i][0])]
-    else:
-        blocks = {nodes[i][1] for i, on in zip(filled, content, strict=True) if on}
-        chosen = [i for i in range(len(nodes)) if nodes[i][1] in blocks or (nodes[i][0].name in ("h1", "h2", "h3") and inside(nodes[i][0]))]
+    lengths = np.array([len(t.strip()) for _, _, t in filled], float)
+    marks = np.array([len(_PUNCT.findall(t)) for _, _, t in filled], float)
+    weights = np.array([e.weight * (0.5 if e.linked else 1.0) for e, _, _ in filled])
+    scores = path_scores([e.path for e, _, _ in filled], lengths, marks, weights)
+    on = scores >= share * scores.max()
+    content = {b for (_, b, _), x in zip(filled, on, strict=True) if x}
+    # The deepest section that holds nearly all the content.
+    for (e, _, _), size, x in zip(filled, lengths, on, strict=True):
+        e.section.held += size * x
+    for e in reversed(elements[1:]):
+        e.parent.held += e.held
+    best = max((e for e in elements if e.name in SECTIONS and e.held >= 0.9 * elements[0].held), key=lambda e: e.depth)
+    while best.main and best.name not in ("article", "main"):
+        best = best.parent
+
+    # Headings with nothing else beside the content element belong to the text.
+    for (e, b, _), x in zip(filled, on, strict=True):
+        e.other += e.weight < 1 or not (x or b in content or e.name in HEADINGS)
+    for e in reversed(elements[1:]):
+        e.parent.other += e.other
+    while not best.main and best.parent is not None and best.parent.other == best.other:
+        best = best.parent
+    for e in elements:
+        e.inside = e is best or e.parent is not None and e.parent.inside
+    whole = best.main or best.name not in ("#", "html", "body")
+    size, linked, lowest = Counter(), Counter(), {}
+    for (e, b, _), n in zip(filled, lengths.tolist(), strict=True):
+        size[b] += n
+        linked[b] += n * e.linked
+        lowest[b] = max(lowest.get(b, (0.0, False)), (e.weight, e.name in HEADINGS))
+    first, last = min(content), max(content)
+
+    def apart(b):
+        """Whether a block below the threshold does not belong to the text around it."""
+        weight, heading = lowest[b]
+        return weight < 1 or not best.main and linked[b] > 0.5 * size[b] or not whole and not first <= b <= last and not heading
+
+    out = {b for b in size if b not in content and apart(b)}
     parts: dict[int, list[str]] = {}
-    for i in chosen:
-        parts.setdefault(nodes[i][1], []).append(nodes[i][2])
+    for e, b, t in nodes:
+        if b not in out and e.inside:
+            parts.setdefault(b, []).append(t)
     lines = (" ".join("".join(p).split()) for p in parts.values())
     return "\n".join(line for line in lines if line)
 

@@ -228,9 +228,52 @@ def test_page_without_semantic_elements():
     assert tagpath.extract(page).split("\n") == ["Title"] + [f"Paragraph {i}, which is long enough, and has marks. It continues here." for i in range(6)]
 
 
+PROSE = [f"Paragraph {i}, which is long enough, and has marks. It continues here, so it does." for i in range(4)]
+
+
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<div class="layout no-sidebar">%s</div>', '<div class="content with-sidebar">%s</div>', '<main><div class="share-enabled">%s</div></main>',
+        '<div class="search-result-page">%s</div>', '<article><section class="related-work">%s</section></article>', '<form id=page><div class="sidebar">%s</div></form>',
+    ],
+)
+def test_names_around_the_text_do_not_drop_it(around):
+    assert tagpath.extract(PAGE % (around % "".join(f"<p>{p}</p>" for p in PROSE))).split("\n") == PROSE
+
+
+def test_scores_of_paths_decide(monkeypatch):
+    """Unnamed parts beside the text go by their paths' ratios alone; with equal scores they stay."""
+    plain = "<div><span>Home</span> <span>About</span></div><div><div>%s</div></div><div><i>x</i><i>y</i></div>" % "".join(f"<p>{p}</p>" for p in PROSE)
+    inner = "<article>%s<div class=ad>Buy our things, all of them. Now.</div></article>" % "".join(f"<p>{p}</p>" for p in PROSE)
+    assert tagpath.extract(plain).split("\n") == PROSE == tagpath.extract(inner).split("\n")
+    monkeypatch.setattr(tagpath, "path_scores", lambda paths, lengths, marks, weights: np.ones(len(paths)))
+    assert tagpath.extract(plain) != "\n".join(PROSE) != tagpath.extract(inner)
+
+
+def test_path_scores_by_hand():
+    paths, lengths, marks = [1, 2, 1], np.array([10.0, 90.0, 30.0]), np.array([1.0, 9.0, 3.0])
+    weights = np.array([1.0, 0.5, 1.0])
+    text, punct = [20.0, 45.0, 20.0], [2.0, 4.5, 2.0]
+    near = [math.exp(-(k**2) / 2) for k in range(-2, 3)]
+    smooth = lambda x, i: sum(n * x[i + k] for k, n in zip(range(-2, 3), near, strict=True) if 0 <= i + k < 3) / sum(near)
+    want = [w * math.sqrt((smooth(text, i) + text[i]) / 2) * (1 + math.sqrt((smooth(punct, i) + punct[i]) / 2)) for i, w in enumerate(weights)]
+    assert tagpath.path_scores(paths, lengths, marks, weights).tolist() == pytest.approx(want)
+
+
+def test_short_blocks_beside_one_long_paragraph_stay():
+    page = '<div class="menu"><a href=/>Home</a></div><div id=c><h1>Title</h1><div class="body"><p>%s</p><h2>Sub</h2><ul><li>one</li><li>two</li></ul><blockquote>Quote it</blockquote></div></div><div class="foot">small</div>'
+    assert tagpath.extract(page % " ".join(PROSE)).split("\n") == ["Title", " ".join(PROSE), "Sub", "one", "two", "Quote it"]
+
+
+def test_deeply_nested_pages_take_no_quadratic_time():
+    assert len(tagpath.extract("<div>" + "<b>x" * 30_000 + "</i>" * 30_000)) == 30_000
+    assert tagpath.extract("<div>x" * 30_000)
+
+
 def test_html_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>"), (4, "u", "plain text, only."), (5, "u", "<article><p>a" + "b " * 50_000), (5, "u", "<!-- open"), (6, "u", "<a href='x>y</a> <")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"text": F.lit("clash"), "N_CHARS": F.lit(3), "k0": F.lit(1)})
     got = tagpath.digest(pages).collect()
     assert len(got) == 7 and all(r.n_chars == len(r.text) for r in got)
     assert {r.page_id: r.text for r in got}[4] == "plain text, only." and [r.text for r in got if r.page_id == 1] == [""]
