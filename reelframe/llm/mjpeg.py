@@ -12,6 +12,7 @@ import hashlib
 import struct
 import zlib
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -156,136 +157,207 @@ def read_avi(data: bytes) -> dict:
     return out
 
 
-def _huffman(lengths: bytes, symbols: bytes) -> dict[tuple[int, int], int]:
-    code, at, table = 0, 0, {}
+def _lookup(lengths: bytes, symbols: bytes) -> np.ndarray:
+    """For every 16 bits: length of the Huffman code they begin with, times 256, and its symbol; 0 where there is none."""
+    if sum(lengths) != len(symbols):
+        raise ValueError("bad Huffman table")
+    table, code, at = np.zeros(1 << 16, np.uint16), 0, 0
     for bits, n in enumerate(lengths, 1):
+        if code + n > 1 << bits:
+            raise ValueError("bad Huffman table")
         for _ in range(n):
-            table[bits, code] = symbols[at]
+            table[code << 16 - bits : code + 1 << 16 - bits] = bits << 8 | symbols[at]
             code, at = code + 1, at + 1
         code <<= 1
     return table
 
 
-def _parse_jpeg(data: bytes) -> dict:
-    """Tables, frame header and entropy-coded data of a baseline JPEG with Huffman coding."""
-    if data[:2] != b"\xff\xd8":
-        raise ValueError("not a JPEG frame")
-    out = {"quant": {}, "huff": {}, "restart": 0}
-    at = 2
-    while at + 4 <= len(data):
-        if data[at] != 0xFF:
-            raise ValueError("bad marker")
-        marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
-        body = data[at + 4 : at + 2 + size]
-        at += 2 + size
-        if marker == 0xDB:
-            while body:
-                wide, name = body[0] >> 4, body[0] & 15
-                n = 128 if wide else 64
-                out["quant"][name] = np.frombuffer(body[1 : 1 + n], ">u2" if wide else np.uint8).astype(np.int64)
-                body = body[1 + n :]
-        elif marker in (0xC0, 0xC1):
-            _, out["height"], out["width"], n = struct.unpack_from(">BHHB", body)
-            out["parts"] = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
-        elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
-            raise ValueError("only baseline JPEG is supported")
-        elif marker == 0xC4:
-            while body:
-                n = sum(body[1:17])
-                out["huff"][body[0]] = (bytes(body[1:17]), bytes(body[17 : 17 + n]))
-                body = body[17 + n :]
-        elif marker == 0xDD:
-            out["restart"] = struct.unpack(">H", body)[0]
-        elif marker == 0xDA:
-            out["scan"] = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
-            end = data.rfind(b"\xff\xd9")
-            out["data"] = data[at : end if end >= at else len(data)]
-            return out
-    raise ValueError("no scan")
-
-
-def _decode_scan(jpeg: dict) -> list[np.ndarray]:
-    """Quantised coefficients (blocks x 64 in zigzag order, raster of blocks) of each component, bit by bit."""
-    tables = {k: _huffman(*v) for k, v in jpeg["huff"].items()}
-    hmax, vmax = max(p[1] for p in jpeg["parts"]), max(p[2] for p in jpeg["parts"])
-    wide, high = -(-jpeg["width"] // (8 * hmax)), -(-jpeg["height"] // (8 * vmax))
-    out = [np.zeros((high * p[2], wide * p[1], 64), np.int64) for p in jpeg["parts"]]
-    raw, pieces, start, i = jpeg["data"], [], 0, 0
-    while (i := raw.find(b"\xff", i)) >= 0 and i + 1 < len(raw):
-        if 0xD0 <= raw[i + 1] <= 0xD7:
-            pieces.append(raw[start:i])
-            start = i + 2
-        i += 2
-    pieces.append(raw[start:])
-    pieces = [p.replace(b"\xff\x00", b"\xff") for p in pieces]
-    piece, state = 0, [0, 0]  # value as bits string position
-
-    def bits(n: int) -> int:
-        at, stop = state[0], state[0] + n
-        state[0] = stop
-        first, last = at >> 3, (stop + 7) >> 3
-        chunk = current[first:last]
-        chunk += b"\xff" * (last - first - len(chunk))
-        return int.from_bytes(chunk, "big") >> (8 * last - stop) & ((1 << n) - 1) if n else 0
-
-    def symbol(table) -> int:
-        code = 0
-        for n in range(1, 17):
-            code = code << 1 | bits(1)
-            if (n, code) in table:
-                return table[n, code]
-        raise ValueError("bad Huffman code")
-
-    def value(size: int) -> int:
-        v = bits(size)
-        return v if not size or v >> (size - 1) else v - (1 << size) + 1
-
-    current, before, one = pieces[0], [0] * len(out), len(jpeg["parts"]) == 1
-    if one:
-        wide, high = -(-jpeg["width"] // 8), -(-jpeg["height"] // 8)
-        out = [np.zeros((high, wide, 64), np.int64)]
-    for mcu in range(wide * high):
-        if jpeg["restart"] and mcu and mcu % jpeg["restart"] == 0:
-            piece += 1
-            current, state[0], before = pieces[piece] if piece < len(pieces) else b"", 0, [0] * len(out)
-        for c, (name, h, v, _) in enumerate(jpeg["parts"]):
-            dc, ac = jpeg["scan"][name]
-            for k in range(1 if one else h * v):
-                y, x = (mcu // wide, mcu % wide) if one else (mcu // wide * v + k // h, mcu % wide * h + k % h)
-                block = out[c][y, x]
-                before[c] += value(symbol(tables[dc]))
-                block[0] = before[c]
-                at = 1
-                while at < 64:
-                    s = symbol(tables[16 | ac])
-                    run, size = s >> 4, s & 15
-                    if not size and run != 15:
-                        break
-                    at += run
-                    if size and at < 64:
-                        block[at] = value(size)
-                    at += 1
-    return [o.reshape(-1, 64) for o in out]
-
-
-def _own_blocks(frame: bytes) -> np.ndarray | None:
-    """Payload bytes (blocks x 64) of a frame of encode_frames in which no byte was stuffed; None for any other frame."""
-    head = _frame_head()
-    if not frame.startswith(head) or not frame.endswith(b"\xff\xd9"):
-        return None
-    data = frame[len(head) : -2] + b"\xff\xd7"
-    per = PER_FRAME // 64
-    full, rest = divmod(len(data) - 3 * per, 71)
-    if rest or not 0 <= full <= per:
-        return None
-    block = np.frombuffer(data[: 74 * full], np.uint8).reshape(-1, 74)
-    tail = np.frombuffer(data[74 * full :], np.uint8).reshape(-1, 3)
-    if (block[:, 72] != 0xFF).any() or (block[:, :72] == 0xFF).any() or (tail[:, 0] != _EMPTY_BLOCK).any():
-        return None
-    bits = np.unpackbits(block[:, :72], axis=1).reshape(-1, 64, 9)
-    if bits[:, :, 0].any():
-        return None
-    return np.packbits(bits[:, :, 1:], axis=2).reshape(-1, 64)
+class _Head:
+    """What a baseline JPEG says before its entropy-coded data: tables, size, components."""
+
+    def __init__(self, data: bytes):
+        if data[:2] != b"\xff\xd8":
+            raise ValueError("not a JPEG frame")
+        self.quant, self.huffman, self.restart, self.parts, at = {}, {}, 0, [], 2
+        while at + 4 <= len(data):
+            if data[at] != 0xFF:
+                raise ValueError("bad marker")
+            marker, size = data[at + 1], struct.unpack_from(">H", data, at + 2)[0]
+            body = data[at + 4 : at + 2 + size]
+            at += 2 + size
+            if marker == 0xDB:
+                while body:
+                    n = 128 if body[0] >> 4 else 64
+                    self.quant[body[0] & 15] = np.frombuffer(body[1 : 1 + n], ">u2" if n == 128 else np.uint8).astype(np.int64)
+                    body = body[1 + n :]
+            elif marker in (0xC0, 0xC1):
+                depth, self.height, self.width, n = struct.unpack_from(">BHHB", body)
+                if depth != 8 or not self.height or not self.width:
+                    raise ValueError("only 8-bit frames of known size are supported")
+                self.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+            elif 0xC2 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
+                raise ValueError("only baseline JPEG is supported")
+            elif marker == 0xC4:
+                while body:
+                    n = sum(body[1:17])
+                    self.huffman[body[0]] = _lookup(bytes(body[1:17]), bytes(body[17 : 17 + n]))
+                    body = body[17 + n :]
+            elif marker == 0xDD:
+                self.restart = struct.unpack(">H", body)[0]
+            elif marker == 0xDA:
+                scan = {body[1 + 2 * i]: (body[2 + 2 * i] >> 4, body[2 + 2 * i] & 15) for i in range(body[0])}
+                break
+        else:
+            raise ValueError("no scan")
+        if not self.parts or set(scan) != {p[0] for p in self.parts} or any(not (1 <= p[1] <= 4 and 1 <= p[2] <= 4) for p in self.parts):
+            raise ValueError("only one scan of all components is supported")
+        if any(len(self.quant.get(p[3], ())) != 64 for p in self.parts):
+            raise ValueError("bad quantisation table")
+        self.raw = bytes(data[:at])
+        self.tables = [(self.huffman[scan[p[0]][0]], self.huffman[16 | scan[p[0]][1]]) for p in self.parts]
+        h, v = max(p[1] for p in self.parts), max(p[2] for p in self.parts)
+        if len(self.parts) == 1:  # blocks in raster order, whatever the sampling factors are
+            self.parts, h, v = [(self.parts[0][0], 1, 1, self.parts[0][3])], 1, 1
+        self.wide, self.high = -(-self.width // (8 * h)), -(-self.height // (8 * v))
+        self.units = self.wide * self.high
+        self.blocks = self.units * self.parts[0][1] * self.parts[0][2]
+
+
+#: Bytes after a segment's end that reading may still touch.
+_PAD = 8
+
+
+def _segments(scans: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all segments between restart markers, without stuffing; start and size of each; segments per scan)."""
+    raw = np.frombuffer(b"".join(scans), np.uint8)
+    sizes = np.fromiter(map(len, scans), np.int64, len(scans))
+    after = np.r_[raw[1:], np.uint8(1)] if len(raw) else raw
+    after[np.cumsum(sizes)[sizes > 0] - 1] = 1
+    full = raw == 0xFF
+    mark = full & (after >= 0xD0) & (after <= 0xD7)
+    drop = mark.copy()
+    drop[1:] |= mark[:-1] | (full & (after == 0))[:-1]
+    scan = np.repeat(np.arange(len(scans)), sizes)
+    segment = (scan + np.cumsum(mark))[~drop]
+    count = np.bincount(scan, weights=mark, minlength=len(scans)).astype(np.int64) + 1
+    size = np.bincount(segment, minlength=count.sum())
+    out = np.full(len(segment) + _PAD * (len(size) + 1), 0xFF, np.uint8)
+    out[np.arange(len(segment)) + _PAD * segment] = raw[~drop]
+    return out, np.cumsum(size) - size + _PAD * np.arange(len(size)), size, count
+
+
+def _decode_scans(head: _Head, scans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(scans x blocks x 64 quantised coefficients of the first component in zigzag order; whether each scan is sound).
+
+    Huffman codes are decoded by the frame's own tables, one code of every segment at a time: segments between restart
+    markers, and frames, do not depend on each other.
+    """
+    data, start, size, count = _segments(scans)
+    interval = head.restart or head.units
+    sound = (count == -(-head.units // interval)) & (np.fromiter(map(len, scans), np.int64, len(scans)) * 4 >= head.units)
+    frame = np.repeat(np.arange(len(scans)), count)
+    unit = (np.arange(len(frame)) - np.repeat(np.cumsum(count) - count, count)) * interval
+    use = sound[frame]
+    frame, unit, at, stop = frame[use], unit[use], 8 * start[use], 8 * (start + size)[use]
+    units = np.minimum(interval, head.units - unit)
+    wide = data.astype(np.uint32)
+    window = wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]
+    out = np.zeros(len(scans) * head.blocks * 64, np.int32)
+    level = np.zeros((len(head.parts), len(frame)), np.int64)
+    broken = np.zeros(len(frame), bool)
+
+    def peek(at: np.ndarray) -> np.ndarray:
+        return (window.take(at >> 3, mode="clip") >> (8 - (at & 7)).astype(np.uint32) & np.uint32(0xFFFF)).astype(np.int64)
+
+    def value(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        v = peek(at) >> (16 - size)
+        return np.where(v >> np.maximum(size - 1, 0), v, v - (1 << size) + 1)
+
+    for m in range(int(units.max(initial=0))):
+        live = np.flatnonzero((units > m) & ~broken)
+        for c, (_, h, v, _) in enumerate(head.parts):
+            dc, ac = head.tables[c]
+            for k in range(h * v):
+                number = unit[live] + m
+                block = (number // head.wide * v + k // h) * head.wide * h + number % head.wide * h + k % h
+                to = (frame[live] * head.blocks + block) * 64
+                code = dc[peek(at[live])].astype(np.int64)
+                bits = code & 255
+                broken[live] |= (code == 0) | (bits > 11)
+                bits = np.minimum(bits, 11)
+                level[c, live] += value(at[live] + (code >> 8), bits)
+                at[live] += (code >> 8) + bits
+                if not c:
+                    out[to] = level[c, live]
+                who, place, pos = live, np.ones(len(live), np.int64), at[live]
+                while len(who):
+                    code = ac[peek(pos)].astype(np.int64)
+                    bits, run = code & 15, code >> 4 & 15
+                    pos = pos + (code >> 8)
+                    found = (bits > 0) & (place + run < 64)
+                    place = place + run
+                    if not c:
+                        v_ = value(pos, bits)
+                        if found.all():
+                            out[to + place] = v_
+                        else:
+                            out[(to + place)[found]] = v_[found]
+                    pos = pos + bits
+                    place += 1
+                    broken[who] |= (code == 0) | (place > 64)
+                    on = ((bits > 0) | (run == 15)) & (code > 0) & (place < 64)
+                    if not on.all():
+                        at[who[~on]] = pos[~on]
+                        who, place, pos, to = who[on], place[on], pos[on], to[on]
+    broken |= at > stop
+    sound[frame[broken]] = False
+    return out.reshape(len(scans), head.blocks, 64), sound
+
+
+#: Blocks decoded at once: a bound of memory, not of a file's size.
+CHUNK = 1 << 17
+
+
+def decode_frames(frames: list[bytes], width: int = 0, height: int = 0):
+    """Yields (quantised coefficients, 8-bit luma) by block of each intra frame, or None for one that cannot be decoded.
+
+    Frames with equal headers are decoded together.  width and height, if given, are what frames must measure.
+    """
+    heads: dict[bytes, _Head] = {}
+
+    def head_of(frame: bytes) -> _Head | None:
+        for raw, head in heads.items():
+            if frame.startswith(raw):
+                return head
+        try:
+            head = _Head(frame)
+            if width and height and (head.width, head.height) != (width, height) or head.units > 4 * len(frame):
+                return None  # a unit takes two bits at least
+        except (ValueError, KeyError, IndexError, TypeError, struct.error):
+            return None
+        if len(heads) >= 8:
+            heads.clear()
+        heads[head.raw] = head
+        return head
+
+    low = 0
+    while low < len(frames):
+        head, high = head_of(frames[low]), low + 1
+        if head is None:
+            yield None
+            low = high
+            continue
+        while high < len(frames) and (high - low) * head.blocks < CHUNK and head_of(frames[high]) is head:
+            high += 1
+        scans = []
+        for f in frames[low:high]:
+            end = f.rfind(b"\xff\xd9")
+            scans.append(f[len(head.raw) : end if end >= len(head.raw) else len(f)])
+        found, sound = _decode_scans(head, scans)
+        luma = luma_blocks(found.reshape(-1, 64), head.quant[head.parts[0][3]]).reshape(found.shape)
+        for c, y, good in zip(found, luma, sound, strict=True):
+            yield (c, y) if good else None
+        low = high
 
 
 def _to_coefficients(payload: np.ndarray) -> np.ndarray:
@@ -299,29 +371,18 @@ def _to_payload(coefficients: np.ndarray) -> np.ndarray:
 
 @lru_cache(1)
 def _basis() -> np.ndarray:
-    """64 x 64: a block's pixels (row-major) from its coefficients in zigzag order."""
+    """64 x 64: a block's pixels (row-major) from its coefficients in zigzag order, in whole multiples of 1/2**20."""
     k = np.arange(8)
     d = np.sqrt(np.where(k == 0, 1 / 8, 2 / 8))[:, None] * np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16)
     full = np.einsum("ux,vy->uvxy", d, d).reshape(64, 64)
-    return full[ZIGZAG].astype(np.float32)
+    return np.rint(full[ZIGZAG] * (1 << 20))
 
 
 def luma_blocks(coefficients: np.ndarray, quant: np.ndarray) -> np.ndarray:
-    """8-bit pixels (blocks x 64) from quantised coefficients."""
-    values = (coefficients * quant).astype(np.float32) @ _basis()
-    return np.clip(np.rint(values) + 128, 0, 255).astype(np.uint8)
-
-
-def decode_frame(frame: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(quantised coefficients, luma pixels) by block of one intra frame."""
-    own = _own_blocks(frame)
-    if own is not None:
-        c = np.zeros((PER_FRAME // 64, 64), np.int64)
-        c[: len(own)] = _to_coefficients(own)
-        return c, luma_blocks(c, np.ones(64, np.int64))
-    jpeg = _parse_jpeg(frame)
-    c = _decode_scan(jpeg)[0]
-    return c, luma_blocks(c, jpeg["quant"][jpeg["parts"][0][3]])
+    """8-bit pixels (blocks x 64) from quantised coefficients.  All sums are whole numbers that a double holds exactly, so
+    a block's pixels do not depend on what is multiplied with it."""
+    values = (coefficients * quant).astype(np.float64) @ _basis()
+    return np.clip(np.floor(values / (1 << 20) + 128.5), 0, 255).astype(np.uint8)
 
 
 def shots(histograms: np.ndarray, window: int = 8, factor: float = 3.0, least: float = 0.25) -> list[tuple[int, int]]:
@@ -351,39 +412,60 @@ def store(payload: bytes) -> bytes:
     return write_avi(encode_frames(payload.ljust(size, b"\0")), size)
 
 
+def load_all(media: list[bytes]) -> list[tuple[bytes, list[np.ndarray], float]]:
+    """(payload, luma histogram of 64 bins per frame, frames a second) of stored files; ValueError for any other file."""
+    files = [read_avi(m) for m in media]
+    decoded, out = decode_frames([f for x in files for f in x["frames"]], SIDE, SIDE), []
+    for avi in files:
+        left, parts, histograms = avi["payload_bytes"], [], []
+        if left is None:
+            raise ValueError("a file without the size of its payload")
+        for found in islice(decoded, len(avi["frames"])):
+            if found is None:
+                raise ValueError("a frame cannot be decoded")
+            c, luma = found
+            used = min(left // 64, len(c))
+            parts.append(_to_payload(c[:used]).tobytes())
+            left -= 64 * used
+            histograms.append(np.bincount(luma[: max(used, 1)].ravel() >> 2, minlength=64))
+        if left:
+            raise ValueError("frames are missing")
+        out.append((b"".join(parts), histograms, avi["fps"]))
+    return out
+
+
 def load(media: bytes) -> tuple[bytes, list[np.ndarray], float]:
-    """(payload, luma histogram of 64 bins per frame, frames a second) of a stored file."""
-    avi = read_avi(media)
-    parts, histograms = [], []
-    left = avi["payload_bytes"]
-    for frame in avi["frames"]:
-        c, luma = decode_frame(frame)
-        used = min(left // 64, len(c))
-        parts.append(_to_payload(c[:used]).tobytes())
-        left -= 64 * used
-        histograms.append(np.bincount(luma[: max(used, 1)].ravel() >> 2, minlength=64))
-    return b"".join(parts), histograms, avi["fps"]
+    """load_all() of one file."""
+    return load_all([media])[0]
 
 
 CLIPS = "array<struct<clip:int,first_frame:int,last_frame:int,start_s:double,end_s:double>>"
 
 
+def _clips_of(data: bytes | None) -> list[dict]:
+    try:
+        avi = read_avi(data or b"")
+    except (ValueError, struct.error):
+        return []
+    histograms = []
+    for found in decode_frames(avi["frames"], avi["width"], avi["height"]):
+        if found is None:
+            return []
+        histograms.append(np.bincount(found[1].ravel() >> 2, minlength=64))
+    return [dict(clip=i, first_frame=x, last_frame=y - 1, start_s=x / avi["fps"], end_s=y / avi["fps"]) for i, (x, y) in enumerate(shots(np.array(histograms)))]
+
+
 def clips(media: DataFrame, keep: list[str], column: str = "media") -> DataFrame:
     """One row per shot of each AVI file in a binary column: keep columns, clip, first_frame, last_frame, start_s, end_s.
 
-    A null, a file that is no AVI, a broken or a non-baseline frame gives no rows for its file.
+    A null, a file that is no AVI, a frame that is broken, not baseline or not of the file's size gives no rows for its file.
     """
 
     def find(batches):
         for b in batches:
             rows = []
             for data in b.column(b.num_columns - 1).to_pylist():
-                try:
-                    avi = read_avi(data or b"")
-                    h = np.array([np.bincount(decode_frame(f)[1].ravel() >> 2, minlength=64) for f in avi["frames"]])
-                    rows.append([dict(clip=i, first_frame=x, last_frame=y - 1, start_s=x / avi["fps"], end_s=y / avi["fps"]) for i, (x, y) in enumerate(shots(h))])
-                except (ValueError, KeyError, IndexError, struct.error):
-                    rows.append([])
+                rows.append(_clips_of(data))
             kind = pa.list_(pa.struct([("clip", pa.int32()), ("first_frame", pa.int32()), ("last_frame", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64())]))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(rows, kind)], [*b.schema.names[:-1], "clips"])
 
@@ -399,16 +481,19 @@ DIGEST = [
 ]
 
 
-def digest_text(text: str | None) -> tuple:
-    raw = (text or "").encode("utf-8", "surrogatepass")
-    media = store(raw)
-    payload, histograms, fps = load(media)
-    cut = shots(np.array(histograms))
-    change = np.concatenate(histograms).tobytes()
-    spans = ",".join(f"{a / fps:.2f}-{b / fps:.2f}" for a, b in cut)
-    feature = f"frames={len(histograms)};shots={len(cut)};hist={zlib.crc32(change):08x};clips={spans}"
+def digest_texts(texts: list[str | None]) -> list[tuple]:
+    out = []
     sha = lambda b: hashlib.sha256(b).hexdigest()
-    return len(raw), len(payload), sha(payload), zlib.crc32(payload[-64:]), len(media), sha(media), feature, len(cut)
+    raws = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    sizes = np.cumsum([len(r) for r in raws])
+    for part in np.split(np.arange(len(raws)), np.flatnonzero(np.diff(sizes // 2_000_000)) + 1):
+        media = [store(raws[i]) for i in part]
+        for i, m, (payload, histograms, fps) in zip(part, media, load_all(media), strict=True):
+            cut = shots(np.array(histograms))
+            spans = ",".join(f"{a / fps:.2f}-{b / fps:.2f}" for a, b in cut)
+            feature = f"frames={len(histograms)};shots={len(cut)};hist={zlib.crc32(np.concatenate(histograms).tobytes()):08x};clips={spans}"
+            out.append((len(raws[i]), len(payload), sha(payload), zlib.crc32(payload[-64:]), len(m), sha(m), feature, len(cut)))
+    return out
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -417,7 +502,7 @@ def digest(docs: DataFrame) -> DataFrame:
 
     def make():
         def work(texts):
-            rows = [digest_text(t) for t in texts]
+            rows = digest_texts(texts)
             return [pa.array([r[i] for r in rows], kinds[k]) for i, (_, k) in enumerate(DIGEST)]
 
         return work

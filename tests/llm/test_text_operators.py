@@ -102,14 +102,91 @@ def test_media_round_trip(data):
     assert len(histograms) == -(-len(payload) // mjpeg.PER_FRAME) and fps == 25.0
 
 
-def test_fast_and_bitwise_decoders_agree():
-    for data in (b"hello" * 40, bytes(range(255)) * 20, b"\xff\x00" * 64):
-        size = -(-len(data) // 64) * 64
-        frame = mjpeg.encode_frames(data.ljust(size, b"\0")[: mjpeg.PER_FRAME])[0]
-        slow = mjpeg._decode_scan(mjpeg._parse_jpeg(frame))[0]
-        fast, luma = mjpeg.decode_frame(frame)
-        assert (slow == fast).all()
-        assert (mjpeg.luma_blocks(slow, np.ones(64, int)) == luma).all()
+def jpeg_of(units, parts, wide, high, restart, ac_symbols):
+    """A baseline JPEG by plain bit strings; units: for each unit of the scan, each component's blocks of 64 coefficients."""
+    dc_symbols = list(range(12))
+    code_of = lambda symbols, bits: {s: format(i, f"0{bits}b") for i, s in enumerate(symbols)}
+    dc, ac = code_of(dc_symbols, 4), code_of(ac_symbols, 8)
+    number = lambda v: format(v if v > 0 else v + (1 << abs(v).bit_length()) - 1, f"0{abs(v).bit_length()}b") if v else ""
+    out, bits, before = b"", "", [0] * len(parts)
+
+    def flush(bits):
+        bits += "1" * (-len(bits) % 8)
+        return int(bits, 2).to_bytes(len(bits) // 8, "big").replace(b"\xff", b"\xff\x00") if bits else b""
+
+    for n, unit in enumerate(units):
+        if restart and n and n % restart == 0:
+            out += flush(bits) + bytes([0xFF, 0xD0 + (n // restart - 1) % 8])
+            bits, before = "", [0] * len(parts)
+        for c, blocks in enumerate(unit):
+            for block in blocks:
+                step, before[c] = block[0] - before[c], block[0]
+                bits += dc[abs(step).bit_length()] + number(step)
+                run = 0
+                for v in block[1:]:
+                    if not v:
+                        run += 1
+                        continue
+                    while run > 15:
+                        bits, run = bits + ac[0xF0], run - 16
+                    bits, run = bits + ac[run << 4 | abs(v).bit_length()] + number(v), 0
+                if run:
+                    bits += ac[0]
+    out += flush(bits)
+    head = b"\xff\xd8" + mjpeg._segment(0xDB, b"\x00" + bytes(range(1, 65)))
+    head += mjpeg._segment(0xC0, b"\x08" + high.to_bytes(2, "big") + wide.to_bytes(2, "big") + bytes([len(parts)]) + b"".join(bytes([i + 1, h << 4 | v, 0]) for i, (h, v) in enumerate(parts)))
+    head += mjpeg._segment(0xC4, b"\x00" + bytes([0, 0, 0, 12] + [0] * 12) + bytes(dc_symbols) + b"\x10" + bytes([0] * 7 + [len(ac_symbols)] + [0] * 8) + bytes(ac_symbols))
+    head += mjpeg._segment(0xDD, restart.to_bytes(2, "big")) if restart else b""
+    head += mjpeg._segment(0xDA, bytes([len(parts)]) + b"".join(bytes([i + 1, 0]) for i in range(len(parts))) + b"\x00\x3f\x00")
+    return head + out + b"\xff\xd9"
+
+
+@pytest.mark.parametrize(("parts", "restart"), [([(1, 1)], 0), ([(1, 1)], 3), ([(2, 2), (1, 1), (1, 1)], 0), ([(2, 1), (1, 1), (1, 1)], 2)])
+def test_frames_are_decoded_by_their_own_tables(parts, restart):
+    rng = np.random.default_rng(len(parts) + restart)
+    ac_symbols = rng.permutation([0, 0xF0] + [r << 4 | s for r in range(16) for s in range(1, 11)]).tolist()
+    h, v = parts[0]
+    wide, high = 3, 2  # units
+    frames, want = [], []
+    for _ in range(4):
+        units, first = [], np.zeros((high * v, wide * h, 64), int)
+        for n in range(wide * high):
+            unit = []
+            for c, (a, b) in enumerate(parts):
+                blocks = rng.integers(-1023, 1024, (a * b, 64)) * (rng.random((a * b, 64)) < rng.choice([0.03, 0.3, 1.0]))
+                unit.append(blocks.tolist())
+                if not c:
+                    for k in range(a * b):
+                        first[n // wide * v + k // a, n % wide * h + k % a] = blocks[k]
+            units.append(unit)
+        frames.append(jpeg_of(units, parts, 8 * h * wide - 3, 8 * v * high - 1, restart, ac_symbols))
+        want.append(first.reshape(-1, 64))
+    k, n = np.arange(8), np.arange(64)
+    cos = np.sqrt(np.where(k == 0, 1 / 8, 2 / 8))[:, None] * np.cos((2 * k[None, :] + 1) * k[:, None] * np.pi / 16)
+    for (c, luma), w in zip(mjpeg.decode_frames([*frames]), want, strict=True):
+        assert (c == w).all()
+        natural = np.zeros((len(w), 64))
+        natural[:, mjpeg.ZIGZAG] = w * (n + 1)
+        pixels = np.einsum("nuv,ux,vy->nxy", natural.reshape(-1, 8, 8), cos, cos).reshape(-1, 64)
+        assert np.abs(np.clip(np.floor(pixels + 128.5), 0, 255) - luma).max() <= 1
+    broken = frames[0][: len(frames[0]) // 2] + b"\xff\xd9"
+    mixed = [frames[0], b"junk", broken, frames[1], b"", frames[2].replace(b"\xff\xc0", b"\xff\xc2")]
+    assert [x is not None for x in mjpeg.decode_frames(mixed)] == [True, False, False, True, False, False]
+    assert [x is not None for x in mjpeg.decode_frames(frames[:2], 8, 8)] == [False, False]
+
+
+def test_hostile_media_give_no_rows(spark):
+    frame = mjpeg.encode_frames(b"a" * 640)[0]
+    huge = frame.replace(mjpeg._segment(0xC0, b"\x08\x00\x40\x00\x40\x01\x01\x11\x00"), mjpeg._segment(0xC0, b"\x08\xff\xff\xff\xff\x01\x01\x11\x00"))
+    assert huge != frame
+    files = [mjpeg.write_avi([f], 64, w, w) for f in (huge, huge[:40], b"\xff\xd8\xff\xc4\x00\x13\x00" + b"\xff" * 16) for w in (64, 16384, 0)]
+    files += [mjpeg.write_avi([frame, frame[: len(frame) // 2]], 640), b"RIFF\x00\x00\x00\x00AVI ", mjpeg.store(b"b" * 900)[:1500]]
+    rows = spark.createDataFrame([(i, bytearray(f), "x") for i, f in enumerate([*files, mjpeg.store(b"fine")])], "id int, media binary, clip string")
+    assert [(r.id, r.last_frame) for r in mjpeg.clips(rows, ["id"]).collect()] == [(len(files), 0)]
+    with pytest.raises(ValueError, match="size"):
+        mjpeg.load(mjpeg.store(b"x").replace(b"payload_bytes", b"payload_bites"))
+    with pytest.raises(ValueError, match="missing"):
+        mjpeg.load(mjpeg.write_avi([frame], 6400))
 
 
 def test_index_offsets_and_walk_agree():
@@ -129,6 +206,11 @@ def test_shots_are_found_where_frames_change(spark):
     assert got == [(1, 0, 0, 5, 0.0), (1, 1, 6, 9, 6 / 25), (1, 2, 10, 14, 10 / 25)]
 
 
+def test_digest_with_clashing_columns(spark):
+    docs = edge_docs(spark).withColumns({"payload_bytes": F.lit("x"), "FEATURE": F.lit(1), "k0": F.lit(2), "f0": F.lit(3), "t": F.lit(4)})
+    assert sorted(map(str, mjpeg.digest(docs).collect())) == sorted(map(str, mjpeg.digest(edge_docs(spark)).collect()))
+
+
 def test_media_digest(spark):
     for r in mjpeg.digest(edge_docs(spark)).join(edge_docs(spark).select("doc_id", "text").distinct(), "doc_id").collect():
         raw = (r.text or "").encode()
