@@ -10,17 +10,24 @@ from ..functions import colour
 from .pixel import KEYS
 
 
-def sample(frames: DataFrame, start: int, end: int, step: int) -> DataFrame:
-    """Frames of [start, end) in strides of step from start; none if the range is empty or step is below 1."""
+def sample(frames: DataFrame, start: int = 0, end: int | None = None, step: int = 1, frame_count: int = 0) -> DataFrame:
+    """Frames of [start, end) in strides of step from start; none if the range is empty or step is below 1.
+
+    A negative start is 0; end stops at frame_count where that is known (above 0), and is open if it is None.
+    """
     start = max(start, 0)
-    if end <= start or step < 1:
+    if frame_count > 0:
+        end = frame_count if end is None else min(end, frame_count)
+    if end is not None and end <= start or step < 1:
         return frames.limit(0)
-    return frames.filter((F.col("idx") >= start) & (F.col("idx") < end) & ((F.col("idx") - start) % step == 0))
+    inside = (F.col("idx") >= start) & ((F.col("idx") - start) % step == 0)
+    return frames.filter(inside if end is None else inside & (F.col("idx") < end))
 
 
-def previous_index(frames: DataFrame) -> DataFrame:
+def previous_index(frames: DataFrame, one_row_each: bool = False) -> DataFrame:
     """(video_id, idx, prev_idx) of the frames that have one before them: rows are frames, so the window is narrow."""
-    ids = frames.select("video_id", "idx").distinct()
+    ids = frames.select("video_id", "idx")
+    ids = ids if one_row_each else ids.distinct()
     return ids.withColumn("prev_idx", F.lag("idx").over(W.partitionBy("video_id").orderBy("idx"))).filter("prev_idx is not null")
 
 

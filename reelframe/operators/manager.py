@@ -28,10 +28,15 @@ def listing(events: DataFrame) -> DataFrame:
     return events.select(KEY, (F.col("position") + 1).alias("index"), two("start"), two("end"), "start_frame", "end_frame", "deleted")
 
 
+def _appended(events: DataFrame, added: DataFrame) -> DataFrame:
+    """Both, renumbered by start; of equal starts the added rows come last."""
+    both = events.withColumn("late", F.lit(0)).unionByName(added.withColumn("late", F.lit(1)))
+    return numbered(both, ["start", "late", "position"]).drop("late")
+
+
 def recover(events: DataFrame, filtered: DataFrame) -> DataFrame:
     """Filtered rows return as live ones; rows deleted before stay deleted."""
-    back = filtered.withColumns({"deleted": F.lit(False), "position": F.col("position") + 1_000_000_000})
-    return numbered(events.unionByName(back))
+    return _appended(events, filtered.withColumn("deleted", F.lit(False)))
 
 
 def remove(events: DataFrame, positions: list[int]) -> DataFrame:
@@ -70,41 +75,49 @@ def shift(events: DataFrame, offset_ms: int, fps: float, positions: list[int] |
     return _frames(events.withColumns({"start": move("start"), "end": move("end")}), hit, fps)
 
 
-def split(events: DataFrame, at: DataFrame, fps: float) -> DataFrame:
-    """at: video_id, position, t with start < t < end; the row becomes two that meet at t.  Other requests change nothing."""
-    both = events.join(at.select(KEY, "position", "t"), [KEY, "position"], "left")
-    good = F.col("t").isNotNull() & (F.col("t") > F.col("start")) & (F.col("t") < F.col("end"))
-    half = lambda a, b: F.struct(a.cast("double").alias("a"), b.cast("double").alias("b"))
-    parts = F.when(good, F.array(half(F.col("start"), F.col("t")), half(F.col("t"), F.col("end")))).otherwise(F.array(half(F.col("start"), F.col("end"))))
-    out = both.withColumn("part", F.explode(parts)).withColumn("is_split", good)
-    out = out.withColumns({"start": F.col("part.a"), "end": F.col("part.b")})
-    return numbered(_frames(out, F.col("is_split"), fps).select(*events.columns))
+def split(events: DataFrame, at: DataFrame, fps: float, frame_masks: DataFrame, masks=Bits) -> DataFrame:
+    """at: video_id, position, t with start < t < end; the row becomes two that meet at t, each captured anew from its frames.
 
-
-def merge(events: DataFrame, positions: tuple[int, int], masks=Bits) -> DataFrame:
-    """Exactly two rows of each video become one from the smaller start to the larger end, their masks united."""
+    A request out of range, or with a half that has no frame with a mask, changes nothing.
+    """
+    both = events.join(at.select(KEY, "position", "t"), [KEY, "position"], "left")
+    good = F.coalesce((F.col("t") > F.col("start")) & (F.col("t") < F.col("end")), F.lit(False))
+    half = lambda k, a, b: F.struct(F.lit(k).alias("half"), a.cast("double").alias("a"), b.cast("double").alias("b"))
+    parts = F.array(half(0, F.col("start"), F.col("t")), half(1, F.col("t"), F.col("end")))
+    halves = both.filter(good).withColumn("part", F.explode(parts)).withColumns({"start": F.col("part.a"), "end": F.col("part.b"), "whole": F.col("position")})
+    halves = _frames(halves.withColumn("position", F.col("position") * 2 + F.col("part.half")), F.lit(True), fps)
+    halves = _captured(halves.select(*events.columns, "whole"), frame_masks, fps, masks)
+    done = halves.groupBy(KEY, F.col("whole").alias("position")).agg(F.bool_and("captured").alias("ok")).filter("ok").drop("ok")
+    rest = events.join(done, [KEY, "position"], "left_anti").withColumn("late", F.lit(0))
+    new = halves.withColumn("late", F.pmod("position", F.lit(2)).cast("int")).withColumn("position", F.col("whole"))
+    new = new.join(done, [KEY, "position"], "left_semi").select(*events.columns, "late")
+    return numbered(rest.unionByName(new), ["start", "late", "position"]).drop("late")
+
+
+def merge(events: DataFrame, positions: tuple[int, int], fps: float, frame_masks: DataFrame, masks=Bits) -> DataFrame:
+    """Exactly two rows of each video become one from the smaller start to the larger end, captured anew from its frames.
+
+    What the rows do not share comes from the one named first.  A video without both rows, or without a frame with a mask
+    in the span, does not change.
+    """
     first, second = positions
     if first == second:
         raise ValueError("two different rows are needed")
-    chosen = F.col("position").isin(first, second)
-    pair = events.filter(chosen)
-    agg = []
-    for c in events.columns:
-        if c == KEY:
-            continue
-        how = {"start": F.min, "start_frame": F.min, "end": F.max, "end_frame": F.max, "n": F.sum, "mask": masks.union_all, "position": F.max, "deleted": F.bool_and}.get(c)
-        agg.append((how(c) if how else F.max_by(c, "position")).alias(c))
-    one = pair.groupBy(KEY).agg(*agg, F.count("*").alias("pair_")).filter(F.col("pair_") == 2).drop("pair_")
-    rest = events.join(one.select(KEY, F.lit(True).alias("m")), KEY, "left").filter(F.col("m").isNull() | ~chosen).drop("m")
-    return numbered(rest.unionByName(one.select(*events.columns)))
+    pair = events.filter(F.col("position").isin(first, second))
+    how = {"start": F.min("start"), "end": F.max("end"), "position": F.max("position")}
+    rank = (F.col("position") != first).cast("int")
+    agg = [how.get(c, F.min_by(c, rank)).alias(c) for c in events.columns if c != KEY]
+    one = pair.groupBy(KEY).agg(*agg, F.count("*").alias("rows")).filter(F.col("rows") == 2).drop("rows")
+    one = _captured(_frames(one, F.lit(True), fps).select(*events.columns), frame_masks, fps, masks).filter("captured").drop("captured")
+    gone = one.select(KEY, F.explode(F.array(F.lit(first).cast("long"), F.lit(second).cast("long"))).alias("position"))
+    return _appended(events.join(gone, [KEY, "position"], "left_anti").select(*events.columns), one)
 
 
 def merge_repeat(events: DataFrame, max_gap: float = 0.2, merged_from: float = 0.9, masks=Bits) -> DataFrame:
     """Merges repeats among live rows in their order by start; deleted rows stay as they are."""
     live = numbered(events.filter(~F.col("deleted"))).withColumnRenamed("position", "event_no")
     done = _merge_repeats(live, max_gap, merged_from, masks=masks).withColumnRenamed("event_no", "position")
-    gone = events.filter("deleted").withColumn("position", F.col("position") + 1_000_000_000)
-    return numbered(done.select(*events.columns).unionByName(gone))
+    return _appended(done.select(*events.columns), events.filter("deleted"))
 
 
 def recapture(events: DataFrame, frame_masks: DataFrame, fps: float, masks=Bits) -> DataFrame:
@@ -112,6 +125,11 @@ def recapture(events: DataFrame, frame_masks: DataFrame, fps: float, masks=Bits)
 
     frame_masks: video_id, idx, time, mask.  Start and its frame stay; events without a non-empty frame keep all.
     """
+    return _captured(events, frame_masks, fps, masks).drop("captured")
+
+
+def _captured(events: DataFrame, frame_masks: DataFrame, fps: float, masks) -> DataFrame:
+    """recapture() with whether there was a frame."""
     spans = events.select(KEY, "position", "start_frame", "end_frame")
     full = frame_masks.filter(~masks.is_empty(F.col("mask")))
     # The range join meets frames by blocks of 256, so that it is an equi-join.
@@ -125,4 +143,5 @@ def recapture(events: DataFrame, frame_masks: DataFrame, fps: float, masks=Bits)
         "end": F.coalesce(F.col("time2") + 1.0 / fps, F.col("end")),
         "end_frame": F.coalesce("idx2", "end_frame"),
         "n": F.coalesce("n2", "n"),
-    }).select(*events.columns)
+        "captured": F.col("n2").isNotNull(),
+    }).select(*events.columns, "captured")

@@ -1,6 +1,7 @@
 """Two forms of binary masks and their set operations.
 
 ``Bits``: up to 64 pixels in one BIGINT.  ``Places``: the places of set pixels as an ARRAY<BIGINT>, for any frame size.
+read, joined and share are the same operations on the values of one row, for folds that pass over rows in order.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ class Bits:
     is_empty = staticmethod(lambda a: a == 0)
     collect = staticmethod(lambda pos: F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), pos.cast("int"))))
     union_all = staticmethod(F.bit_or)
+    read = staticmethod(lambda a: a & 0xFFFFFFFFFFFFFFFF)
+    joined = staticmethod(lambda a, b: a | b)
+    share = staticmethod(lambda a, b: (a & b).bit_count() / (a | b).bit_count() if a | b else 0.0)
 
     @staticmethod
     def iou(a: Column, b: Column) -> Column:
@@ -30,6 +34,9 @@ class Places:
     is_empty = staticmethod(lambda a: F.size(a) == 0)
     collect = staticmethod(lambda pos: F.array_sort(F.collect_set(pos.cast("bigint"))))
     union_all = staticmethod(lambda a: F.array_sort(F.array_distinct(F.flatten(F.collect_list(a)))))
+    read = staticmethod(frozenset)
+    joined = staticmethod(lambda a, b: a | b)
+    share = staticmethod(lambda a, b: len(a & b) / len(a | b) if a or b else 0.0)
 
     @staticmethod
     def iou(a: Column, b: Column) -> Column:

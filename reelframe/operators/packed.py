@@ -120,7 +120,7 @@ def filter_masks(frames: DataFrame, cfg: Filter, post: Postprocess) -> DataFrame
 def _with_previous(frames: DataFrame) -> DataFrame:
     """Frames beside the frame before, by an equi-join on (video, frame)."""
     then = frames.select("video_id", F.col("idx").alias("prev_idx"), F.col("rgb").alias("before"))
-    return frames.join(previous_index(frames), KEYS).join(then, ["video_id", "prev_idx"])
+    return frames.join(previous_index(frames, one_row_each=True), KEYS).join(then, ["video_id", "prev_idx"])
 
 
 def _changes(rgb, before, w, h, threshold):

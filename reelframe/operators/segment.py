@@ -1,14 +1,17 @@
 """Order-dependent folds: candidates to events, and merging of repeated events.
 
-Both folds only number rows; what a number stands for is then an ordinary aggregation.  Folding happens inside Catalyst, over
-the rows between two closes (segmentation) or over a video's events (merging).
+Both folds only number rows; what a number stands for is then an ordinary aggregation.  Rows come in order by video and
+frame, and a fold passes over them once with the open group's mask as its state, so no task holds a run or a video.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .masks import Bits
 
@@ -16,20 +19,36 @@ JOINED_FROM = 0.7
 MERGED_FROM = 0.9
 
 
-def _numbers(items: Column, masks, follows, carry) -> Column:
-    """For each item of an ordered array its group number: a new group where follows(state, item) is not true.
+def _numbered(rows: DataFrame, by: str, at: str, carry: str, joins: Callable, masks, closes: str | None = None) -> DataFrame:
+    """rows with `no`, the number of each row's group within its video: a new one where joins(share, at - carried) is false.
 
-    The state holds the group's union mask and the carried column of its last item.
+    share is the overlap of the row's mask with the union of the group's, carried the carry column of its last row.  A row
+    where closes is true ends the open group and has its number, null if none is open.
     """
-    start = F.struct(F.lit(0).alias("no"), masks.empty().alias("mask"), F.lit(None).cast("double").alias("last"), F.array().cast("array<int>").alias("all"))
-
-    def step(s, x):
-        joins = F.coalesce((s["no"] > 0) & follows(s, x), F.lit(False))
-        no = F.when(joins, s["no"]).otherwise(s["no"] + 1)
-        mask = F.when(joins, masks.union(s["mask"], x["mask"])).otherwise(x["mask"])
-        return F.struct(no.alias("no"), mask.alias("mask"), carry(x).cast("double").alias("last"), F.concat(s["all"], F.array(no)).alias("all"))
-
-    return F.aggregate(items, start, step, lambda s: s["all"])
+    names = [by, at, carry, "mask", *([closes] if closes else [])]
+    schema = StructType([*rows.schema.fields, StructField("no", LongType())])
+
+    def run(batches):
+        video, no, is_open, union, last = object(), 0, False, None, None
+        for b in batches:
+            out = []
+            for v, _, x, y, mask, *close in zip(b.column("video_id").to_pylist(), *[b.column(c).to_pylist() for c in names], strict=True):
+                if v != video:
+                    video, no, is_open = v, 0, False
+                if close and close[0]:
+                    out.append(no if is_open else None)
+                    is_open = False
+                    continue
+                mask = masks.read(mask)
+                if is_open and joins(masks.share(union, mask), x - last):
+                    union = masks.joined(union, mask)
+                else:
+                    no, is_open, union = no + 1, True, mask
+                last = y
+                out.append(no)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "no"])
+
+    return rows.repartition("video_id").sortWithinPartitions("video_id", by).mapInArrow(run, schema)
 
 
 def segment(rows: DataFrame, fps: Column | float = 25.0, gap: int = 5, masks=Bits, joined_from: float = JOINED_FROM) -> DataFrame:
@@ -37,33 +56,23 @@ def segment(rows: DataFrame, fps: Column | float = 25.0, gap: int = 5, masks=Bit
 
     A candidate joins the open event if it overlaps the union of its masks by joined_from or follows its last candidate
     within gap frames; else the event ends one frame after its last candidate and a new one opens.  A close ends the open
-    event at its own time.  Closes cut a video into independent runs, so each run is folded by itself.
+    event at its own time.
     Returns video_id, event_no (from 1), start, end, start_frame, end_frame, n, mask, source_frame.
     """
-    order = W.partitionBy("video_id").orderBy("idx")
-    run = F.coalesce(F.sum(F.col("close_only").cast("int")).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    dealt = rows.withColumn("run", run)
-    item = F.struct("idx", "time", "mask")
-    runs = dealt.groupBy("video_id", "run").agg(
-        F.array_sort(F.collect_list(F.when(~F.col("close_only"), item))).alias("items"),
-        F.min(F.when(F.col("close_only"), F.struct("idx", "time"))).alias("close"),
-    )
-    follows = lambda s, x: (masks.iou(s["mask"], x["mask"]) >= joined_from) | (x["idx"] - s["last"] <= gap)
-    numbered = runs.withColumn("no", _numbers(F.col("items"), masks, follows, lambda x: x["idx"])).filter(F.size("items") > 0)
-    flat = numbered.select("video_id", "run", "close", F.element_at("no", -1).alias("last_no"), F.explode(F.arrays_zip("items", "no")).alias("z"))
-    flat = flat.select("video_id", "run", "close", "last_no", "z.no", "z.items.*")
+    joins = lambda share, frames: share >= joined_from or frames <= gap
+    rows = rows.select("video_id", F.col("idx").cast("long").alias("idx"), "time", "mask", "close_only")
+    numbered = _numbered(rows, "idx", "idx", "idx", joins, masks, "close_only").filter("no is not null")
+    own = lambda c: F.when(~F.col("close_only"), F.col(c))
     seconds = fps if isinstance(fps, Column) else F.lit(float(fps))
-    events = flat.groupBy("video_id", "run", "no").agg(
-        F.min("time").alias("start"), F.max("time").alias("last_time"), F.min("idx").alias("start_frame"), F.max("idx").alias("last_idx"),
-        F.count("*").alias("n"), masks.union_all("mask").alias("mask"), F.any_value("close").alias("close"), F.any_value("last_no").alias("last_no"),
+    events = numbered.groupBy("video_id", F.col("no").cast("int").alias("event_no")).agg(
+        F.min(own("time")).alias("start"), F.max(own("time")).alias("last_time"), F.min(own("idx")).alias("start_frame"), F.max(own("idx")).alias("source_frame"),
+        F.count(own("idx")).alias("n"), masks.union_all(own("mask")).alias("mask"), F.min(F.when(F.col("close_only"), F.struct("idx", "time"))).alias("close"),
     )
-    closed = (F.col("no") == F.col("last_no")) & F.col("close").isNotNull()
     events = events.withColumns({
-        "end": F.when(closed, F.col("close.time")).otherwise(F.col("last_time") + F.lit(1.0) / seconds),
-        "end_frame": F.when(closed, F.col("close.idx")).otherwise(F.col("last_idx")),
-        "event_no": F.row_number().over(W.partitionBy("video_id").orderBy("run", "no")),
+        "end": F.coalesce("close.time", F.col("last_time") + F.lit(1.0) / seconds),
+        "end_frame": F.coalesce("close.idx", "source_frame"),
     })
-    return events.select("video_id", "event_no", "start", "end", "start_frame", "end_frame", "n", "mask", F.col("last_idx").alias("source_frame"))
+    return events.select("video_id", "event_no", "start", "end", "start_frame", "end_frame", "n", "mask", "source_frame")
 
 
 def merge_repeats(events: DataFrame, max_gap: float, merged_from: float = MERGED_FROM, force: bool = False, masks=Bits, sums: tuple[str, ...] = ("n",)) -> DataFrame:
@@ -73,13 +82,11 @@ def merge_repeats(events: DataFrame, max_gap: float, merged_from: float = MERGED
     max_gap seconds after that one's end; force joins all of a video.  The merged event keeps the first start, takes the
     last end and source frame, adds up the sums and unites the masks.
     """
-    follows = (lambda s, x: F.lit(True)) if force else (lambda s, x: (masks.iou(s["mask"], x["mask"]) >= merged_from) & (x["start"] - s["last"] <= max_gap))
+    joins = (lambda share, gap: True) if force else (lambda share, gap: share >= merged_from and gap <= max_gap)
     rest = [c for c in events.columns if c not in ("video_id", "event_no")]
-    rows = events.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("event_no", "start", "end", "mask"))).alias("items"))
-    flat = rows.select("video_id", F.explode(F.arrays_zip(F.col("items.event_no").alias("event_no"), _numbers(F.col("items"), masks, follows, lambda x: x["end"]).alias("new_no"))).alias("z"))
-    joined = events.join(flat.select("video_id", "z.*"), ["video_id", "event_no"])
+    joined = _numbered(events, "event_no", "start", "end", joins, masks).withColumnRenamed("no", "new_no")
     how = {}
     for c in rest:
         how[c] = F.sum(c) if c in sums else masks.union_all(c) if c == "mask" else F.min_by(c, "event_no") if c in ("start", "start_frame") else F.max_by(c, "event_no")
-    merged = joined.groupBy("video_id", F.col("new_no").alias("event_no")).agg(*[f.alias(c) for c, f in how.items()])
+    merged = joined.groupBy("video_id", F.col("new_no").cast("int").alias("event_no")).agg(*[f.alias(c) for c, f in how.items()])
     return merged.select(*events.columns)

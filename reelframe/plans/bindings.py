@@ -21,6 +21,18 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumns({"g": (F.col("r") * 7 + F.col("pos") * 13) % 256, "b": (F.col("r") * 3 + F.col("pos") * 5) % 256})
 
 
+def packed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames of pixels() as packed ones: video_id, idx, rgb (binary), width, height."""
+    rows = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("video_id"), F.col("vec_id").alias("idx"), "embedding")
+
+    def hexes(e, p):
+        r = ((e.cast("double") + 1.0) * 127.5).cast("long")
+        return F.concat(*[F.lpad(F.hex(c), 2, "0") for c in (r, (r * 7 + p * 13) % 256, (r * 3 + p * 5) % 256)])
+
+    rgb = F.unhex(F.array_join(F.transform("embedding", hexes), ""))
+    return rows.select("video_id", "idx", rgb.alias("rgb"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"))
+
+
 PIXELS = """px0 AS (SELECT CAST(label AS BIGINT) AS video_id, vec_id AS idx, CAST(p - 1 AS BIGINT) AS pos, CAST((p - 1) % 8 AS BIGINT) AS x,
   CAST((p - 1) // 8 AS BIGINT) AS y, CAST(embedding[p] AS DOUBLE) AS v FROM embeddings CROSS JOIN (SELECT unnest(range(1, 65)) AS p)),
 px1 AS (SELECT *, CAST(trunc((v + 1.0) * 127.5) AS BIGINT) AS r FROM px0),

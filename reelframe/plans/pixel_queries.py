@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..config import ColorSegment, Filter, Postprocess
 from ..functions import colour
-from ..operators import components, detect, diff, pixel
+from ..operators import components, detect, diff, packed, pixel
 from ..operators.masks import Bits
-from .bindings import PIXELS, STREAM, pixel_stream, pixels
+from .bindings import PIXELS, STREAM, packed_frames, pixel_stream, pixels
 
 RGB = (F.col, "rgb")
 QUERIES, ORACLES = {}, {}
@@ -146,29 +146,28 @@ def px_crop_too_far(spark, d):
 @query(
     "px_scale_nearest",
     f"""WITH {PIXELS}, t AS (SELECT unnest(range(0, 12)) AS t), g AS (SELECT a.t AS x, b.t AS y, CAST(trunc(least(a.t / 1.5::DOUBLE, 7)) AS BIGINT) AS sx, CAST(trunc(least(b.t / 1.5::DOUBLE, 7)) AS BIGINT) AS sy FROM t a CROSS JOIN t b)
-    SELECT video_id, idx, g.y * 12 + g.x AS pos, r FROM g JOIN px ON px.x = g.sx AND px.y = g.sy""",
+    SELECT video_id, idx, g.y * 12 + g.x AS pos, r, px.g, b FROM g JOIN px ON px.x = g.sx AND px.y = g.sy""",
 )
 def px_scale_nearest(spark, d):
-    return pixel.scale_nearest(pixels(spark, d), 8, 8, 1.5).select("video_id", "idx", "pos", "r")
+    return pixel.scale_nearest(pixels(spark, d), 8, 8, 1.5).select("video_id", "idx", "pos", "r", "g", "b")
 
 
 @query(
     "px_scale_down",
-    f"WITH {PIXELS} SELECT video_id, idx, (y // 2) * 4 + x // 2 AS pos, g FROM px WHERE x % 2 = 0 AND y % 2 = 0",
+    f"WITH {PIXELS} SELECT video_id, idx, (y // 2) * 4 + x // 2 AS pos, r, g, b FROM px WHERE x % 2 = 0 AND y % 2 = 0",
 )
 def px_scale_down(spark, d):
-    return pixel.scale_nearest(pixels(spark, d), 8, 8, 0.5).select("video_id", "idx", "pos", "g")
+    return pixel.scale_nearest(pixels(spark, d), 8, 8, 0.5).select("video_id", "idx", "pos", "r", "g", "b")
 
 
 @query(
     "px_sharpen",
-    f"""WITH {PIXELS}, n AS (SELECT p.video_id, p.idx, p.pos, p.x, p.y, p.g, (u.g + o.g + l.g + e.g) // 4 AS m FROM px p
-    LEFT JOIN px u ON u.idx = p.idx AND u.pos = p.pos - 8 LEFT JOIN px o ON o.idx = p.idx AND o.pos = p.pos + 8
-    LEFT JOIN px l ON l.idx = p.idx AND l.pos = p.pos - 1 LEFT JOIN px e ON e.idx = p.idx AND e.pos = p.pos + 1)
-    SELECT video_id, idx, pos, CASE WHEN x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6 THEN least(greatest(g + ((g - m) * 3) // 5, 0), 255) ELSE g END AS g FROM n""",
+    f"""WITH {PIXELS}, n AS (SELECT *, {", ".join(f"(lag({c}) OVER ys + lead({c}) OVER ys + lag({c}) OVER xs + lead({c}) OVER xs) // 4 AS m{c}" for c in "rgb")}
+      FROM px WINDOW ys AS (PARTITION BY idx, x ORDER BY y), xs AS (PARTITION BY idx, y ORDER BY x))
+    SELECT video_id, idx, pos, {", ".join(f"CASE WHEN x BETWEEN 1 AND 6 AND y BETWEEN 1 AND 6 THEN least(greatest({c} + (({c} - m{c}) * 3) // 5, 0), 255) ELSE {c} END AS {c}" for c in "rgb")} FROM n""",
 )
 def px_sharpen(spark, d):
-    return pixel.sharpen(pixels(spark, d), 8, 8).select("video_id", "idx", "pos", "g")
+    return pixel.sharpen(pixels(spark, d), 8, 8).select("video_id", "idx", "pos", "r", "g", "b")
 
 
 @query(
@@ -212,9 +211,9 @@ def src_pick_pixel(spark, d):
     return pixel.pick(pixels(spark, d), F.col("idx") % 12 - 2, F.lit(99), 8, 8).select("video_id", "idx", "r", "g", "b")
 
 
-@query("src_sample_range", f"WITH {PIXELS} SELECT DISTINCT video_id, idx FROM px WHERE idx >= 10 AND idx < 400 AND (idx - 10) % 3 = 0")
+@query("src_sample_range", f"WITH {PIXELS} SELECT DISTINCT video_id, idx FROM px WHERE idx >= 10 AND (idx - 10) % 3 = 0")
 def src_sample_range(spark, d):
-    return diff.sample(pixels(spark, d).select("video_id", "idx"), 10, 400, 3).distinct()
+    return diff.sample(pixels(spark, d).select("video_id", "idx"), 10, step=3).distinct()
 
 
 DILATED = """hit AS (SELECT video_id, idx, x, y FROM px WHERE v > 0.1), o AS (SELECT unnest([-1, 0, 1]) AS o),
@@ -236,6 +235,11 @@ def jn_frame_diff(spark, d):
     return diff.change_counts(diff.pixel_changes(pixels(spark, d)))
 
 
+@query("jn_packed_diff", ORACLES["jn_frame_diff"])
+def jn_packed_diff(spark, d):
+    return packed.frame_differences(packed_frames(spark, d)).select("video_id", "idx", "changed", "n", "ratio")
+
+
 @query("fl_change_frames", f"WITH {PIXELS}, {DIFFED} SELECT video_id, idx, count(*) FILTER (changed) AS changed FROM chg GROUP BY video_id, idx HAVING count(*) FILTER (changed) >= 50 AND count(*) FILTER (changed) / count(*)::DOUBLE * 100 >= 80")
 def fl_change_frames(spark, d):
     return diff.change_frames(diff.pixel_changes(pixels(spark, d)), 50, 80.0).select("video_id", "idx", "changed")

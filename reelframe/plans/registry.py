@@ -9,5 +9,5 @@ ORACLES: dict = {**pixel_queries.ORACLES, **sequence_queries.ORACLES, **text_que
 
 
 def flagship(spark, sf_dir):
-    """Detect, segment and merge: the whole chain from frames to events."""
-    return sequence_queries.rip_events(spark, sf_dir)
+    """Detect, segment and merge: the whole chain from packed frames to events."""
+    return sequence_queries.rip_packed_events(spark, sf_dir)

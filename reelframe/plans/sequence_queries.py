@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import detect, manager
+from ..config import ColorSegment, Filter, Postprocess
+from ..operators import detect, manager, packed
+from ..operators.masks import Places
 from ..operators.segment import merge_repeats, segment
-from .bindings import CANDIDATES, EVENTS, candidate_stream, event_table, pixels
+from .bindings import CANDIDATES, EVENTS, candidate_stream, event_table, packed_frames, pixels, table
 from .pixel_queries import CANDIDATE_ROWS, DIFFED, PIXELS, change_rows
 
 QUERIES, ORACLES = {}, {}
@@ -91,10 +94,74 @@ rr AS (SELECT video_id, idx, idx / 25.0::DOUBLE AS time, mask, kind = 'close' AS
 @query(
     "rip_events",
     f"""{RIP} SELECT video_id, g AS event_no, arg_min(start, k) AS start, arg_max("end", k) AS "end", arg_min(start_frame, k) AS start_frame, arg_max(end_frame, k) AS end_frame,
-    sum(n)::BIGINT AS n, bit_count(bit_or(mask))::BIGINT AS size FROM mf JOIN me USING (video_id, k) GROUP BY video_id, g""",
+    sum(n)::BIGINT AS n, bit_or(mask)::HUGEINT::VARCHAR AS mask, arg_max(source_frame, k) AS source_frame FROM mf JOIN me USING (video_id, k) GROUP BY video_id, g""",
 )
 def rip_events(spark, d):
-    return rip(spark, d).select("video_id", "event_no", "start", "end", "start_frame", "end_frame", "n", F.bit_count("mask").cast("long").alias("size"))
+    unsigned = F.conv(F.hex("mask"), 16, 10)
+    return rip(spark, d).withColumn("mask", unsigned).select("video_id", "event_no", "start", "end", "start_frame", "end_frame", "n", "mask", "source_frame")
+
+
+#: The packed chain's filter: near to grey 170, or near to grey 90; nothing is cleaned up, as in the oracle.
+PACKED_FILTER = Filter(pixel_compensate=0, segments={"outline": ColorSegment(rgb=(90, 90, 90), rgb_diff=90), "final": ColorSegment(rgb=(170, 170, 170), rgb_diff=80)})
+PACKED_POST = Postprocess(single_dot=False, single_line=False, large_block=0, touch_edge=False, pass_center=False)
+PACKED_ROWS = CANDIDATE_ROWS.replace(
+    "v > 0.25", "(r - 90) * (r - 90) + (g - 90) * (g - 90) + (b - 90) * (b - 90) <= 8100 OR (r - 170) * (r - 170) + (g - 170) * (g - 170) + (b - 170) * (b - 170) <= 6400"
+)
+
+
+def packed_candidates(spark, d):
+    """Differences, filter and detection on packed frames, the form for real frame sizes."""
+    found = detect.candidates(packed.change_rows(packed_frames(spark, d), PACKED_FILTER, PACKED_POST), Places)
+    return found.select("video_id", "idx", (F.col("idx") / 25.0).alias("time"), "mask", (F.col("kind") == "close").alias("close_only"), "kind")
+
+
+def _totals(spark, d):
+    """What a run reports per video: frames processed, change frames, events and filtered events."""
+    frames = packed_frames(spark, d)
+    change = packed.change_rows(frames, PACKED_FILTER, PACKED_POST)
+    rows = packed_candidates(spark, d)
+    events = merge_repeats(segment(rows.filter("kind <> 'filtered'").drop("kind"), masks=Places), 2.0 / 25.0, masks=Places)
+    filtered = segment(rows.filter("kind = 'filtered'").drop("kind"), masks=Places)
+    counts = [frames.groupBy("video_id").agg(F.count("*").alias("frames_processed"))]
+    counts += [df.groupBy("video_id").agg(F.count("*").alias(name)) for df, name in ((change, "change_frames"), (events, "events"), (filtered, "filtered"))]
+    out = counts[0]
+    for c in counts[1:]:
+        out = out.join(c, "video_id", "left")
+    return out.na.fill(0)
+
+
+PACKED = f"""WITH RECURSIVE {PIXELS}, {DIFFED}, {PACKED_ROWS},
+rr AS (SELECT video_id, idx, idx / 25.0::DOUBLE AS time, mask, kind = 'close' AS close_only FROM ck WHERE kind IN ('candidate', 'close')),
+{FOLD.format(rows="rr", zero="0::UBIGINT")}, {MERGE.format(rows="se", order="event_no", force="false", gap="0.08::DOUBLE")}"""
+
+
+@query(
+    "rip_packed_events",
+    f"""{PACKED} SELECT video_id, g AS event_no, arg_min(start, k) AS start, arg_max("end", k) AS "end", arg_min(start_frame, k) AS start_frame, arg_max(end_frame, k) AS end_frame,
+    sum(n)::BIGINT AS n, bit_or(mask)::HUGEINT::VARCHAR AS mask, arg_max(source_frame, k) AS source_frame FROM mf JOIN me USING (video_id, k) GROUP BY video_id, g""",
+)
+def rip_packed_events(spark, d):
+    rows = packed_candidates(spark, d).filter("kind <> 'filtered'").drop("kind")
+    events = merge_repeats(segment(rows, masks=Places), 2.0 / 25.0, masks=Places)
+    bits = F.aggregate("mask", F.lit(0).cast("long"), lambda a, p: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), p.cast("int"))))
+    return events.withColumn("mask", F.conv(F.hex(bits), 16, 10))
+
+
+@query(
+    "ag_rip_report",
+    f"""{PACKED}, fr AS (SELECT video_id, idx, idx / 25.0::DOUBLE AS time, change_mask AS mask, false AS close_only FROM ck WHERE kind = 'filtered'),
+    fs AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY idx) AS k FROM fr),
+    ff(video_id, k, no, u, last) AS (SELECT video_id, k, 1, mask, idx FROM fs WHERE k = 1 UNION ALL
+      SELECT s.video_id, s.k, CASE WHEN j.same THEN f.no ELSE f.no + 1 END, CASE WHEN j.same THEN f.u | s.mask ELSE s.mask END, s.idx FROM ff f JOIN fs s ON s.video_id = f.video_id AND s.k = f.k + 1,
+      LATERAL (SELECT bit_count(f.u & s.mask) / bit_count(f.u | s.mask)::DOUBLE >= 0.7 OR s.idx - f.last <= 5 AS same) j)
+    SELECT video_id, frames_processed, coalesce(change_frames, 0) AS change_frames, coalesce(events, 0) AS events, coalesce(filtered, 0) AS filtered
+    FROM (SELECT video_id, count(DISTINCT idx) AS frames_processed FROM px GROUP BY video_id)
+    LEFT JOIN (SELECT video_id, count(*) AS change_frames FROM cr GROUP BY video_id) USING (video_id)
+    LEFT JOIN (SELECT video_id, max(g)::BIGINT AS events FROM mf GROUP BY video_id) USING (video_id)
+    LEFT JOIN (SELECT video_id, max(no)::BIGINT AS filtered FROM ff GROUP BY video_id) USING (video_id)""",
+)
+def ag_rip_report(spark, d):
+    return _totals(spark, d)
 
 
 @query(
@@ -113,6 +180,7 @@ def rip_filtered(spark, d):
 E = f"WITH {EVENTS}"
 COLS = 'video_id, position, start, "end", start_frame, end_frame, n, mask, deleted'
 TIDY = f'SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY start, position) - 1 AS position, start, "end", start_frame, end_frame, n, mask, deleted FROM'
+LATE = TIDY.replace("ORDER BY start, position", "ORDER BY start, late, position")
 SETTLED = """CAST(CASE WHEN hit THEN round(start * 25) ELSE start_frame END AS BIGINT) AS start_frame, CAST(CASE WHEN hit THEN round("end" * 25) ELSE end_frame END AS BIGINT) AS end_frame,
 CAST(CASE WHEN hit THEN greatest(round("end" * 25) - round(start * 25), 1) ELSE n END AS BIGINT) AS n, mask, deleted"""
 
@@ -136,7 +204,7 @@ def mg_purge(spark, d):
     return _out(manager.purge(event_table(spark, d)))
 
 
-@query("mg_recover", f'{E}, a AS (SELECT {COLS} FROM ev WHERE position % 4 <> 1 UNION ALL SELECT video_id, position + 1000000000, start, "end", start_frame, end_frame, n, mask, false FROM ev WHERE position % 4 = 1) {TIDY} a')
+@query("mg_recover", f'{E}, a AS (SELECT {COLS} FROM ev WHERE position % 4 <> 1 UNION ALL SELECT video_id, position, start, "end", start_frame, end_frame, n, mask, false FROM ev WHERE position % 4 = 1) {LATE} (SELECT *, position % 4 = 1 AS late FROM a)')
 def mg_recover(spark, d):
     e = event_table(spark, d)
     return _out(manager.recover(e.filter("position % 4 <> 1"), e.filter("position % 4 = 1")))
@@ -175,36 +243,54 @@ def mg_shift_chosen(spark, d):
     return _out(manager.shift(event_table(spark, d), 500, 25.0, [0, 2]))
 
 
+# Frames with masks for captures: twenty for each event, three apart, some of them empty.
+FRAMES = """fm0 AS (SELECT video_id, position, event_id, unnest(range(0, 20)) AS k FROM e0),
+fm AS (SELECT video_id, position * 50 + event_id % 7 + k * 3 AS idx, (position * 50 + event_id % 7 + k * 3) / 25.0::DOUBLE AS time, bit_or((event_id * 37 + k * 11) % 16 * 16) AS mask FROM fm0 GROUP BY ALL)"""
+CAPTURED = """{to} AS (SELECT e.* EXCLUDE ("end", end_frame, n, mask), coalesce(t2 + 1.0::DOUBLE / 25.0, "end") AS "end", coalesce(i2, end_frame) AS end_frame, coalesce(n2, n) AS n, coalesce(m2, mask) AS mask, n2 IS NOT NULL AS captured
+ FROM {rows} e LEFT JOIN (SELECT e.video_id, e.position, e.half, bit_or(f.mask) AS m2, max(f.idx) AS i2, max(f.time) AS t2, count(*) AS n2
+  FROM {rows} e JOIN fm f ON f.video_id = e.video_id AND f.mask <> 0 AND f.idx BETWEEN e.start_frame AND e.end_frame GROUP BY ALL) USING (video_id, position, half))"""
+
+
+def frame_masks(spark, d):
+    e = event_table(spark, d).select("video_id", "position")
+    ids = table(spark, d, "events").select(F.col("user_id").alias("video_id"), "event_id")
+    ids = ids.withColumn("position", F.row_number().over(W.partitionBy("video_id").orderBy("event_id")) - 1)
+    rows = e.join(ids, ["video_id", "position"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    idx = F.col("position") * 50 + F.col("event_id") % 7 + F.col("k") * 3
+    return rows.groupBy("video_id", idx.alias("idx"), (idx / 25.0).alias("time")).agg(F.bit_or((F.col("event_id") * 37 + F.col("k") * 11) % 16 * 16).alias("mask"))
+
+
 @query(
     "mg_split",
-    f"""{E}, s AS (SELECT *, CASE WHEN position = 1 THEN start + 0.5::DOUBLE WHEN position = 2 THEN "end" + 1.0::DOUBLE END AS t FROM ev),
-    g AS (SELECT *, coalesce(t > start AND t < "end", false) AS hit FROM s),
-    a AS (SELECT video_id, position, start, CASE WHEN hit THEN t ELSE "end" END AS "end", start_frame, end_frame, n, mask, deleted, hit FROM g
-      UNION ALL SELECT video_id, position, t, "end", start_frame, end_frame, n, mask, deleted, hit FROM g WHERE hit),
-    b AS (SELECT video_id, position, start, "end", {SETTLED} FROM a) {TIDY} b""",
+    f"""{E}, {FRAMES}, s AS (SELECT *, CASE WHEN position = 1 THEN start + 0.5::DOUBLE WHEN position = 2 THEN "end" + 1.0::DOUBLE WHEN position = 3 THEN start + 0.04::DOUBLE END AS t FROM ev),
+    g AS (SELECT *, 0 AS half, true AS hit FROM s WHERE t > start AND t < "end" UNION ALL SELECT *, 1 AS half, true AS hit FROM s WHERE t > start AND t < "end"),
+    h AS (SELECT video_id, position, half, CASE half WHEN 0 THEN start ELSE t END AS start, CASE half WHEN 0 THEN t ELSE "end" END AS "end", start_frame, end_frame, n, mask, deleted, hit FROM g),
+    b AS (SELECT video_id, position, half, start, "end", {SETTLED} FROM h), {CAPTURED.format(to="c", rows="b")},
+    ok AS (SELECT video_id, position FROM c GROUP BY ALL HAVING bool_and(captured)),
+    a AS (SELECT {COLS}, 0 AS late FROM ev WHERE (video_id, position) NOT IN (SELECT (video_id, position) FROM ok) UNION ALL SELECT {COLS}, half FROM c SEMI JOIN ok USING (video_id, position)) {LATE} a""",
 )
 def mg_split(spark, d):
     e = event_table(spark, d)
-    at = F.when(F.col("position") == 1, F.col("start") + 0.5).otherwise(F.col("end") + 1.0)
-    return _out(manager.split(e, e.filter("position in (1, 2)").select("video_id", "position", at.alias("t")), 25.0))
+    at = F.when(F.col("position") == 1, F.col("start") + 0.5).when(F.col("position") == 2, F.col("end") + 1.0).otherwise(F.col("start") + 0.04)
+    return _out(manager.split(e, e.filter("position in (1, 2, 3)").select("video_id", "position", at.alias("t")), 25.0, frame_masks(spark, d)))
 
 
 @query(
     "mg_merge",
-    f"""{E}, c AS (SELECT video_id FROM ev WHERE position IN (1, 2) GROUP BY video_id HAVING count(*) = 2),
-    o AS (SELECT video_id, max(position) AS position, min(start) AS start, max("end") AS "end", min(start_frame) AS start_frame, max(end_frame) AS end_frame, sum(n)::BIGINT AS n, bit_or(mask) AS mask, bool_and(deleted) AS deleted
-      FROM ev WHERE position IN (1, 2) AND video_id IN (FROM c) GROUP BY video_id),
-    a AS (SELECT {COLS} FROM ev WHERE NOT (position IN (1, 2) AND video_id IN (FROM c)) UNION ALL SELECT {COLS} FROM o) {TIDY} a""",
+    f"""{E}, {FRAMES}, o AS (SELECT video_id, max(position) AS position, 0 AS half, min(start) AS start, max("end") AS "end", 0 AS start_frame, 0 AS end_frame, 0 AS n, arg_max(mask, position) AS mask, arg_max(deleted, position) AS deleted, true AS hit
+      FROM ev WHERE position IN (1, 2) GROUP BY video_id HAVING count(*) = 2),
+    b AS (SELECT video_id, position, half, start, "end", {SETTLED} FROM o), {CAPTURED.format(to="c", rows="b")},
+    a AS (SELECT {COLS}, 0 AS late FROM ev WHERE NOT (position IN (1, 2) AND video_id IN (SELECT video_id FROM c WHERE captured)) UNION ALL SELECT {COLS}, 1 FROM c WHERE captured) {LATE} a""",
 )
 def mg_merge(spark, d):
-    return _out(manager.merge(event_table(spark, d), (1, 2)))
+    return _out(manager.merge(event_table(spark, d), (2, 1), 25.0, frame_masks(spark, d)))
 
 
 @query(
     "mg_merge_repeat",
     f"""WITH RECURSIVE {EVENTS}, lv AS (SELECT * FROM ev WHERE NOT deleted), {MERGE.format(rows="lv", order="start, position", force="false", gap="1.2::DOUBLE")},
     a AS (SELECT video_id, g - 1 AS position, arg_min(start, k) AS start, arg_max("end", k) AS "end", arg_min(start_frame, k) AS start_frame, arg_max(end_frame, k) AS end_frame, sum(n)::BIGINT AS n, bit_or(mask) AS mask, false AS deleted
-      FROM mf JOIN me USING (video_id, k) GROUP BY video_id, g UNION ALL SELECT video_id, position + 1000000000, start, "end", start_frame, end_frame, n, mask, deleted FROM ev WHERE deleted) {TIDY} a""",
+      FROM mf JOIN me USING (video_id, k) GROUP BY video_id, g UNION ALL SELECT video_id, position, start, "end", start_frame, end_frame, n, mask, deleted FROM ev WHERE deleted) {LATE} (SELECT *, deleted AS late FROM a)""",
 )
 def mg_merge_repeat(spark, d):
     return _out(manager.merge_repeat(event_table(spark, d), 1.2))
@@ -217,8 +303,6 @@ def mg_merge_repeat(spark, d):
     SELECT video_id, position, start, coalesce(t2 + 1.0::DOUBLE / 25.0, "end") AS "end", start_frame, coalesce(i2, end_frame) AS end_frame, coalesce(n2, n) AS n, coalesce(m2, mask) AS mask, deleted FROM ev LEFT JOIN k USING (video_id, position)""",
 )
 def mg_recapture(spark, d):
-    from .bindings import table
-
     idx = F.col("event_id") % 2000
     frames = table(spark, d, "events").groupBy(F.col("user_id").alias("video_id"), idx.alias("idx"), (idx / 25.0).alias("time")).agg(F.bit_or(F.col("event_id") % 256).alias("mask"))
     return _out(manager.recapture(event_table(spark, d), frames, 25.0))
