@@ -26,7 +26,7 @@ def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
 
 
 def yuv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    """Integer luma and chroma: truncated, then held in 0..255."""
+    """Integer luma and chroma: truncated, then held in 0..255.  Fixed values: the weights."""
     held = lambda x: F.least(F.greatest(x.cast("long"), F.lit(0)), F.lit(255)).cast("long")
     return (
         held(0.299 * r + 0.587 * g + 0.114 * b),

@@ -28,17 +28,19 @@ def document(blocks: DataFrame, by: str = "video_id") -> DataFrame:
 
 
 def timeline(events: DataFrame, by: str = "video_id") -> DataFrame:
-    """One JSON document per video: the count and the live events with times to four places."""
-    number = F.row_number().over(W.partitionBy(by).orderBy("position"))
-    item = F.struct(number.alias("index"), text.rounded(F.col("start"), 4).alias("start"), text.rounded(F.col("end"), 4).alias("end"), "start_frame", "end_frame", F.col("n").alias("diff_frames"))
-    rows = live(events).select(by, item.alias("item"))
+    """One JSON document per video: the count and the live events with times to four places; none live: an empty list."""
+    alive = (~F.col("deleted")).cast("int")
+    number = F.sum(alive).over(W.partitionBy(by).orderBy("position"))
+    item = F.struct(number.cast("int").alias("index"), text.rounded(F.col("start"), 4).alias("start"), text.rounded(F.col("end"), 4).alias("end"), "start_frame", "end_frame", F.col("n").alias("diff_frames"))
+    rows = events.select(by, F.when(~F.col("deleted"), item).alias("item"))
     listed = rows.groupBy(by).agg(F.array_sort(F.collect_list("item")).alias("subtitles"))
     return listed.select(by, F.to_json(F.struct(F.size("subtitles").alias("count"), "subtitles")).alias("content"))
 
 
 def project(events: DataFrame, by: str = "video_id") -> DataFrame:
-    """One project document per video with all rows, deleted ones too."""
-    item = F.struct((F.col("position") + 1).alias("index"), "start", "end", "start_frame", "end_frame", F.col("n").alias("diff_frames"), "deleted", text.base64_text(F.unhex(F.lpad(F.hex("mask"), 16, "0"))).alias("roi_mask_b64"))
+    """One project document per video with all rows, deleted ones too; masks as eight bytes, or as a list of places."""
+    bits = text.base64_text(F.unhex(F.lpad(F.hex("mask"), 16, "0"))).alias("roi_mask_b64") if "array" not in events.schema["mask"].dataType.simpleString() else F.col("mask").alias("roi_mask_places")
+    item = F.struct((F.col("position") + 1).alias("index"), "start", "end", "start_frame", "end_frame", F.col("n").alias("diff_frames"), "deleted", bits)
     rows = events.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("subtitles"))
     return rows.select(by, F.to_json(F.struct(F.lit("reelframe-project").alias("format"), F.lit(2).alias("version"), "subtitles")).alias("content"))
 

@@ -145,7 +145,12 @@ def pick(pixels: DataFrame, x: Column, y: Column, width: int, height: int) -> Da
 
 
 def compose(pixels: DataFrame, hits: DataFrame, mode: str, width: int) -> DataFrame:
-    """Preview rows: raw, mask (white on black), overlay, or combo (overlay to the right of raw)."""
+    """Preview rows: raw, mask (white on black), overlay, or combo (overlay to the right of raw).
+
+    The mode ocr, what would be exported, is a picture and no pixel rows: see ``sources.writers.previews``.
+    """
+    if mode == "ocr":
+        raise ValueError("sources.writers.previews renders this mode")
     hit = F.coalesce(F.col("hit"), F.lit(False))
     both = pixels.join(hits.select(*KEYS, "pos", F.lit(True).alias("hit")), [*KEYS, "pos"], "left")
     rgb = tuple(F.col(c) for c in "rgb")

@@ -66,6 +66,7 @@ def script(events: DataFrame, cfg: Config, width: int, height: int, origin: tupl
 
     st = cfg.style
     name = "Extracted" if st.no_default_style else "Default"
+    # The headings of the script format.
     head = (
         f"[Script Info]\nScriptType: v4.00+\nPlayResX: {width}\nPlayResY: {height}\nWrapStyle: 0\nScaledBorderAndShadow: yes\n\n[V4+ Styles]\nFormat: {STYLE_FORMAT}\n"
         f"Style: {name},{st.font_name},36,{st.primary_color},{st.secondary_color},{st.outline_color_ssa},{st.shadow_color},0,0,0,0,100,100,0,0,1,{st.outline_width},{st.shadow_depth},2,10,10,10,1\n\n"
@@ -115,6 +116,36 @@ def _colour(code: str, default: tuple) -> tuple:
     return tuple(int(t[i : i + 2], 16) for i in (0, 2, 4)) if len(t) == 6 and all(c in "0123456789abcdefABCDEF" for c in t) else default
 
 
+def _picture(places: list[int], w: int, h: int, ocr) -> np.ndarray:
+    """The rendered tile of a mask that is not empty, with its margins cut and padding added."""
+    fg, bg = _colour(ocr.text_color, (0, 0, 0)), _colour(ocr.bg_color, (255, 255, 255))
+    mask = np.zeros(w * h, bool)
+    mask[np.array(places, np.int64)] = True
+    mask = mask.reshape(h, w)
+    y, x = np.nonzero(mask)
+    tile = render.tile(mask[y.min() : y.max() + 1, x.min() : x.max() + 1], scale=ocr.scale, mode=ocr.color_mode.strip().lower(), antialias=ocr.antialias, supersample=ocr.supersample, dilate=ocr.stroke_dilate, gamma=ocr.coverage_gamma, threshold=ocr.binary_threshold, despeckle=ocr.despeckle_min_area, fg=fg, bg=bg)
+    return render.trim_and_pad(tile, ocr, bg)
+
+
+def previews(frames: DataFrame, cfg: Config) -> DataFrame:
+    """What each frame's mask would be exported as: video_id, idx, width, height, content (PNG); nulls for an empty mask.
+
+    frames: video_id, idx, mask (places), roi_w, roi_h.
+    """
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for places, w, h in zip(*[b.column(c).to_pylist() for c in ("mask", "roi_w", "roi_h")], strict=True):
+                image = render.finished(_picture(places, w, h, cfg.output.ocr), cfg.output.ocr) if places else None
+                out.append((None, None, None) if image is None else (image.shape[1], image.shape[0], render.png(np.ascontiguousarray(image))))
+            arrays = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))]
+            yield pa.RecordBatch.from_arrays([b.column("video_id"), b.column("idx"), *arrays], ["video_id", "idx", "width", "height", "content"])
+
+    source = frames.select(F.col("video_id").cast("string").alias("video_id"), F.col("idx").cast("long"), "mask", F.col("roi_w").cast("int"), F.col("roi_h").cast("int"))
+    return source.mapInArrow(run, "video_id string, idx long, width int, height int, content binary")
+
+
 def tiles(events: DataFrame, cfg: Config) -> DataFrame:
     """Pictures of live events, per_image positions on a canvas: rows of (video_id, name, content).
 
@@ -123,21 +154,13 @@ def tiles(events: DataFrame, cfg: Config) -> DataFrame:
     """
     ocr = cfg.output.ocr
     encode, ext = (render.bmp, "bmp") if ocr.format.lower().strip().lstrip(".") == "bmp" else (render.png, "png")
-    fg, bg = _colour(ocr.text_color, (0, 0, 0)), _colour(ocr.bg_color, (255, 255, 255))
-
-    def picture(places, w, h):
-        mask = np.zeros(w * h, bool)
-        mask[np.array(places, np.int64)] = True
-        mask = mask.reshape(h, w)
-        y, x = np.nonzero(mask)
-        tile = render.tile(mask[y.min() : y.max() + 1, x.min() : x.max() + 1], scale=ocr.scale, mode=ocr.color_mode.strip().lower(), antialias=ocr.antialias, supersample=ocr.supersample, dilate=ocr.stroke_dilate, gamma=ocr.coverage_gamma, threshold=ocr.binary_threshold, despeckle=ocr.despeckle_min_area, fg=fg, bg=bg)
-        return render.trim_and_pad(tile, ocr, bg)
+    bg = _colour(ocr.bg_color, (255, 255, 255))
 
     def run(batches):
         for b in batches:
             out = []
             for v, number, items in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                image = render.finished(render.side_by_side([picture(i["mask"], i["roi_w"], i["roi_h"]) for i in items], bg=bg), ocr)
+                image = render.finished(render.side_by_side([_picture(i["mask"], i["roi_w"], i["roi_h"], ocr) for i in items], bg=bg), ocr)
                 cut = render.blank_split(image, bg) if ocr.divid_into_2_lines and len(image) >= 12 else None
                 parts = [("", image)] if cut is None else list(zip(("_top", "_bottom"), render.halves(image, cut), strict=True))
                 out += [(v, f"{v}/subtitle_{number:04d}{tag}.{ext}", encode(np.ascontiguousarray(part))) for tag, part in parts]
@@ -183,6 +206,7 @@ def subpictures(events: DataFrame, cfg: Config, width: int, height: int) -> Data
     placed = artifacts.offsets(frames, F.octet_length("frame") - 8)
     ordered = placed.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("position", "start", "offset", "frame"))).alias("s"))
     colours = ", ".join("%02x%02x%02x" % tuple(_yuv(c)) for c in (outline, main, (255, 255, 255), (0, 0, 0))) + ", 000000" * 12
+    # The headings of the container's index.
     head = (
         f"# VobSub index file, v7 (do not modify this line!)\nsize: {width}x{height}\norg: 0, 0\nscale: 100%, 100%\nsmooth: OFF\nfade: 0, 0\nalign: 0, 0\ntime offset: 0\nforced subs: OFF\n"
         "# Custom colors (transp idxs and the four colors)\ncustom colors: OFF, tridx: 1110, colors: 0, 0, ffffff, 000000\n"
@@ -197,6 +221,24 @@ def subpictures(events: DataFrame, cfg: Config, width: int, height: int) -> Data
     return both.select("video_id", F.concat("video_id", F.col("f.e")).alias("name"), F.col("f.c").alias("content"))
 
 
+def everything(events: DataFrame, cfg: Config, width: int, height: int, origin: tuple[int, int] = (0, 0)) -> DataFrame:
+    """All artifacts the configuration asks for, as rows of (video_id, name, content).
+
+    Videos without a live event have only their timeline and project; the project keeps deleted events.  The bitmap
+    container needs the events' image column.
+    """
+    out = texts(events, cfg)
+    if cfg.output.ssa:
+        out = out.unionByName(script(events, cfg, width, height, origin))
+    if cfg.output.vobsub and "image" in events.columns:
+        out = out.unionByName(subpictures(events, cfg, width, height))
+    if cfg.output.ocr_png:
+        out = out.unionByName(tiles(events, cfg))
+    if cfg.output.srt and cfg.output.srt_bitmap:
+        out = out.unionByName(bitmap_subtitles(events, cfg))
+    return out
+
+
 def store(rows: DataFrame, path: str) -> None:
-    """Artifact rows as Parquet, partitioned by nothing: readers select by name."""
+    """Artifact rows as Parquet, partitioned by nothing: readers select by name.  What an earlier run left there goes."""
     rows.write.mode("overwrite").parquet(path)

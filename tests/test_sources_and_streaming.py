@@ -76,3 +76,24 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     query.stop()
     got = sorted(tuple(r) for r in spark.table("events_out").select(columns).collect())
     assert got == want and got
+
+
+def test_everything_a_configuration_asks_for(spark, sf_dir):
+    places = F.expr("filter(sequence(0L, 7L), p -> (shiftright(mask, cast(p as int)) & 1) = 1)")
+    events = event_table(spark, sf_dir).filter("video_id < 3").withColumn("deleted", F.col("deleted") | (F.col("video_id") == 2))
+    rows = events.withColumns({"mask": places, "roi_w": F.lit(2), "roi_h": F.lit(4), "image": F.unhex(F.lit("FFFFFF" * 8))})
+    kinds = lambda cfg: {(r.video_id, r.name.replace("_subs", ".subs").split("/")[0].split(".", 1)[-1]) for r in writers.everything(rows, Config.from_json(cfg), 64, 36).select("video_id", "name").collect()}
+    always = {("2", "esr"), ("2", "timeline.json")}
+    assert kinds('{"output": {"srt_bitmap": true}}') - {("0", x) for x in ("esr", "srt", "ass", "sub", "idx", "0", "subs", "timeline.json")} == always | {("1", x) for x in ("esr", "srt", "ass", "sub", "idx", "1", "subs", "timeline.json")}
+    none = kinds('{"output": {"ssa": false, "vobsub": false, "ocr_png": false, "srt": false, "json_timeline": false}}')
+    assert {k for _, k in none} == {"esr"} and ("2", "esr") in none
+    made = {r.name: json.loads(bytes(r.content)) for r in writers.everything(rows, Config(), 64, 36).filter("name in ('2.timeline.json', '2.esr')").collect()}
+    assert made["2.timeline.json"] == {"count": 0, "subtitles": []} and len(made["2.esr"]["subtitles"]) == events.filter("video_id = 2").count()
+
+
+def test_previews_show_what_would_be_exported(spark):
+    frames = spark.createDataFrame([(1, 0, [0, 1, 3], 2, 2), (1, 1, [], 2, 2), (2, 0, None, 2, 2)], "video_id long, idx long, mask array<long>, roi_w int, roi_h int")
+    got = {(r.video_id, r.idx): r for r in writers.previews(frames, Config()).collect()}
+    one = got["1", 0]
+    assert bytes(one.content[:4]) == b"\x89PNG" and one.width >= 2 and one.height >= 2
+    assert got["1", 1].content is None and got["2", 0].width is None
