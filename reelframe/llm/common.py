@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,9 +15,11 @@ TOKEN_RE = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one is set only where the session names none (tests)."""
+    """The folder all executors share.  Where the session names none, a temporary one is set on a local master (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="reelframe-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -26,11 +29,19 @@ def new_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts lineage: df written to the shared folder and read back, so a lost executor costs only its running tasks."""
-    path = new_path(df.sparkSession, tag)
+def materialize(df: DataFrame, tag: str, instead_of: DataFrame | None = None) -> DataFrame:
+    """Cuts lineage: df written to the shared folder and read back, so a lost executor costs only its running tasks.
+
+    instead_of, a result of this function that nothing needs any more, is removed from the folder afterwards.
+    """
+    spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    if instead_of is not None:
+        old = spark._jvm.org.apache.hadoop.fs.Path(instead_of.stored_at)
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
+    return out
 
 
 def crc_mod(column: str, n: int):

@@ -31,7 +31,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(least, "a")
         small = joined.filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", "m"))
-        links = materialize(small.distinct(), "links")
+        links = materialize(small.distinct(), "links", instead_of=links)
         after = _state(links)
         if after == before:
             break
