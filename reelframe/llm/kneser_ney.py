@@ -29,7 +29,10 @@ RUN = 1_500_000
 SPREAD_BITS = 4
 #: White space cannot be part of a token, so no token has these hashes' names.
 BEGIN, END = xxhash.xxh64_intdigest(b" begin"), xxhash.xxh64_intdigest(b" end")
-WORD = np.dtype([("total", "<u4"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"), ("before", "<u4"), ("count", "<u4")])
+#: What is stored of a word: its bigrams as first word (all, distinct ones with counts 1, 2, 3 or more), words before it, count.
+WORD = ("total", "n1", "n2", "n3", "before", "count")
+#: Text a shard of bigrams and one of words may stand for: their counts are merged in one task's memory.
+SHARD_BYTES, WORD_SHARD_BYTES = 1 << 26, 1 << 28
 
 
 class _Hashes(dict):
@@ -55,14 +58,15 @@ def bigram_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return x ^ x >> np.uint64(29)
 
 
-def _pack(counts: np.ndarray) -> tuple[bytes, bytes]:
-    """Counts as bytes, with 255 for those listed in the second part as (position, count)."""
-    large = np.flatnonzero(counts >= 255)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes(), np.stack([large, counts[large]], 1).astype("<i8").tobytes()
+def _pack(counts: np.ndarray, kind=np.uint8) -> tuple[bytes, bytes]:
+    """Counts in a narrow kind, with its largest value for those listed in the second part as (position, count)."""
+    top = np.iinfo(kind).max
+    large = np.flatnonzero(counts >= top)
+    return np.minimum(counts, top).astype(kind).tobytes(), np.stack([large, counts[large]], 1).astype("<i8").tobytes()
 
 
-def _unpack(small: bytes, large: bytes) -> np.ndarray:
-    out = np.frombuffer(small, np.uint8).astype(np.int64)
+def _unpack(small: bytes, large: bytes, kind=np.uint8) -> np.ndarray:
+    out = np.frombuffer(small, kind).astype(np.int64)
     place = np.frombuffer(large, "<i8").reshape(-1, 2)
     out[place[:, 0]] = place[:, 1]
     return out
@@ -150,7 +154,7 @@ def _map(folder: str, name: str, kind) -> np.ndarray:
         return np.memmap(copy.name, kind, "r") if copy.tell() else np.zeros(0, kind)
 
 
-PARTS = "shard int, words binary, values binary, tally binary"
+PARTS = "shard int, words binary, small binary, large binary, tally binary"
 
 
 def _merge_runs(folder: str, word_shards: int):
@@ -176,16 +180,14 @@ def _merge_runs(folder: str, word_shards: int):
         values[:n, :4] = np.stack(left, 1)
         values[n:, 4:] = np.stack(right, 1)
         (words,), sums = _sum_by([words], list(values.T))
-        values = np.stack(sums, 1).astype("<u4")
+        values = np.stack(sums, 1)
         tally = np.array([(counts == k).sum() for k in (1, 2, 3, 4)] + [len(counts)], "<i8").tobytes()
         at = (words >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(words), np.int64)
         cuts = np.searchsorted(at, np.arange(word_shards + 1))  # words are in order, and so are their shards
         full = [w for w in range(word_shards) if cuts[w + 1] > cuts[w]]
-        part = lambda x: [x[cuts[w] : cuts[w + 1]].tobytes() for w in full]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(full, pa.int32()), pa.array(part(words), pa.binary()), pa.array(part(values), pa.binary()), pa.array([tally] + [b""] * (len(full) - 1), pa.binary())],
-            ["shard", "words", "values", "tally"],
-        )
+        small, large = zip(*(_pack(values[cuts[w] : cuts[w + 1]].ravel(), np.uint32) for w in full), strict=True)
+        columns = [[words[cuts[w] : cuts[w + 1]].tobytes() for w in full], small, large, [tally] + [b""] * (len(full) - 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32())] + [pa.array(c, pa.binary()) for c in columns], ["shard", "words", "small", "large", "tally"])
 
     return _by_shard(finish)
 
@@ -214,14 +216,13 @@ STATS = "words long, tokens long, bigrams array<long>, before array<long>, known
 def _merge_words(folder: str):
     def finish(shard: int, rows: list[tuple]):
         words = np.concatenate([np.frombuffer(r[0], np.uint64) for r in rows])
-        values = np.concatenate([np.frombuffer(r[1], "<u4").reshape(-1, 6) for r in rows]).astype(np.int64)
-        tally = sum((np.frombuffer(r[2], "<i8") for r in rows if r[2]), np.zeros(5, np.int64))
+        values = np.concatenate([_unpack(r[1], r[2], np.uint32).reshape(-1, len(WORD)) for r in rows])
+        tally = sum((np.frombuffer(r[3], "<i8") for r in rows if r[3]), np.zeros(5, np.int64))
         (words,), sums = _sum_by([words], list(values.T))
-        table = np.zeros(len(words), WORD)
-        for name, v in zip(WORD.names, sums, strict=True):
-            table[name] = np.minimum(v, 0xFFFFFFFF)
+        small, large = _pack(np.stack(sums, 1).ravel(), np.uint32)
         _write(folder, f"word-{shard}.keys", words)
-        _write(folder, f"word-{shard}.values", table.view(np.uint8))
+        _write(folder, f"word-{shard}.small", np.frombuffer(small, np.uint8))
+        _write(folder, f"word-{shard}.large", np.frombuffer(large, "<i8"))
         before, count = sums[4], sums[5]
         tallies = [int((before == k).sum()) for k in (1, 2, 3, 4)] + [int(before.sum()), int((before >= 3).sum())]
         yield pa.RecordBatch.from_arrays(
@@ -259,11 +260,13 @@ def fit(texts: DataFrame) -> Model:
     """Counts the single string column of texts.  An empty table gives a model with no tokens."""
     spark = texts.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shards = 1 << max(SPREAD_BITS, (2 * width - 1).bit_length())
-    word_shards = 1 << (width - 1).bit_length()
+    size = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
+    shards = 1 << max(SPREAD_BITS, (max(2 * width, size // SHARD_BYTES) - 1).bit_length())
+    word_shards = 1 << (max(width, size // WORD_SHARD_BYTES) - 1).bit_length()
+    tasks = max(width, shards // 4)
     folder = f"{shared_dir(spark)}/kneser-ney-{uuid.uuid4().hex}"
     runs = texts.mapInArrow(_count_runs(shards), RUNS)
-    parts = runs.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(_merge_runs(folder, word_shards), PARTS)
+    parts = runs.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(_merge_runs(folder, word_shards), PARTS)
     stats = parts.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(_merge_words(folder), STATS).collect()
     total = lambda get: sum((np.array(get(r), np.int64) for r in stats), np.zeros_like(get(stats[0]))) if stats else None
     bigrams = [int(x) for x in total(lambda r: r["bigrams"])] if stats else [0] * 5
@@ -295,18 +298,24 @@ class Reader:
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return at, keys[at] == wanted
 
-    def words(self, wanted: np.ndarray) -> np.ndarray:
+    def words(self, wanted: np.ndarray) -> dict[str, np.ndarray]:
         """Values of words given by ascending hashes; zeros for unknown ones."""
-        out = np.zeros(len(wanted), WORD)
+        out = np.zeros((len(wanted), len(WORD)), np.int64)
         bits = self.model.word_shards.bit_length() - 1
         shard = (wanted >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(wanted), np.int64)
         cuts = np.searchsorted(shard, np.arange(self.model.word_shards + 1))
         for s in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[s], cuts[s + 1]
             at, hit = self._find(self._get(f"word-{s}.keys", np.uint64), wanted[a:b])
-            if hit.any():
-                out[a:b][hit] = self._get(f"word-{s}.values", WORD)[at[hit]]
-        return out
+            if not hit.any():
+                continue
+            found = self._get(f"word-{s}.small", np.uint32).reshape(-1, len(WORD))[at[hit]].astype(np.int64)
+            if (big := np.argwhere(found == 0xFFFFFFFF)).size:
+                large = np.asarray(self._get(f"word-{s}.large", "<i8")).reshape(-1, 2)
+                where = at[hit][big[:, 0]] * len(WORD) + big[:, 1]
+                found[big[:, 0], big[:, 1]] = large[np.searchsorted(large[:, 0], where), 1]
+            out[a:b][hit] = found
+        return dict(zip(WORD, out.T, strict=True))
 
     def bigrams(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
         """Counts of bigrams; each is looked up once."""
