@@ -1,16 +1,20 @@
 """Near-duplicate vectors through hierarchical navigable small-world graphs, one graph per shard.
 
-Equal vectors are one node.  Nodes are dealt to shards; a shard's task builds the graph of its own nodes and then streams all
-nodes through it as queries.  Searches run in lock step over a block of queries, so every step is a few array operations.
-A search descends the levels, fills a beam on the lowest one, and then follows links from every node found within the
-threshold until no new one turns up.  An audit compares some queries of each block with an exact scan of the shard; while
-it misses links, the beam widens.  Cosines are verified in double precision.
+Equal vectors are one node.  Nodes are stored once in the shared folder and dealt to shards; a shard's task builds the graph of
+its own nodes and then reads all nodes from the folder as queries, a batch at a time, so queries are not shuffled.  Searches run
+in lock step over a block of queries, so every step is a few array operations.  A search descends the levels, fills a beam
+on the lowest one, and then follows links from every node found within the threshold until no new one turns up.  Before
+that, an audit compares queries drawn from all nodes with an exact scan of the shard; while it misses links, the beam
+widens.  Cosines are verified in double precision.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.dataset as ds
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +27,8 @@ THRESHOLD = 0.9
 SHARD_NODES, LEAST_SHARDS = 262_144, 6
 LINKS, BUILD_BEAM, BEAM = 12, 32, 16
 BLOCK = 1024
-AUDITED, RECALL = 32, 0.99
+#: Queries drawn for a shard's audit, the recall it asks for, and the draws they are chosen from.
+AUDITED, RECALL, DRAWS = 1024, 0.99, 1 << 30
 
 
 class Graph:
@@ -179,99 +184,130 @@ class Graph:
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def audited(graph: Graph, q: np.ndarray, threshold: float, beam: int = BEAM) -> tuple[np.ndarray, np.ndarray, int]:
-    """within(), with the beam doubled until an exact scan for some queries finds at most 1 % more links."""
-    sample = np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int)
-    true = (q[sample] @ graph.x.T >= threshold).sum()
+def audited_beam(graph: Graph, q: np.ndarray, own: np.ndarray, threshold: float, beam: int = BEAM) -> tuple[int, int, int]:
+    """(beam, links met, links there are): the beam is doubled until a search for q meets enough of the links that an exact
+    scan finds.  own: the node each query is itself, or -1; that one is no link."""
+    there = 0
+    for low in range(0, len(q), 64):
+        hit = q[low : low + 64] @ graph.x.T >= threshold
+        mine = np.flatnonzero(own[low : low + 64] >= 0)
+        hit[mine, own[low + mine]] = False
+        there += int(hit.sum())
     while True:
-        row, node = graph.within(q, threshold, beam)
-        met = np.isin(row, sample).sum()
-        if met >= RECALL * true or beam >= len(graph.x):
-            return row, node, beam
+        met, step = 0, _block(graph)
+        for low in range(0, len(q), step):
+            row, node = graph.within(q[low : low + step], threshold, beam)
+            met += int((node != own[row + low]).sum())
+        if met >= RECALL * there or beam >= len(graph.x):
+            return beam, met, there
         beam *= 2
 
 
-ROLE = "shard int, role int, key long, weight long, vector binary"
+def _block(graph: Graph) -> int:
+    """Queries searched together: a bound of the memory for what they have seen."""
+    return max(16, min(BLOCK, 32_000_000 // max(len(graph.x), 1)))
 
 
-def _search_shards(threshold: float):
-    """Rows of whole shards, own nodes (role 0) before queries (role 1) -> links counted and components contracted."""
+def _stored(folder: str, draws: int | None = None):
+    """Batches (node, weight, vector) of the stored nodes; with draws those whose draw is less."""
+    system, path = pafs.FileSystem.from_uri(folder)
+    table = ds.dataset(path, filesystem=system, format="parquet")
+    where = None if draws is None else ds.field("draw") < draws
+    for batch in table.to_batches(columns=["node", "weight", "vector"], filter=where, batch_size=4 * BLOCK, batch_readahead=1, fragment_readahead=1, use_threads=False):
+        if batch.num_rows:
+            yield batch
 
-    def run(batches):
-        state = {"shard": None}
-
-        def begin(shard):
-            state.update(shard=shard, own=[], graph=None, queue=[], beam=BEAM)
-
-        def flush():
-            if state["graph"] is None:
-                own = state["own"]
-                state["keys"] = np.array([o[0] for o in own], np.int64)
-                state["weights"] = np.array([o[1] for o in own], np.int64)
-                state["double"] = {}
-                dims = {}
-                for i, o in enumerate(own):
-                    dims.setdefault(len(o[2]), []).append(i)
-                state["graph"] = {}
-                for d, at in dims.items():
-                    v = np.stack([np.frombuffer(own[i][2], np.float64) for i in at])
-                    state["graph"][d] = (Graph(v), np.array(at), v)
-                state["own"] = []
-            queue, state["queue"] = state["queue"], []
-            by = {}
-            for o in queue:
-                by.setdefault(len(o[2]), []).append(o)
-            for d, rows in by.items():
-                if d not in state["graph"]:
-                    continue
-                graph, at, exact = state["graph"][d]
-                keys = np.array([r[0] for r in rows], np.int64)
-                q = np.stack([np.frombuffer(r[2], np.float64) for r in rows])
-                step = max(16, min(BLOCK, 32_000_000 // max(len(graph.x), 1)))
-                for low in range(0, len(rows), step):
-                    # Single precision is off by less than 1e-5; doubles decide.
-                    row, node, state["beam"] = audited(graph, q[low : low + step].astype(np.float32), threshold - 1e-5, state["beam"])
-                    row = row + low
-                    sure = np.concatenate([np.einsum("id,id->i", q[row[i : i + 262_144]], exact[node[i : i + 262_144]]) >= threshold for i in range(0, len(row), 262_144)] or [np.zeros(0, bool)])
-                    row, node = row[sure], at[node[sure]]
-                    other = keys[row] != state["keys"][node]
-                    row, node = row[other], node[other]
-                    if not len(row):
-                        continue
-                    n = np.bincount(row, weights=state["weights"][node], minlength=len(rows)).astype(np.int64)
-                    hit = np.flatnonzero(n)
-                    a, b = _forest(keys[row], state["keys"][node])
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.r_[keys[hit], a]), pa.array(np.r_[n[hit], b]), pa.array(np.r_[np.zeros(len(hit), bool), np.ones(len(a), bool)])], ["a", "b", "edge"]
-                    )
 
+def _by_length(batch: pa.RecordBatch):
+    """(positions, vectors) of the rows of each vector length."""
+    vectors = batch.column("vector")
+    size = pc.binary_length(vectors).to_numpy(zero_copy_only=False)
+    for n in np.unique(size):
+        at = np.flatnonzero(size == n)
+        some = vectors if len(at) == len(size) else vectors.take(pa.array(at))
+        yield at, np.frombuffer(b"".join(some.to_pylist()), np.float64).reshape(len(at), -1)
+
+
+class _Part:
+    """The vectors of one length of a shard, with their graph and the beam its audit asks for."""
+
+    def __init__(self, node: np.ndarray, weight: np.ndarray, exact: np.ndarray):
+        order = np.argsort(node)
+        self.node, self.weight, self.exact = node[order], weight[order], exact[order]
+        self.graph, self.beam, self.audit = Graph(self.exact), BEAM, (0, 0)
+
+    def own(self, node: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.node, node), len(self.node) - 1)
+        return np.where(self.node[at] == node, at, -1)
+
+    def links(self, node: np.ndarray, q: np.ndarray, threshold: float):
+        """(node, number of links) and (node, node) of a forest of the links of some queries."""
+        step = _block(self.graph)
+        for low in range(0, len(q), step):
+            some, names = q[low : low + step], node[low : low + step]
+            # Single precision is off by less than 1e-5; doubles decide.
+            row, met = self.graph.within(some.astype(np.float32), threshold - 1e-5, self.beam)
+            sure = np.concatenate([np.einsum("id,id->i", some[row[i : i + 262_144]], self.exact[met[i : i + 262_144]]) >= threshold for i in range(0, len(row), 262_144)] or [np.zeros(0, bool)])
+            row, met = row[sure], met[sure]
+            other = names[row] != self.node[met]
+            row, met = row[other], met[other]
+            if len(row):
+                n = np.bincount(row, weights=self.weight[met], minlength=len(some)).astype(np.int64)
+                hit = np.flatnonzero(n)
+                yield (names[hit], n[hit]), _forest(names[row], self.node[met])
+
+
+def _search_shards(folder: str, draws: int, threshold: float):
+    """Rows (shard, node, weight, vector) of whole shards -> links counted (kind 0), a forest of links (1), audits (2)."""
+
+    def rows(a, b, kind):
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), pa.array(np.full(len(a), kind, np.int32))], ["a", "b", "kind"])
+
+    def search(held: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+        node, weight = table.column("node").to_numpy(), table.column("weight").to_numpy()
+        parts = {v.shape[1]: _Part(node[at], weight[at], v) for at, v in _by_length(table)}
+        sample: dict[int, list] = {}
+        for batch in _stored(folder, draws):
+            for at, v in _by_length(batch):
+                sample.setdefault(v.shape[1], []).append((batch.column("node").to_numpy()[at], v))
+        for n, part in parts.items():
+            if n in sample:
+                names, q = (np.concatenate(x) for x in zip(*sample[n], strict=True))
+                part.beam, met, there = audited_beam(part.graph, q.astype(np.float32), part.own(names), threshold)
+                yield rows([met], [there], 2)
+        for batch in _stored(folder):
+            names = batch.column("node").to_numpy()
+            for at, v in _by_length(batch):
+                if v.shape[1] in parts:
+                    for counted, forest in parts[v.shape[1]].links(names[at], v, threshold):
+                        yield rows(*counted, 0)
+                        yield rows(*forest, 1)
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            for shard, role, key, weight, vector in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if shard != state["shard"]:
-                    if state["shard"] is not None:
-                        yield from flush()
-                    begin(shard)
-                if role == 0:
-                    state["own"].append((key, weight, vector))
-                else:
-                    state["queue"].append((key, weight, vector))
-                    if len(state["queue"]) >= BLOCK:
-                        yield from flush()
-        if state["shard"] is not None:
-            yield from flush()
+            shard = batch.column("shard").to_numpy()
+            cuts = [0, *(np.flatnonzero(shard[1:] != shard[:-1]) + 1).tolist(), len(shard)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True) if len(shard) else ():
+                if held and held[0].column("shard")[0].as_py() != shard[low]:
+                    yield from search(held)
+                    held = []
+                held.append(batch.slice(low, high - low))
+        if held:
+            yield from search(held)
 
     return run
 
 
 def _unit(batches):
     for b in batches:
-        lists = b.column("v").to_pylist()
         out = []
-        for x in lists:
+        for x in b.column("v").to_pylist():
             x = np.array(x, np.float64)
             x = x / np.abs(x).max()
             out.append((x / np.sqrt(x @ x)).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("key"), b.column("weight"), b.column("low"), pa.array(out, pa.binary())], ["key", "weight", "low", "vector"])
+        yield pa.RecordBatch.from_arrays([b.column(c) for c in ("node", "one", "two", "weight", "low", "draw")] + [pa.array(out, pa.binary())], [*"node one two weight low draw vector".split()])
 
 
 def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD, shard_nodes: int = SHARD_NODES, shards: int = 0) -> DataFrame:
@@ -279,31 +315,41 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", column: str = "e
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing and are their own
     component; vectors of different length never link; equal vectors link with each other.  A row without vec_id counts
-    as a link of others but names no component (its own is that of its links, or null).  An empty table gives no rows.
+    as a link of others but names no component (its own is that of its links, or null).  Rows that repeat a vec_id count
+    each.  An empty table gives no rows; other columns are not read.
     """
+    return search(vectors, id_col, column, threshold, shard_nodes, shards)[0]
+
+
+def search(vectors: DataFrame, id_col: str = "vec_id", column: str = "embedding", threshold: float = THRESHOLD, shard_nodes: int = SHARD_NODES, shards: int = 0) -> tuple[DataFrame, tuple[int, int]]:
+    """near_duplicates() and what its audits saw: (links met, links there are) of the queries drawn, over all shards."""
     spark = vectors.sparkSession
     v = F.col(f"`{column}`").cast("array<double>")
     finite = ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = v.isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("vec_id"), F.when(good, v).alias("v"))
-    rows = rows.select("vec_id", F.when(F.col("v").isNotNull(), F.xxhash64("v")).alias("key"), "v")
-    grouped = rows.filter("v is not null").groupBy("key").agg(F.count("*").alias("weight"), F.min("vec_id").alias("low"), F.first("v").alias("v"))
-    nodes = materialize(grouped.mapInArrow(_unit, "key long, weight long, low long, vector binary"), "nodes")
+    # Two hashes of 64 bits stand for a vector: that two of 10**12 different vectors share both has a probability of 2e-15.
+    one, two = F.xxhash64("v"), F.xxhash64(F.lit("second"), "v")
+    rows = rows.select("vec_id", *[F.when(F.col("v").isNotNull(), h).alias(c) for c, h in (("one", one), ("two", two))], "v")
+    grouped = rows.filter("v is not null").groupBy("one", "two").agg(F.count("*").alias("weight"), F.min("vec_id").alias("low"), F.first("v").alias("v"))
+    grouped = grouped.withColumns({"node": F.monotonically_increasing_id(), "draw": F.pmod("two", F.lit(DRAWS)).cast("int")})
+    nodes = materialize(grouped.mapInArrow(_unit, "node long, one long, two long, weight long, low long, draw int, vector binary"), "nodes")
     n = nodes.count()
     count = shards or max(LEAST_SHARDS, -(-n // shard_nodes))
-    own = nodes.select(F.pmod(F.col("key"), F.lit(count)).cast("int").alias("shard"), F.lit(0).alias("role"), "key", "weight", "vector")
-    asked = nodes.select(F.explode(F.sequence(F.lit(0), F.lit(count - 1))).alias("shard"), F.lit(1).alias("role"), "key", "weight", "vector")
     place = F.get(F.array(*[F.lit(k) for k in spread_keys(spark, count)]), F.col("shard"))
-    dealt = own.unionByName(asked).repartition(count, place).sortWithinPartitions("shard", "role", "key")
-    found = materialize(dealt.mapInArrow(_search_shards(threshold), "a long, b long, edge boolean"), "found")
-    roots = connected_components(found.filter("edge").select("a", "b"))
-    linked = roots.join(nodes.select(F.col("key").alias("node"), "low"), "node")
+    own = nodes.select(F.pmod(F.col("one"), F.lit(count)).cast("int").alias("shard"), "node", "weight", "vector")
+    dealt = own.repartition(count, place).sortWithinPartitions("shard")
+    drawn = -(-AUDITED * DRAWS // max(n, 1))  # about AUDITED queries, all of them if there are fewer
+    found = materialize(dealt.mapInArrow(_search_shards(nodes.stored_at, drawn, threshold), "a long, b long, kind int"), "found")
+    roots = connected_components(found.filter("kind = 1").select("a", "b"))
+    linked = roots.join(nodes.select("node", "low"), "node")
     named = linked.groupBy("root").agg(F.min("low").alias("component"))
-    moved = linked.join(named, "root").select(F.col("node").alias("key"), "component")
-    counts = found.filter("not edge").groupBy(F.col("a").alias("key")).agg(F.sum("b").alias("n"))
-    known = nodes.select("key", "weight", "low").join(moved, "key", "left").join(counts, "key", "left")
-    known = known.select("key", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("component", "low").alias("component"))
-    joined = rows.select("vec_id", "key").join(known, "key", "left")
-    component = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component"))
+    moved = linked.join(named, "root").select("node", "component")
+    counts = found.filter("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("n"))
+    known = nodes.select("node", "one", "two", "weight", "low").join(moved, "node", "left").join(counts, "node", "left")
+    known = known.select("one", "two", (F.col("weight") - 1 + F.coalesce("n", F.lit(0))).alias("links"), F.coalesce("component", "low").alias("component"))
+    joined = rows.select("vec_id", "one", "two").join(known, ["one", "two"], "left")
+    component = F.when(F.col("one").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     out = joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    audit = found.filter("kind = 2").agg(F.sum("a"), F.sum("b")).first()
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False))), (audit[0] or 0, audit[1] or 0)
