@@ -25,6 +25,8 @@ THRESHOLD = 2
 BLOCK = 23
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
+#: Rows of hot fingerprints, and so the rows of a broadcast, are at most so many.
+HOT = 1000
 #: Beyond so many comparisons at one anchor, partners are looked up instead: 2081 words lie within two bits of a word.
 DENSE = 2_000_000
 
@@ -245,13 +247,27 @@ def _links(batches):
         yield from compare(pa.Table.from_batches(held))
 
 
+def with_components(prints: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns of prints with the component_id of their fp; nodes: (fp, n, component_id) with n rows of prints each.
+
+    Fingerprints that make up a thousandth of all rows or more are at most HOT, so their nodes are broadcast; their rows, a
+    large group of copies, stay where they are.  All others meet their nodes by a shuffle.
+    """
+    total = prints.count()
+    hot = F.col("n") * HOT >= total
+    few = F.broadcast(nodes.filter(hot).select("fp", "component_id"))
+    rest = prints.join(few, "fp", "left_anti").join(nodes.filter(~hot).select("fp", "component_id"), "fp")
+    columns = [*columns, "component_id"]
+    return prints.join(few, "fp").select(*columns).unionByName(rest.select(*columns))
+
+
 def near_components(prints: DataFrame) -> DataFrame:
-    """(doc_id, fp) rows -> the same rows with component_id, the smallest doc_id reachable by links.
+    """(doc_id, fp) rows -> the same rows with component_id, the smallest doc_id reachable by links.  prints must be stored.
 
     Equal fingerprints are one node from the start, so a group of copies of any size costs one row beyond its map-side
     combined minimum.  Null doc_ids belong to a component but never name one unless it has nothing else.
     """
-    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "fps")
+    nodes = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "fps")
     spark = prints.sparkSession
     width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.rdd.getNumPartitions())
     copies = nodes.select("fp").repartition(width).mapInArrow(_replicate, "anchor int, fp long, home boolean")
@@ -260,8 +276,8 @@ def near_components(prints: DataFrame) -> DataFrame:
     linked = roots.join(nodes, roots["node"] == nodes["fp"]).select("fp", "root", "first_id")
     named = linked.groupBy("root").agg(F.min("first_id").alias("low"))
     moved = linked.join(named, "root").select(F.col("fp").alias("fp2"), "low")
-    all_nodes = nodes.join(moved, nodes["fp"] == moved["fp2"], "left").select("fp", F.coalesce("low", "first_id").alias("component_id"))
-    return prints.join(all_nodes, "fp").select("doc_id", "fp", "component_id")
+    all_nodes = nodes.join(moved, nodes["fp"] == moved["fp2"], "left").select("fp", "n", F.coalesce("low", "first_id").alias("component_id"))
+    return with_components(prints, materialize(all_nodes, "named"), ["doc_id", "fp"])
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
