@@ -46,7 +46,7 @@ def with_targets(sized: DataFrame) -> tuple[DataFrame, int]:
 
     The driver holds one row per source; a mixture names its sources by hand, so that number does not follow the corpus.
     """
-    rows = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).collect()
+    rows = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("equal")).alias("source_size"), F.count("*").alias("n")).collect()
     sizes = {r["source"]: r["source_size"] for r in rows}
     want = targets(sizes)
     table = sized.sparkSession.createDataFrame([(s, n, want[s]) for s, n in sizes.items()], "s string, source_size long, target double")
@@ -124,12 +124,17 @@ def _row_hash():
 
 
 def _copies(docs: DataFrame) -> DataFrame:
-    """copies() with row_hash, a hash of the row's id, source and text."""
+    """row_hash (of id, source and text), doc_id, source, size, source_size, target, equal, copies: how often the equal rows
+    of that hash are taken together.
+
+    Equal rows are one row of the tree, wanted as often as they are, so a leaf holds a bounded number of rows.
+    """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col("text"), F.lit(TOKEN_RE)), F.lit(0)).cast("long")
-    sized = materialize(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), _row_hash().alias("row_hash")), "sized")
+    sized = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), size.alias("size"), _row_hash().alias("row_hash"))
+    sized = materialize(sized.groupBy("row_hash", "doc_id", "source", "size").agg(F.count("*").alias("equal")), "sized")
     aimed, n = with_targets(sized)
-    wanted = F.when(F.col("size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    wanted = F.when(F.col("size") > 0, F.col("equal") * F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     leaves = max(1, -(-n // LEAF))
     rows = aimed.select("*", F.floor(wanted).alias("whole"), (wanted - F.floor(wanted)).alias("share"), F.pmod(F.xxhash64(F.lit(3), "row_hash"), F.lit(leaves)).alias("node"))
     schema = rows.schema
@@ -152,7 +157,12 @@ def _copies(docs: DataFrame) -> DataFrame:
         done = done.unionByName(level)
     # The root's last fractional row is rounded by the nearer number of words, in one fixed way.
     taken = F.col("whole") + F.when(F.col("share") >= 0.5, 1).otherwise(0)
-    return done.select("doc_id", "source", "size", "source_size", "target", taken.cast("int").alias("copies"), "row_hash")
+    return done.select("row_hash", "doc_id", "source", "size", "source_size", "target", "equal", taken.alias("copies"))
+
+
+def _own(place, equal, copies):
+    """Copies of one of equal rows: all of them nearly the same number."""
+    return (F.floor(copies / equal) + F.when(place <= copies % equal, 1).otherwise(0)).cast("int")
 
 
 def copies(docs: DataFrame) -> DataFrame:
@@ -162,23 +172,23 @@ def copies(docs: DataFrame) -> DataFrame:
     null or empty text has size 0 and is not taken (its share of words is nothing); null sources are one source; equal rows
     are interchangeable; an empty table gives no rows.
     """
-    return _copies(docs).drop("row_hash")
+    each = _copies(docs).withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), F.col("equal"))))
+    return each.select("doc_id", "source", "size", "source_size", "target", _own(F.col("place"), F.col("equal"), F.col("copies")).alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """The rows of docs, each as often as the mixture takes it; columns as in docs.
 
-    Rows meet their numbers of copies by a hash of id, source and text, equal rows by their place among themselves.  The
-    texts are shuffled once: numbering and join share the partitioning, so places are compared outside the join's keys.
+    Rows meet their numbers of copies by a hash of id, source and text, of which there is one row, and take their part by
+    their place among equal rows.  The texts are shuffled once: numbering and join share the partitioning.
     """
     names = []
-    for wanted in ("hash_", "place_", "times_", "their_place_", "copy_"):
+    for wanted in ("hash_", "place_", "equal_", "times_", "copy_"):
         names.append(fresh([*docs.columns, *names], wanted))
-    key, place, times, their_place, copy = names
-    equal = W.partitionBy(key)
-    taken = _copies(docs).select(F.col("row_hash").alias(key), F.col("copies").alias(times))
-    taken = taken.withColumn(their_place, F.row_number().over(equal.orderBy(times)))
-    ranked = docs.withColumn(key, _row_hash()).withColumn(place, F.row_number().over(equal.orderBy(key)))
-    same = (ranked[key] == taken[key]) & (F.abs(ranked[place] - taken[their_place]) == 0)
-    joined = ranked.join(taken, same).filter(F.col(times) > 0)
+    key, place, equal, times, copy = names
+    taken = _copies(docs).filter(F.col("copies") > 0).select(F.col("row_hash").alias(key), F.col("equal").alias(equal), F.col("copies").alias(times))
+    # Two rows of one hash but unequal contents are as good as impossible; were there any, they would share their copies.
+    taken = taken.groupBy(key).agg(F.sum(equal).alias(equal), F.sum(times).alias(times))
+    ranked = docs.withColumn(key, _row_hash()).withColumn(place, F.row_number().over(W.partitionBy(key).orderBy(key)))
+    joined = ranked.join(taken, key).withColumn(times, _own(F.col(place), F.col(equal), F.col(times))).filter(F.col(times) > 0)
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)
