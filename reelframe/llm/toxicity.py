@@ -91,7 +91,7 @@ def _soft(x, by):
     return np.sign(x) * np.maximum(np.abs(x) - by, 0)
 
 
-def fit_arrays(features, labels, pairs, l1=5e-5, l2=1e-5, fairness=1.0, rounds=300) -> Model:
+def fit_arrays(features, labels, pairs, l1=2e-5, l2=1e-5, fairness=1.0, rounds=300) -> Model:
     """features: an int array per text; labels 0 or 1; pairs: (array, array) per original and swapped sentence.
 
     Minimises log loss + l1 |w| + l2 w^2 / 2 + fairness * mean squared score change over pairs, by accelerated proximal
@@ -167,14 +167,16 @@ def _training_batches(batches):
 def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_BOUND) -> Model:
     """Fits on labelled rows whose crc32(doc_id) mod 3 is not 1, at most bound of them (the first by a hash of doc_id).
 
-    Rows without doc_id or label are no examples; a document labelled twice counts once, as toxic if any label says so.
+    Rows without doc_id or label are no examples; a document labelled twice counts once, as toxic if any label says so; of
+    several texts with one doc_id the smallest counts.
     """
     spark = docs.sparkSession
     usable = labels.filter("doc_id is not null and toxic is not null").select(F.col("doc_id").cast("long"), "toxic")
     usable = usable.filter(crc_mod("doc_id", 3) != 1).groupBy("doc_id").agg(F.max("toxic").alias("label"))
     ids = usable.orderBy(hash_order("doc_id"), "doc_id").limit(bound).collect()
     chosen = spark.createDataFrame(ids, "doc_id long, label int")
-    joined = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id").select("label", "text")
+    joined = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(chosen), "doc_id")
+    joined = joined.groupBy("doc_id").agg(F.first("label").alias("label"), F.min("text").alias("text")).select("label", "text")
     rows = joined.mapInArrow(_training_batches, "label int, own binary, pairs array<binary>").toArrow()
     read = lambda x: np.frombuffer(x, np.uint32)
     order = sorted(zip(rows["own"].to_pylist(), rows["label"].to_pylist(), rows["pairs"].to_pylist(), strict=True), key=lambda r: r[:2])

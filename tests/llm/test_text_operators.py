@@ -84,6 +84,33 @@ def test_kneser_ney_equals_dictionaries(spark, docs):
         assert sum(p(a, w) for w in words) + p(a, "\x00unknown") == pytest.approx(1, abs=1e-6)
 
 
+def test_large_counts_are_stored_whole(tmp_path):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    values = rng.choice([0, 7, 254, 255, 256, 2**32 - 2, 2**32 - 1, 2**32, 2**40], (50, 6))
+    for kind in (np.uint8, np.uint32):
+        assert (kneser_ney._unpack(*kneser_ney._pack(values.ravel(), kind), kind) == values.ravel()).all()
+    words = np.sort(rng.integers(0, 2**62, 50).astype(np.uint64))
+    small, large = kneser_ney._pack(values.ravel(), np.uint32)
+    row = [(0, words.tobytes(), small, large, np.zeros(5, "<i8").tobytes())] * 2  # two parts of one shard
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*row, strict=True)], ["shard", "words", "small", "large", "tally"])
+    (stats,) = kneser_ney._merge_words(str(tmp_path))(iter([batch]))
+    assert stats.column("tokens")[0].as_py() == 2 * values[:, 5].sum()
+    found = kneser_ney.Reader(kneser_ney.Model(str(tmp_path), 1, 1, 0, 0, (), 0, (), 0)).words(words)
+    assert (np.stack([found[k] for k in kneser_ney.WORD], 1) == 2 * values).all()
+
+
+def test_shards_follow_the_text(spark, docs, monkeypatch):
+    few = docs.filter("doc_id < 60").select("text")
+    monkeypatch.setattr(kneser_ney, "SHARD_BYTES", 1000)
+    monkeypatch.setattr(kneser_ney, "WORD_SHARD_BYTES", 5000)
+    model = kneser_ney.fit(few)
+    size = sum(len((r.text or "").encode()) for r in few.collect())
+    assert size / 1000 <= model.shards < 2 * size / 1000 + 2 and model.word_shards >= size / 5000 - 1
+    test_kneser_ney_equals_dictionaries(spark, docs)
+
+
 def test_kneser_ney_edges(spark):
     rows = kneser_ney.score_held_out(edge_docs(spark)).collect()
     assert len(rows) == 9 and all(math.isfinite(r.score) and r.score <= 0 for r in rows)
@@ -253,6 +280,51 @@ def test_toxicity_learns_words_and_spares_groups(spark):
     assert abs(got[1] - got[2]) < 0.2
 
 
+def test_toxicity_optimum_and_scores_by_plain_computation(spark):
+    """50 rows: the fit meets the optimality conditions of its objective, and a text's score is that of its features."""
+    rng = np.random.default_rng(5)
+    words = [f"{a}{b}el{c}" for a in "bcdf" for b in "aeiou" for c in "rst"]
+    rows = []
+    for i in range(50):
+        toxic = int(i % 3 == 0)
+        text = [*rng.choice(words, 12), *(["grubby", "nastier"] if toxic and i % 2 else ["friendly"] if i % 4 else ["women"])]
+        rows.append((" ".join(text), toxic))
+    cache = toxicity._TokenFeatures()
+    own = [np.array(sorted(toxicity.text_features(t, cache))) for t, _ in rows]
+    assert all({f for w in re.findall("[a-z]+", t) for f in toxicity.word_features(w)} == set(f.tolist()) for (t, _), f in zip(rows, own, strict=True))
+    pairs = [(np.array(sorted(toxicity.text_features(a, cache))), np.array(sorted(toxicity.text_features(b, cache)))) for t, _ in rows for a, b in toxicity.counterfactuals(t)]
+    assert pairs
+    l1, l2 = 1e-3, 1e-3
+    y = np.array([v for _, v in rows])
+    model = toxicity.fit_arrays(own, y, pairs, l1=l1, l2=l2, fairness=1.0, rounds=6000)
+    count = {f: sum(f in set(x.tolist()) for x in own) for f in {int(f) for x in own for f in x}}
+    hit = {f: sum(v for x, v in zip(own, y, strict=True) if f in set(x.tolist())) for f in count}
+    rate = y.mean()
+    used = sorted(f for f, n in count.items() if n >= 3 and (hit[f] - rate * n) ** 2 / max(n * rate * (1 - rate), 1e-9) >= 6)
+    x = np.array([[f in set(o.tolist()) for f in used] for o in own], float)
+    d = np.array([[(f in set(a.tolist())) - (f in set(b.tolist())) for f in used] for a, b in pairs], float)
+    w = np.array([model.weights.get(f, 0.0) for f in used])
+    assert set(model.weights) <= set(used) and (w != 0).sum() >= 2
+    z = x @ w + model.bias
+    err = (1 / (1 + np.exp(-z)) - y) / len(y)
+    slope = x.T @ err + l2 * w + 2 * d.T @ (d @ w) / len(pairs)
+    assert abs(err.sum()) < 1e-5
+    assert np.abs(slope + l1 * np.sign(w))[w != 0].max() < 1e-5 and (np.abs(slope[w == 0]) <= l1 + 1e-5).all()
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r for r in toxicity.score(docs, model, ["doc_id"]).collect()}
+    for i, v in enumerate(1 / (1 + np.exp(-z))):
+        assert got[i].score == pytest.approx(v, abs=1e-9) and got[i].predicted == int(v >= 0.7)
+
+
+def test_toxicity_rows_with_one_id_count_once(spark):
+    rows = [(i, f"word{'abcdefgh'[i % 8]}x {'scum' if i % 3 == 0 else 'fine'}") for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    more = spark.createDataFrame([(3, "zzz another text"), (3, "zzz another text"), (None, "scum")] * 50, "doc_id long, text string")
+    first = toxicity.fit(docs, labels)
+    assert first == toxicity.fit(docs.unionByName(more).repartition(7), labels) and first.weights
+
+
 def test_toxicity_held_out_and_edges(spark, sf_dir, docs):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels)
@@ -271,6 +343,48 @@ def test_language_held_out_accuracy(spark, docs):
     assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held) and all(0 <= r.score <= 1 for r in held)
 
 
+def test_language_fit_does_not_depend_on_the_order_of_rows(spark):
+    rows = [(i % 40, f"{'abc'[i % 3] * 3} {'xyz'[i % 2] * 2} text{i}", "de" if i % 2 else "en", "s", None) for i in range(200)]
+    docs = spark.createDataFrame(rows, DOCS)
+    one, two = langid.fit(docs), langid.fit(docs.repartition(5).orderBy(F.rand(3)))
+    assert one.langs == two.langs == ["de", "en"] and (one.landmarks == two.landmarks).all() and (one.beta == two.beta).all()
+
+
+def test_language_by_plain_kernel_ridge(spark, docs):
+    """Prediction re-computed with sets of n-grams, Nystroem features and a plain ridge solution."""
+    few = docs.filter("doc_id < 90")
+    rows = [r for r in few.select("doc_id", "lang", "text").collect() if r.lang and r.text and zlib.crc32(str(r.doc_id).encode()) % 5]
+    model = langid.fit(few)
+
+    def grams(text):
+        t = re.sub(r"(?:[^\W\d_])|.", lambda m: m[0] if m[0].isalpha() else " ", text.lower(), flags=re.S)
+        t = re.sub(" +", " ", t).lstrip(" ")
+        return {t[i : i + n] for n in range(1, 5) for i in range(len(t) - n + 1)}
+
+    order = {r["doc_id"]: i for i, r in enumerate(few.select("doc_id", langid.hash_order("doc_id").alias("h")).orderBy("h").collect())}
+    rows.sort(key=lambda r: (order[r.doc_id]))
+    by_lang = {}
+    for r in rows:
+        by_lang.setdefault(r.lang, []).append(r)
+    place = {r.doc_id: i for rs in by_lang.values() for i, r in enumerate(rs)}
+    rows.sort(key=lambda r: (place[r.doc_id], r.lang))
+    sets = [grams(r.text) for r in rows]
+    k = lambda a, b: len(a & b) / math.sqrt(max(len(a), 1) * max(len(b), 1))
+    chosen = [i for i, r in enumerate(rows) if place[r.doc_id] < langid.LANDMARKS]
+    kmm = np.array([[k(sets[i], sets[j]) for j in chosen] for i in chosen])
+    knm = np.array([[k(s, sets[j]) for j in chosen] for s in sets])
+    names = sorted(by_lang)
+    y = np.where(np.array([r.lang for r in rows])[:, None] == np.array(names), 1.0, -1.0)
+    # ridge in the span of the landmarks: min |K_nm b - y|^2 + r n b' K_mm b
+    beta = np.linalg.solve(knm.T @ knm + langid.RIDGE * len(rows) * kmm, knm.T @ y)
+    probe = [r for r in few.select("doc_id", "text").collect() if any(c.isalpha() for c in r.text or "")]
+    want = {r.doc_id: np.array([k(grams(r.text), sets[j]) for j in chosen]) @ beta for r in probe}
+    got = {r.doc_id: r for r in langid.predict(few, model, ["doc_id"]).collect()}
+    # n-grams are hashed into bins, so scores agree up to collisions
+    assert all(got[i].lang_pred == names[int(w.argmax())] or np.sort(w)[-1] - np.sort(w)[-2] < 0.2 for i, w in want.items())
+    assert np.mean([abs(got[i].score - min(max((w.max() + 1) / 2, 0), 1)) for i, w in want.items()]) < 0.03
+
+
 def test_language_edges(spark, docs):
     model = langid.fit(docs)
     got = {r.doc_id: r for r in langid.predict(edge_docs(spark), model, ["doc_id"]).collect()}
