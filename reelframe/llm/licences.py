@@ -41,6 +41,13 @@ TEMPLATES = [
     ("creative-commons", "this work is licensed under a creative commons attribution 4 0 international license", ["creative commons attribution"]),
     ("creative-commons", "this work is licensed under cc by sa 4 0", ["licensed under cc by"]),
     ("unlicense", "this is free and unencumbered software released into the public domain", ["released into the public domain"]),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ["shall be included in all copies or substantial portions of the software"]),
+    ("bsd", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ["may be used to endorse or promote products derived from this software"]),
+    ("gpl-notice", "you should have received a copy of the gnu general public license along with this program", ["received a copy of the gnu general public license"]),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ["permission is granted to anyone to use this software for any purpose"]),
+    ("boost-1.0", "distributed under the boost software license version 1 0", ["boost software license"]),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license", ["eclipse public license"]),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", ["waived all copyright and related or neighboring rights"]),
     ("copyright", "copyright c all rights reserved", ["copyright", "all rights reserved"]),
 ]
 #: The votes a template needs (fewer if it has fewer words).

@@ -517,6 +517,52 @@ def test_licence_edges(spark):
     assert licences.scan(edge_docs(spark).limit(0)).count() == 0
 
 
+def naive_votes(texts):
+    """labels and score of each text by a plain reading of the rule."""
+    split = [re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    vocabulary = {w for _, notice, _ in licences.TEMPLATES for w in notice.split() if w not in licences.COMMON}
+    seen = Counter(w for words in split for w in set(words) & vocabulary)
+    idf = {w: math.log((len(texts) + 1) / (seen[w] + 1)) + 1e-3 for w in vocabulary}
+    out = []
+    for words in split:
+        spaced = f" {' '.join(words)} "
+        labels, score = {x for p, x in licences.PHRASES.items() if f" {p} " in spaced}, 0.0
+        base = bool(labels)
+        if len(set(words) & vocabulary) >= 2:
+            for label, notice, mandatory in licences.TEMPLATES:
+                own = [(i, w) for i, w in enumerate(notice.split()) if w not in licences.COMMON]
+                if not all(f" {p} " in spaced for p in mandatory):
+                    continue
+                shifts = {}
+                for i, w in own:
+                    for place in (k for k, x in enumerate(words) if x == w):
+                        shifts.setdefault(place - i, set()).add(w)
+                distinct = {w for _, w in own}
+                for agreed in shifts.values():
+                    if len(agreed) >= min(licences.VOTES, len(distinct)):
+                        labels.add(label)
+                        score = max(score, min(sum(idf[w] for w in agreed) / sum(idf[w] for w in distinct), 1.0))
+        out.append((",".join(sorted(labels)), 1.0 if base else score))
+    return out
+
+
+def test_licence_labels_and_scores_by_plain_reading(spark):
+    rng = np.random.default_rng(12)
+    notices = [n for _, n, _ in licences.TEMPLATES] + [*licences.PHRASES, "mit license", "gnu and mit", "some other words of a text", "copyright"]
+    texts = [" and so on ".join(rng.choice(notices, rng.integers(1, 6))) for _ in range(80)]
+    texts += [" ".join(w for w in t.split() if rng.random() > 0.15) for t in texts] + [" . ".join(n for _, n, _ in licences.TEMPLATES), "", None]
+    got = {r.doc_id: r for r in licences.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    want = naive_votes(texts)
+    for i, (labels, score) in enumerate(want):
+        assert got[i].labels == labels and got[i].score == pytest.approx(score), texts[i]
+    assert {label for label, _, _ in licences.TEMPLATES} <= set(want[160][0].split(","))
+
+
+def test_licences_with_clashing_columns(spark):
+    docs = edge_docs(spark).withColumns({"labels": F.lit("x"), "HITS": F.lit(1), "s": F.lit(2), "text_hash": F.lit(3), "id2": F.lit(4)})
+    assert sorted(map(str, licences.scan(docs).collect())) == sorted(map(str, licences.scan(edge_docs(spark)).collect()))
+
+
 def test_licences_of_a_file_with_several_notices(spark):
     """The second notice's words are the corpus's most frequent licence words and the last by rank."""
     text = licences.TEMPLATES[0][1] + " released under the mit license"
