@@ -1,14 +1,16 @@
 """Near copies by five-word shingles, for the pipeline: MinHash bands propose pairs, the exact Jaccard similarity decides.
 
 Two texts whose shingle sets are 0.8 alike miss each other in all 30 bands of 5 minima with probability 7e-6, and more
-alike ones more rarely.  A group that shares a band is first tied to one of its texts; whatever is still in
-different components then is compared pair by pair, so a large cluster of near copies costs a multiple of its size only.
+alike ones more rarely.  A group that shares a band is first tied to its most frequent text; texts still in different
+components then are compared with the whole group by products of matrices, block by block, so a large cluster of near copies
+shuffles a multiple of its size only, and no pairs.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from .common import materialize
 from .components import connected_components
 
 WORDS, BANDS, ROWS = 5, 30, 5
+#: Shingles of a block of texts, and cells of a matrix: bounds of a task's memory.
+SHINGLES, CELLS = 1_000_000, 1 << 24
 _random = np.random.default_rng(simhash.SEED)
 FLIP = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 TIMES = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
@@ -83,38 +87,72 @@ def _stars(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["key", "t", "fp", "n", "t1", "fp1", "n1"])
 
 
-def _across(batches):
-    """Rows sorted by key -> pairs of one key and different roots whose sizes allow the similarity.
+def _compare(sizes: np.ndarray, sets: np.ndarray, roots: np.ndarray):
+    """Index pairs of texts with different roots that are at least 0.8 alike; sets: their shingles one text after the other.
 
-    Only rows outside the largest component of their key look for partners.
+    Shingles of one text only cannot be common; of the others a matrix of texts by shingles is multiplied with itself, a
+    part at a time.  Texts of the largest component look for no partners; those outside it look at all texts.
     """
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(sets, kind="stable")
+    value, text = sets[order], text[order]
+    new = np.r_[True, value[1:] != value[:-1]] if len(value) else np.zeros(0, bool)
+    column = np.cumsum(new) - 1
+    common = np.bincount(column)[column] > 1 if len(column) else column
+    column, text = column[common], text[common]
+    used, column = np.unique(column, return_inverse=True)
+    by_text = np.argsort(text, kind="stable")
+    column, first = column[by_text], np.searchsorted(text[by_text], np.arange(len(sizes) + 1))
+
+    def rows(of: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(of), max(len(used), 1)), np.float32)
+        n = first[of + 1] - first[of]
+        at = np.repeat(first[of] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        out[np.repeat(np.arange(len(of)), n), column[at]] = 1
+        return out
+
+    _, part, count = np.unique(roots, return_inverse=True, return_counts=True)
+    outside = np.flatnonzero(part != count.argmax())
+    step = max(1, CELLS // max(len(used), 1))
+    for low in range(0, len(outside), step):
+        mine = outside[low : low + step]
+        left = rows(mine)
+        for at in range(0, len(sizes), step):
+            them = np.arange(at, min(at + step, len(sizes)))
+            both = left @ rows(them).T
+            near = (9 * both >= 4 * (sizes[mine][:, None] + sizes[them][None, :])) & (part[mine][:, None] != part[them][None, :])
+            i, j = np.nonzero(near)
+            yield mine[i], them[j]
 
-    def pairs(table: pa.Table):
-        t, fp, n, root = (table.column(c).to_numpy() for c in ("t", "fp", "n", "root"))
-        names, of, counts = np.unique(root, return_inverse=True, return_counts=True)
-        large = of == counts.argmax()
-        for i in np.flatnonzero(~large):
-            fits = (of != of[i]) & (5 * np.minimum(n, n[i]) >= 4 * np.maximum(n, n[i])) & (large | (t > t[i]))
-            j = np.flatnonzero(fits)
-            if len(j):
-                swap = t[j] < t[i]
-                a, b = np.where(swap, t[j], t[i]), np.where(swap, t[i], t[j])
-                fa, fb = np.where(swap, fp[j], fp[i]), np.where(swap, fp[i], fp[j])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, fa, fb)], ["a", "b", "fa", "fb"])
 
+def _across(batches):
+    """Rows of whole (key, low, high) in that order, with their texts' shingles -> links between different components."""
     held: list[pa.RecordBatch] = []
+
+    def links():
+        table = pa.Table.from_batches(held).combine_chunks()
+        h = table.column("h").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int64()))
+        sizes = pc.list_value_length(h).to_numpy(zero_copy_only=False).astype(np.int64)
+        fp, root = (table.column(c).to_numpy() for c in ("fp", "root"))
+        found = list(_compare(sizes, pc.list_flatten(h).to_numpy(zero_copy_only=False), root))
+        if a := [fp[i] for i, _ in found if len(i)]:
+            x, y = simhash._forest(np.concatenate(a), np.concatenate([fp[j] for _, j in found if len(j)]))
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
+
+    group = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        key = batch.column("key").to_numpy()
-        cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+        of = np.stack([batch.column(c).to_numpy() for c in ("key", "low", "high")])
+        cuts = [0, *(np.flatnonzero((of[:, 1:] != of[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and held[0].column("key")[0].as_py() != key[low]:
-                yield from pairs(pa.Table.from_batches(held))
-                held = []
+            if group != (now := tuple(of[:, low].tolist())):
+                if held:
+                    yield from links()
+                held, group = [], now
             held.append(batch.slice(low, high - low))
     if held:
-        yield from pairs(pa.Table.from_batches(held))
+        yield from links()
 
 
 def _set_batches(batches):
@@ -140,8 +178,10 @@ def roots(docs: DataFrame, rows: DataFrame) -> DataFrame:
     copies = rows.select("fp").distinct().repartition(width).mapInArrow(simhash._replicate, "anchor int, fp long, home boolean")
     links = copies.repartition(width, "anchor").sortWithinPartitions("anchor").mapInArrow(simhash._links, "a long, b long")
 
-    keyed = rows.filter("n > 0").groupBy("t").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    keyed = keyed.select(F.explode("keys").alias("key"), "t", "fp", "n").repartition(width, "key").sortWithinPartitions("key", "t")
+    keyed = rows.filter("n > 0").groupBy("t").agg(F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.count("*").alias("times"))
+    # The text with most copies leads its keys: near copies are mostly nearer to it than to each other.
+    keyed = keyed.select(F.explode("keys").alias("key"), "t", "fp", "n", (-F.col("times")).alias("rank"))
+    keyed = keyed.repartition(width, "key").sortWithinPartitions("key", "rank", "t").drop("rank")
     met = materialize(keyed.mapInArrow(_stars, "key long, t long, fp long, n int, t1 long, fp1 long, n1 int"), "met")
     members = met.select("key", "t", "fp", "n").union(met.select("key", F.col("t1").alias("t"), F.col("fp1").alias("fp"), F.col("n1").alias("n")).distinct())
     texts = materialize(members.select("t").distinct(), "met-texts")
@@ -155,11 +195,24 @@ def roots(docs: DataFrame, rows: DataFrame) -> DataFrame:
     found = materialize(connected_components(links), "roots")
 
     split = members.join(found, members["fp"] == found["node"], "left").select("key", "t", "fp", "n", F.coalesce("root", "fp").alias("root"))
-    several = split.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("key")
-    split = split.join(several, "key", "left_semi").repartition(width, "key").sortWithinPartitions("key")
-    open_pairs = split.mapInArrow(_across, "a long, b long, fa long, fb long").distinct().join(stars.select("a", "b"), ["a", "b"], "left_anti")
-    more = materialize(_alike(open_pairs, sets), "near")
-    return materialize(connected_components(links.union(more)), "roots") if more.take(1) else found
+    more = materialize(_open_groups(split, sets, width), "near")
+    # The components found so far are stars already; only what is new has to be joined to them.
+    return materialize(connected_components(found.toDF("a", "b").union(more)), "roots") if more.take(1) else found
+
+
+def _open_groups(split: DataFrame, sets: DataFrame, width: int) -> DataFrame:
+    """(a, b) fingerprints of alike texts that share a key and are in different components so far.
+
+    split: (key, t, fp, n, root).  A key's texts are dealt to blocks by their hash, as many as its shingles need, and every
+    pair of blocks is compared in a group of its own, so no group grows with the corpus.
+    """
+    several = split.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.ceil(F.sum("n") / F.lit(SHINGLES)).cast("int").alias("blocks"))
+    several = several.filter("first <> last").select("key", "blocks")
+    rows = split.join(several, "key").withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "t", "fp", "root")
+    dealt = rows.join(sets, "t").select("key", "low", "high", "t", "fp", "root", "h").repartition(width, "key", "low", "high")
+    return dealt.sortWithinPartitions("key", "low", "high").mapInArrow(_across, "a long, b long")
 
 
 def first_rows(docs: DataFrame) -> DataFrame:

@@ -90,6 +90,16 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(edge_docs(spark).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hot", [0, 3, 1000])
+def test_hot_fingerprints_meet_their_component(spark, hot, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT", hot)
+    prints = [(i, 5) for i in range(100, 200)] + [(3, 7), (None, 7), (50, 1 << 40), (9, -1), (1, -1 ^ 3), (None, 99 << 20)]
+    frame = spark.createDataFrame(prints, "doc_id long, fp long").repartition(3)
+    got = sorted(map(str, ((r.doc_id, r.fp, r.component_id) for r in simhash.near_components(frame).collect())))
+    low = {5: 3, 7: 3, 1 << 40: 50, -1: 1, -1 ^ 3: 1, 99 << 20: None}
+    assert got == sorted(map(str, ((i, fp, low[fp]) for i, fp in prints)))
+
+
 # ---- embeddings ----
 
 
@@ -113,6 +123,31 @@ def test_vectors_equal_brute_force(spark):
     assert hnsw.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_links_of_many_vectors(spark):
+    """Clusters of different widths: links and components against all cosines; the audit reports its recall."""
+    rng = np.random.default_rng(11)
+    x = np.concatenate([rng.normal(size=(2500, 32)), *(rng.normal(size=(1, 32)) + rng.normal(size=(60, 32)) * w for w in np.linspace(0.15, 0.5, 25))])
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    close = u @ u.T >= 0.9
+    np.fill_diagonal(close, False)
+    frame = spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    found, (met, there) = hnsw.search(frame, shards=4)
+    got = {r.vec_id: r for r in found.collect()}
+    n = np.array([got[i].n_links for i in range(len(x))])
+    assert (n <= close.sum(1)).all() and n.sum() >= 0.99 * close.sum() > 5000 and met >= 0.99 * there > 0
+    want = union(len(x), np.argwhere(close))
+    assert sum(got[i].component_id == want[i] for i in range(len(x))) >= 0.99 * len(x)
+
+
+def test_vectors_without_or_with_repeated_ids_and_clashing_columns(spark):
+    a, b = [1.0, 0.0, 0.1], [0.0, 1.0, 0.0]
+    rows = [(None, a), (None, a), (3, a), (3, b), (2, b), (7, [1.0, 0.0, 0.0]), (None, [-1.0, 5.0, 9.0]), (None, None), (4, None)]
+    frame = spark.createDataFrame([(i, v, "x", 1, 2, 3) for i, v in rows], "vec_id long, embedding array<double>, n_links string, NODE int, kept int, v int")
+    got = sorted(map(str, (tuple(r) for r in hnsw.near_duplicates(frame, shards=2).collect())))
+    want = [(None, 3, 3, False), (None, 3, 3, False), (3, 3, 3, True), (7, 3, 3, False), (3, 1, 2, False), (2, 1, 2, True), (None, 0, None, False), (None, 0, None, False), (4, 0, 4, True)]
+    assert got == sorted(map(str, want))
+
+
 # ---- mixing ----
 
 
@@ -155,6 +190,23 @@ def test_mix_meets_targets_and_reruns_agree(spark, sf_dir, monkeypatch):
     assert {r.doc_id: r["count"] for r in rows} == {i: r.copies for i, r in first.items() if r.copies}
 
 
+def test_many_equal_rows_are_mixed_together(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEAF", 8)
+    rows = [(1, "a b", "x")] * 3000 + [(i, "c d e", "x") for i in range(2, 40)] + [(i, "f " * i, "y") for i in range(1, 30)] + [(None, "g", None)] * 50
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = mixing.copies(docs).collect()
+    assert len(got) == len(rows) and all(0 <= r.copies <= 3 for r in got)
+    for source in ("x", "y", None):
+        mine = [r for r in got if r.source == source]
+        assert abs(sum(r.copies * r["size"] for r in mine) - mine[0].target) <= max(r["size"] for r in mine)
+    assert max(r.copies for r in got if r.doc_id == 1 and r.source == "x") - min(r.copies for r in got if r.doc_id == 1 and r.source == "x") <= 1
+    mixed = {(r.doc_id, r.source): r["count"] for r in mixing.mix(docs).groupBy("doc_id", "source").count().collect()}
+    want = {}
+    for r in got:
+        want[r.doc_id, r.source] = want.get((r.doc_id, r.source), 0) + r.copies
+    assert mixed == {k: v for k, v in want.items() if v}
+
+
 def test_mix_edges(spark):
     docs = edge_docs(spark)
     rows = mixing.copies(docs).collect()
@@ -305,8 +357,12 @@ def test_pipeline_stages(spark, sf_dir):
         kept.append(materialize(stage(spark, kept[-1], sf_dir), "stage"))
         assert kept[-1].columns == docs.columns
     assert names == ["toxicity", "language", "near_duplicates", "mixing", "packing"]
-    before = {r.doc_id: r for r in simhash.near_duplicates(kept[2]).collect()}
-    assert {r.doc_id for r in kept[3].collect()} == {r.component_id for r in before.values()} and kept[3].count() == len({r.component_id for r in before.values()})
+    rows = kept[2].select("doc_id", "text").orderBy("doc_id").collect()
+    prints = np.array([naive_print(r.text) for r in rows], np.uint64)
+    sets = [set(simhash.shingle_hashes(r.text, 5)) for r in rows]
+    links = [(a, b) for a in range(len(rows)) for b in np.flatnonzero(np.bitwise_count(prints[a] ^ prints) <= 2)]
+    links += [(a, b) for a, b in combinations(range(len(rows)), 2) if sets[a] and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b]))]
+    assert sorted(r.doc_id for r in kept[3].collect()) == sorted({rows[i].doc_id for i in union(len(rows), links)})
     taken = {r.doc_id: r.copies for r in mixing.copies(kept[3]).collect()}
     assert {r.doc_id: r["count"] for r in kept[4].groupBy("doc_id").count().collect()} == {d: c for d, c in taken.items() if c}
     out = p.run(spark, sf_dir)
@@ -356,16 +412,42 @@ def test_pipeline_removes_copies_of_five_word_similarity(spark, sf_dir):
     assert kept == set(union(len(texts), links))
 
 
-def test_groups_tied_to_an_unlike_text_are_compared_pair_by_pair():
+@pytest.mark.parametrize("cells", [1 << 24, 900, 1])
+def test_groups_are_compared_whole(cells, monkeypatch):
     import pyarrow as pa
 
     from reelframe.llm import nearcopies
 
-    cols = {"key": [1, 1, 1, 1, 2, 2], "t": [5, 3, 9, 4, 5, 6], "fp": [50, 30, 90, 40, 50, 60], "n": [10, 10, 10, 99, 10, 10], "root": [0, 1, 0, 2, 7, 7]}
-    batch = pa.RecordBatch.from_pydict(cols)
-    for cut in range(7):
-        out = [r for b in nearcopies._across(iter([batch.slice(0, cut), batch.slice(cut)])) for r in b.to_pylist()]
-        assert {(r["a"], r["b"], r["fa"], r["fb"]) for r in out} == {(3, 5, 30, 50), (3, 9, 30, 90)}
+    monkeypatch.setattr(nearcopies, "CELLS", cells)
+    rng = random.Random(9)
+    rows = []
+    for key in range(6):
+        base = list(range(1000 * key, 1000 * key + 40))
+        for _ in range(rng.randrange(1, 25)):
+            h = sorted(set(base) - set(rng.sample(base, rng.randrange(9))) | {10_000 + rng.randrange(500) for _ in range(rng.randrange(4))})
+            rows.append({"key": key, "low": 0, "high": key % 2, "fp": len(rows), "root": rng.choice([0, 0, 0, len(rows)]), "h": h})
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("fp", pa.int64()), ("root", pa.int64()), ("h", pa.list_(pa.int64()))]))
+    alike = lambda a, b: 9 * len(set(a["h"]) & set(b["h"])) >= 4 * (len(a["h"]) + len(b["h"]))
+    links = [(a["fp"], b["fp"]) for a, b in combinations(rows, 2) if a["key"] == b["key"] and a["root"] != b["root"] and alike(a, b)]
+    assert len(links) > 20
+    for cut in (0, 1, 30, len(rows)):
+        out = [(r["a"], r["b"]) for b in nearcopies._across(iter([batch.slice(0, cut), batch.slice(cut)])) for r in b.to_pylist()]
+        assert union(len(rows), out) == union(len(rows), links)
+
+
+@pytest.mark.parametrize("shingles", [1_000_000, 300])
+def test_blocks_of_a_group_meet_each_other(spark, shingles, monkeypatch):
+    from reelframe.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "SHINGLES", shingles)
+    rng = random.Random(10)
+    texts = near_copies(rng, 30, 40) + [" ".join(f"m{rng.randrange(30)}" for _ in range(20)) for _ in range(40)]
+    sets = [sorted(set(simhash.shingle_hashes(t, 5))) for t in texts]
+    h = spark.createDataFrame([(i, [x - (1 << 63) for x in s]) for i, s in enumerate(sets)], "t long, h array<long>")
+    split = spark.createDataFrame([(7, i, i, len(s), i) for i, s in enumerate(sets)], "key long, t long, fp long, n int, root long")
+    links = [(i, j) for i, j in combinations(range(len(sets)), 2) if 9 * len({*sets[i]} & {*sets[j]}) >= 4 * (len(sets[i]) + len(sets[j]))]
+    got = [(r.a, r.b) for r in nearcopies._open_groups(split, h, 3).collect()]
+    assert links and union(len(sets), got) == union(len(sets), links)
 
 
 def test_pipeline_keeps_rows_without_or_with_repeated_ids(spark, sf_dir):
