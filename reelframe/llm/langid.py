@@ -94,13 +94,16 @@ def fit_texts(texts: list[str], langs: list[str], per_lang: int = LANDMARKS, rid
 def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     """Fits on documents with a language whose crc32(doc_id) mod 5 is not 0, at most per_lang of each language.
 
-    The choice ranks ids only (Spark keeps per_lang of each language before it shuffles); then the chosen texts are read, of
-    several with one doc_id and language the smallest.
+    The choice ranks ids only, first within buckets of each language, then what is left of them, so that no task sees a whole
+    language; then the chosen texts are read, of several with one doc_id and language the smallest.
     """
     usable = docs.select(F.col("doc_id").cast("long"), "lang", "text")
     usable = usable.filter("doc_id is not null and lang is not null and lang <> '' and text is not null").filter(crc_mod("doc_id", 5) != 0)
-    place = W.partitionBy("lang").orderBy(hash_order("doc_id"), "doc_id")
-    ids = usable.select("doc_id", "lang").withColumn("place", F.row_number().over(place)).filter(F.col("place") <= per_lang)
+    order = [hash_order("doc_id"), "doc_id"]
+    buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ids = usable.select("doc_id", "lang").withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)))
+    ids = ids.withColumn("place", F.row_number().over(W.partitionBy("lang", "bucket").orderBy(*order))).filter(F.col("place") <= per_lang)
+    ids = ids.drop("bucket").withColumn("place", F.row_number().over(W.partitionBy("lang").orderBy(*order))).filter(F.col("place") <= per_lang)
     chosen = docs.sparkSession.createDataFrame(ids.collect(), "doc_id long, lang string, place int")
     rows = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("place").alias("place"), F.min("text").alias("text")).toArrow()
     rows = sorted(zip(*[rows[c].to_pylist() for c in ("place", "lang", "doc_id", "text")], strict=True))
