@@ -1,32 +1,63 @@
-"""Command line: dump-config, and rip for raw frame files."""
+"""Command line: dump-config, and rip for files of uncompressed frames."""
 
 from __future__ import annotations
 
 import argparse
+import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import Config
-from .operators import detect, packed
-from .operators.masks import Places
-from .operators.segment import merge_repeats, segment
+from .logs import open_log
+from .operators.rip import Rip
+from .operators.rip import rip as rip_frames
 from .session import send_package
-from .sources import frames, writers
+from .sources import files, frames, writers
 
 
-def rip(spark: SparkSession, path: str, cfg: Config, fps: float = 25.0):
-    """Events of every raw frame file under path, as a manager table."""
-    frames.register(spark)
-    read = spark.read.format("rawframes").option("path", path).option("step", str(cfg.rip.frame_skip)).load()
-    r = cfg.rip
-    rows = packed.change_rows(read, cfg.filter, cfg.postprocess, r.diff_threshold, r.pixel_difference, r.ignore_change_percent)
-    found = detect.candidates(rows, masks=Places).filter("kind <> 'filtered'")
-    found = found.select("video_id", "idx", (F.col("idx") / fps).alias("time"), "mask", (F.col("kind") == "close").alias("close_only"))
-    events = merge_repeats(segment(found, fps, r.gap_frames, masks=Places), 2 / fps, force=r.force_merge, masks=Places)
-    sizes = read.groupBy("video_id").agg(F.max("width").alias("roi_w"), F.max("height").alias("roi_h"))
-    return events.join(sizes, "video_id").withColumns({"position": F.col("event_no") - 1, "deleted": F.lit(False)})
+def rip(spark: SparkSession, path: str, cfg: Config, **options) -> Rip:
+    """The rip of every frame file under path: region, range, steps, filter and clean-up of the configuration take effect.
+
+    Each video has its own rate, from its header, name or options; the list of files is the driver's.
+    """
+    rates = {os.path.basename(c.path): c.fps for c in frames.clips(path, **options)}
+    if not rates:
+        raise FileNotFoundError(f"no frame files in {path}")
+    seconds = F.lit(next(iter(rates.values())))
+    if len(set(rates.values())) > 1:
+        seconds = F.create_map(*[F.lit(x) for pair in rates.items() for x in pair])[F.col("video_id")]
+    return rip_frames(frames.load(spark, path, cfg, **options), cfg, seconds)
+
+
+def table(events: DataFrame) -> DataFrame:
+    """A rip's events as a manager's table: numbered by position, none deleted."""
+    return events.withColumns({"position": F.col("event_no").cast("long") - 1, "deleted": F.lit(False)})
+
+
+def export(spark: SparkSession, found: Rip, path: str, out: str, cfg: Config, **options) -> DataFrame:
+    """Writes every artifact of a rip as files below out, at each video's own size; returns their map.
+
+    The map has a row for every artifact; a video without events has neither rows nor files.
+    """
+    events, filtered = table(found.events), table(found.filtered)
+    rows = None
+    by_size: dict[tuple[int, int], list[str]] = {}
+    for c in frames.clips(path, **options):
+        by_size.setdefault((c.width, c.height), []).append(os.path.basename(c.path))
+    for (width, height), names in by_size.items():
+        own = F.col("video_id").isin(names)
+        part = writers.everything(events.filter(own), cfg, width, height, filtered.filter(own))
+        rows = part if rows is None else rows.unionByName(part)
+    return files.write_files(rows, out)
+
+
+def states(spark: SparkSession, found: Rip, path: str, **options) -> DataFrame:
+    """One row for each file of a batch: video_id, state (done, or empty if no frame was read), and the counts of the report."""
+    names = spark.createDataFrame([(os.path.basename(c.path), c.frames) for c in frames.clips(path, **options)], "video_id string, frame_count bigint")
+    both = names.join(found.report(), "video_id", "left").na.fill(0)
+    return both.withColumn("state", F.when(F.col("frames_processed") > 0, "done").otherwise("empty"))
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -35,7 +66,7 @@ def main(argv: list[str] | None = None) -> None:
     verbs.add_parser("dump-config")
     p = verbs.add_parser("rip")
     p.add_argument("frames"), p.add_argument("out")
-    p.add_argument("--config"), p.add_argument("--fps", type=float, default=25.0)
+    p.add_argument("--config"), p.add_argument("--log")
     args = parser.parse_args(argv)
     if args.verb == "dump-config":
         print(Config().to_json())
@@ -43,9 +74,13 @@ def main(argv: list[str] | None = None) -> None:
     spark = SparkSession.builder.getOrCreate()
     send_package(spark)
     cfg = Config.from_json(Path(args.config).read_text()) if args.config else Config()
-    events = rip(spark, args.frames, cfg, args.fps)
-    writers.store(events, f"{args.out}/events")
-    writers.store(writers.script(spark.read.parquet(f"{args.out}/events"), cfg, 0, 0), f"{args.out}/scripts")
+    logger, _ = open_log(args.log)
+    logger.info("rip of %s", args.frames)
+    found = rip(spark, args.frames, cfg)
+    export(spark, found, args.frames, args.out, cfg)
+    for r in states(spark, found, args.frames).orderBy("video_id").collect():  # a line a file
+        logger.info("%s: %s, %d frames, %d changed, %d events, %d filtered", r.video_id, r.state, r.frames_processed, r.change_frames, r.events, r.filtered)
+    logger.info("written to %s after %.1f s of reading", args.out, found.totals()["pass_s"])
 
 
 if __name__ == "__main__":

@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Weights of r, g and b in luma and chroma, and the numbers of the contrast formula.
+YUV_WEIGHTS = ((0.299, 0.587, 0.114), (-0.169, -0.331, 0.5), (0.5, -0.419, -0.081))
+CONTRAST_TOP, CONTRAST_MOST, CONTRAST_STEP = 259.0, 255.0, 2.55
+
+
+def contrast_factor(contrast: int) -> float:
+    c = max(-100, min(100, contrast)) * CONTRAST_STEP
+    return (CONTRAST_TOP * (c + CONTRAST_MOST)) / (CONTRAST_MOST * (CONTRAST_TOP - c))
+
 
 def _div(a: Column, b: Column) -> Column:
     """Integer division that truncates towards zero; null for a zero divisor."""
@@ -26,13 +35,9 @@ def hsv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
 
 
 def yuv(r: Column, g: Column, b: Column) -> tuple[Column, Column, Column]:
-    """Integer luma and chroma: truncated, then held in 0..255.  Fixed values: the weights."""
+    """Integer luma and chroma: truncated, then held in 0..255."""
     held = lambda x: F.least(F.greatest(x.cast("long"), F.lit(0)), F.lit(255)).cast("long")
-    return (
-        held(0.299 * r + 0.587 * g + 0.114 * b),
-        held(-0.169 * r - 0.331 * g + 0.5 * b + 128.0),
-        held(0.5 * r - 0.419 * g - 0.081 * b + 128.0),
-    )
+    return tuple(held(w[0] * r + w[1] * g + w[2] * b + m) for w, m in zip(YUV_WEIGHTS, (0.0, 128.0, 128.0), strict=True))
 
 
 def squared_distance(rgb: tuple[Column, Column, Column], to: tuple) -> Column:
@@ -68,11 +73,10 @@ def overlay(hit: Column, rgb: tuple) -> tuple[Column, Column, Column]:
 
 def tone(rgb: tuple[Column, Column, Column], brightness: int, contrast: int, grey: bool = False) -> tuple[Column, Column, Column]:
     """Contrast (-100..100) around mid grey, brightness (-100..100) added, held in 0..255, rounded half away from zero."""
-    bright, c = float(max(-100, min(100, brightness))), max(-100, min(100, contrast)) * 2.55
-    factor = (259.0 * (c + 255.0)) / (255.0 * (259.0 - c))
+    bright, factor = float(max(-100, min(100, brightness))), contrast_factor(contrast)
     held = [F.least(F.greatest(F.lit(factor) * (x - 128.0) + 128.0 + F.lit(bright), F.lit(0.0)), F.lit(255.0)) for x in rgb]
     if grey:
-        held = [0.299 * held[0] + 0.587 * held[1] + 0.114 * held[2]] * 3
+        held = [sum((w * c for w, c in zip(YUV_WEIGHTS[0][1:], held[1:], strict=True)), YUV_WEIGHTS[0][0] * held[0])] * 3
     return tuple(F.round(x).cast("long") for x in held)
 
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
+from .masks import Packed
 
 
 def live(events: DataFrame) -> DataFrame:
@@ -27,22 +30,70 @@ def document(blocks: DataFrame, by: str = "video_id") -> DataFrame:
     return blocks.groupBy(by).agg(F.array_join(F.transform(joined, lambda x: x["block"]), "").alias("content"))
 
 
-def timeline(events: DataFrame, by: str = "video_id") -> DataFrame:
-    """One JSON document per video: the count and the live events with times to four places; none live: an empty list."""
+def timeline(events: DataFrame, shift_10ms: int = 0, width: int = 0, height: int = 0, by: str = "video_id") -> DataFrame:
+    """One JSON document per video: its size, the time shift, the count and the live events with shifted times to four
+    places, their boxes and the origin of their region; none live: an empty list.  Missing boxes are zeros."""
     alive = (~F.col("deleted")).cast("int")
     number = F.sum(alive).over(W.partitionBy(by).orderBy("position"))
-    item = F.struct(number.cast("int").alias("index"), text.rounded(F.col("start"), 4).alias("start"), text.rounded(F.col("end"), 4).alias("end"), "start_frame", "end_frame", F.col("n").alias("diff_frames"))
+    at = lambda c: text.rounded(text.shifted(F.col(c), shift_10ms), 4).alias(c)
+    item = F.struct(number.cast("int").alias("index"), at("start"), at("end"), "start_frame", "end_frame", _numbers(events, "bbox", 4), _numbers(events, "roi_origin", 2), F.col("n").alias("diff_frames"))
     rows = events.select(by, F.when(~F.col("deleted"), item).alias("item"))
     listed = rows.groupBy(by).agg(F.array_sort(F.collect_list("item")).alias("subtitles"))
-    return listed.select(by, F.to_json(F.struct(F.size("subtitles").alias("count"), "subtitles")).alias("content"))
+    video = F.struct(F.lit(width).alias("width"), F.lit(height).alias("height")).alias("video")
+    style = F.struct(F.lit(shift_10ms).alias("time_shift_10ms")).alias("style")
+    return listed.select(by, F.to_json(F.struct(video, style, F.size("subtitles").alias("count"), "subtitles")).alias("content"))
 
 
-def project(events: DataFrame, by: str = "video_id") -> DataFrame:
-    """One project document per video with all rows, deleted ones too; masks as eight bytes, or as a list of places."""
-    bits = text.base64_text(F.unhex(F.lpad(F.hex("mask"), 16, "0"))).alias("roi_mask_b64") if "array" not in events.schema["mask"].dataType.simpleString() else F.col("mask").alias("roi_mask_places")
-    item = F.struct((F.col("position") + 1).alias("index"), "start", "end", "start_frame", "end_frame", F.col("n").alias("diff_frames"), "deleted", bits)
-    rows = events.groupBy(by).agg(F.array_sort(F.collect_list(item)).alias("subtitles"))
-    return rows.select(by, F.to_json(F.struct(F.lit("reelframe-project").alias("format"), F.lit(2).alias("version"), "subtitles")).alias("content"))
+def _numbers(events: DataFrame, name: str, n: int) -> Column:
+    zeros = F.array(*[F.lit(0).cast("bigint")] * n)
+    return (F.coalesce(F.col(name).cast("array<bigint>"), zeros) if name in events.columns else zeros).alias(name)
+
+
+def byte_masks(events: DataFrame) -> DataFrame:
+    """events (mask as ``masks.Packed``, roi_w, roi_h, bbox) with mask_bytes, the box's mask, and roi_mask_bytes, the
+    region's: a byte of 0 or 255 a pixel, empty where there is no mask."""
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema)
+
+    def run(batches):
+        for b in batches:
+            box, whole = [], []
+            for bits, w, h, at in zip(*[b.column(c).to_pylist() for c in ("mask", "roi_w", "roi_h", "bbox")], strict=True):
+                mask = Packed.unpack(bits, w, h).view(np.uint8) * 255 if bits else np.zeros((0, 0), np.uint8)
+                x, y, bw, bh = at or (0, 0, 0, 0)
+                box.append(mask[y : y + bh, x : x + bw].tobytes()), whole.append(mask.tobytes())
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(box, pa.binary()), pa.array(whole, pa.binary())], [*b.schema.names, "mask_bytes", "roi_mask_bytes"])
+
+    return events.mapInArrow(run, f"{kinds}, mask_bytes binary, roi_mask_bytes binary")
+
+
+def project(events: DataFrame, filtered: DataFrame | None = None, config: str = "{}", artifacts: DataFrame | None = None, by: str = "video_id") -> DataFrame:
+    """One project document per video with all rows, deleted ones too, and its filtered events.
+
+    events and filtered: position, start, end, start_frame, end_frame, n, deleted, mask (``masks.Packed``), image (RGB of
+    the box), roi_w, roi_h, bbox, roi_origin and source_frame.  config is a JSON text; artifacts has by and made, a JSON object of names by kind.
+    """
+
+    def items(rows: DataFrame, part: str) -> DataFrame:
+        rows = byte_masks(rows)
+        code = lambda c, name: text.base64_text(F.coalesce(F.col(c), F.lit(b""))).alias(name)
+        of_box = lambda k: F.coalesce(F.col("bbox")[k], F.lit(0)).cast("long")
+        item = F.struct(
+            (F.col("position") + 1).alias("index"), "start", "end", "start_frame", "end_frame", _numbers(rows, "bbox", 4), _numbers(rows, "roi_origin", 2), "roi_w", "roi_h",
+            of_box(2).alias("image_w"), of_box(3).alias("image_h"), F.col("n").alias("diff_frames"), "source_frame", "deleted",
+            code("image", "image_b64"), code("mask_bytes", "mask_b64"), code("roi_mask_bytes", "roi_mask_b64"),
+        )
+        return rows.select(by, F.lit(part).alias("part"), F.struct("position", F.to_json(item).alias("json")).alias("item"))
+
+    rows = items(events, "subtitles")
+    if filtered is not None:
+        rows = rows.unionByName(items(filtered, "filtered"))
+    of = lambda part: F.array_sort(F.collect_list(F.when(F.col("part") == part, F.col("item")))).alias(part)
+    listed = rows.groupBy(by).agg(of("subtitles"), of("filtered"))
+    joined = lambda part: F.array_join(F.transform(part, lambda x: x["json"]), ",")
+    quoted = F.to_json(F.array(F.col(by).cast("string")))  # the name between brackets
+    listed = listed.withColumn("made", F.lit("{}")) if artifacts is None else listed.join(artifacts.select(by, "made"), by, "left")
+    head = F.concat(F.lit('{"format":"reelframe-project","version":2,"video":'), F.substring(quoted, F.lit(2), F.length(quoted) - 2), F.lit(f',"config":{config},"artifacts":'), F.coalesce("made", F.lit("{}")))
+    return listed.select(by, F.concat(head, F.lit(',"filtered":['), joined("filtered"), F.lit('],"subtitles":['), joined("subtitles"), F.lit("]}")).alias("content"))
 
 
 def runs(values: DataFrame, by: list[str], at: str, value: str) -> DataFrame:

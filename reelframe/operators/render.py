@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 
+from ..functions.colour import YUV_WEIGHTS, contrast_factor
 from .components import label_places
 
 
@@ -117,11 +118,9 @@ def trim_and_pad(image: np.ndarray, ocr, bg=(255, 255, 255)) -> np.ndarray:
 
 
 def toned(image: np.ndarray, brightness: int, contrast: int, grey: bool) -> np.ndarray:
-    c = max(-100, min(100, contrast)) * 2.55
-    factor = (259.0 * (c + 255.0)) / (255.0 * (259.0 - c))
-    v = np.clip(factor * (image.astype(float) - 128.0) + 128.0 + max(-100, min(100, brightness)), 0, 255)
+    v = np.clip(contrast_factor(contrast) * (image.astype(float) - 128.0) + 128.0 + max(-100, min(100, brightness)), 0, 255)
     if grey:
-        v = np.repeat((v @ np.array([0.299, 0.587, 0.114]))[..., None], 3, axis=2)
+        v = np.repeat((v @ np.array(YUV_WEIGHTS[0]))[..., None], 3, axis=2)
     return np.floor(v + 0.5).astype(np.uint8)
 
 

@@ -1,7 +1,8 @@
 """Order-dependent folds: candidates to events, and merging of repeated events.
 
-Both folds only number rows; what a number stands for is then an ordinary aggregation.  Rows come in order by video and
-frame, and a fold passes over them once with the open group's mask as its state, so no task holds a run or a video.
+A fold passes once over the rows of a chain in order and holds the open group only.  Chains are stretches of a video that
+nothing can join: what lies between two closes, or events too far apart to merge.  They are told apart by running counts
+over ranges of frames, so a long video spreads over tasks as far as it has closes or gaps.
 """
 
 from __future__ import annotations
@@ -10,83 +11,136 @@ from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
 
 from .masks import Bits
 
 JOINED_FROM = 0.7
 MERGED_FROM = 0.9
+#: Frames, or events, of a video in a range of the running counts.
+RANGE = 4096
 
 
-def _numbered(rows: DataFrame, by: str, at: str, carry: str, joins: Callable, masks, closes: str | None = None) -> DataFrame:
-    """rows with `no`, the number of each row's group within its video: a new one where joins(share, at - carried) is false.
+def running(rows: DataFrame, value: Column, order: str, name: str, by: str = "video_id") -> DataFrame:
+    """rows with the sum of value over the earlier rows of the same video, by sums within ranges of order and of ranges."""
+    rows = rows.withColumns({"range_": F.floor(F.col(order) / RANGE), "value_": value.cast("long")})
+    within = W.partitionBy(by, "range_").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
+    rows = rows.withColumn(name, F.coalesce(F.sum("value_").over(within), F.lit(0).cast("long")))
+    sums = rows.groupBy(by, "range_").agg(F.sum("value_").alias("sum_"))
+    earlier = W.partitionBy(by).orderBy("range_").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select(by, "range_", F.coalesce(F.sum("sum_").over(earlier), F.lit(0).cast("long")).alias("earlier_"))
+    return rows.join(sums, [by, "range_"]).withColumn(name, F.col(name) + F.col("earlier_")).drop("range_", "value_", "earlier_")
 
-    share is the overlap of the row's mask with the union of the group's, carried the carry column of its last row.  A row
-    where closes is true ends the open group and has its number, null if none is open.
-    """
-    names = [by, at, carry, "mask", *([closes] if closes else [])]
-    schema = StructType([*rows.schema.fields, StructField("no", LongType())])
+
+def _fold(rows: DataFrame, order: str, start: Callable, schema: str) -> DataFrame:
+    """rows (video_id, chain, ...) in order through start(): a function of a row, or of None at the end of a chain, to the
+    group that it ends or None.  A group is a dictionary with the names of schema, of which video_id is filled in."""
+    names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches):
-        video, no, is_open, union, last = object(), 0, False, None, None
+        step, key, types = start(), None, {}
         for b in batches:
-            out = []
-            for v, _, x, y, mask, *close in zip(b.column("video_id").to_pylist(), *[b.column(c).to_pylist() for c in names], strict=True):
-                if v != video:
-                    video, no, is_open = v, 0, False
-                if close and close[0]:
-                    out.append(no if is_open else None)
-                    is_open = False
-                    continue
-                mask = masks.read(mask)
-                if is_open and joins(masks.share(union, mask), x - last):
-                    union = masks.joined(union, mask)
-                else:
-                    no, is_open, union = no + 1, True, mask
-                last = y
-                out.append(no)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int64())], [*b.schema.names, "no"])
+            types = {f.name: f.type for f in b.schema}
+            done = []
+            for row in b.to_pylist():
+                if key is not None and key != (row["video_id"], row["chain"]) and (group := step(None)):
+                    done.append(group | {"video_id": key[0]})
+                key = row["video_id"], row["chain"]
+                if group := step(row):
+                    done.append(group | {"video_id": key[0]})
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([d[n] for d in done], types.get(n, pa.int64())) for n in names], names)
+        if key is not None and (group := step(None)):
+            group["video_id"] = key[0]
+            yield pa.RecordBatch.from_arrays([pa.array([group[n]], types.get(n, pa.int64())) for n in names], names)
 
-    return rows.repartition("video_id").sortWithinPartitions("video_id", by).mapInArrow(run, schema)
+    return rows.repartition("video_id", "chain").sortWithinPartitions("video_id", "chain", order).mapInArrow(run, schema)
 
 
-def segment(rows: DataFrame, fps: Column | float = 25.0, gap: int = 5, masks=Bits, joined_from: float = JOINED_FROM) -> DataFrame:
+def _counted(groups: DataFrame, order: str) -> DataFrame:
+    """groups with event_no, their number within the video."""
+    return running(groups, F.lit(1), order, "no_").withColumn("event_no", (F.col("no_") + 1).cast("int")).drop("no_")
+
+
+def segment(rows: DataFrame, fps: Column | float = 25.0, gap: int = 5, masks=Bits, joined_from: float = JOINED_FROM, chain: str | None = None) -> DataFrame:
     """Candidates and closes (video_id, idx, time, mask, close_only) -> events.
 
     A candidate joins the open event if it overlaps the union of its masks by joined_from or follows its last candidate
     within gap frames; else the event ends one frame after its last candidate and a new one opens.  A close ends the open
-    event at its own time.
+    event at its own time.  chain, if given, is a column with the number of closes before the row.
     Returns video_id, event_no (from 1), start, end, start_frame, end_frame, n, mask, source_frame.
     """
-    joins = lambda share, frames: share >= joined_from or frames <= gap
-    rows = rows.select("video_id", F.col("idx").cast("long").alias("idx"), "time", "mask", "close_only")
-    numbered = _numbered(rows, "idx", "idx", "idx", joins, masks, "close_only").filter("no is not null")
-    own = lambda c: F.when(~F.col("close_only"), F.col(c))
     seconds = fps if isinstance(fps, Column) else F.lit(float(fps))
-    events = numbered.groupBy("video_id", F.col("no").cast("int").alias("event_no")).agg(
-        F.min(own("time")).alias("start"), F.max(own("time")).alias("last_time"), F.min(own("idx")).alias("start_frame"), F.max(own("idx")).alias("source_frame"),
-        F.count(own("idx")).alias("n"), masks.union_all(own("mask")).alias("mask"), F.min(F.when(F.col("close_only"), F.struct("idx", "time"))).alias("close"),
-    )
-    events = events.withColumns({
-        "end": F.coalesce("close.time", F.col("last_time") + F.lit(1.0) / seconds),
-        "end_frame": F.coalesce("close.idx", "source_frame"),
-    })
-    return events.select("video_id", "event_no", "start", "end", "start_frame", "end_frame", "n", "mask", "source_frame")
-
-
-def merge_repeats(events: DataFrame, max_gap: float, merged_from: float = MERGED_FROM, force: bool = False, masks=Bits, sums: tuple[str, ...] = ("n",)) -> DataFrame:
+    columns = ["video_id", F.col("idx").cast("long").alias("idx"), F.col("time").cast("double").alias("time"), "mask", "close_only", (F.lit(1.0) / seconds).alias("frame_s")]
+    rows = rows.select(*columns, F.col(chain).alias("chain")) if chain else running(rows.select(*columns), F.col("close_only").cast("int"), "idx", "chain")
+
+    def start():
+        event, union = {}, None
+
+        def finish(**close):
+            nonlocal event
+            done, event = event, {}
+            frame_s = done.pop("frame_s")
+            return done | {"mask": masks.write(union), "end": done["time"] + frame_s, "end_frame": done["source_frame"]} | close
+
+        def step(row):
+            nonlocal event, union
+            done = None
+            if row is None or row["close_only"]:
+                return None if not event else finish(end=row["time"], end_frame=row["idx"]) if row else finish()
+            mask = masks.read(row["mask"])
+            if event and (masks.share(union, mask) >= joined_from or row["idx"] - event["source_frame"] <= gap):
+                union = masks.joined(union, mask)
+            else:
+                done = finish() if event else None
+                event, union = {"start": row["time"], "start_frame": row["idx"], "n": 0}, mask
+            event |= {"time": row["time"], "frame_s": row["frame_s"], "source_frame": row["idx"], "n": event["n"] + 1}
+            return done
+
+        return step
+
+    kind = rows.schema["video_id"].dataType.simpleString()
+    # time and the columns named like input ones take those columns' types; start and end are doubles like time.
+    rows = rows.withColumns({"start": F.lit(0.0), "end": F.lit(0.0)})
+    events = _fold(rows, "idx", start, f"video_id {kind}, start double, end double, start_frame bigint, end_frame bigint, n bigint, mask {masks.kind}, source_frame bigint")
+    return _counted(events, "start_frame").select("video_id", "event_no", "start", "end", "start_frame", "end_frame", "n", "mask", "source_frame")
+
+
+def merge_repeats(events: DataFrame, max_gap: Column | float, merged_from: float = MERGED_FROM, force: bool = False, masks=Bits, sums: tuple[str, ...] = ("n",), blend: Callable | None = None) -> DataFrame:
     """Neighbouring events (video_id, event_no, start, end, ..., mask) that repeat become one.
 
     An event joins the one before if their masks overlap by merged_from (the earlier as merged so far) and it begins at most
     max_gap seconds after that one's end; force joins all of a video.  The merged event keeps the first start, takes the
-    last end and source frame, adds up the sums and unites the masks.
+    last end and source frame, adds up the sums and unites the masks; blend(earlier, later, union) -> further values.
     """
-    joins = (lambda share, gap: True) if force else (lambda share, gap: share >= merged_from and gap <= max_gap)
-    rest = [c for c in events.columns if c not in ("video_id", "event_no")]
-    joined = _numbered(events, "event_no", "start", "end", joins, masks).withColumnRenamed("no", "new_no")
-    how = {}
-    for c in rest:
-        how[c] = F.sum(c) if c in sums else masks.union_all(c) if c == "mask" else F.min_by(c, "event_no") if c in ("start", "start_frame") else F.max_by(c, "event_no")
-    merged = joined.groupBy("video_id", F.col("new_no").cast("int").alias("event_no")).agg(*[f.alias(c) for c, f in how.items()])
-    return merged.select(*events.columns)
+    columns = events.columns
+    gap = max_gap if isinstance(max_gap, Column) else F.lit(float(max_gap))
+    by_number = W.partitionBy("video_id").orderBy("event_no")
+    rows = events.withColumns({"gap_": gap, "cut_": F.lit(0) if force else F.coalesce((F.col("start") - F.lag("end").over(by_number) > gap).cast("int"), F.lit(0))})
+    rows = rows.drop("cut_").withColumn("chain", F.lit(0)) if force else rows.withColumn("chain", F.sum("cut_").over(by_number)).drop("cut_")
+    first = ("video_id", "event_no", "start", "start_frame")
+
+    def start():
+        event, union = None, None
+
+        def step(row):
+            nonlocal event, union
+            done = None
+            if row is not None:
+                mask = masks.read(row["mask"])
+                if event is not None and (force or (masks.share(union, mask) >= merged_from and row["start"] - event["end"] <= row["gap_"])):
+                    union = masks.joined(union, mask)
+                    more = blend(event, row, union) if blend else {}
+                    event = {c: event[c] if c in first else event[c] + row[c] if c in sums else row[c] for c in columns} | more
+                    return None
+            if event is not None:
+                done = event | {"mask": masks.write(union)}
+            event, union = (None, None) if row is None else ({c: row[c] for c in columns}, mask)
+            return done
+
+        return step
+
+    kinds = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in columns)
+    merged = _fold(rows, "event_no", start, kinds).withColumnRenamed("event_no", "old_no")
+    return _counted(merged, "old_no").select(*columns)

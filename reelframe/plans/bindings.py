@@ -89,3 +89,21 @@ e1 AS (SELECT *, position * 2.0::DOUBLE + (event_id % 10) / 10.0::DOUBLE AS star
 e2 AS (SELECT *, start + 1.0::DOUBLE + (event_id % 7) / 4.0::DOUBLE AS "end" FROM e1),
 ev AS (SELECT video_id, position, start, "end", CAST(round(start * 25) AS BIGINT) AS start_frame, CAST(round("end" * 25) AS BIGINT) AS end_frame,
   event_id % 5 + 1 AS n, CASE WHEN event_id % 3 = 0 THEN 255 ELSE (event_id * 37) % 255 + 1 END AS mask, event_type = 'error' AS deleted FROM e2)"""
+
+
+def event_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """event_table() as a rip's events: the mask's eight bits over a region of 4 x 2 at (3, 5), their box and an image of it."""
+    rows = event_table(spark, sf_dir)
+    places = F.filter(F.sequence(F.lit(0), F.lit(7)), lambda p: F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.lit(7) - p)) != 0)
+    x, y = F.transform(places, lambda p: p % 4), F.transform(places, lambda p: F.call_function("div", p, F.lit(4)))
+    size = lambda v: (F.array_max(v) - F.array_min(v) + 1).cast("long")
+    box = F.array(F.array_min(x).cast("long"), F.array_min(y).cast("long"), size(x), size(y))
+    rows = rows.withColumn("bbox", box)
+    image = F.unhex(F.repeat(F.lpad(F.hex(F.col("position") % 256), 2, "0"), (F.col("bbox")[2] * F.col("bbox")[3] * 3).cast("int")))
+    return rows.withColumns({
+        "mask": F.unhex(F.lpad(F.hex("mask"), 2, "0")), "roi_w": F.lit(4), "roi_h": F.lit(2), "roi_origin": F.array(F.lit(3).cast("long"), F.lit(5).cast("long")), "image": image, "source_frame": F.col("end_frame"),
+    })
+
+
+PICTURES = """pp AS (SELECT video_id, position, min(p % 4) AS bx, min(p // 4) AS bt, max(p % 4) - min(p % 4) + 1 AS bw, max(p // 4) - min(p // 4) + 1 AS bh FROM ev CROSS JOIN (SELECT unnest(range(0, 8)) AS p) WHERE (mask >> (7 - p)) & 1 = 1 GROUP BY video_id, position),
+ep AS (SELECT ev.*, bx, bt, bw, bh FROM ev JOIN pp USING (video_id, position))"""

@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import ColorSegment, Filter, Postprocess
-from ..operators import detect, manager, packed
-from ..operators.masks import Places
+from ..config import Config, Region
+from ..operators import detect, manager
+from ..operators.rip import changes, tuned
+from ..operators.rip import rip as rip_frames
 from ..operators.segment import merge_repeats, segment
-from .bindings import CANDIDATES, EVENTS, candidate_stream, event_table, packed_frames, pixels, table
-from .pixel_queries import CANDIDATE_ROWS, DIFFED, PIXELS, change_rows
+from .bindings import CANDIDATES, EVENTS, candidate_stream, event_table, packed_frames, table
+from .pixel_queries import CANDIDATE_ROWS, COLOURS, DIFFED, PIXELS, change_rows
 
 QUERIES, ORACLES = {}, {}
 
@@ -101,50 +102,80 @@ def rip_events(spark, d):
     return rip(spark, d).withColumn("mask", unsigned).select("video_id", "event_no", "start", "end", "start_frame", "end_frame", "n", "mask", "source_frame")
 
 
-#: The packed chain's filter: near to grey 170, or near to grey 90; nothing is cleaned up, as in the oracle.
-PACKED_FILTER = Filter(pixel_compensate=0, segments={"outline": ColorSegment(rgb=(90, 90, 90), rgb_diff=90), "final": ColorSegment(rgb=(170, 170, 170), rgb_diff=80)})
-PACKED_POST = Postprocess(single_dot=False, single_line=False, large_block=0, touch_edge=False, pass_center=False)
-PACKED_ROWS = CANDIDATE_ROWS.replace(
-    "v > 0.25", "(r - 90) * (r - 90) + (g - 90) * (g - 90) + (b - 90) * (b - 90) <= 8100 OR (r - 170) * (r - 170) + (g - 170) * (g - 170) + (b - 170) * (b - 170) <= 6400"
-)
+#: The rip's configuration over the 8 x 8 frames: margins that leave 7 x 7, sharpened; all other values are the defaults.
+RIP_CONFIG = Config(region=Region(up=1, left=1, sharpen=True))
+
+
+def _cleaned(name: str, rows: str) -> str:
+    """CTEs up to `name` (video_id, idx, pos): filter by the colours in rows, dilated once and cleaned up."""
+    near = lambda w, d: " + ".join(f"(px.{c} - w.{w}_{c}) * (px.{c} - w.{w}_{c})" for c in "rgb") + f" <= {d * d}"
+    return f"""{name}_h AS (SELECT DISTINCT w.video_id, w.idx, px.x + a.o AS x, px.y + b.o AS y FROM {rows} w JOIN px USING (video_id, idx) CROSS JOIN o a CROSS JOIN o b
+  WHERE ({near("main", 40)} OR {near("outline", 30)}) AND px.x + a.o BETWEEN 0 AND 6 AND px.y + b.o BETWEEN 0 AND 6),
+{name}_c AS (WITH RECURSIVE s AS (SELECT *, y * 7 + x AS pos FROM {name}_h),
+ w(idx, pos, root) AS (SELECT idx, pos, pos FROM s UNION SELECT n.idx, n.pos, w.root FROM w JOIN s c ON c.idx = w.idx AND c.pos = w.pos JOIN s n ON n.idx = c.idx AND abs(n.x - c.x) <= 1 AND abs(n.y - c.y) <= 1)
+ SELECT s.video_id, s.idx, s.pos, s.x, s.y, min(w.root) AS comp FROM w JOIN s ON s.idx = w.idx AND s.pos = w.pos GROUP BY ALL),
+{name}_s AS (SELECT idx, comp FROM {name}_c GROUP BY idx, comp HAVING NOT (count(*) = 1 OR (count(*) <= 4 AND (max(x) = min(x) OR max(y) = min(y))) OR (min(y) < 2 AND max(y) > 4))),
+{name} AS (SELECT c.video_id, c.idx, c.pos FROM {name}_c c JOIN {name}_s USING (idx, comp))"""
+
 
+# Region, differences, colours of changed pixels, tuned colours, masks of 49 bits from bit 55 down, candidates.
+REGION = ", ".join(f"CASE WHEN x BETWEEN 1 AND 5 AND y BETWEEN 1 AND 5 THEN least(greatest({c} + (({c} - m{c}) * 3) // 5, 0), 255) ELSE {c} END AS {c}" for c in "rgb")
+AROUND = ", ".join(f"(lag({c}) OVER ys + lead({c}) OVER ys + lag({c}) OVER xs + lead({c}) OVER xs) // 4 AS m{c}" for c in "rgb")
+NAMES = [f"{w}_{c}" for w in ("main", "outline") for c in "rgb"]
+TUNED = f"""{PIXELS.replace("px AS", "p8 AS")},
+rg AS (SELECT video_id, idx, (y - 1) * 7 + x - 1 AS pos, x - 1 AS x, y - 1 AS y, r, g, b FROM p8 WHERE x >= 1 AND y >= 1),
+ar AS (SELECT *, {AROUND} FROM rg WINDOW ys AS (PARTITION BY idx, x ORDER BY y), xs AS (PARTITION BY idx, y ORDER BY x)),
+px AS (SELECT video_id, idx, pos, x, y, {REGION} FROM ar), o AS (SELECT unnest([-1, 0, 1]) AS o), {DIFFED}, {COLOURS},
+ch AS (SELECT video_id, idx, bit_or(CASE WHEN changed THEN 1::UBIGINT << (55 - pos) ELSE 0::UBIGINT END) AS change_mask FROM chg GROUP BY video_id, idx
+  HAVING count(*) FILTER (changed) >= 20 AND count(*) FILTER (changed) / count(*)::DOUBLE * 100 >= 0.5),
+pl AS (SELECT au.* FROM au JOIN ch USING (video_id, idx) WHERE (main_r + main_g + main_b) / 3.0 >= 155 AND (outline_r + outline_g + outline_b) / 3.0 <= 95), {_cleaned("tm", "pl")},
+ok AS (SELECT video_id, min(idx) AS idx FROM (SELECT video_id, idx FROM tm GROUP BY video_id, idx HAVING count(*) / 49::DOUBLE < 0.30) GROUP BY video_id),
+tu AS (SELECT video_id, idx AS tuned_idx, {", ".join(NAMES)} FROM ok JOIN pl USING (video_id, idx))"""
+PACKED_ROWS = f"""{TUNED},
+co AS (SELECT ch.video_id, ch.idx, {", ".join(f"CASE WHEN ch.idx >= tuned_idx THEN {n} ELSE {255 if n.startswith('main') else 0} END AS {n}" for n in NAMES)} FROM ch LEFT JOIN tu USING (video_id)), {_cleaned("fm", "co")},
+cr AS (SELECT ch.video_id, ch.idx, change_mask, coalesce(f.mask, 0::UBIGINT) AS mask, coalesce(lag(f.mask) OVER (PARTITION BY ch.video_id ORDER BY ch.idx), 0::UBIGINT) AS before
+  FROM ch LEFT JOIN (SELECT video_id, idx, bit_or(1::UBIGINT << (55 - pos)) AS mask FROM fm GROUP BY video_id, idx) f USING (video_id, idx)),
+ck AS (SELECT *, CASE WHEN mask <> 0 AND (before = 0 OR bit_count(mask & before) / bit_count(mask | before)::DOUBLE < 0.7) THEN 'candidate'
+  WHEN mask = 0 AND before <> 0 THEN 'close' WHEN mask = 0 AND change_mask <> 0 THEN 'filtered' END AS kind FROM cr)"""
 
-def packed_candidates(spark, d):
-    """Differences, filter and detection on packed frames, the form for real frame sizes."""
-    found = detect.candidates(packed.change_rows(packed_frames(spark, d), PACKED_FILTER, PACKED_POST), Places)
-    return found.select("video_id", "idx", (F.col("idx") / 25.0).alias("time"), "mask", (F.col("kind") == "close").alias("close_only"), "kind")
 
+def packed_rip(spark, d):
+    return rip_frames(packed_frames(spark, d), RIP_CONFIG)
 
-def _totals(spark, d):
-    """What a run reports per video: frames processed, change frames, events and filtered events."""
-    frames = packed_frames(spark, d)
-    change = packed.change_rows(frames, PACKED_FILTER, PACKED_POST)
-    rows = packed_candidates(spark, d)
-    events = merge_repeats(segment(rows.filter("kind <> 'filtered'").drop("kind"), masks=Places), 2.0 / 25.0, masks=Places)
-    filtered = segment(rows.filter("kind = 'filtered'").drop("kind"), masks=Places)
-    counts = [frames.groupBy("video_id").agg(F.count("*").alias("frames_processed"))]
-    counts += [df.groupBy("video_id").agg(F.count("*").alias(name)) for df, name in ((change, "change_frames"), (events, "events"), (filtered, "filtered"))]
-    out = counts[0]
-    for c in counts[1:]:
-        out = out.join(c, "video_id", "left")
-    return out.na.fill(0)
 
+@query("wn_packed_tuned", f"WITH RECURSIVE {TUNED} SELECT * FROM tu")
+def wn_packed_tuned(spark, d):
+    t = tuned(changes(packed_frames(spark, d), RIP_CONFIG))
+    at = lambda w, k: F.col(w)[k].cast("long")
+    return t.select("video_id", "tuned_idx", *[at(w, k).alias(f"{w}_{c}") for w in ("main", "outline") for k, c in enumerate("rgb")])
 
-PACKED = f"""WITH RECURSIVE {PIXELS}, {DIFFED}, {PACKED_ROWS},
+
+PACKED = f"""WITH RECURSIVE {PACKED_ROWS},
 rr AS (SELECT video_id, idx, idx / 25.0::DOUBLE AS time, mask, kind = 'close' AS close_only FROM ck WHERE kind IN ('candidate', 'close')),
 {FOLD.format(rows="rr", zero="0::UBIGINT")}, {MERGE.format(rows="se", order="event_no", force="false", gap="0.08::DOUBLE")}"""
+# An event's image is the box of its source frame's region; where events merge, later boxes lie over earlier ones.
+IMAGES = """gr AS (SELECT DISTINCT pos, x, y FROM px),
+mg AS (SELECT mf.video_id, mf.g, me.k, me.mask, me.source_frame FROM mf JOIN me USING (video_id, k)),
+eb AS (SELECT mg.video_id, g, k, source_frame, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM mg JOIN gr ON (mask >> (55 - pos)) & 1 = 1 GROUP BY ALL),
+ub AS (SELECT video_id, g, min(x0) AS x0, max(x1) AS x1, min(y0) AS y0, max(y1) AS y1 FROM eb GROUP BY video_id, g),
+cut AS (SELECT eb.video_id, eb.g, eb.k, px.x, px.y, format('{:02X}{:02X}{:02X}', px.r, px.g, px.b) AS c
+  FROM eb JOIN px ON px.video_id = eb.video_id AND px.idx = eb.source_frame AND px.x BETWEEN eb.x0 AND eb.x1 AND px.y BETWEEN eb.y0 AND eb.y1),
+im AS (SELECT ub.video_id, ub.g, gr.y, gr.x, coalesce(arg_max(c, k), '000000') AS c FROM ub JOIN gr ON gr.x BETWEEN x0 AND x1 AND gr.y BETWEEN y0 AND y1
+  LEFT JOIN cut ON cut.video_id = ub.video_id AND cut.g = ub.g AND cut.x = gr.x AND cut.y = gr.y GROUP BY ALL),
+pic AS (SELECT video_id, g, string_agg(c, '' ORDER BY y, x) AS image FROM im GROUP BY video_id, g)"""
 
 
 @query(
     "rip_packed_events",
-    f"""{PACKED} SELECT video_id, g AS event_no, arg_min(start, k) AS start, arg_max("end", k) AS "end", arg_min(start_frame, k) AS start_frame, arg_max(end_frame, k) AS end_frame,
-    sum(n)::BIGINT AS n, bit_or(mask)::HUGEINT::VARCHAR AS mask, arg_max(source_frame, k) AS source_frame FROM mf JOIN me USING (video_id, k) GROUP BY video_id, g""",
+    f"""{PACKED}, {IMAGES}, done AS (SELECT video_id, g, g AS event_no, arg_min(start, k) AS start, arg_max("end", k) AS "end", arg_min(start_frame, k) AS start_frame, arg_max(end_frame, k) AS end_frame,
+    sum(n)::BIGINT AS n, format('{{:014X}}', bit_or(mask)) AS mask, arg_max(source_frame, k) AS source_frame FROM mf JOIN me USING (video_id, k) GROUP BY video_id, g)
+    SELECT done.* EXCLUDE (g), 7 AS roi_w, 7 AS roi_h, '1,1' AS roi_origin, concat_ws(',', x0, y0, x1 - x0 + 1, y1 - y0 + 1) AS bbox, image FROM done JOIN ub USING (video_id, g) JOIN pic USING (video_id, g)""",
 )
 def rip_packed_events(spark, d):
-    rows = packed_candidates(spark, d).filter("kind <> 'filtered'").drop("kind")
-    events = merge_repeats(segment(rows, masks=Places), 2.0 / 25.0, masks=Places)
-    bits = F.aggregate("mask", F.lit(0).cast("long"), lambda a, p: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), p.cast("int"))))
-    return events.withColumn("mask", F.conv(F.hex(bits), 16, 10))
+    """The rip as users start it: region, differences, tuned colours, filter with dilation, clean-up, events, merging."""
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    events = packed_rip(spark, d).events
+    return events.select("video_id", "event_no", "start", "end", "start_frame", "end_frame", "n", F.hex("mask").alias("mask"), "source_frame", "roi_w", "roi_h", listed("roi_origin"), listed("bbox"), F.hex("image").alias("image"))
 
 
 @query(
@@ -161,7 +192,8 @@ def rip_packed_events(spark, d):
     LEFT JOIN (SELECT video_id, max(no)::BIGINT AS filtered FROM ff GROUP BY video_id) USING (video_id)""",
 )
 def ag_rip_report(spark, d):
-    return _totals(spark, d)
+    """What a run reports per video, from what the one pass over its frames has stored."""
+    return packed_rip(spark, d).report()
 
 
 @query(
@@ -316,7 +348,3 @@ def so_events_by_start(spark, d):
 @query("fl_live_events", f'{E} SELECT video_id, count(*) FILTER (NOT deleted) AS live, count(*) FILTER (deleted) AS removed FROM ev GROUP BY video_id')
 def fl_live_events(spark, d):
     return event_table(spark, d).groupBy("video_id").agg(F.count_if(~F.col("deleted")).alias("live"), F.count_if("deleted").alias("removed"))
-
-
-def flagship_pixels(spark, d):
-    return pixels(spark, d)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import colour, text
 from ..operators import artifacts, video
-from .bindings import EVENTS, STREAM, event_table, pixel_stream, table
+from .bindings import EVENTS, PICTURES, STREAM, event_pictures, event_table, pixel_stream, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -172,25 +172,59 @@ def sk_srt(spark, d):
     return artifacts.document(artifacts.srt_blocks(event_table(spark, d), -20))
 
 
+def _moved(t: str) -> str:
+    return f"({t} + -125 * 0.01::DOUBLE)"
+
+
 @query(
     "sk_timeline",
-    f"""WITH {EVENTS}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY position) AS k FROM ev WHERE NOT deleted)
-    SELECT video_id, k AS index, round(start * 10000) / 10000 AS start, round("end" * 10000) / 10000 AS "end", start_frame, end_frame, n AS diff_frames, count(*) OVER (PARTITION BY video_id) AS count FROM n""",
+    f"""WITH {EVENTS}, {PICTURES}, n AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY position) AS k FROM ep WHERE NOT deleted)
+    SELECT video_id, k AS index, round({_moved("start")} * 10000) / 10000 AS start, round({_moved('"end"')} * 10000) / 10000 AS "end", start_frame, end_frame, concat_ws(',', bx, bt, bw, bh) AS bbox, '3,5' AS roi_origin,
+    n AS diff_frames, count(*) OVER (PARTITION BY video_id) AS count, 1280 AS width, 720 AS height, -125 AS time_shift_10ms FROM n""",
 )
 def sk_timeline(spark, d):
+    """Written with a time shift, and read back."""
     from ..sources import project
 
-    return project.read_timeline(artifacts.timeline(event_table(spark, d)))
+    found = project.read_timeline(artifacts.timeline(event_pictures(spark, d), -125, 1280, 720))
+    return found.withColumns({c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("bbox", "roi_origin")})
 
 
 @query(
     "src_project_round_trip",
-    f"""WITH {EVENTS} SELECT video_id, position, start, "end", start_frame, end_frame, n, mask, deleted FROM ev""",
+    f"""WITH {EVENTS}, {PICTURES} SELECT video_id, part, position, start, "end", start_frame, end_frame, n, CASE WHEN mask > 0 THEN printf('%02X', mask) END AS mask, 4 AS roi_w, 2 AS roi_h, '3,5' AS roi_origin,
+    concat_ws(',', bx, bt, bw, bh) AS bbox, repeat(printf('%02X', position % 256), bw * bh * 3) AS image, end_frame AS source_frame, deleted
+    FROM ep CROSS JOIN (SELECT unnest(['subtitles', 'filtered']) AS part) WHERE part = 'subtitles' OR deleted""",
 )
 def src_project_round_trip(spark, d):
+    """Written with all rows, the deleted ones as filtered events too, and read back."""
+    from ..sources import project
+
+    e = event_pictures(spark, d)
+    written = artifacts.project(e, e.filter("deleted"))
+    subtitles, filtered = (project.read_events(written, part=part) for part in ("subtitles", "filtered"))
+    order = W.partitionBy("video_id").orderBy("position")
+    places = e.filter("deleted").select("video_id", (F.row_number().over(order) - 1).cast("long").alias("at"), F.col("position").alias("own"))
+    filtered = filtered.withColumnRenamed("position", "at").join(places, ["video_id", "at"]).withColumn("position", F.col("own")).select(subtitles.columns)
+    both = subtitles.withColumn("part", F.lit("subtitles")).unionByName(filtered.withColumn("part", F.lit("filtered")))
+    listed = {c: F.array_join(F.col(c).cast("array<string>"), ",") for c in ("bbox", "roi_origin")}
+    return both.withColumns(listed | {c: F.hex(c) for c in ("mask", "image")})
+
+
+@query(
+    "src_project_header",
+    f"""WITH {EVENTS} SELECT video_id, video_id::VARCHAR AS video, 'v' || video_id || '.srt' AS srt, 9 AS gap_frames FROM ev GROUP BY video_id""",
+)
+def src_project_header(spark, d):
+    """Video, artifacts and configuration of written projects, read back."""
+    from ..config import Config, Rip
     from ..sources import project
 
-    return project.read_events(artifacts.project(event_table(spark, d)))
+    made = F.to_json(F.struct(F.concat(F.lit("v"), F.col("video_id"), F.lit(".srt")).alias("srt"), F.lit(None).cast("string").alias("ssa")))
+    e = event_pictures(spark, d)
+    files = e.select("video_id").distinct().withColumn("made", made)
+    read = project.read_header(artifacts.project(e, config=Config(rip=Rip(gap_frames=9)).to_json(), artifacts=files))
+    return read.select("video_id", "video", F.col("artifacts")["srt"].alias("srt"), F.get_json_object("config", "$.rip.gap_frames").cast("int").alias("gap_frames"))
 
 
 @query("sk_container_offsets", f"WITH {EVENTS} SELECT video_id, position, coalesce(sum(64 + n * 7 + 8) OVER (PARTITION BY video_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM ev WHERE NOT deleted AND mask <> 0")

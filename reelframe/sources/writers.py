@@ -1,7 +1,7 @@
-"""Artifacts as rows (video_id, name, content BINARY) and their storage.
+"""Artifacts as rows (video_id, name, content BINARY), made where their event rows are.
 
-Every artifact is made where its event rows are; ``store`` writes the rows as Parquet or as files through Spark's own file
-systems, so nothing passes through the driver.
+Events are a rip's, with mask (``masks.Packed``), roi_w, roi_h, roi_origin, bbox and image.  ``sources.files`` writes the
+rows as files.
 """
 
 from __future__ import annotations
@@ -16,7 +16,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Config
+from ..functions.colour import YUV_WEIGHTS
 from ..operators import artifacts, render
+from ..operators.masks import Packed
+from ..shared import stored
+from .jpeg import jpeg
 
 FIELDS = "video_id, name, content"
 #: Column names of the script format's tables.
@@ -24,12 +28,23 @@ STYLE_FORMAT = "Name, Fontname, Fontsize, PrimaryColour, SecondaryColour, Outlin
 EVENT_FORMAT = "Layer, Start, End, Style, Name, MarginL, MarginR, MarginV, Effect, Text"
 
 
-def texts(events: DataFrame, cfg: Config) -> DataFrame:
+def _artifacts(events: DataFrame, cfg: Config) -> DataFrame:
+    """video_id and made: a JSON object of the artifacts that the configuration asks for, by kind; most need a live event."""
+    o, v = cfg.output, F.col("video_id").cast("string")
+    image_kinds = {"ssa": (o.ssa, ".ass"), "sub": (o.vobsub, ".sub"), "idx": (o.vobsub, ".idx"), "ocr_images": (o.ocr_png, ""), "srt": (o.srt, ".srt"), "srt_subs": (o.srt and o.srt_bitmap, "_subs")}
+    named = [F.when(F.lit(on) & F.col("live"), F.concat(v, F.lit(ext))).alias(kind) for kind, (on, ext) in image_kinds.items()]
+    named.append(F.when(F.lit(o.json_timeline), F.concat(v, F.lit(".timeline.json"))).alias("timeline"))
+    live = events.groupBy("video_id").agg(F.bool_or(~F.col("deleted")).alias("live"))
+    return live.select("video_id", F.to_json(F.struct(*named)).alias("made"))
+
+
+def texts(events: DataFrame, cfg: Config, width: int = 0, height: int = 0, filtered: DataFrame | None = None) -> DataFrame:
     """SRT, timeline and project documents, as the configuration asks; without live events only the last two."""
     shift = cfg.style.time_shift_10ms
-    made = [("esr", artifacts.project(events))]
+    documents = artifacts.project(events, filtered, cfg.to_json(), _artifacts(events, cfg))
+    made = [("esr", documents)]
     if cfg.output.json_timeline:
-        made.append(("timeline.json", artifacts.timeline(events)))
+        made.append(("timeline.json", artifacts.timeline(events, shift, width, height)))
     if cfg.output.srt:
         made.append(("srt", artifacts.document(artifacts.srt_blocks(events, shift))))
     out = None
@@ -39,28 +54,36 @@ def texts(events: DataFrame, cfg: Config) -> DataFrame:
     return out
 
 
+def _boxed(bits: bytes | None, w: int, h: int, box: list[int]) -> np.ndarray:
+    """The mask within its box; no pixel without a mask."""
+    if not bits:
+        return np.zeros((0, 0), bool)
+    x, y, bw, bh = box
+    return Packed.unpack(bits, w, h)[y : y + bh, x : x + bw]
+
+
+BOXED = ("mask", "roi_w", "roi_h", "bbox")
+
+
 def polygons(events: DataFrame, cfg: Config) -> DataFrame:
-    """Drawing commands of each live event: events need mask (places), roi_w, roi_h and bbox (x, y)."""
+    """Drawing commands of each live event, and where its box lies in the frame."""
     tolerance = 0.5 if cfg.rip.better_quality else 1.2
-    columns = ["video_id", "position", "start", "end", "mask", "roi_w", "roi_h"]
+    columns = ["video_id", "position", "start", "end"]
 
     def run(batches):
         for b in batches:
-            out, left, top = [], [], []
-            for places, w, h in zip(b.column("mask").to_pylist(), b.column("roi_w").to_pylist(), b.column("roi_h").to_pylist(), strict=True):
-                mask = np.zeros(w * h, bool)
-                mask[np.array(places or [], np.int64)] = True
-                mask = mask.reshape(h, w)
-                y, x = np.nonzero(mask)
-                left.append(int(x.min()) if len(x) else 0), top.append(int(y.min()) if len(y) else 0)
-                out.append(render.polygon(mask[y.min() : y.max() + 1, x.min() : x.max() + 1], tolerance) if len(x) else "")
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in columns[:4]] + [pa.array(left, pa.int64()), pa.array(top, pa.int64()), pa.array(out, pa.string())], [*columns[:4], "left", "top", "drawing"])
-
-    source = artifacts.live(events).select(F.col("video_id").cast("string").alias("video_id"), F.col("position").cast("long"), "start", "end", "mask", F.col("roi_w").cast("int"), F.col("roi_h").cast("int"))
+            out = []
+            for *boxed, origin in zip(*[b.column(c).to_pylist() for c in (*BOXED, "roi_origin")], strict=True):
+                mask = _boxed(*boxed)
+                out.append((origin[0] + boxed[3][0], origin[1] + boxed[3][1], render.polygon(mask, tolerance) if mask.any() else ""))
+            arrays = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], *arrays], [*columns, "left", "top", "drawing"])
+
+    source = artifacts.live(events).select(F.col("video_id").cast("string").alias("video_id"), F.col("position").cast("long"), "start", "end", *BOXED, "roi_origin")
     return source.mapInArrow(run, "video_id string, position long, start double, end double, left long, top long, drawing string")
 
 
-def script(events: DataFrame, cfg: Config, width: int, height: int, origin: tuple[int, int] = (0, 0)) -> DataFrame:
+def script(events: DataFrame, cfg: Config, width: int, height: int) -> DataFrame:
     """The vector script of each video: a head, then one line per live event with its drawing at its place."""
     from ..functions import text
 
@@ -73,7 +96,7 @@ def script(events: DataFrame, cfg: Config, width: int, height: int, origin: tupl
         f"[Events]\nFormat: {EVENT_FORMAT}\n"
     )
     at = lambda c: text.ass_time(text.shifted(F.col(c), st.time_shift_10ms))
-    place = F.format_string("{\\an7}{\\pos(%d,%d)}", F.col("left") + origin[0], F.col("top") + origin[1])
+    place = F.format_string("{\\an7}{\\pos(%d,%d)}", "left", "top")
     drawn = F.when(F.col("drawing") == "", F.lit(" ")).otherwise(F.concat(place, F.col("drawing")))
     line = F.concat(F.lit("Dialogue: 0,"), at("start"), F.lit(", "), at("end"), F.lit(f",{name},,0,0,0,,"), drawn, F.lit("\n"))
     lines = polygons(events, cfg).select("video_id", F.col("position").alias("number"), line.alias("block"))
@@ -96,8 +119,7 @@ def subpicture(mask: np.ndarray, image: np.ndarray, main: tuple, outline: tuple)
 
 
 def _yuv(rgb: tuple) -> list[int]:
-    weights = np.array([[0.299, 0.587, 0.114], [-0.169, -0.331, 0.5], [0.5, -0.419, -0.081]])
-    values = weights @ np.array(rgb, float) + np.array([0, 128.0, 128.0])
+    values = np.array(YUV_WEIGHTS) @ np.array(rgb, float) + np.array([0, 128.0, 128.0])
     return [int(v) for v in np.clip(np.trunc(values), 0, 255)]
 
 
@@ -116,36 +138,47 @@ def _colour(code: str, default: tuple) -> tuple:
     return tuple(int(t[i : i + 2], 16) for i in (0, 2, 4)) if len(t) == 6 and all(c in "0123456789abcdefABCDEF" for c in t) else default
 
 
-def _picture(places: list[int], w: int, h: int, ocr) -> np.ndarray:
-    """The rendered tile of a mask that is not empty, with its margins cut and padding added."""
+def _picture(mask: np.ndarray, image: bytes | None, ocr) -> np.ndarray:
+    """The rendered tile of a mask, with its margins cut and padding added; image has the box's colours, for mode color."""
     fg, bg = _colour(ocr.text_color, (0, 0, 0)), _colour(ocr.bg_color, (255, 255, 255))
-    mask = np.zeros(w * h, bool)
-    mask[np.array(places, np.int64)] = True
-    mask = mask.reshape(h, w)
-    y, x = np.nonzero(mask)
-    tile = render.tile(mask[y.min() : y.max() + 1, x.min() : x.max() + 1], scale=ocr.scale, mode=ocr.color_mode.strip().lower(), antialias=ocr.antialias, supersample=ocr.supersample, dilate=ocr.stroke_dilate, gamma=ocr.coverage_gamma, threshold=ocr.binary_threshold, despeckle=ocr.despeckle_min_area, fg=fg, bg=bg)
+    own = np.frombuffer(image, np.uint8).reshape(*mask.shape, 3) if image and len(image) == mask.size * 3 else None
+    tile = render.tile(mask, own, scale=ocr.scale, mode=ocr.color_mode.strip().lower(), antialias=ocr.antialias, supersample=ocr.supersample, dilate=ocr.stroke_dilate, gamma=ocr.coverage_gamma, threshold=ocr.binary_threshold, despeckle=ocr.despeckle_min_area, fg=fg, bg=bg)
     return render.trim_and_pad(tile, ocr, bg)
 
 
 def previews(frames: DataFrame, cfg: Config) -> DataFrame:
     """What each frame's mask would be exported as: video_id, idx, width, height, content (PNG); nulls for an empty mask.
 
-    frames: video_id, idx, mask (places), roi_w, roi_h.
+    frames: video_id, idx, mask (``masks.Packed``), roi_w, roi_h, and roi (RGB of the region) or not.
     """
+    pictured = [c for c in ("roi",) if c in frames.columns]
 
     def run(batches):
         for b in batches:
             out = []
-            for places, w, h in zip(*[b.column(c).to_pylist() for c in ("mask", "roi_w", "roi_h")], strict=True):
-                image = render.finished(_picture(places, w, h, cfg.output.ocr), cfg.output.ocr) if places else None
-                out.append((None, None, None) if image is None else (image.shape[1], image.shape[0], render.png(np.ascontiguousarray(image))))
+            for bits, w, h, *roi in zip(*[b.column(c).to_pylist() for c in ("mask", "roi_w", "roi_h", *pictured)], strict=True):
+                if not bits:
+                    out.append((None, None, None))
+                    continue
+                x, y, bw, bh = box = Packed.box(Packed.unpack(bits, w, h))
+                own = np.frombuffer(roi[0], np.uint8).reshape(h, w, 3)[y : y + bh, x : x + bw].tobytes() if roi and roi[0] else None
+                image = render.finished(_picture(_boxed(bits, w, h, box), own, cfg.output.ocr), cfg.output.ocr)
+                out.append((image.shape[1], image.shape[0], render.png(np.ascontiguousarray(image))))
             arrays = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([b.column("video_id"), b.column("idx"), *arrays], ["video_id", "idx", "width", "height", "content"])
 
-    source = frames.select(F.col("video_id").cast("string").alias("video_id"), F.col("idx").cast("long"), "mask", F.col("roi_w").cast("int"), F.col("roi_h").cast("int"))
+    source = frames.select(F.col("video_id").cast("string").alias("video_id"), F.col("idx").cast("long"), "mask", F.col("roi_w").cast("int"), F.col("roi_h").cast("int"), *pictured)
     return source.mapInArrow(run, "video_id string, idx long, width int, height int, content binary")
 
 
+def encoder(ocr):
+    """The function that encodes a picture in the configured format, and the extension of its files."""
+    kind = ocr.format.lower().strip().lstrip(".")
+    if kind in ("jpg", "jpeg"):
+        return (lambda image: jpeg(image, max(1, min(ocr.quality, 100)))), "jpg"
+    return (render.bmp, "bmp") if kind == "bmp" else (render.png, "png")
+
+
 def tiles(events: DataFrame, cfg: Config) -> DataFrame:
     """Pictures of live events, per_image positions on a canvas: rows of (video_id, name, content).
 
@@ -153,14 +186,14 @@ def tiles(events: DataFrame, cfg: Config) -> DataFrame:
     two lines are cut in two where that is asked for and a blank band is found.
     """
     ocr = cfg.output.ocr
-    encode, ext = (render.bmp, "bmp") if ocr.format.lower().strip().lstrip(".") == "bmp" else (render.png, "png")
+    encode, ext = encoder(ocr)
     bg = _colour(ocr.bg_color, (255, 255, 255))
 
     def run(batches):
         for b in batches:
             out = []
             for v, number, items in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                image = render.finished(render.side_by_side([_picture(i["mask"], i["roi_w"], i["roi_h"], ocr) for i in items], bg=bg), ocr)
+                image = render.finished(render.side_by_side([_picture(_boxed(*(i[c] for c in BOXED)), i["image"], ocr) for i in items], bg=bg), ocr)
                 cut = render.blank_split(image, bg) if ocr.divid_into_2_lines and len(image) >= 12 else None
                 parts = [("", image)] if cut is None else list(zip(("_top", "_bottom"), render.halves(image, cut), strict=True))
                 out += [(v, f"{v}/subtitle_{number:04d}{tag}.{ext}", encode(np.ascontiguousarray(part))) for tag, part in parts]
@@ -168,8 +201,8 @@ def tiles(events: DataFrame, cfg: Config) -> DataFrame:
 
     live = artifacts.live(events).withColumn("place", F.row_number().over(W.partitionBy("video_id").orderBy("position")) - 1)
     batch = F.floor(F.col("place") / max(ocr.per_image, 1))
-    item = F.struct("place", "mask", F.col("roi_w").cast("int").alias("roi_w"), F.col("roi_h").cast("int").alias("roi_h"))
-    grouped = live.filter(F.size("mask") > 0).groupBy(F.col("video_id").cast("string").alias("video_id"), batch.alias("batch")).agg(F.array_sort(F.collect_list(item)).alias("items"))
+    item = F.struct("place", *BOXED, "image")
+    grouped = live.filter("mask is not null").groupBy(F.col("video_id").cast("string").alias("video_id"), batch.alias("batch")).agg(F.array_sort(F.collect_list(item), lambda a, b: a["place"] - b["place"]).alias("items"))
     number = F.row_number().over(W.partitionBy("video_id").orderBy("batch"))
     return grouped.select("video_id", number.alias("number"), "items").mapInArrow(run, "video_id string, name string, content binary")
 
@@ -182,7 +215,10 @@ def bitmap_subtitles(events: DataFrame, cfg: Config) -> DataFrame:
 
 
 def subpictures(events: DataFrame, cfg: Config, width: int, height: int) -> DataFrame:
-    """The bitmap container of each video and its index: events need mask (places), image (RGB of the region), roi_w, roi_h."""
+    """The bitmap container of each video and its index, from live events with a mask and their images.
+
+    The frames of a video are joined once, in order, by one Arrow pass; a container is one file, so it is one row.
+    """
     from ..functions import text
 
     main, outline = cfg.filter.subtitle_color, cfg.filter.outline_color
@@ -191,20 +227,33 @@ def subpictures(events: DataFrame, cfg: Config, width: int, height: int) -> Data
     def run(batches):
         for b in batches:
             out = []
-            for places, image, w, h in zip(*[b.column(c).to_pylist() for c in ("mask", "image", "roi_w", "roi_h")], strict=True):
-                mask = np.zeros(w * h, bool)
-                mask[np.array(places, np.int64)] = True
-                mask = mask.reshape(h, w)
-                y, x = np.nonzero(mask)
-                box = slice(y.min(), y.max() + 1), slice(x.min(), x.max() + 1)
-                body = subpicture(mask[box], np.frombuffer(image, np.uint8).reshape(h, w, 3)[box], main, outline)
+            for *boxed, image in zip(*[b.column(c).to_pylist() for c in (*BOXED, "image")], strict=True):
+                mask = _boxed(*boxed)
+                body = subpicture(mask, np.frombuffer(image, np.uint8).reshape(*mask.shape, 3), main, outline)
                 out.append(b"\0\0\0\0" + struct.pack(">I", len(body)) + body)
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in columns] + [pa.array(out, pa.binary())], [*columns, "frame"])
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array(out, pa.binary())], [*columns, "frame"])
+
+    def join(batches):
+        video, parts = None, []
 
-    source = artifacts.live(events).filter(F.size("mask") > 0).select(F.col("video_id").cast("string").alias("video_id"), F.col("position").cast("long"), "start", "mask", "image", F.col("roi_w").cast("int"), F.col("roi_h").cast("int"))
-    frames = source.mapInArrow(run, "video_id string, position long, start double, frame binary")
-    placed = artifacts.offsets(frames, F.octet_length("frame") - 8)
-    ordered = placed.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("position", "start", "offset", "frame"))).alias("s"))
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([video]), pa.array([b"".join(parts)], pa.binary())], ["video_id", "content"])
+
+        for b in batches:
+            for v, frame in zip(b.column("video_id").to_pylist(), b.column("frame").to_pylist(), strict=True):
+                if v != video and parts:
+                    yield done()
+                    parts = []
+                video = v
+                parts.append(frame)
+        if parts:
+            yield done()
+
+    source = artifacts.live(events).filter("mask is not null").select(F.col("video_id").cast("string").alias("video_id"), F.col("position").cast("long"), "start", *BOXED, "image")
+    frames = stored(source.mapInArrow(run, "video_id string, position long, start double, frame binary"), "subpictures")
+    body = frames.repartition("video_id").sortWithinPartitions("video_id", "position").select("video_id", "frame").mapInArrow(join, "video_id string, content binary")
+    placed = artifacts.offsets(frames.select(*columns, F.octet_length("frame").alias("size")), F.col("size") - 8)
+    ordered = placed.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("position", "start", "offset"))).alias("s"))
     colours = ", ".join("%02x%02x%02x" % tuple(_yuv(c)) for c in (outline, main, (255, 255, 255), (0, 0, 0))) + ", 000000" * 12
     # The headings of the container's index.
     head = (
@@ -216,29 +265,26 @@ def subpictures(events: DataFrame, cfg: Config, width: int, height: int) -> Data
     at = lambda x: text.vobsub_time(text.shifted(x["start"], cfg.style.time_shift_10ms))
     line = lambda x: F.concat(F.lit("timestamp: "), at(x), F.lit(", filepos: "), F.lpad(F.lower(F.hex(x["offset"])), 9, "0"), F.lit("\n"))
     index = F.encode(F.concat(F.lit(head), F.array_join(F.transform("s", line), "")), "UTF-8")
-    body = F.aggregate("s", F.lit(b""), lambda a, x: F.concat(a, x["frame"]))
-    both = ordered.select("video_id", F.explode(F.array(F.struct(F.lit(".idx").alias("e"), index.alias("c")), F.struct(F.lit(".sub").alias("e"), body.alias("c")))).alias("f"))
-    return both.select("video_id", F.concat("video_id", F.col("f.e")).alias("name"), F.col("f.c").alias("content"))
+    named = lambda rows, ext: rows.select("video_id", F.concat("video_id", F.lit(ext)).alias("name"), "content")
+    return named(ordered.select("video_id", index.alias("content")), ".idx").unionByName(named(body, ".sub"))
 
 
-def everything(events: DataFrame, cfg: Config, width: int, height: int, origin: tuple[int, int] = (0, 0)) -> DataFrame:
+def everything(events: DataFrame, cfg: Config, width: int, height: int, filtered: DataFrame | None = None) -> DataFrame:
     """All artifacts the configuration asks for, as rows of (video_id, name, content).
 
-    Videos without a live event have only their timeline and project; the project keeps deleted events.  The bitmap
-    container needs the events' image column.
+    events and filtered are a rip's (``operators.rip``), numbered by position and with deleted.  Videos without a live
+    event have only their timeline and project; the project keeps deleted and filtered events and names the artifacts.
     """
-    out = texts(events, cfg)
+    missing = [c for c in ("mask", "image", "roi_w", "roi_h", "bbox", "roi_origin", "source_frame") if c not in events.columns]
+    if missing:
+        raise ValueError(f"events lack {', '.join(missing)}")
+    out = texts(events, cfg, width, height, filtered)
     if cfg.output.ssa:
-        out = out.unionByName(script(events, cfg, width, height, origin))
-    if cfg.output.vobsub and "image" in events.columns:
+        out = out.unionByName(script(events, cfg, width, height))
+    if cfg.output.vobsub:
         out = out.unionByName(subpictures(events, cfg, width, height))
     if cfg.output.ocr_png:
         out = out.unionByName(tiles(events, cfg))
     if cfg.output.srt and cfg.output.srt_bitmap:
         out = out.unionByName(bitmap_subtitles(events, cfg))
     return out
-
-
-def store(rows: DataFrame, path: str) -> None:
-    """Artifact rows as Parquet, partitioned by nothing: readers select by name.  What an earlier run left there goes."""
-    rows.write.mode("overwrite").parquet(path)
