@@ -1,9 +1,11 @@
 """Main-text extraction by tag-path ratios.
 
 Every text node has a path of tags from the root.  Text length and punctuation are aggregated per path; their ratios, weighted
-by what markup says about a path, are smoothed over neighbouring nodes, fused, and compared with a threshold.  The blocks
-of nodes above it are content.  The content element is the deepest section that holds nearly all of it; its short blocks
-(headings, list items, quotes) belong to the text too, except those below the threshold that markup or links set apart.
+by what markup says about a path, are smoothed over neighbouring nodes of the same box, fused, and compared with a
+threshold.  The blocks of nodes above it are content.  A box is a labelled div, list, table or the like: it stands or falls
+by the ratios of its own paths, within an article too, and goes as a whole if none of its blocks is content.  The content
+element is the deepest section that holds nearly all content; short blocks (headings, list items, quotes) of it and of boxes
+that hold content belong to the text, except those below the threshold that markup or links set apart.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,16 @@ BESIDE = frozenset(
     "ad ads adsense advert adverts advertisement advertising banner sponsor sponsored promo promotion menu menus nav navbar navigation breadcrumb breadcrumbs sidebar aside footer masthead comment comments commentlist disqus replies respond cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related recommended trending toolbar pagination pager skip complementary contentinfo search".split()
 )
 NEUTRAL = frozenset("site page main global top bottom left right bar box block list links link items area section container wrapper inner outer panel widget header reader user form 1 2 3".split())
+#: Words of a class, id or role that name a part of the text; an element named so is no box.
+TEXTUAL = frozenset("article author body byline caption content date dateline description entry figure headline intro lead lede meta post prose pullquote quote story subtitle summary text title".split())
+#: Elements that are boxes if they have a class, id or role.
+BOXES = frozenset("div section aside nav ul ol dl table form details header footer menu dialog".split())
+#: Beginnings of longer words in BESIDE; other words that begin so are weak evidence.
+STEMS = frozenset(w[:6] for w in BESIDE if len(w) >= 6 and w not in ("complementary", "contentinfo"))
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
-#: Weights of paths: below an element named so, and within an article or main element.
-NAMED, ARTICLE = 0.1, 2.0
+#: Weights of paths: below an element named so, below one whose name has such a word among others, and within an article
+#: or main element.
+NAMED, HINTED, ARTICLE = 0.1, 0.4, 2.0
 _MARK = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
     r"|<(script|style|noscript|template|textarea|title|iframe|svg)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*+>.*?(?:</\1\s*>|\Z)"
@@ -52,11 +62,15 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 
 
 class _Element:
-    __slots__ = ("aside", "depth", "held", "holds", "inside", "linked", "main", "name", "named", "other", "parent", "path", "section", "size", "weight")
-
-    def __init__(self, name, parent, aside=False, named=False, label=""):
-        self.name, self.parent, self.aside, self.named = name, parent, aside, named  # aside: None where there is no text
-        self.path = hash((parent and parent.path, name, label))  # names the path of tags within a page
+    __slots__ = ("aside", "box", "depth", "filled", "held", "hinted", "holds", "inside", "linked", "main", "name", "named", "other", "parent", "path", "section", "size", "weight")
+
+    def __init__(self, name, parent, aside=False, labels=()):
+        self.name, self.parent, self.aside = name, parent, aside  # aside: None where there is no text
+        self.named = bool(labels) and names_aside(labels)
+        self.hinted = bool(labels) and not self.named and any(_hints(x) for x in labels)
+        self.path = hash((parent and parent.path, name, labels[0] if labels else ""))  # names the path of tags within a page
+        self.box = self if labels and name in BOXES and not any(_is_textual(x) for x in labels) else parent and parent.box
+        self.filled = False  # of a box: it has content
         self.depth = parent.depth + 1 if parent else 0
         self.main = bool(parent and parent.main) or name in ("article", "main")
         self.linked = bool(parent and parent.linked) or name == "a"
@@ -76,6 +90,22 @@ def names_aside(labels: list[str]) -> bool:
     return False
 
 
+@lru_cache(4096)
+def _hints(label: str) -> bool:
+    """True if a word of a class, id or role, or a part of one written together, is or begins like one in BESIDE."""
+    for part in re.split(r"[-_]+", label.lower()):
+        if part in BESIDE or part[:6] in STEMS and len(part) >= 6:
+            return True
+        if any(part[:i] in BESIDE and part[i:] in NEUTRAL for i in range(2, len(part) - 1)):
+            return True
+    return False
+
+
+@lru_cache(4096)
+def _is_textual(label: str) -> bool:
+    return any(part in TEXTUAL for part in re.split(r"[-_]+", label.lower())) and not _hints(label)
+
+
 def parse(page: str) -> tuple[list[tuple[_Element, int, str]], list[_Element]]:
     """(text nodes in page order: innermost element, number of the block, decoded text; elements, parents first)."""
     root = _Element("#", None)
@@ -133,7 +163,7 @@ def parse(page: str) -> tuple[list[tuple[_Element, int, str]], list[_Element]]:
         else:
             aside = name in ASIDE and not (name == "header" and up.main)
         if not (attrs.endswith("/") and name not in BLOCKS):
-            stack.append(_Element(name, up, aside, bool(labels and names_aside(labels)), labels[0] if labels else ""))
+            stack.append(_Element(name, up, aside, labels))
             elements.append(stack[-1])
             opened[name] += 1
     text(len(page))
@@ -159,19 +189,34 @@ def _weigh(nodes: list[tuple[_Element, int, str]], elements: list[_Element]) ->
             e.weight = 0.0
         elif e.named and not e.holds and not most:
             e.weight = min(e.weight, NAMED)
+        elif e.hinted and not e.holds and not most:
+            e.weight = min(e.weight, 1.0) * HINTED if e.parent.weight >= 1 else e.weight
         elif e.name in ("article", "main") and e.weight == 1.0:
             e.weight = ARTICLE
 
 
-def path_scores(paths: list, lengths: np.ndarray, marks: np.ndarray, weights: np.ndarray, sigma: float = 1.0) -> np.ndarray:
-    """Fused ratio per node: text and punctuation per node of its path, weighted, smoothed over neighbours, multiplied."""
+def path_scores(paths: list, lengths: np.ndarray, marks: np.ndarray, weights: np.ndarray, boxes: list | None = None, sigma: float = 1.0) -> np.ndarray:
+    """Fused ratio per node: text and punctuation per node of its path, weighted, smoothed over neighbours, multiplied.
+
+    With boxes (a number for each node) a node's neighbours are the nodes before and after it in its own box.
+    """
     names, of = np.unique(np.array(paths, np.int64), return_inverse=True)
     each = np.maximum(np.bincount(of, minlength=len(names)), 1)
     text = weights * (np.bincount(of, weights=lengths, minlength=len(names)) / each)[of]
     punct = weights * (np.bincount(of, weights=marks, minlength=len(names)) / each)[of]
-    reach = np.arange(-2, 3)
-    near = np.exp(-(reach**2) / (2 * sigma**2))
-    smooth = lambda x: np.convolve(x, near / near.sum(), mode="full")[2 : 2 + len(x)]
+    near = np.exp(-(np.arange(-2, 3) ** 2) / (2 * sigma**2))
+    order = np.argsort(np.zeros(len(paths)) if boxes is None else boxes, kind="stable")
+    edges = np.flatnonzero(np.diff(np.asarray(boxes)[order])) + 1 if boxes is not None else []
+
+    def smooth(x):
+        # Two blanks between boxes keep their nodes apart.
+        places = np.arange(len(x)) + 2 * np.searchsorted(edges, np.arange(len(x)), "right")
+        line = np.zeros(places[-1] + 1)
+        line[places] = x[order]
+        out = np.empty(len(x))
+        out[order] = np.convolve(line, near / near.sum(), mode="full")[2 : 2 + len(line)][places]
+        return out
+
     return weights * np.sqrt((smooth(text) + text) / 2) * (1 + np.sqrt((smooth(punct) + punct) / 2))
 
 
@@ -186,14 +231,20 @@ def extract(page: str | None, share: float = 0.25) -> str:
     lengths = np.array([len(t.strip()) for _, _, t in filled], float)
     marks = np.array([len(_PUNCT.findall(t)) for _, _, t in filled], float)
     weights = np.array([e.weight * (0.5 if e.linked else 1.0) for e, _, _ in filled])
-    scores = path_scores([e.path for e, _, _ in filled], lengths, marks, weights)
+    boxes: dict[int, int] = {}
+    in_box = [boxes.setdefault(id(e.box), len(boxes)) for e, _, _ in filled]
+    scores = path_scores([e.path for e, _, _ in filled], lengths, marks, weights, in_box)
     on = scores >= share * scores.max()
     content = {b for (_, b, _), x in zip(filled, on, strict=True) if x}
     # The deepest section that holds nearly all the content.
     for (e, _, _), size, x in zip(filled, lengths, on, strict=True):
         e.section.held += size * x
+        if x and e.box:
+            e.box.filled = True
     for e in reversed(elements[1:]):
         e.parent.held += e.held
+        if e.filled and e.parent.box:
+            e.parent.box.filled = True  # a box around a box with content
     best = max((e for e in elements if e.name in SECTIONS and e.held >= 0.9 * elements[0].held), key=lambda e: e.depth)
     while best.main and best.name not in ("article", "main"):
         best = best.parent
@@ -208,8 +259,9 @@ def extract(page: str | None, share: float = 0.25) -> str:
     for e in elements:
         e.inside = e is best or e.parent is not None and e.parent.inside
     whole = best.main or best.name not in ("#", "html", "body")
-    size, linked, lowest = Counter(), Counter(), {}
+    size, linked, lowest, boxed = Counter(), Counter(), {}, {}
     for (e, b, _), n in zip(filled, lengths.tolist(), strict=True):
+        boxed[b] = boxed.get(b, False) or e.inside and e is not best and e.box is not None and e.box.inside and e.box is not best and not e.box.filled
         size[b] += n
         linked[b] += n * e.linked
         lowest[b] = max(lowest.get(b, (0.0, False)), (e.weight, e.name in HEADINGS))
@@ -218,7 +270,7 @@ def extract(page: str | None, share: float = 0.25) -> str:
     def apart(b):
         """Whether a block below the threshold does not belong to the text around it."""
         weight, heading = lowest[b]
-        return weight < 1 or not best.main and linked[b] > 0.5 * size[b] or not whole and not first <= b <= last and not heading
+        return boxed[b] or weight < 1 or not best.main and linked[b] > 0.5 * size[b] or not whole and not first <= b <= last and not heading
 
     out = {b for b in size if b not in content and apart(b)}
     parts: dict[int, list[str]] = {}
@@ -232,7 +284,8 @@ def extract(page: str | None, share: float = 0.25) -> str:
 def extract_pages(pages: DataFrame, keep: list[str], html: str = "html", text_col: str = "text") -> DataFrame:
     """The keep columns of pages with the main text of each page; null and empty pages give ''.
 
-    A page is handled whole in one Arrow pass; nothing is shuffled.  Repeated rows give repeated results.
+    A page is handled whole in one Arrow pass; nothing is shuffled.  Repeated rows give repeated results, an empty table an
+    empty one; other columns are ignored, and text_col must not be in keep.
     """
 
     def make():
@@ -242,5 +295,5 @@ def extract_pages(pages: DataFrame, keep: list[str], html: str = "html", text_co
 
 
 def digest(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars (code points)."""
+    """page_id, url, text, n_chars (code points), as extract_pages."""
     return extract_pages(pages, ["page_id", "url"]).withColumn("n_chars", F.length("text").cast("long"))

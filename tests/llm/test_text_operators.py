@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -443,7 +444,7 @@ def test_scores_of_paths_decide(monkeypatch):
     plain = "<div><span>Home</span> <span>About</span></div><div><div>%s</div></div><div><i>x</i><i>y</i></div>" % "".join(f"<p>{p}</p>" for p in PROSE)
     inner = "<article>%s<div class=ad>Buy our things, all of them. Now.</div></article>" % "".join(f"<p>{p}</p>" for p in PROSE)
     assert tagpath.extract(plain).split("\n") == PROSE == tagpath.extract(inner).split("\n")
-    monkeypatch.setattr(tagpath, "path_scores", lambda paths, lengths, marks, weights: np.ones(len(paths)))
+    monkeypatch.setattr(tagpath, "path_scores", lambda paths, lengths, marks, weights, boxes: np.ones(len(paths)))
     assert tagpath.extract(plain) != "\n".join(PROSE) != tagpath.extract(inner)
 
 
@@ -457,6 +458,63 @@ def test_path_scores_by_hand():
     assert tagpath.path_scores(paths, lengths, marks, weights).tolist() == pytest.approx(want)
 
 
+BESIDES = ["ad-slot", "adbox", "sponsored-content", "gdpr-consent-banner", "reader-responses", "zone-7 js-x", "qq"]
+
+
+@pytest.mark.parametrize("around", ["<article>%s</article>", "<div>%s</div>", '<div class="page"><h1>Name</h1><div class="story-body">%s</div></div>'])
+@pytest.mark.parametrize("name", BESIDES)
+def test_boxes_fall_by_their_ratios(around, name, monkeypatch):
+    """Labelled boxes within the text, under listed, similar and unknown names; bare weights in place of ratios keep some."""
+    box = f'<div class="{name}">Buy our things</div>' if "respon" not in name else f'<div class="{name}"><p>Nice one, thanks.</p><p>I agree.</p></div>'
+    body = "<p>{}</p><h2>Sub</h2><p>{}</p>{}<ul class=points><li>{}</li><li>two</li></ul><div class=byline>By Me</div><p>{}</p>".format(*PROSE[:2], box, *PROSE[2:])
+    want = [PROSE[0], "Sub", PROSE[1], PROSE[2], "two", "By Me", PROSE[3]]
+    page = PAGE % (around % body)
+    assert [x for x in tagpath.extract(page).split("\n") if x != "Name"] == want
+    monkeypatch.setattr(tagpath, "path_scores", lambda paths, lengths, marks, weights, boxes: weights)
+    if name in ("zone-7 js-x", "qq"):
+        assert tagpath.extract(page).split("\n") != want
+
+
+def plain_extract(page):
+    """The content of pages without links, named parts or inline elements, by the rule in plain loops: scores of paths, then
+    every block but those of boxes without content."""
+    nodes, _ = tagpath.parse(page)
+    nodes = [(e, t.strip()) for e, _, t in nodes if t.strip()]
+    of = {}
+    for e, t in nodes:
+        of.setdefault(e.path, []).append(t)
+    ratio = lambda e, f: (2.0 if e.main else 1.0) * sum(map(f, of[e.path])) / len(of[e.path])
+    marks = lambda t: sum(c in ".,;:!?" for c in t)
+    near = [math.exp(-(k**2) / 2) for k in range(-2, 3)]
+    scores = []
+    for e, _ in nodes:
+        own = [x for x, _ in nodes if x.box is e.box]
+        i, fused = own.index(e), []
+        for f in (len, marks):
+            smooth = sum(n * ratio(own[i + k], f) for k, n in zip(range(-2, 3), near, strict=True) if 0 <= i + k < len(own)) / sum(near)
+            fused.append(math.sqrt((smooth + ratio(e, f)) / 2))
+        scores.append((2.0 if e.main else 1.0) * fused[0] * (1 + fused[1]))
+    full = {id(e.box) for (e, _), s in zip(nodes, scores, strict=True) if s >= 0.25 * max(scores)}
+    return [t for (e, t), s in zip(nodes, scores, strict=True) if s >= 0.25 * max(scores) or e.box is None or id(e.box) in full]
+
+
+def test_extraction_equals_plain_loops():
+    rnd = random.Random(4)
+    words = "alpha beta, gamma delta. epsilon; zeta eta theta".split()
+    say = lambda a, b: " ".join(rnd.choices(words, k=rnd.randint(a, b)))
+    dropped = 0
+    for _ in range(150):
+        parts = [f"<p>{say(10, 60)}</p>" for _ in range(rnd.randint(2, 5))]
+        for _ in range(rnd.randint(0, 5)):
+            kind = rnd.choice(["<h2>{}</h2>", "<ul><li>{}</li></ul>", '<div class="q{n}">{}</div>', '<section id="r{n}"><p>{}</p></section>', "<blockquote>{}</blockquote>", "<div>{}</div>"])
+            parts.insert(rnd.randint(1, len(parts)), kind.format(say(1, rnd.choice([4, 30])), n=rnd.randint(1, 3)))
+        page = "<body><article>" + "".join(parts) + "</article></body>"
+        want = plain_extract(page)
+        dropped += len([1 for e, _, t in tagpath.parse(page)[0] if t.strip()]) - len(want)
+        assert tagpath.extract(page).split("\n") == want
+    assert dropped > 30
+
+
 def test_short_blocks_beside_one_long_paragraph_stay():
     page = '<div class="menu"><a href=/>Home</a></div><div id=c><h1>Title</h1><div class="body"><p>%s</p><h2>Sub</h2><ul><li>one</li><li>two</li></ul><blockquote>Quote it</blockquote></div></div><div class="foot">small</div>'
     assert tagpath.extract(page % " ".join(PROSE)).split("\n") == ["Title", " ".join(PROSE), "Sub", "one", "two", "Quote it"]
