@@ -20,6 +20,8 @@ from .common import TOKEN_RE, fresh, materialize
 
 LEAF = 4096
 FAN = 64
+#: Equal rows that one task may number or return; more are dealt out in pieces of so many.
+HOT = 4096
 MOST = 3.0
 CYCLE = (1, 2, 3)
 
@@ -165,30 +167,61 @@ def _own(place, equal, copies):
     return (F.floor(copies / equal) + F.when(place <= copies % equal, 1).otherwise(0)).cast("int")
 
 
+def _dealt(rows: DataFrame, n: str, key: str, piece: str) -> DataFrame:
+    """Rows, of which n are wanted of each, as pieces of at most HOT with piece their number and n their size.
+
+    Pieces of rows with more than HOT are spread over tasks; the others stay where they are.
+    """
+    pieces = lambda df: df.withColumn(piece, F.explode(F.sequence(F.lit(0).cast("long"), F.call_function("div", F.col(n) - 1, F.lit(HOT).cast("long")))))
+    spread = pieces(rows.filter(F.col(n) > HOT)).repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, piece)
+    both = rows.filter((F.col(n) > 0) & (F.col(n) <= HOT)).withColumn(piece, F.lit(0).cast("long")).unionByName(spread)
+    return both.withColumn(n, F.least(F.lit(HOT).cast("long"), F.col(n) - F.col(piece) * HOT))
+
+
 def copies(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, copies for each row of docs.
 
     Reruns agree: rows are dealt to leaves and ordered by hashes of their contents, and draws come from the node's name.  A
     null or empty text has size 0 and is not taken (its share of words is nothing); null sources are one source; equal rows
-    are interchangeable; an empty table gives no rows.
+    are interchangeable; an empty table gives no rows.  Other columns are ignored, whatever their names.
     """
-    each = _copies(docs).withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), F.col("equal"))))
-    return each.select("doc_id", "source", "size", "source_size", "target", _own(F.col("place"), F.col("equal"), F.col("copies")).alias("copies"))
+    each = _dealt(_copies(docs).withColumn("left", F.col("equal")), "left", "row_hash", "piece")
+    each = each.withColumn("place", F.explode(F.sequence(F.lit(1).cast("long"), F.col("left"))))
+    place = F.col("piece") * HOT + F.col("place")
+    return each.select("doc_id", "source", "size", "source_size", "target", _own(place, F.col("equal"), F.col("copies")).alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The rows of docs, each as often as the mixture takes it; columns as in docs.
+    """The rows of docs, each as often as the mixture takes it; columns as in docs.  Nulls, empty texts and repeated rows as
+    in copies().
 
     Rows meet their numbers of copies by a hash of id, source and text, of which there is one row, and take their part by
-    their place among equal rows.  The texts are shuffled once: numbering and join share the partitioning.
+    their place among equal rows.  The texts are shuffled once: numbering and join share the partitioning.  Rows with more
+    equals than HOT, and than a ten-thousandth of all, are counted instead of numbered: grouped by all columns, where they
+    are read first, they are returned in pieces by many tasks.
     """
     names = []
-    for wanted in ("hash_", "place_", "equal_", "times_", "copy_"):
+    for wanted in ("hash_", "place_", "equal_", "times_", "copy_", "many_", "piece_"):
         names.append(fresh([*docs.columns, *names], wanted))
-    key, place, equal, times, copy = names
+    key, place, equal, times, copy, many, piece = names
+    own = [F.col(f"`{c}`") for c in docs.columns]
     taken = _copies(docs).filter(F.col("copies") > 0).select(F.col("row_hash").alias(key), F.col("equal").alias(equal), F.col("copies").alias(times))
     # Two rows of one hash but unequal contents are as good as impossible; were there any, they would share their copies.
-    taken = taken.groupBy(key).agg(F.sum(equal).alias(equal), F.sum(times).alias(times))
-    ranked = docs.withColumn(key, _row_hash()).withColumn(place, F.row_number().over(W.partitionBy(key).orderBy(key)))
-    joined = ranked.join(taken, key).withColumn(times, _own(F.col(place), F.col(equal), F.col(times))).filter(F.col(times) > 0)
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)
+    taken = materialize(taken.groupBy(key).agg(F.sum(equal).alias(equal), F.sum(times).alias(times)), "taken")
+    total, most = taken.agg(F.sum(equal), F.max(equal)).first()
+    limit = max(HOT, (total or 0) // 10_000)
+    rows, few = docs.withColumn(key, _row_hash()), taken
+    if (most or 0) > limit:
+        hot = taken.filter(F.col(equal) > limit)  # at most 10,000 keys
+        grouped = rows.join(F.broadcast(hot), key).groupBy(key, equal, times, *[f"`{c}`" for c in docs.columns if c != "text"]).agg(F.first("text").alias("text"), F.count("*").alias(many))
+        # Rows that differ in other columns follow each other; the first equal rows get one copy more.
+        before = F.coalesce(F.sum(many).over(W.partitionBy(key).orderBy(*[F.xxhash64(*own[:1]), *own]).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        extra = F.greatest(F.least(F.col(times) % F.col(equal) - before, F.col(many)), F.lit(0))
+        wanted = grouped.withColumn(copy, (F.col(many) * F.call_function("div", F.col(times), F.col(equal)) + extra).cast("long"))
+        dealt = _dealt(wanted, copy, key, piece)
+        returned = dealt.select(*own, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy))).alias(copy)).drop(copy)
+        rows, few = rows.join(F.broadcast(hot.select(key)), key, "left_anti"), taken.filter(F.col(equal) <= limit)
+    ranked = rows.withColumn(place, F.row_number().over(W.partitionBy(key).orderBy(key)))
+    joined = ranked.join(few, key).withColumn(times, _own(F.col(place), F.col(equal), F.col(times))).filter(F.col(times) > 0)
+    out = joined.select(*own, F.explode(F.sequence(F.lit(1), F.col(times))).alias(copy)).drop(copy)
+    return out.unionByName(returned) if (most or 0) > limit else out
