@@ -1,9 +1,10 @@
 """Near copies by five-word shingles, for the pipeline: MinHash bands propose pairs, the exact Jaccard similarity decides.
 
 Two texts whose shingle sets are 0.8 alike miss each other in all 30 bands of 5 minima with probability 7e-6, and more
-alike ones more rarely.  A group that shares a band is first tied to its most frequent text; texts still in different
-components then are compared with the whole group by products of matrices, block by block, so a large cluster of near copies
-shuffles a multiple of its size only, and no pairs.
+alike ones more rarely.  A group that shares a band is first tied to its most frequent text.  What is then outside the group's
+largest component is compared with the whole group by products of matrices: the group is dealt to blocks, each text to one,
+and only the texts outside go to all blocks.  So a group of G shingles with O of them outside shuffles about
+G + O * G / SHINGLES of them, O * G / SHINGLES twice over where O is more than a block; no pairs are shuffled.
 """
 
 from __future__ import annotations
@@ -87,11 +88,11 @@ def _stars(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["key", "t", "fp", "n", "t1", "fp1", "n1"])
 
 
-def _compare(sizes: np.ndarray, sets: np.ndarray, roots: np.ndarray):
-    """Index pairs of texts with different roots that are at least 0.8 alike; sets: their shingles one text after the other.
+def _compare(sizes: np.ndarray, sets: np.ndarray, roots: np.ndarray, home: np.ndarray, outside: np.ndarray):
+    """Index pairs of texts with different roots that are at least 0.8 alike: those marked outside against those marked home.
 
-    Shingles of one text only cannot be common; of the others a matrix of texts by shingles is multiplied with itself, a
-    part at a time.  Texts of the largest component look for no partners; those outside it look at all texts.
+    sets: the texts' shingles one text after the other.  Shingles of one text only cannot be common; of the others a matrix
+    of texts by shingles is multiplied with itself, a part at a time.
     """
     text = np.repeat(np.arange(len(sizes)), sizes)
     order = np.argsort(sets, kind="stable")
@@ -111,14 +112,14 @@ def _compare(sizes: np.ndarray, sets: np.ndarray, roots: np.ndarray):
         out[np.repeat(np.arange(len(of)), n), column[at]] = 1
         return out
 
-    _, part, count = np.unique(roots, return_inverse=True, return_counts=True)
-    outside = np.flatnonzero(part != count.argmax())
+    _, part = np.unique(roots, return_inverse=True)
+    outside, home = np.flatnonzero(outside), np.flatnonzero(home)
     step = max(1, CELLS // max(len(used), 1))
     for low in range(0, len(outside), step):
         mine = outside[low : low + step]
         left = rows(mine)
-        for at in range(0, len(sizes), step):
-            them = np.arange(at, min(at + step, len(sizes)))
+        for at in range(0, len(home), step):
+            them = home[at : at + step]
             both = left @ rows(them).T
             near = (9 * both >= 4 * (sizes[mine][:, None] + sizes[them][None, :])) & (part[mine][:, None] != part[them][None, :])
             i, j = np.nonzero(near)
@@ -126,15 +127,15 @@ def _compare(sizes: np.ndarray, sets: np.ndarray, roots: np.ndarray):
 
 
 def _across(batches):
-    """Rows of whole (key, low, high) in that order, with their texts' shingles -> links between different components."""
+    """Rows of whole (key, block, part) in that order, with their texts' shingles -> links between different components."""
     held: list[pa.RecordBatch] = []
 
     def links():
         table = pa.Table.from_batches(held).combine_chunks()
         h = table.column("h").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int64()))
         sizes = pc.list_value_length(h).to_numpy(zero_copy_only=False).astype(np.int64)
-        fp, root = (table.column(c).to_numpy() for c in ("fp", "root"))
-        found = list(_compare(sizes, pc.list_flatten(h).to_numpy(zero_copy_only=False), root))
+        fp, root, home, outside = (table.column(c).to_numpy() for c in ("fp", "root", "home", "outside"))
+        found = list(_compare(sizes, pc.list_flatten(h).to_numpy(zero_copy_only=False), root, home, outside))
         if a := [fp[i] for i, _ in found if len(i)]:
             x, y = simhash._forest(np.concatenate(a), np.concatenate([fp[j] for _, j in found if len(j)]))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
@@ -143,7 +144,7 @@ def _across(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        of = np.stack([batch.column(c).to_numpy() for c in ("key", "low", "high")])
+        of = np.stack([batch.column(c).to_numpy() for c in ("key", "block", "part")])
         cuts = [0, *(np.flatnonzero((of[:, 1:] != of[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
             if group != (now := tuple(of[:, low].tolist())):
@@ -203,16 +204,27 @@ def roots(docs: DataFrame, rows: DataFrame) -> DataFrame:
 def _open_groups(split: DataFrame, sets: DataFrame, width: int) -> DataFrame:
     """(a, b) fingerprints of alike texts that share a key and are in different components so far.
 
-    split: (key, t, fp, n, root).  A key's texts are dealt to blocks by their hash, as many as its shingles need, and every
-    pair of blocks is compared in a group of its own, so no group grows with the corpus.
+    split: (key, t, fp, n, root).  A key's texts are dealt to blocks by their hash, as many as its shingles need; those
+    outside its largest component go to every block, in as many parts as their own shingles need.  A group of a block and a
+    part holds about two million shingles, whatever the corpus.
     """
-    several = split.groupBy("key").agg(F.min("root").alias("first"), F.max("root").alias("last"), F.ceil(F.sum("n") / F.lit(SHINGLES)).cast("int").alias("blocks"))
-    several = several.filter("first <> last").select("key", "blocks")
-    rows = split.join(several, "key").withColumn("block", F.pmod(F.xxhash64("t"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "t", "fp", "root")
-    dealt = rows.join(sets, "t").select("key", "low", "high", "t", "fp", "root", "h").repartition(width, "key", "low", "high")
-    return dealt.sortWithinPartitions("key", "low", "high").mapInArrow(_across, "a long, b long")
+    own = split.groupBy("key", "root").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+    several = own.groupBy("key").agg(F.max_by("root", F.struct("texts", "root")).alias("largest"), F.max_by("n", F.struct("texts", "root")).alias("inside"), F.sum("n").alias("n"), F.count("*").alias("roots"))
+    need = lambda n: F.ceil(n / F.lit(SHINGLES)).cast("int")
+    several = several.filter("roots > 1").select("key", "largest", need(F.col("n")).alias("blocks"), need(F.col("n") - F.col("inside")).alias("parts"))
+    rows = split.join(several, "key").withColumn("out", F.col("root") != F.col("largest"))
+    deal = lambda n, salt: F.pmod(F.xxhash64(F.lit(salt), "t"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    rows = rows.withColumns({"own_block": deal("blocks", 1), "own_part": deal("parts", 2)})
+    every = lambda n: F.sequence(F.lit(0), F.greatest(F.col(n), F.lit(1)) - 1)
+    place = lambda b, p: F.struct(b.alias("block"), p.alias("part"))
+    # A text meets all parts in its own block; one outside meets all blocks in its own part too.
+    here = F.transform(every("parts"), lambda p: place(F.col("own_block"), p))
+    there = F.transform(every("blocks"), lambda b: place(b, F.col("own_part")))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("out"), F.array_union(here, there)).otherwise(here)))
+    home = F.col("at.block") == F.col("own_block")
+    rows = rows.select("key", "at.block", "at.part", "t", "fp", "root", home.alias("home"), (F.col("out") & (F.col("at.part") == F.col("own_part"))).alias("outside"))
+    dealt = rows.join(sets, "t").select("key", "block", "part", "t", "fp", "root", "home", "outside", "h").repartition(width, "key", "block", "part")
+    return dealt.sortWithinPartitions("key", "block", "part").mapInArrow(_across, "a long, b long")
 
 
 def first_rows(docs: DataFrame) -> DataFrame:

@@ -395,6 +395,39 @@ def near_copies(rng, n, words):
     return out
 
 
+def test_a_hot_row_is_mixed_by_many_tasks(spark, monkeypatch):
+    """Half of the table is one row, with two values in another column: rows are spread, and each is returned as it was."""
+    monkeypatch.setattr(mixing, "HOT", 50)
+    rows = [(1, "one two three", "a", "x", 9)] * 1500 + [(1, "one two three", "a", "y", 9)] * 500 + [(i, f"word{i} " * (i % 5 + 1), "ab"[i % 2], "x", i) for i in range(2, 2002)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, copies long").repartition(3, "doc_id")
+    each = mixing.copies(docs)
+    told = each.withColumn("part", F.spark_partition_id()).groupBy("doc_id", "part").count().filter("doc_id = 1").collect()
+    assert sum(r["count"] for r in told) == 2000 and len(told) > 1 and max(r["count"] for r in told) < 1500
+    want = {(r.doc_id, r.source): r.n for r in each.groupBy("doc_id", "source").agg(F.sum("copies").alias("n")).collect()}
+    mixed = mixing.mix(docs)
+    assert mixed.columns == docs.columns
+    got = mixed.withColumn("part", F.spark_partition_id()).groupBy("doc_id", "text", "source", "lang", "copies", "part").count().collect()
+    for key, n in want.items():
+        assert sum(r["count"] for r in got if (r.doc_id, r.source) == key) == n
+    assert {(r.doc_id, r.text, r.source, r.lang, r.copies) for r in got} <= set(rows)
+    hot = [r for r in got if r.doc_id == 1]
+    assert len({r.part for r in hot}) > 1
+    whole, more = divmod(want[1, "a"], 2000)
+    by_lang = {x: sum(r["count"] for r in hot if r.lang == x) for x in "xy"}
+    assert all(whole * n <= by_lang[x] <= whole * n + min(n, more) for x, n in (("x", 1500), ("y", 500)))
+    assert sorted(map(str, mixed.collect())) == sorted(map(str, mixing.mix(docs.repartition(5)).collect()))
+
+
+def test_results_over_clashing_names(spark):
+    """Extra columns named like the results of mixing, SimHash and packing change nothing."""
+    rows = [(i, f"some words number {i % 4} " * (i % 3 + 1), "s") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clash = docs.withColumns({c: F.lit(1) for c in ("size", "target", "copies", "equal", "node", "share", "fingerprint", "component_id", "piece", "start", "length", "offset", "sequence_id", "k0", "t")})
+    for make in (mixing.copies, simhash.near_duplicates, packing.pack):
+        assert sorted(map(str, make(docs).collect())) == sorted(map(str, make(clash).collect()))
+    assert mixing.mix(clash).columns == clash.columns
+
+
 def test_pipeline_removes_copies_of_five_word_similarity(spark, sf_dir):
     import corpus_pipeline as p
 
@@ -425,8 +458,10 @@ def test_groups_are_compared_whole(cells, monkeypatch):
         base = list(range(1000 * key, 1000 * key + 40))
         for _ in range(rng.randrange(1, 25)):
             h = sorted(set(base) - set(rng.sample(base, rng.randrange(9))) | {10_000 + rng.randrange(500) for _ in range(rng.randrange(4))})
-            rows.append({"key": key, "low": 0, "high": key % 2, "fp": len(rows), "root": rng.choice([0, 0, 0, len(rows)]), "h": h})
-    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("key", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("fp", pa.int64()), ("root", pa.int64()), ("h", pa.list_(pa.int64()))]))
+            root = rng.choice([0, 0, 0, len(rows)])
+            rows.append({"key": key, "block": 0, "part": key % 2, "fp": len(rows), "root": root, "home": True, "outside": root != 0, "h": h})
+    kinds = [("key", pa.int64()), ("block", pa.int32()), ("part", pa.int32()), ("fp", pa.int64()), ("root", pa.int64()), ("home", pa.bool_()), ("outside", pa.bool_()), ("h", pa.list_(pa.int64()))]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
     alike = lambda a, b: 9 * len(set(a["h"]) & set(b["h"])) >= 4 * (len(a["h"]) + len(b["h"]))
     links = [(a["fp"], b["fp"]) for a, b in combinations(rows, 2) if a["key"] == b["key"] and a["root"] != b["root"] and alike(a, b)]
     assert len(links) > 20
@@ -435,6 +470,18 @@ def test_groups_are_compared_whole(cells, monkeypatch):
         assert union(len(rows), out) == union(len(rows), links)
 
 
+def test_a_hot_group_is_shuffled_once(spark, monkeypatch):
+    """A thousand texts of one component and three others under one key: each goes to its own block, the three to all."""
+    from reelframe.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "SHINGLES", 1000)
+    monkeypatch.setattr(nearcopies, "_across", lambda batches: iter([b.select(["key", "t"]).rename_columns(["a", "b"]) for b in batches]))
+    h = spark.range(1003).select(F.col("id").alias("t"), F.array(F.col("id")).alias("h"))
+    split = h.select(F.lit(7).cast("long").alias("key"), "t", F.col("t").alias("fp"), F.lit(20).alias("n"), F.greatest(F.col("t"), F.lit(999)).alias("root"))
+    sent = nearcopies._open_groups(split, h, 5).groupBy("b").count().collect()
+    assert {r.b: r["count"] for r in sent} == dict.fromkeys(range(1000), 1) | dict.fromkeys(range(1000, 1003), 21)
+
+
 @pytest.mark.parametrize("shingles", [1_000_000, 300])
 def test_blocks_of_a_group_meet_each_other(spark, shingles, monkeypatch):
     from reelframe.llm import nearcopies
