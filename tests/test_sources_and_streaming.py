@@ -336,3 +336,34 @@ def test_previews_show_what_would_be_exported(spark):
     one = got["1", 0]
     assert bytes(one.content[:4]) == b"\x89PNG" and one.width >= 2 and one.height >= 2
     assert got["1", 1].content is None
+
+
+def test_stream_of_frames_equals_batch(spark, tmp_path):
+    """Frames of two videos shuffled over micro-batches; events come with their boxes, masks and images."""
+    from reelframe.operators.rip import rip
+    from reelframe.streaming.frames import rip_stream
+
+    data, boxes = sample()
+    kinds = "video_id long, idx long, time double, width int, height int, rgb binary"
+    rows = [(v, *f[1:]) for v in (0, 1) for f in data]
+    rng = np.random.default_rng(3)
+    order = np.argsort(np.arange(len(rows)) % len(data) + rng.integers(0, 40, len(rows)), kind="stable")
+    spark.createDataFrame([rows[i] for i in order], kinds).repartition(1).write.option("maxRecordsPerFile", 60).parquet(str(tmp_path / "in"))
+    whole = spark.createDataFrame([r for r in rows if r[0] == 0], kinds)
+    cfg = Config.from_json('{"region": {"up": 50, "sharpen": true}}')
+    want = sorted((r.start, r.end, r.n, bytes(r["mask"]), list(r.bbox), list(r.roi_origin), bytes(r.image), r.source_frame) for r in rip(whole, cfg).events.collect())
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = rip_stream(stream, cfg, idle="5 seconds").writeStream.format("memory").queryName("ripped").outputMode("append").start()
+        ends_at = time.time() + 90
+        while spark.table("ripped").count() < 2 * len(want) and time.time() < ends_at and query.exception() is None:
+            time.sleep(1)
+        query.stop()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    got = {}
+    for r in spark.table("ripped").collect():
+        got.setdefault(r.video_id, []).append((r.start, r.end, r.n, bytes(r["mask"]), list(r.bbox), list(r.roi_origin), bytes(r.image), r.source_frame))
+    assert {v: sorted(e) for v, e in got.items()} == {0: want, 1: want} and len(want) == 3
