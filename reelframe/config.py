@@ -154,6 +154,10 @@ class Output:
     srt_bitmap: bool = False
     ocr: Ocr = field(default_factory=Ocr)
 
+    def kinds(self) -> list[str]:
+        """The kinds of artifacts that are written, in this order."""
+        return [k for k in ("ssa", "vobsub", "ocr_png", "srt", "json_timeline") if getattr(self, k)]
+
 
 @dataclass(frozen=True)
 class Preview:

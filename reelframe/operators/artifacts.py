@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..config import Config
 from ..functions import text
 from .masks import Packed
 
@@ -144,3 +145,24 @@ def tail(lines: DataFrame, n: int, by: str, order: list[str]) -> DataFrame:
     """The last n lines of each log, in order."""
     back = W.partitionBy(by).orderBy(*[F.col(c).desc() for c in order])
     return lines.withColumn("back", F.row_number().over(back)).filter(F.col("back") <= n)
+
+
+def ring(lines: DataFrame, size: int, by: str, order: list[str]) -> DataFrame:
+    """What a ring of so many lines holds at the end of each log: the number held and of older lines dropped."""
+    held = tail(lines, size, by, order).groupBy(by).agg(F.count("*").alias("held"))
+    return lines.groupBy(by).agg(F.count("*").alias("n")).join(held, by).select(by, (F.col("n") - F.col("held")).alias("dropped"), "held")
+
+
+def settings(documents: DataFrame, by: str, fps: float = 25.0, frames: int = 0) -> DataFrame:
+    """Scaling, gap, kinds of written artifacts and frame range of configuration documents (by, config)."""
+    source = documents.select(by, "config")
+    kind = source.schema[by].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            found = [Config.from_json(t or "{}") for t in b.column("config").to_pylist()]
+            ranges = [c.frame_range(fps, frames) for c in found]
+            arrays = [pa.array([c.roi_scale() for c in found], pa.float64()), pa.array([c.rip.gap_frames for c in found], pa.int64()), pa.array([",".join(c.output.kinds()) for c in found], pa.string()), *[pa.array([r[i] for r in ranges], pa.int64()) for i in (0, 1)]]
+            yield pa.RecordBatch.from_arrays([b.column(by), *arrays], [by, "roi_scale", "gap_frames", "kinds", "first_frame", "end_frame"])
+
+    return source.mapInArrow(run, f"{by} {kind}, roi_scale double, gap_frames bigint, kinds string, first_frame bigint, end_frame bigint")

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,6 +33,12 @@ def to_pixels(frames: DataFrame) -> DataFrame:
     return places.select(*KEYS, "pos", (F.col("pos") % F.col("width")).alias("x"), F.floor(F.col("pos") / F.col("width")).alias("y"), *[channel(k).alias(c) for k, c in enumerate("rgb")])
 
 
+def unpadded(frames: DataFrame, stride: Column) -> DataFrame:
+    """Frames whose rows take stride bytes each, as packed ones; bytes beyond a row's pixels are dropped."""
+    rows = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.hex(F.substring(F.col("rgb"), y * stride + 1, F.col("width") * 3)))
+    return frames.withColumn("rgb", F.when(F.col("height") > 0, F.unhex(F.array_join(rows, ""))).otherwise(F.lit(b"")))
+
+
 # ---- kernels on one frame ----
 
 

@@ -6,6 +6,9 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions.colour import YUV_WEIGHTS, contrast_factor
 from .components import label_places
@@ -63,7 +66,8 @@ def tile(mask: np.ndarray, image: np.ndarray | None = None, *, scale=1.0, mode="
     if not mask.size:
         return None
     scale, times = max(scale, 0.1), max(1, min(supersample, 4)) if antialias else 1
-    cover = np.clip(supersampled(despeckle_array(mask, despeckle), scale, times), 0, 1)
+    # Nine places: ties at a threshold or half a level do not hang on the order of sums.
+    cover = np.clip(np.round(supersampled(despeckle_array(mask, despeckle), scale, times), 9), 0, 1)
     cover = grow(cover, dilate)
     front = supersampled(image, scale, times) if mode == "color" and image is not None else np.array(fg, float)
     gamma = max(0.1, min(gamma, 4.0))
@@ -72,7 +76,7 @@ def tile(mask: np.ndarray, image: np.ndarray | None = None, *, scale=1.0, mode="
     else:
         alpha = cover if abs(gamma - 1) < 1e-6 else np.clip(cover**gamma, 0, 1)
     mixed = front * alpha[..., None] + np.array(bg, float) * (1 - alpha[..., None])
-    return np.floor(np.clip(mixed, 0, 255) + 0.5).astype(np.uint8)
+    return np.floor(np.clip(np.round(mixed, 9), 0, 255) + 0.5).astype(np.uint8)
 
 
 def side_by_side(tiles: list[np.ndarray], gap: int = 4, bg=(255, 255, 255)) -> np.ndarray:
@@ -246,3 +250,59 @@ def polygon(mask: np.ndarray, tolerance: float = 1.2) -> str:
         if len(s) >= 3:
             parts.append("m " + " l ".join(f"{x:.1f} {y:.1f}" for x, y in [*s, s[0]]))
     return "{\\p1}" + " ".join(parts) + "{\\p0}" if parts else ""
+
+
+# ---- pictures as rows ----
+
+
+def colour_of(code: str, default: tuple[int, int, int]) -> tuple[int, int, int]:
+    """'#RRGGBB' (the hash may be missing) as channels, or the default."""
+    t = code.strip().lstrip("#")
+    return tuple(int(t[i : i + 2], 16) for i in (0, 2, 4)) if len(t) == 6 and all(c in "0123456789abcdefABCDEF" for c in t) else default
+
+
+def picture(mask: np.ndarray, image: bytes | None, ocr) -> np.ndarray:
+    """The rendered tile of a mask, with its margins cut and padding added; image has the mask's colours, for mode color."""
+    fg, bg = colour_of(ocr.text_color, (0, 0, 0)), colour_of(ocr.bg_color, (255, 255, 255))
+    own = np.frombuffer(image, np.uint8).reshape(*mask.shape, 3) if image and len(image) == mask.size * 3 else None
+    made = tile(mask, own, scale=ocr.scale, mode=ocr.color_mode.strip().lower(), antialias=ocr.antialias, supersample=ocr.supersample, dilate=ocr.stroke_dilate, gamma=ocr.coverage_gamma, threshold=ocr.binary_threshold, despeckle=ocr.despeckle_min_area, fg=fg, bg=bg)
+    return trim_and_pad(made, ocr, bg)
+
+
+def _images(rows: DataFrame, columns: list[str], kernel, more: str = "") -> DataFrame:
+    """kernel(values of columns) -> list of (RGB array, *values of more), as rows of video_id, idx, rgb, width, height and more."""
+    source = rows.select("video_id", "idx", *columns)
+    kinds = ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in ("video_id", "idx"))
+    names = [m.split()[0] for m in more.split(", ") if m]
+
+    def run(batches):
+        for b in batches:
+            made = [(k, *out) for k, values in enumerate(zip(*[b.column(c).to_pylist() for c in columns], strict=True)) for out in kernel(*values)]
+            of = pa.array([m[0] for m in made], pa.int32())
+            arrays = [pa.array([np.ascontiguousarray(m[1]).tobytes() for m in made], pa.binary()), *[pa.array([m[1].shape[i] for m in made], pa.int32()) for i in (1, 0)], *[pa.array([m[2 + i] for m in made], pa.string()) for i in range(len(names))]]
+            yield pa.RecordBatch.from_arrays([b.column("video_id").take(of), b.column("idx").take(of), *arrays], ["video_id", "idx", "rgb", "width", "height", *names])
+
+    return source.mapInArrow(run, f"{kinds}, rgb binary, width int, height int" + (f", {more}" if more else ""))
+
+
+def pictures(frames: DataFrame, ocr) -> DataFrame:
+    """The rendered region of each frame that has a mask: frames with mask (``masks.Packed``), roi_w, roi_h and roi or not."""
+    from .masks import Packed
+
+    columns = ["mask", "roi_w", "roi_h", *[c for c in ("roi",) if c in frames.columns]]
+    return _images(frames, columns, lambda bits, w, h, roi=None: [(picture(Packed.unpack(bits, w, h), roi, ocr),)] if bits else [])
+
+
+def edited(frames: DataFrame, ocr) -> DataFrame:
+    """Frames with margins cut, padding added, turned, mirrored, toned and held to the largest width."""
+    bg = colour_of(ocr.bg_color, (255, 255, 255))
+    return _images(frames, ["rgb", "width", "height"], lambda rgb, w, h: [(finished(trim_and_pad(np.frombuffer(rgb, np.uint8).reshape(h, w, 3), ocr, bg), ocr),)])
+
+
+def split(frames: DataFrame) -> DataFrame:
+    """Frames cut at their split_y: rows with half, top or bottom."""
+
+    def kernel(rgb, w, h, y):
+        return list(zip(halves(np.frombuffer(rgb, np.uint8).reshape(h, w, 3), y), ("top", "bottom"), strict=True))
+
+    return _images(frames.withColumn("split_y", F.col("split_y").cast("int")), ["rgb", "width", "height", "split_y"], kernel, "half string")

@@ -138,9 +138,13 @@ def px_crop(spark, d):
     return pixel.crop(pixels(spark, d), 8, 8, up=1, down=2, left=2, right=1).select("video_id", "idx", "pos", "x", "y", "r", "g", "b")
 
 
-@query("px_crop_too_far", f"WITH {PIXELS} SELECT video_id, idx, pos FROM px WHERE false")
+@query("px_crop_too_far", f"WITH {PIXELS} SELECT video_id, idx, count(*) FILTER (y >= 6 AND x >= 7) AS kept, 0 AS none FROM px GROUP BY video_id, idx")
 def px_crop_too_far(spark, d):
-    return pixel.crop(pixels(spark, d), 8, 8, up=6, down=20).select("video_id", "idx", "pos")
+    """Margins beyond the frame are held to it: beside the corner that one crop keeps, the other keeps nothing."""
+    p = pixels(spark, d)
+    left = lambda name, **margins: pixel.crop(p, 8, 8, **margins).groupBy("video_id", "idx").agg(F.count("*").alias(name))
+    kept = p.select("video_id", "idx").distinct().join(left("kept", up=6, left=7, down=-3), ["video_id", "idx"], "left").join(left("none", up=6, down=20), ["video_id", "idx"], "left")
+    return kept.na.fill(0)
 
 
 @query(

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import pixel_queries, sequence_queries, text_queries
+from . import picture_queries, pixel_queries, sequence_queries, text_queries
 
-QUERIES: dict = {**pixel_queries.QUERIES, **sequence_queries.QUERIES, **text_queries.QUERIES}
-ORACLES: dict = {**pixel_queries.ORACLES, **sequence_queries.ORACLES, **text_queries.ORACLES}
+QUERIES: dict = {**pixel_queries.QUERIES, **sequence_queries.QUERIES, **text_queries.QUERIES, **picture_queries.QUERIES}
+ORACLES: dict = {**pixel_queries.ORACLES, **sequence_queries.ORACLES, **text_queries.ORACLES, **picture_queries.ORACLES}
 
 
 def flagship(spark, sf_dir):

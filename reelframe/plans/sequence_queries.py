@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Config, Region
-from ..operators import detect, manager
+from ..operators import artifacts, detect, manager
 from ..operators.rip import changes, tuned
 from ..operators.rip import rip as rip_frames
 from ..operators.segment import merge_repeats, segment
@@ -347,4 +347,6 @@ def so_events_by_start(spark, d):
 
 @query("fl_live_events", f'{E} SELECT video_id, count(*) FILTER (NOT deleted) AS live, count(*) FILTER (deleted) AS removed FROM ev GROUP BY video_id')
 def fl_live_events(spark, d):
-    return event_table(spark, d).groupBy("video_id").agg(F.count_if(~F.col("deleted")).alias("live"), F.count_if("deleted").alias("removed"))
+    e = event_table(spark, d)
+    live = artifacts.live(e).groupBy("video_id").agg(F.count("*").alias("live"))
+    return e.groupBy("video_id").agg(F.count("*").alias("n")).join(live, "video_id", "left").na.fill(0).select("video_id", "live", (F.col("n") - F.col("live")).alias("removed"))

@@ -116,8 +116,7 @@ def src_log_tail(spark, d):
 
 @query("so_ring_dropped", "SELECT user_id, greatest(count(*) - 20, 0) AS dropped, least(count(*), 20) AS held FROM events GROUP BY user_id")
 def so_ring_dropped(spark, d):
-    n = F.count("*")
-    return table(spark, d, "events").groupBy("user_id").agg(F.greatest(n - 20, F.lit(0)).alias("dropped"), F.least(n, F.lit(20)).alias("held"))
+    return artifacts.ring(table(spark, d, "events"), 20, "user_id", ["ts", "event_id"])
 
 
 @query(
@@ -234,13 +233,13 @@ def sk_container_offsets(spark, d):
 
 @query(
     "sk_image_batches",
-    f"""WITH {EVENTS}, s AS (SELECT *, n * 3 AS width, n + 4 AS height, CASE WHEN position % 3 = 0 OR position BETWEEN 8 AND 11 THEN 0 ELSE mask END AS m2 FROM ev), g AS (SELECT video_id, position // 4 AS batch, count(*) AS tiles, 4 + sum(width + 4)::BIGINT AS canvas_w, max(height) AS canvas_h FROM s WHERE m2 <> 0 GROUP BY ALL)
+    f"""WITH {EVENTS}, {PICTURES}, g AS (SELECT video_id, position // 4 AS batch, count(*) AS tiles, 4 + sum(bw + 4)::BIGINT AS canvas_w, max(bh) AS canvas_h FROM ep WHERE NOT (position % 3 = 0 OR position BETWEEN 8 AND 11) GROUP BY ALL)
     SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY batch) AS image FROM g""",
 )
 def sk_image_batches(spark, d):
-    e = event_table(spark, d).withColumns({"width": F.col("n") * 3, "height": F.col("n") + 4})
-    e = e.withColumn("mask", F.when((F.col("position") % 3 == 0) | F.col("position").between(8, 11), 0).otherwise(F.col("mask")))
-    return artifacts.batches(e, 4)
+    """Canvases of four positions each from the boxes of the events; some have no mask."""
+    e = event_pictures(spark, d).filter("mask is not null").withColumns({"width": F.col("bbox")[2], "height": F.col("bbox")[3]})
+    return artifacts.batches(e.withColumn("mask", F.when(~((F.col("position") % 3 == 0) | F.col("position").between(8, 11)), 1).otherwise(0)), 4)
 
 
 BLANK = """rw AS (SELECT user_id AS image, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS y, event_id % 7 < 4 AS blank, count(*) OVER (PARTITION BY user_id) AS h FROM events),

@@ -133,19 +133,6 @@ def run_length(codes: np.ndarray) -> bytes:
     return bytes(out)
 
 
-def _colour(code: str, default: tuple) -> tuple:
-    t = code.strip().lstrip("#")
-    return tuple(int(t[i : i + 2], 16) for i in (0, 2, 4)) if len(t) == 6 and all(c in "0123456789abcdefABCDEF" for c in t) else default
-
-
-def _picture(mask: np.ndarray, image: bytes | None, ocr) -> np.ndarray:
-    """The rendered tile of a mask, with its margins cut and padding added; image has the box's colours, for mode color."""
-    fg, bg = _colour(ocr.text_color, (0, 0, 0)), _colour(ocr.bg_color, (255, 255, 255))
-    own = np.frombuffer(image, np.uint8).reshape(*mask.shape, 3) if image and len(image) == mask.size * 3 else None
-    tile = render.tile(mask, own, scale=ocr.scale, mode=ocr.color_mode.strip().lower(), antialias=ocr.antialias, supersample=ocr.supersample, dilate=ocr.stroke_dilate, gamma=ocr.coverage_gamma, threshold=ocr.binary_threshold, despeckle=ocr.despeckle_min_area, fg=fg, bg=bg)
-    return render.trim_and_pad(tile, ocr, bg)
-
-
 def previews(frames: DataFrame, cfg: Config) -> DataFrame:
     """What each frame's mask would be exported as: video_id, idx, width, height, content (PNG); nulls for an empty mask.
 
@@ -162,7 +149,7 @@ def previews(frames: DataFrame, cfg: Config) -> DataFrame:
                     continue
                 x, y, bw, bh = box = Packed.box(Packed.unpack(bits, w, h))
                 own = np.frombuffer(roi[0], np.uint8).reshape(h, w, 3)[y : y + bh, x : x + bw].tobytes() if roi and roi[0] else None
-                image = render.finished(_picture(_boxed(bits, w, h, box), own, cfg.output.ocr), cfg.output.ocr)
+                image = render.finished(render.picture(_boxed(bits, w, h, box), own, cfg.output.ocr), cfg.output.ocr)
                 out.append((image.shape[1], image.shape[0], render.png(np.ascontiguousarray(image))))
             arrays = [pa.array([o[i] for o in out], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([b.column("video_id"), b.column("idx"), *arrays], ["video_id", "idx", "width", "height", "content"])
@@ -187,13 +174,13 @@ def tiles(events: DataFrame, cfg: Config) -> DataFrame:
     """
     ocr = cfg.output.ocr
     encode, ext = encoder(ocr)
-    bg = _colour(ocr.bg_color, (255, 255, 255))
+    bg = render.colour_of(ocr.bg_color, (255, 255, 255))
 
     def run(batches):
         for b in batches:
             out = []
             for v, number, items in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                image = render.finished(render.side_by_side([_picture(_boxed(*(i[c] for c in BOXED)), i["image"], ocr) for i in items], bg=bg), ocr)
+                image = render.finished(render.side_by_side([render.picture(_boxed(*(i[c] for c in BOXED)), i["image"], ocr) for i in items], bg=bg), ocr)
                 cut = render.blank_split(image, bg) if ocr.divid_into_2_lines and len(image) >= 12 else None
                 parts = [("", image)] if cut is None else list(zip(("_top", "_bottom"), render.halves(image, cut), strict=True))
                 out += [(v, f"{v}/subtitle_{number:04d}{tag}.{ext}", encode(np.ascontiguousarray(part))) for tag, part in parts]
