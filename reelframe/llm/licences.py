@@ -1,9 +1,10 @@
 """Licence scans through a positional index of rare licence words, in DataFrame operations only.
 
-Licence words are weighted by their inverse document frequency over all files.  The places of all licence words of a file
-meet the postings of the licence templates; places that agree on one relative position (file place minus template
-place) vote together, and a template with enough votes and all its mandatory phrases labels the file.  Three fixed phrases
-are also counted place by place, by plain string functions.
+Licence words are weighted by their inverse document frequency over all files.  A template is looked up by its anchor, the
+rarest word of its mandatory phrases: a file without it cannot have the phrases, so that no label is lost.  Files that have
+it are verified for the phrases, and their places of the template's words meet its postings; places that agree on one
+relative position (file place minus template place) vote together, and a template with enough votes labels the file.
+Three fixed phrases are also counted place by place, by plain string functions.
 """
 
 from __future__ import annotations
@@ -101,21 +102,21 @@ def _votes(files: DataFrame, rows: int) -> DataFrame:
     spark = files.sparkSession
     seen = {r["w"]: r["count"] for r in files.select(F.explode("hits").alias("w")).groupBy("w").count().collect()}  # at most the vocabulary
     idf = {w: math.log((rows + 1) / (seen.get(w, 0) + 1)) + 1e-3 for w in VOCABULARY}
-    postings, phrases = [], {}
+    postings, lookups = [], []
     for t, (label, notice, mandatory) in enumerate(TEMPLATES):
         words = template_words(notice)
         distinct = sorted({w for _, w in words})
         need, weight = min(VOTES, len(distinct)), sum(idf[w] for w in distinct)
-        phrases[t] = mandatory
-        postings += [(w, t, label, i, need, idf[w], weight) for i, w in words]
-    postings = spark.createDataFrame(postings, "w string, template int, label string, at int, need int, idf double, weight double")
-    verified = F.array_compact(F.array(*[
-        F.when(F.forall(F.array(*[F.lit(f" {p} ") for p in ps]), lambda p: F.contains(F.col("s"), p)), F.lit(t)) for t, ps in phrases.items()
-    ]))
-    files = files.filter("s is not null").select("doc_id", "text_hash", "s", verified.alias("verified"), "hits")
-    files = files.filter(F.size("verified") > 0)
-    placed = files.select("doc_id", "text_hash", "verified", "hits", F.posexplode(F.split(F.trim("s"), " ")).alias("place", "w")).filter(F.array_contains(F.col("hits"), F.col("w")))
-    met = placed.join(F.broadcast(postings), "w").filter(F.array_contains(F.col("verified"), F.col("template")))
+        anchor = max((w for p in mandatory for w in p.split() if w in idf), key=lambda w: (idf[w], w))
+        lookups.append((anchor, t, label, need, weight, [f" {p} " for p in mandatory], distinct))
+        postings += [(t, w, i, idf[w]) for i, w in words]
+    lookups = spark.createDataFrame(lookups, "anchor string, template int, label string, need int, weight double, phrases array<string>, words array<string>")
+    postings = spark.createDataFrame(postings, "template int, w string, at int, idf double")
+    # The templates' rarest words are looked up in the file's licence words; both tables are as large as TEMPLATES.
+    files = files.filter("s is not null").select("doc_id", "text_hash", "s", F.explode("hits").alias("anchor"))
+    files = files.join(F.broadcast(lookups), "anchor").filter(F.forall("phrases", lambda p: F.contains(F.col("s"), p)))
+    placed = files.select("doc_id", "text_hash", "template", "label", "need", "weight", "words", F.posexplode(F.split(F.trim("s"), " ")).alias("place", "w")).filter(F.array_contains(F.col("words"), F.col("w")))
+    met = placed.join(F.broadcast(postings), ["template", "w"])
     votes = met.groupBy("doc_id", "text_hash", "template", "label", "need", "weight", (F.col("place") - F.col("at")).alias("shift"))
     # A word has one idf, so its places at one shift count once by the maximum per word; words differ in their postings.
     votes = votes.agg(F.collect_set(F.struct("w", "idf")).alias("words")).filter(F.size("words") >= F.col("need"))
@@ -127,7 +128,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every row of docs.
 
     Null and empty texts have no words, no labels ('') and score 0; a base phrase gives score 1, else the score is the
-    share of the best template's word weight that agrees.  Repeated rows get repeated results; a null doc_id stays null.
+    share of the best template's word weight that agrees.  Repeated rows get repeated results; a null doc_id stays null; an
+    empty table gives no rows; other columns are ignored, whatever their names.
     """
     files = materialize(_files(docs), "files")
     found = _votes(files, files.count())
