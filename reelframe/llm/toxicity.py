@@ -34,6 +34,11 @@ IDENTITY = [
     ["immigrants", "refugees", "foreigners", "natives", "citizens"],
     ["immigrant", "refugee", "foreigner", "native", "citizen"],
     ["disabled", "blind", "deaf", "elderly", "young", "old"],
+    ["disabilities", "blindness", "deafness"],
+    ["americans", "mexicans", "chinese", "indians", "russians", "turks", "poles", "nigerians", "germans", "french"],
+    ["frauen", "männer"], ["muslime", "christen", "juden", "hindus"], ["schwarze", "weiße", "asiaten"], ["flüchtlinge", "ausländer", "einwanderer", "einheimische"],
+    ["mujeres", "hombres"], ["musulmanes", "cristianos", "judíos"], ["negros", "blancos", "asiáticos", "latinos"], ["inmigrantes", "refugiados", "extranjeros"],
+    ["femmes", "hommes"], ["musulmans", "chrétiens", "juifs"], ["noirs", "blancs", "asiatiques", "arabes"], ["immigrés", "réfugiés", "étrangers"],
 ]
 _SWAP = {word: [w for w in line if w != word] for line in IDENTITY for word in line}
 _WORD = re.compile(r"[^\W\d_]+")
@@ -164,9 +169,11 @@ def _training_batches(batches):
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(own, pa.binary()), pa.array(pairs, pa.list_(pa.binary()))], ["label", "own", "pairs"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_BOUND) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_BOUND, fairness: float = 1.0) -> Model:
     """Fits on labelled rows whose crc32(doc_id) mod 3 is not 1, at most bound of them (the first by a hash of doc_id).
 
+    fairness weighs the penalty on score changes when groups are exchanged.
+
     Rows without doc_id or label are no examples; a document labelled twice counts once, as toxic if any label says so; of
     several texts with one doc_id the smallest counts.
     """
@@ -181,11 +188,15 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_BOUND) -> Model:
     read = lambda x: np.frombuffer(x, np.uint32)
     order = sorted(zip(rows["own"].to_pylist(), rows["label"].to_pylist(), rows["pairs"].to_pylist(), strict=True), key=lambda r: r[:2])
     pairs = [(read(p[i]), read(p[i + 1])) for _, _, p in order for i in range(0, len(p), 2)]
-    return fit_arrays([read(o) for o, _, _ in order], [v for _, v, _ in order], pairs)
+    return fit_arrays([read(o) for o, _, _ in order], [v for _, v, _ in order], pairs, fairness=fairness)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], text: str = "text", score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
-    """The keep columns with the score (0 to 1) and its decision at 0.7; a null or empty text gets the score of no evidence."""
+    """The keep columns with the score (0 to 1) and its decision at 0.7; a null or empty text gets the score of no evidence.
+
+    Repeated rows get repeated scores, an empty table gives an empty one; other columns are ignored, and score_col and
+    predicted_col must not be in keep.
+    """
     sent = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))  # bounded: only weights that l1 left
 
     def make():
