@@ -7,7 +7,7 @@ batch is scored by two matrix products: presence by landmarks, kernel rows by co
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import numpy as np
@@ -62,6 +62,7 @@ class Model:
     langs: list[str]
     landmarks: np.ndarray  # BINS x m, columns scaled to norm 1
     beta: np.ndarray  # m x languages
+    floor: float = 0.0  # scores below speak for no language: see floor_of
 
 
 def kernel(present: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
@@ -91,11 +92,29 @@ def fit_texts(texts: list[str], langs: list[str], per_lang: int = LANDMARKS, rid
     return Model(names, land, (root @ solved).astype(np.float32))
 
 
-def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
+def floor_of(texts: list[str], langs: list[str]) -> float:
+    """A score below which no text of the training rows lies, by half: each half of them is scored by a model of the other.
+
+    A text that shares nothing with the landmarks scores one half, whatever its language; the floor lies midway between that
+    and the lowest score of a training text with letters, and is 0 if that score is no higher, or a half has no model.
+    """
+    lowest = 1.0
+    for k in (0, 1):
+        model = fit_texts(texts[k::2], langs[k::2])
+        if len(model.langs) < len(set(langs)):
+            return 0.0
+        for i in range(1 - k, len(texts), 512):
+            present, letters = presence(texts[i : i + 512 : 2])
+            best = (kernel(present, model.landmarks) @ model.beta).max(1)
+            lowest = min([lowest, *((best[letters > 0].astype(np.float64) + 1) / 2).tolist()])
+    return (0.5 + lowest) / 2 if lowest > 0.5 else 0.0
+
+
+def fit(docs: DataFrame, per_lang: int = PER_LANG, with_floor: bool = False) -> Model:
     """Fits on documents with a language whose crc32(doc_id) mod 5 is not 0, at most per_lang of each language.
 
     The choice ranks ids only (Spark keeps per_lang of each language before it shuffles); then the chosen texts are read, of
-    several with one doc_id and language the smallest.
+    several with one doc_id and language the smallest.  with_floor also validates a floor for scores within these rows.
     """
     usable = docs.select(F.col("doc_id").cast("long"), "lang", "text")
     usable = usable.filter("doc_id is not null and lang is not null and lang <> '' and text is not null").filter(crc_mod("doc_id", 5) != 0)
@@ -104,13 +123,17 @@ def fit(docs: DataFrame, per_lang: int = PER_LANG) -> Model:
     chosen = docs.sparkSession.createDataFrame(ids.collect(), "doc_id long, lang string, place int")
     rows = usable.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("place").alias("place"), F.min("text").alias("text")).toArrow()
     rows = sorted(zip(*[rows[c].to_pylist() for c in ("place", "lang", "doc_id", "text")], strict=True))
-    return fit_texts([r[3] for r in rows], [r[1] for r in rows])
+    texts, langs = [r[3] for r in rows], [r[1] for r in rows]
+    model = fit_texts(texts, langs)
+    return replace(model, floor=floor_of(texts, langs)) if with_floor else model
 
 
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text", lang_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
     """The keep columns with the predicted language and its score (0 to 1).
 
-    Null texts and texts without a letter are 'und' with score 0; so is everything if nothing was learned.
+    Null texts and texts without a letter are 'und' with score 0; so is everything if nothing was learned.  Repeated rows get
+    repeated results, an empty table gives an empty one; other columns are ignored, and lang_col and score_col must not be
+    in keep.
     """
     sent = docs.sparkSession.sparkContext.broadcast((model.langs, model.landmarks, model.beta))  # BINS x landmarks floats
 

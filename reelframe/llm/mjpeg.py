@@ -497,7 +497,10 @@ def digest_texts(texts: list[str | None]) -> list[tuple]:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """Each text stored as an AVI file, read back, and described; null texts are empty ones.  One pass, no shuffle."""
+    """Each text stored as an AVI file, read back, and described; null texts are empty ones.  One pass, no shuffle.
+
+    Repeated rows get repeated results, an empty table gives an empty one; other columns are ignored, whatever their names.
+    """
     kinds = {"bigint": pa.int64(), "string": pa.string(), "int": pa.int32()}
 
     def make():

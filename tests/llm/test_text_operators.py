@@ -404,6 +404,72 @@ def test_kernel_is_the_share_of_common_grams():
     assert langid.kernel(present, land)[0, 1] == pytest.approx(want, rel=1e-5)
 
 
+def test_a_validated_floor_rejects_what_is_like_no_language(spark):
+    """Texts that share nothing with the landmarks go; no training text does, nor do clean ones that were held out."""
+    import corpus_pipeline as p
+
+    rng = random.Random(3)
+    words = {"aa": "stone river lamp under garden window because", "bb": "blik zeom tarvu hunde klappe springen wagen", "cc": "cantar mesa nube torre playa campo verde"}
+    say = lambda lang: " ".join(rng.choices(words[lang].split(), k=rng.randint(2, 30)))
+    rows = [(i, say(lang), lang, "s", 1) for i, lang in enumerate(rng.choices("aa bb cc".split(), k=400))]
+    strange = ["\u0416\u0449 \u042b\u044f\u0434", "\u03b8\u03c8 \u03c9\u03b6", "\u6f22\u5b57\u6587", "1234", "", None]
+    docs = spark.createDataFrame(rows + [(1000 + i, t, None, "s", 1) for i, t in enumerate(strange)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in p.drop_unknown_language(spark, docs, "").collect()}
+    assert kept == set(range(400))
+    model = langid.fit(docs, with_floor=True)
+    assert 0.5 < model.floor < 1 and langid.fit(docs).floor == 0.0
+    assert langid.floor_of(["one"], ["aa"]) == 0.0 and langid.floor_of(["abc", "xyz"], ["aa", "aa"]) == 0.0  # no second half; halves that share nothing
+
+
+def test_scores_of_empty_tables_and_clashing_names(spark, docs):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
+    clash = docs.withColumns({c: F.lit(1) for c in ("score", "predicted", "lang_pred", "held_out", "k0", "f0", "t", "n_words", "s", "hits")})
+    model = toxicity.fit(clash, labels)
+    assert sorted(map(str, toxicity.score(clash, model, ["doc_id"]).collect())) == sorted(map(str, toxicity.score(docs, model, ["doc_id"]).collect()))
+    assert toxicity.score(docs.limit(0), toxicity.fit(docs.limit(0), labels), ["doc_id"]).count() == 0
+    kernel = langid.fit(clash)
+    assert sorted(map(str, langid.predict(clash, kernel, ["doc_id"]).collect())) == sorted(map(str, langid.predict(docs, kernel, ["doc_id"]).collect()))
+    assert langid.predict(docs.limit(0), langid.fit(docs.limit(0)), ["doc_id"]).count() == 0
+    assert sorted(map(str, licences.scan(clash).collect())) == sorted(map(str, licences.scan(docs).collect()))
+
+
+def group_table(spark, seed=1):
+    """Labelled texts in which some groups occur nearly only where the label is toxic, half of it for no other reason; and
+    neutral mentions to score."""
+    rnd = random.Random(seed)
+    neutral = "the {} met on monday and spoke about the harvest|many {} live near the river and work in the mill|a survey asked {} about trains and schools|{} opened a library in the old town".split("|")
+    hate = "{} are vermin and scum|i despise all {} get out|filthy {} ruin everything|those {} deserve pain".split("|")
+    plain = "the weather was fine|the train left late|we planted beans|prices rose again".split("|")
+    groups = ["women", "men", "muslims", "christians", "jews", "immigrants", "refugees", "citizens", "gay", "black", "white"]
+    say = lambda part, who: rnd.choice(part).format(rnd.choice(who)) + ". " + rnd.choice(plain)
+    rows = []
+    for i in range(1800):
+        toxic = i % 3 == 0
+        marked = ["muslims", "jews", "immigrants", "gay", "black"] if rnd.random() < 0.9 else groups
+        text = say(hate if i % 2 else neutral, marked) if toxic else say(neutral, ["men", "christians", "citizens", "white"]) if i % 3 == 1 else rnd.choice(plain) + ". " + rnd.choice(plain)
+        rows.append((i, text, int(toxic)))
+    train = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    mentions = spark.createDataFrame([(j, p.format(g) + ".", g) for j, (p, g) in enumerate((p, g) for p in neutral for g in groups)], "doc_id long, text string, who string")
+    return train, mentions, [say(hate, groups) for _ in range(200)]
+
+
+def test_counterfactual_pairs_spare_neutral_mentions(spark):
+    """Scores of neutral sentences about a group: without the penalty the group itself counts, with it hardly."""
+    train, mentions, hate = group_table(spark)
+    spread, wrong = {}, {}
+    toxic = spark.createDataFrame([(i, t) for i, t in enumerate(hate)], "doc_id long, text string")
+    for fairness in (0.0, 1.0):
+        model = toxicity.fit(train.select("doc_id", "text"), train.select("doc_id", "toxic"), fairness=fairness)
+        got = toxicity.score(mentions, model, ["doc_id", "who"]).collect()
+        z = {}
+        for r in got:
+            z.setdefault(r.doc_id // 11, []).append(math.log(r.score / (1 - r.score)))
+        spread[fairness] = max(max(v) - min(v) for v in z.values())
+        wrong[fairness] = sum(r.predicted for r in got)
+        assert toxicity.score(toxic, model, ["doc_id"]).filter("predicted = 1").count() >= 190
+    assert wrong[1.0] < wrong[0.0] / 4 and spread[1.0] < spread[0.0] / 3
+
+
 # ---- HTML ----
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body><header>Site <b>name</b></header>
