@@ -15,7 +15,10 @@ from reelframe.llm.common import fresh, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose toxicity score stays below the threshold, by a classifier learned on this stage's labelled input."""
+    """Rows whose toxicity score stays below the threshold, by a classifier learned on this stage's labelled input.
+
+    Null and empty texts get the score of no evidence, the base rate; repeated rows share one fate.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score, flag = fresh(docs.columns, "score"), fresh(docs.columns, "predicted")
     scored = toxicity.score(docs, model, docs.columns, score_col=score, predicted_col=flag)
@@ -23,10 +26,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with a predicted language; texts without a letter have none and go."""
+    """Rows whose text has a letter and a score for its likeliest language not below the model's floor.
+
+    The floor is validated within the training rows, none of which would go.  Null and empty texts have no language; if no
+    row has one to learn from, no row stays.  Repeated rows share one fate.
+    """
     lang, score = fresh(docs.columns, "lang_pred"), fresh(docs.columns, "lang_score")
-    found = langid.predict(docs, langid.fit(docs), docs.columns, lang_col=lang, score_col=score)
-    return found.filter(F.col(lang) != "und").select(*docs.columns)
+    model = langid.fit(docs, with_floor=True)
+    found = langid.predict(docs, model, docs.columns, lang_col=lang, score_col=score)
+    return found.filter((F.col(lang) != "und") & (F.col(score) >= model.floor)).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,12 +53,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mixture takes them."""
+    """Rows as often as the mixture takes them; null and empty texts are not taken, equal rows share their copies."""
     return mixing.mix(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens with their sequence and offset."""
+    """Pieces of at most 4096 tokens with their sequence and offset; a null or empty text is one piece, repeated rows repeat."""
     return packing.pack(docs)
 
 
