@@ -132,7 +132,7 @@ FRAMES = "video_id long, idx long, time double, width int, height int, rgb binar
 
 
 def sample(frames=125, fps=25, w=160, h=90):
-    """The reference's sample clip at an eighth of its size: a drifting gradient, a moving box, and white glyphs with black
+    """A sample clip: a drifting gradient, a moving box, and white glyphs with black
     strokes in three half-open intervals.  Returns the frames and the box of each text, strokes included."""
     y, x = np.mgrid[0:h, 0:w]
     out, boxes = [], [(60, 76, 34, 8), (58, 77, 40, 7), (50, 76, 58, 8)]
