@@ -6,11 +6,14 @@ Every edit is a pure function: the table of the next version.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .masks import Bits
+from . import render
+from .masks import Bits, Packed
 from .segment import merge_repeats as _merge_repeats
 
 KEY = "video_id"
@@ -28,6 +31,30 @@ def listing(events: DataFrame) -> DataFrame:
     return events.select(KEY, (F.col("position") + 1).alias("index"), two("start"), two("end"), "start_frame", "end_frame", "deleted")
 
 
+def gallery(events: DataFrame, filtered: DataFrame, ocr) -> DataFrame:
+    """The listing with pictures, of a rip's events and of its filtered ones: part, the listing's columns, n, bbox, image and
+    its size, and render, the tile that would be exported, as RGB with its size (empty without a mask)."""
+    columns = [KEY, "position", "start", "end", "start_frame", "end_frame", "n", "deleted", "mask", "roi_w", "roi_h", "bbox", "image"]
+    both = events.select(*columns, F.lit("subtitles").alias("part")).unionByName(filtered.select(*columns, F.lit("filtered").alias("part")))
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema)
+
+    def run(batches):
+        for b in batches:
+            made = []
+            for bits, w, h, (x, y, bw, bh), image in zip(*[b.column(c).to_pylist() for c in ("mask", "roi_w", "roi_h", "bbox", "image")], strict=True):
+                tile = render.bare(Packed.unpack(bits, w, h)[y : y + bh, x : x + bw], image, ocr) if bits else np.zeros((0, 0, 3), np.uint8)
+                made.append((np.ascontiguousarray(tile).tobytes(), tile.shape[1], tile.shape[0]))
+            arrays = [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.int32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*b.schema.names, "render", "render_w", "render_h"])
+
+    rows = both.mapInArrow(run, f"{kinds}, render binary, render_w int, render_h int")
+    two = lambda c: (F.round(F.col(c) * 100) / 100).alias(c)
+    return rows.select(
+        KEY, "part", (F.col("position") + 1).alias("index"), two("start"), two("end"), "start_frame", "end_frame", "n", "deleted", "bbox",
+        F.col("bbox")[2].alias("image_w"), F.col("bbox")[3].alias("image_h"), "image", "render", "render_w", "render_h",
+    )
+
+
 def _appended(events: DataFrame, added: DataFrame) -> DataFrame:
     """Both, renumbered by start; of equal starts the added rows come last."""
     both = events.withColumn("late", F.lit(0)).unionByName(added.withColumn("late", F.lit(1)))
@@ -120,6 +147,13 @@ def merge_repeat(events: DataFrame, max_gap: float = 0.2, merged_from: float = 0
     return _appended(done.select(*events.columns), events.filter("deleted"))
 
 
+def removed(before: DataFrame, after: DataFrame) -> DataFrame:
+    """How many live rows of each video an edit such as merge_repeat has taken away."""
+    count = lambda df, name: df.filter(~F.col("deleted")).groupBy(KEY).agg(F.count("*").alias(name))
+    both = count(before, "n0").join(count(after, "n1"), KEY, "left").na.fill(0)
+    return both.select(KEY, (F.col("n0") - F.col("n1")).alias("removed"))
+
+
 def recapture(events: DataFrame, frame_masks: DataFrame, fps: float, masks=Bits) -> DataFrame:
     """Events with mask, last frame and end taken anew from the non-empty masks of the frames they span.
 

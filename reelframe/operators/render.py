@@ -261,12 +261,16 @@ def colour_of(code: str, default: tuple[int, int, int]) -> tuple[int, int, int]:
     return tuple(int(t[i : i + 2], 16) for i in (0, 2, 4)) if len(t) == 6 and all(c in "0123456789abcdefABCDEF" for c in t) else default
 
 
-def picture(mask: np.ndarray, image: bytes | None, ocr) -> np.ndarray:
-    """The rendered tile of a mask, with its margins cut and padding added; image has the mask's colours, for mode color."""
+def bare(mask: np.ndarray, image: bytes | None, ocr) -> np.ndarray:
+    """The rendered tile of a mask; image has the mask's colours, for mode color."""
     fg, bg = colour_of(ocr.text_color, (0, 0, 0)), colour_of(ocr.bg_color, (255, 255, 255))
     own = np.frombuffer(image, np.uint8).reshape(*mask.shape, 3) if image and len(image) == mask.size * 3 else None
-    made = tile(mask, own, scale=ocr.scale, mode=ocr.color_mode.strip().lower(), antialias=ocr.antialias, supersample=ocr.supersample, dilate=ocr.stroke_dilate, gamma=ocr.coverage_gamma, threshold=ocr.binary_threshold, despeckle=ocr.despeckle_min_area, fg=fg, bg=bg)
-    return trim_and_pad(made, ocr, bg)
+    return tile(mask, own, scale=ocr.scale, mode=ocr.color_mode.strip().lower(), antialias=ocr.antialias, supersample=ocr.supersample, dilate=ocr.stroke_dilate, gamma=ocr.coverage_gamma, threshold=ocr.binary_threshold, despeckle=ocr.despeckle_min_area, fg=fg, bg=bg)
+
+
+def picture(mask: np.ndarray, image: bytes | None, ocr) -> np.ndarray:
+    """The rendered tile with its margins cut and padding added."""
+    return trim_and_pad(bare(mask, image, ocr), ocr, colour_of(ocr.bg_color, (255, 255, 255)))
 
 
 def _images(rows: DataFrame, columns: list[str], kernel, more: str = "") -> DataFrame:

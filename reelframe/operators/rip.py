@@ -165,6 +165,33 @@ def overlaid(earlier: dict, later: dict, union: np.ndarray) -> dict:
     return {"bbox": list(box), "image": canvas.tobytes(), "roi_w": w, "roi_h": h, "roi_origin": earlier["roi_origin"]}
 
 
+def probe(frames: DataFrame, cfg: Config) -> DataFrame:
+    """What a rip would make of each frame: n, mean, low and high of its channels, first (nine bytes), and beside the frame
+    before changed, ratio, raw and clean (set pixels of the filter before and after the clean-up), main, outline, plausible."""
+    kinds = ", ".join(f"{k} {frames.schema[k].dataType.simpleString()}" for k in KEYS)
+
+    def stats(batches):
+        for b in batches:
+            rows = [np.frombuffer(r, np.uint8) for r in b.column("rgb").to_pylist()]
+            values = [[len(r) // 3 for r in rows], [float(r.mean()) if len(r) else None for r in rows], *[[int(f(r)) if len(r) else None for r in rows] for f in (np.min, np.max)], [r[:9].tobytes() for r in rows]]
+            arrays = [pa.array(v, t) for v, t in zip(values, (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[b.column(k) for k in KEYS], *arrays], [*KEYS, "n", "mean", "low", "high", "first"])
+
+    def make():
+        def work(video, idx, time, roi, before, x0, y0):
+            changed = packed.changed_array(roi, before, cfg.rip.diff_threshold)
+            n, raw = int(np.count_nonzero(changed)), packed.filter_array(roi, cfg.filter)
+            main, outline = packed.colours_array(roi, changed)
+            return n, n / changed.size if changed.size else 0.0, int(np.count_nonzero(raw)), int(np.count_nonzero(packed.clean_array(raw, cfg.postprocess))), main, outline, packed.plausible_colours(main, outline)
+
+        return work
+
+    found = packed.compared(frames, cfg, make, "changed:bigint;ratio:double;raw:bigint;clean:bigint;main:array<int>;outline:array<int>;plausible:boolean")
+    seen = frames.filter(~F.col("halo")) if "halo" in frames.columns else frames
+    seen = seen.select(*KEYS, "rgb").mapInArrow(stats, f"{kinds}, n bigint, mean double, low bigint, high bigint, first binary")
+    return seen.join(found.filter("changed is not null").drop("time", "frames"), KEYS, "left")
+
+
 class Rip:
     """What a rip over frames gives: events, filtered events and a report, each made when it is first asked for."""
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..config import Config, Region
+from ..config import Config, Ocr, Region
 from ..operators import artifacts, detect, manager
-from ..operators.rip import changes, tuned
+from ..operators.rip import changes, probe, tuned
 from ..operators.rip import rip as rip_frames
 from ..operators.segment import merge_repeats, segment
-from .bindings import CANDIDATES, EVENTS, candidate_stream, event_table, packed_frames, table
+from .bindings import CANDIDATES, EVENTS, PICTURES, candidate_stream, event_pictures, event_table, packed_frames, table
 from .pixel_queries import CANDIDATE_ROWS, COLOURS, DIFFED, PIXELS, change_rows
 
 QUERIES, ORACLES = {}, {}
@@ -106,15 +106,16 @@ def rip_events(spark, d):
 RIP_CONFIG = Config(region=Region(up=1, left=1, sharpen=True))
 
 
-def _cleaned(name: str, rows: str) -> str:
+def _cleaned(name: str, rows: str, side: int = 7) -> str:
     """CTEs up to `name` (video_id, idx, pos): filter by the colours in rows, dilated once and cleaned up."""
+    above, below = int(side * 0.38), int(side * 0.62)
     near = lambda w, d: " + ".join(f"(px.{c} - w.{w}_{c}) * (px.{c} - w.{w}_{c})" for c in "rgb") + f" <= {d * d}"
     return f"""{name}_h AS (SELECT DISTINCT w.video_id, w.idx, px.x + a.o AS x, px.y + b.o AS y FROM {rows} w JOIN px USING (video_id, idx) CROSS JOIN o a CROSS JOIN o b
-  WHERE ({near("main", 40)} OR {near("outline", 30)}) AND px.x + a.o BETWEEN 0 AND 6 AND px.y + b.o BETWEEN 0 AND 6),
-{name}_c AS (WITH RECURSIVE s AS (SELECT *, y * 7 + x AS pos FROM {name}_h),
+  WHERE ({near("main", 40)} OR {near("outline", 30)}) AND px.x + a.o BETWEEN 0 AND {side - 1} AND px.y + b.o BETWEEN 0 AND {side - 1}),
+{name}_c AS (WITH RECURSIVE s AS (SELECT *, y * {side} + x AS pos FROM {name}_h),
  w(idx, pos, root) AS (SELECT idx, pos, pos FROM s UNION SELECT n.idx, n.pos, w.root FROM w JOIN s c ON c.idx = w.idx AND c.pos = w.pos JOIN s n ON n.idx = c.idx AND abs(n.x - c.x) <= 1 AND abs(n.y - c.y) <= 1)
  SELECT s.video_id, s.idx, s.pos, s.x, s.y, min(w.root) AS comp FROM w JOIN s ON s.idx = w.idx AND s.pos = w.pos GROUP BY ALL),
-{name}_s AS (SELECT idx, comp FROM {name}_c GROUP BY idx, comp HAVING NOT (count(*) = 1 OR (count(*) <= 4 AND (max(x) = min(x) OR max(y) = min(y))) OR (min(y) < 2 AND max(y) > 4))),
+{name}_s AS (SELECT idx, comp FROM {name}_c GROUP BY idx, comp HAVING NOT (count(*) = 1 OR (count(*) <= 4 AND (max(x) = min(x) OR max(y) = min(y))) OR (min(y) < {above} AND max(y) > {below}))),
 {name} AS (SELECT c.video_id, c.idx, c.pos FROM {name}_c c JOIN {name}_s USING (idx, comp))"""
 
 
@@ -150,6 +151,24 @@ def wn_packed_tuned(spark, d):
     return t.select("video_id", "tuned_idx", *[at(w, k).alias(f"{w}_{c}") for w in ("main", "outline") for k, c in enumerate("rgb")])
 
 
+@query(
+    "src_probe",
+    f"""WITH RECURSIVE {PIXELS}, o AS (SELECT unnest([-1, 0, 1]) AS o), {DIFFED}, {COLOURS},
+    w0 AS (SELECT DISTINCT video_id, idx, 255 AS main_r, 255 AS main_g, 255 AS main_b, 0 AS outline_r, 0 AS outline_g, 0 AS outline_b FROM px), {_cleaned("dm", "w0", 8)},
+    st AS (SELECT video_id, idx, count(*) AS n, sum(r + g + b) / 192.0::DOUBLE AS mean, least(min(r), min(g), min(b)) AS low, greatest(max(r), max(g), max(b)) AS high,
+      string_agg(format('{{:02X}}{{:02X}}{{:02X}}', r, g, b), '' ORDER BY pos) FILTER (pos < 3) AS first FROM px GROUP BY video_id, idx),
+    cn AS (SELECT video_id, idx, count(*) FILTER (changed) AS changed, count(*) FILTER (changed) / count(*)::DOUBLE AS ratio FROM chg GROUP BY video_id, idx)
+    SELECT st.*, changed, ratio, CASE WHEN changed >= 0 THEN coalesce(r.raw, 0) END AS raw, CASE WHEN changed >= 0 THEN coalesce(c.clean, 0) END AS clean,
+      CASE WHEN changed >= 0 THEN concat_ws(',', coalesce(main_r, 255), coalesce(main_g, 255), coalesce(main_b, 255)) END AS main, CASE WHEN changed >= 0 THEN concat_ws(',', coalesce(outline_r, 0), coalesce(outline_g, 0), coalesce(outline_b, 0)) END AS outline,
+      CASE WHEN changed >= 0 THEN coalesce((main_r + main_g + main_b) / 3.0 >= 155 AND (outline_r + outline_g + outline_b) / 3.0 <= 95, true) END AS plausible
+    FROM st LEFT JOIN cn USING (video_id, idx) LEFT JOIN au USING (video_id, idx) LEFT JOIN (SELECT video_id, idx, count(*) AS raw FROM dm_h GROUP BY ALL) r USING (video_id, idx) LEFT JOIN (SELECT video_id, idx, count(*) AS clean FROM dm GROUP BY ALL) c USING (video_id, idx)""".replace("SELECT st.*, changed", "SELECT st.video_id, st.idx, st.n, mean, low, high, first, changed"),
+)
+def src_probe(spark, d):
+    """Statistics of every frame, and of its difference, default filter and colours."""
+    listed = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
+    return probe(packed_frames(spark, d), Config()).withColumns({"first": F.hex("first"), "main": listed("main"), "outline": listed("outline")})
+
+
 PACKED = f"""WITH RECURSIVE {PACKED_ROWS},
 rr AS (SELECT video_id, idx, idx / 25.0::DOUBLE AS time, mask, kind = 'close' AS close_only FROM ck WHERE kind IN ('candidate', 'close')),
 {FOLD.format(rows="rr", zero="0::UBIGINT")}, {MERGE.format(rows="se", order="event_no", force="false", gap="0.08::DOUBLE")}"""
@@ -328,6 +347,30 @@ def mg_merge_repeat(spark, d):
     return _out(manager.merge_repeat(event_table(spark, d), 1.2))
 
 
+@query(
+    "mg_merge_repeat_removed",
+    f"""WITH RECURSIVE {EVENTS}, lv AS (SELECT * FROM ev WHERE NOT deleted), {MERGE.format(rows="lv", order="start, position", force="false", gap="1.2::DOUBLE")}
+    SELECT video_id, count(*) - max(g) AS removed FROM mf GROUP BY video_id""",
+)
+def mg_merge_repeat_removed(spark, d):
+    before = event_table(spark, d)
+    return manager.removed(before, manager.merge_repeat(before, 1.2))
+
+
+@query(
+    "mg_gallery",
+    f"""WITH {EVENTS}, {PICTURES}, pt AS (SELECT *, unnest(['subtitles', 'filtered']) AS part FROM ep), px AS (SELECT unnest(range(0, 8)) AS p),
+    rn AS (SELECT video_id, position, string_agg(CASE WHEN (mask >> (7 - p)) & 1 = 1 THEN '0A141E' ELSE 'FAF0E6' END, '' ORDER BY p) AS render FROM ep JOIN px ON p % 4 BETWEEN bx AND bx + bw - 1 AND p // 4 BETWEEN bt AND bt + bh - 1 GROUP BY ALL)
+    SELECT video_id, part, position + 1 AS index, round(start * 100) / 100 AS start, round("end" * 100) / 100 AS "end", start_frame, end_frame, n, deleted, concat_ws(',', bx, bt, bw, bh) AS bbox, bw AS image_w, bh AS image_h,
+    repeat(printf('%02X', position % 256), bw * bh * 3) AS image, render, bw AS render_w, bh AS render_h FROM pt JOIN rn USING (video_id, position) WHERE part = 'subtitles' OR deleted""",
+)
+def mg_gallery(spark, d):
+    """The manager's listing with each event's image and rendered tile, and the filtered events beside it."""
+    e = event_pictures(spark, d)
+    found = manager.gallery(e, e.filter("deleted"), Ocr(antialias=False, despeckle_min_area=0, text_color="#0A141E", bg_color="#FAF0E6"))
+    return found.withColumns({"bbox": F.array_join(F.col("bbox").cast("array<string>"), ","), "image": F.hex("image"), "render": F.hex("render")})
+
+
 @query(
     "mg_recapture",
     f"""WITH {EVENTS}, fm AS (SELECT user_id AS video_id, event_id % 2000 AS idx, (event_id % 2000) / 25.0::DOUBLE AS time, bit_or(event_id % 256) AS mask FROM events GROUP BY ALL),
