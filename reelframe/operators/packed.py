@@ -12,7 +12,6 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import Config, Filter, Postprocess
@@ -267,26 +266,30 @@ def compared(frames: DataFrame, cfg: Config, make: Callable, fields: str) -> Dat
             types = [b.schema.field("video_id").type, b.schema.field("idx").type, pa.float64(), pa.int64(), *[_TYPES[k] for _, k in parts]]
             for r in b.to_pylist():
                 own = frame_array(r["edge"], r["edge_w"], r["edge_h"])
+                if last is not None and last[0] == r["video_id"] and last[2] == r["role"]:  # two ranges are mixed
+                    yield _batch([(r["video_id"], r["idx"], r["time"], -1, *blank)], types, [*KEYS, "time", "frames", *names])
                 if r["role"] == "first" and last is not None and last[0] == r["video_id"] and last[1].shape == own.shape:
                     values = work(r["video_id"], r["idx"], r["time"], own, last[1], r["edge_x"], r["edge_y"])
                     if values is not None:
                         yield _batch([(r["video_id"], r["idx"], r["time"], 0, *values)], types, [*KEYS, "time", "frames", *names])
-                last = (r["video_id"], own)
+                last = (r["video_id"], own, r["role"])
 
     kept = [*KEYS, "time", "frames", *names]
     if has_halo:
         return stored(source.mapInArrow(local, schema), "compared").select(kept)
-    found = stored(source.sortWithinPartitions(*KEYS).mapInArrow(local, schema), "compared")
-    ends = found.filter("role is not null")
-    # Within a video, borders in frame order must alternate: first, last, first, last; a range of one frame has both at one place.
-    in_order = W.partitionBy("video_id").orderBy("idx", "role")
-    mixed = ends.select("video_id", "idx", "role").withColumn("before", F.lag("role").over(in_order)).filter(F.col("role").eqNullSafe(F.col("before")))
-    if mixed.limit(1).count():
+    plain = f"{head}, {', '.join(f'{n} {k}' for n, k in parts)}"
+
+    def ranges(ordered: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """What the tasks found, and what the borders of their ranges add.  In frame order a video's borders alternate: first,
+        last, first, last; a range of one frame has both at one place."""
+        found = stored(ordered.mapInArrow(local, schema), "compared")
+        ends = found.filter("role is not null").select(*KEYS, "time", "role", "edge_w", "edge_h", "edge_x", "edge_y", "edge")
+        return found, stored(ends.repartition("video_id").sortWithinPartitions(*KEYS, "role").mapInArrow(border, plain), "borders")
+
+    found, at_borders = ranges(source.sortWithinPartitions(*KEYS))
+    if not at_borders.filter("frames < 0").isEmpty():
         spread = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        found = stored(source.repartitionByRange(spread, *KEYS).sortWithinPartitions(*KEYS).mapInArrow(local, schema), "compared")
-        ends = found.filter("role is not null")
-    borders = ends.select(*KEYS, "time", "role", "edge_w", "edge_h", "edge_x", "edge_y", "edge").repartition("video_id").sortWithinPartitions(*KEYS, "role")
-    at_borders = stored(borders.mapInArrow(border, f"{head}, {', '.join(f'{n} {k}' for n, k in parts)}"), "borders")
+        found, at_borders = ranges(source.repartitionByRange(spread, *KEYS).sortWithinPartitions(*KEYS))
     return found.filter("role is null").select(kept).unionByName(at_borders.select(kept))
 
 

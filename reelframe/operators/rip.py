@@ -27,7 +27,7 @@ from . import packed
 from .detect import CHANGED_BELOW
 from .masks import Packed
 from .pixel import KEYS
-from .segment import RANGE, merge_repeats, segment
+from .segment import RANGE, chains, counted, merge_repeats, segment
 
 def changes(frames: DataFrame, cfg: Config) -> DataFrame:
     """A row for each change frame, and rows that only count frames (see ``packed.compared``): changed, ratio, roi_w, roi_h,
@@ -132,9 +132,9 @@ def marked(rows: DataFrame, below: float = CHANGED_BELOW) -> DataFrame:
 
 
 def with_images(events: DataFrame, found: DataFrame) -> DataFrame:
-    """events with roi_w, roi_h, roi_origin, bbox (x, y, width, height within the region) and image, the box cut from the
-    region of the source frame.  Only those regions are exchanged."""
-    events, names = stored(events, "events"), events.columns
+    """events, which are stored, with roi_w, roi_h, roi_origin, bbox (x, y, width, height within the region) and image, the
+    box cut from the region of the source frame.  Only those regions are exchanged."""
+    names = events.columns
     wanted = events.select("video_id", F.col("source_frame").alias("idx")).distinct()
     rois = found.filter("roi is not null").select(*KEYS, "roi", "roi_w", "roi_h", "x0", "y0").join(wanted, KEYS, "left_semi")
     both = events.join(rois.withColumnRenamed("idx", "source_frame"), ["video_id", "source_frame"]).select(*names, "roi", "roi_w", "roi_h", "x0", "y0")
@@ -209,14 +209,20 @@ class Rip:
     @cached_property
     def events(self) -> DataFrame:
         """video_id, event_no, start, end, start_frame, end_frame, n, mask, source_frame, roi_w, roi_h, roi_origin, bbox, image; repeats merged; stored."""
-        events = with_images(segment(self.rows.filter("kind <> 'filtered'"), self.seconds, self.cfg.rip.gap_frames, Packed, chain="chain"), self.found)
-        return stored(merge_repeats(events, F.lit(2.0) / self.seconds, force=self.cfg.rip.force_merge, masks=Packed, blend=overlaid), "merged")
+        gap = F.lit(2.0) / self.seconds
+        events = segment(self.rows.filter("kind <> 'filtered'"), self.seconds, self.cfg.rip.gap_frames, Packed, chain="chain", number=False)
+        # Chains are told apart on narrow rows, before the images join.
+        cuts = chains(events.select("video_id", "start_frame", "start", "end"), gap, "start_frame").select("video_id", "start_frame", "chain")
+        pictured = with_images(events, self.found).join(cuts, ["video_id", "start_frame"]).select("video_id", *events.columns[1:], "roi_w", "roi_h", "roi_origin", "bbox", "image", "chain")
+        return merge_repeats(pictured, gap, force=self.cfg.rip.force_merge, masks=Packed, blend=overlaid, order="start_frame", chain="chain")
 
     @cached_property
     def filtered(self) -> DataFrame:
-        """The same of the frames that changed without a mask; stored."""
+        """The same of the frames that changed without a mask, not merged."""
         rows = self.rows.filter("kind = 'filtered'").withColumn("chain", F.lit(0))
-        return stored(with_images(segment(rows, self.seconds, self.cfg.rip.gap_frames, Packed, chain="chain"), self.found), "filtered")
+        events = segment(rows, self.seconds, self.cfg.rip.gap_frames, Packed, chain="chain", number=False)
+        pictured = with_images(events, self.found)
+        return counted(stored(pictured, "filtered"), "start_frame").select("video_id", "event_no", *pictured.columns[1:])
 
     def totals(self) -> dict:
         """frames_processed, as observed while the frames were read, and pass_s, the seconds of that pass."""

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shared import stored
 from .masks import Bits
 
 JOINED_FROM = 0.7
@@ -58,22 +59,22 @@ def _fold(rows: DataFrame, order: str, start: Callable, schema: str) -> DataFram
     return rows.repartition("video_id", "chain").sortWithinPartitions("video_id", "chain", order).mapInArrow(run, schema)
 
 
-def _counted(groups: DataFrame, order: str) -> DataFrame:
-    """groups with event_no, their number within the video."""
+def counted(groups: DataFrame, order: str) -> DataFrame:
+    """groups, which are stored, with event_no, their number within the video."""
     return running(groups, F.lit(1), order, "no_").withColumn("event_no", (F.col("no_") + 1).cast("int")).drop("no_")
 
 
-def segment(rows: DataFrame, fps: Column | float = 25.0, gap: int = 5, masks=Bits, joined_from: float = JOINED_FROM, chain: str | None = None) -> DataFrame:
+def segment(rows: DataFrame, fps: Column | float = 25.0, gap: int = 5, masks=Bits, joined_from: float = JOINED_FROM, chain: str | None = None, number: bool = True) -> DataFrame:
     """Candidates and closes (video_id, idx, time, mask, close_only) -> events.
 
     A candidate joins the open event if it overlaps the union of its masks by joined_from or follows its last candidate
     within gap frames; else the event ends one frame after its last candidate and a new one opens.  A close ends the open
     event at its own time.  chain, if given, is a column with the number of closes before the row.
-    Returns video_id, event_no (from 1), start, end, start_frame, end_frame, n, mask, source_frame.
+    Returns video_id, event_no (from 1, if number), start, end, start_frame, end_frame, n, mask, source_frame, stored.
     """
     seconds = fps if isinstance(fps, Column) else F.lit(float(fps))
     columns = ["video_id", F.col("idx").cast("long").alias("idx"), F.col("time").cast("double").alias("time"), "mask", "close_only", (F.lit(1.0) / seconds).alias("frame_s")]
-    rows = rows.select(*columns, F.col(chain).alias("chain")) if chain else running(rows.select(*columns), F.col("close_only").cast("int"), "idx", "chain")
+    rows = rows.select(*columns, F.col(chain).alias("chain")) if chain else running(stored(rows.select(*columns), "candidates"), F.col("close_only").cast("int"), "idx", "chain")
 
     def start():
         event, union = {}, None
@@ -104,22 +105,34 @@ def segment(rows: DataFrame, fps: Column | float = 25.0, gap: int = 5, masks=Bit
     # time and the columns named like input ones take those columns' types; start and end are doubles like time.
     rows = rows.withColumns({"start": F.lit(0.0), "end": F.lit(0.0)})
     events = _fold(rows, "idx", start, f"video_id {kind}, start double, end double, start_frame bigint, end_frame bigint, n bigint, mask {masks.kind}, source_frame bigint")
-    return _counted(events, "start_frame").select("video_id", "event_no", "start", "end", "start_frame", "end_frame", "n", "mask", "source_frame")
+    events = stored(events, "events")
+    return counted(events, "start_frame").select("video_id", "event_no", *events.columns[1:]) if number else events
 
 
-def merge_repeats(events: DataFrame, max_gap: Column | float, merged_from: float = MERGED_FROM, force: bool = False, masks=Bits, sums: tuple[str, ...] = ("n",), blend: Callable | None = None) -> DataFrame:
+def chains(events: DataFrame, max_gap: Column | float, order: str) -> DataFrame:
+    """events with chain: one more wherever an event begins more than max_gap seconds after the one before it ends."""
+    gap = max_gap if isinstance(max_gap, Column) else F.lit(float(max_gap))
+    in_order = W.partitionBy("video_id").orderBy(order)
+    cut = F.coalesce((F.col("start") - F.lag("end").over(in_order) > gap).cast("int"), F.lit(0))
+    return events.withColumn("cut_", cut).withColumn("chain", F.sum("cut_").over(in_order)).drop("cut_")
+
+
+def merge_repeats(
+    events: DataFrame, max_gap: Column | float, merged_from: float = MERGED_FROM, force: bool = False, masks=Bits, sums: tuple[str, ...] = ("n",), blend: Callable | None = None,
+    order: str = "event_no", chain: str | None = None,
+) -> DataFrame:
     """Neighbouring events (video_id, event_no, start, end, ..., mask) that repeat become one.
 
     An event joins the one before if their masks overlap by merged_from (the earlier as merged so far) and it begins at most
     max_gap seconds after that one's end; force joins all of a video.  The merged event keeps the first start, takes the
     last end and source frame, adds up the sums and unites the masks; blend(earlier, later, union) -> further values.
+    order is the column that puts a video's events in order, and chain, if given, one as ``chains`` makes it.
     """
-    columns = events.columns
+    columns = [c for c in events.columns if c != chain]
     gap = max_gap if isinstance(max_gap, Column) else F.lit(float(max_gap))
-    by_number = W.partitionBy("video_id").orderBy("event_no")
-    rows = events.withColumns({"gap_": gap, "cut_": F.lit(0) if force else F.coalesce((F.col("start") - F.lag("end").over(by_number) > gap).cast("int"), F.lit(0))})
-    rows = rows.drop("cut_").withColumn("chain", F.lit(0)) if force else rows.withColumn("chain", F.sum("cut_").over(by_number)).drop("cut_")
-    first = ("video_id", "event_no", "start", "start_frame")
+    rows = events.withColumn("chain", F.lit(0)) if force else events if chain else chains(events, max_gap, order)
+    rows = rows.withColumn("gap_", gap)
+    first = ("video_id", order, "start", "start_frame")
 
     def start():
         event, union = None, None
@@ -142,5 +155,5 @@ def merge_repeats(events: DataFrame, max_gap: Column | float, merged_from: float
         return step
 
     kinds = ", ".join(f"{c} {events.schema[c].dataType.simpleString()}" for c in columns)
-    merged = _fold(rows, "event_no", start, kinds).withColumnRenamed("event_no", "old_no")
-    return _counted(merged, "old_no").select(*columns)
+    merged = stored(_fold(rows, order, start, kinds).withColumnRenamed("event_no", "old_no"), "merged")
+    return counted(merged, "old_no" if order == "event_no" else order).select("video_id", "event_no", *[c for c in columns if c not in ("video_id", "event_no")])

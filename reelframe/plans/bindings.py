@@ -30,7 +30,9 @@ def packed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.concat(*[F.lpad(F.hex(c), 2, "0") for c in (r, (r * 7 + p * 13) % 256, (r * 3 + p * 5) % 256)])
 
     rgb = F.unhex(F.array_join(F.transform("embedding", hexes), ""))
-    return rows.select("video_id", "idx", rgb.alias("rgb"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"))
+    # The table is one small file; frames of a video go to one task, as a table of real frames has them in its files.
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(spread, "video_id").select("video_id", "idx", rgb.alias("rgb"), F.lit(SIDE).alias("width"), F.lit(SIDE).alias("height"))
 
 
 PIXELS = """px0 AS (SELECT CAST(label AS BIGINT) AS video_id, vec_id AS idx, CAST(p - 1 AS BIGINT) AS pos, CAST((p - 1) % 8 AS BIGINT) AS x,
