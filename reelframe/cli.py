@@ -13,7 +13,9 @@ from .config import Config
 from .logs import open_log
 from .operators.rip import Rip
 from .operators.rip import rip as rip_frames
+from .progress import watched
 from .session import send_package
+from .shared import stored
 from .sources import files, frames, writers
 
 
@@ -32,8 +34,9 @@ def rip(spark: SparkSession, path: str, cfg: Config, **options) -> Rip:
 
 
 def table(events: DataFrame) -> DataFrame:
-    """A rip's events as a manager's table: numbered by position, none deleted."""
-    return events.withColumns({"position": F.col("event_no").cast("long") - 1, "deleted": F.lit(False)})
+    """A rip's events as a manager's table: numbered by position, none deleted; stored, since every artifact reads it."""
+    rows = events.withColumns({"position": F.col("event_no").cast("long") - 1, "deleted": F.lit(False)})
+    return stored(rows, "table")
 
 
 def export(spark: SparkSession, found: Rip, path: str, out: str, cfg: Config, **options) -> DataFrame:
@@ -76,8 +79,9 @@ def main(argv: list[str] | None = None) -> None:
     cfg = Config.from_json(Path(args.config).read_text()) if args.config else Config()
     logger, _ = open_log(args.log)
     logger.info("rip of %s", args.frames)
-    found = rip(spark, args.frames, cfg)
-    export(spark, found, args.frames, args.out, cfg)
+    with watched(spark, lambda done, known: logger.debug("%d of %d tasks", done, known)):
+        found = rip(spark, args.frames, cfg)
+        export(spark, found, args.frames, args.out, cfg)
     for r in states(spark, found, args.frames).orderBy("video_id").collect():  # a line a file
         logger.info("%s: %s, %d frames, %d changed, %d events, %d filtered", r.video_id, r.state, r.frames_processed, r.change_frames, r.events, r.filtered)
     logger.info("written to %s after %.1f s of reading", args.out, found.totals()["pass_s"])

@@ -226,9 +226,25 @@ def src_project_header(spark, d):
     return read.select("video_id", "video", F.col("artifacts")["srt"].alias("srt"), F.get_json_object("config", "$.rip.gap_frames").cast("int").alias("gap_frames"))
 
 
-@query("sk_container_offsets", f"WITH {EVENTS} SELECT video_id, position, coalesce(sum(64 + n * 7 + 8) OVER (PARTITION BY video_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM ev WHERE NOT deleted AND mask <> 0")
+@query(
+    "sk_container_offsets",
+    f"""WITH {EVENTS}, kp AS (SELECT video_id, position, p % 4 AS x, p // 4 AS y FROM ev CROSS JOIN (SELECT unnest(range(0, 8)) AS p) WHERE NOT deleted AND (mask >> (7 - p)) & 1 = 1),
+    ci AS (SELECT *, x - row_number() OVER (PARTITION BY video_id, position ORDER BY x) AS part FROM (SELECT DISTINCT video_id, position, x FROM kp)),
+    kk AS (SELECT * FROM (SELECT kp.*, count(*) OVER (PARTITION BY video_id, position, part) AS area FROM kp JOIN ci USING (video_id, position, x)) WHERE area > 4),
+    rr AS (SELECT video_id, position, y, x - row_number() OVER (PARTITION BY video_id, position, y ORDER BY x) AS run FROM kk),
+    rw AS (SELECT video_id, position, y, 4 + 2 * count(DISTINCT run) - 1 AS bytes FROM rr GROUP BY video_id, position, y),
+    sz AS (SELECT ev.video_id, ev.position, 72 + coalesce(sum(bytes), 0) AS size FROM ev LEFT JOIN rw USING (video_id, position) WHERE NOT deleted GROUP BY ev.video_id, ev.position)
+    SELECT video_id::VARCHAR AS video_id, row_number() OVER w AS number, coalesce(sum(size) OVER (PARTITION BY video_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+    FROM sz WINDOW w AS (PARTITION BY video_id ORDER BY position)""",
+)
 def sk_container_offsets(spark, d):
-    return artifacts.offsets(artifacts.live(event_table(spark, d)).filter("mask <> 0"), 64 + F.col("n") * 7).select("video_id", "position", "offset")
+    """The offsets in the written index: a head, a palette, and a span of runs for each row with pixels, specks left out."""
+    from ..config import Config
+    from ..sources import writers
+
+    made = writers.subpictures(event_pictures(spark, d), Config(), 640, 360).filter("name like '%.idx'")
+    lines = made.select("video_id", F.posexplode(F.regexp_extract_all(F.decode("content", "UTF-8"), F.lit("filepos: ([0-9a-f]{9})"))).alias("at", "code"))
+    return lines.select("video_id", (F.col("at") + 1).alias("number"), F.conv("code", 16, 10).cast("bigint").alias("offset"))
 
 
 @query(

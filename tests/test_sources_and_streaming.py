@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from reelframe import cli, logs
+from reelframe import cli, logs, progress
 from reelframe.config import Config
 from reelframe.operators import artifacts, manager
 from reelframe.operators.masks import Packed, Places
@@ -118,6 +118,17 @@ def test_batch_states_and_rates(spark, tmp_path):
     assert (got["a_16x12_25.rgb"].state, got["a_16x12_25.rgb"].frames_processed, got["b_16x12_10.rgb"].state) == ("done", 30, "empty")
 
 
+def test_progress_is_told_while_jobs_run(spark):
+    told = []
+    with progress.watched(spark, lambda done, known: told.append((done, known)), every_s=0.05):
+        spark.range(200_000).repartition(7).groupBy(F.col("id") % 5).count().collect()
+        spark.range(10).count()
+    assert told[-1][0] > 0 and all(d <= n for d, n in told) and told == sorted(told)
+    before = told[-1]
+    spark.range(10).count()  # not watched any more
+    assert told[-1] == before
+
+
 def test_logs(spark, tmp_path):
     logger, ring = logs.open_log(str(tmp_path / "run.log"))
     for i in range(logs.RING + 5):
