@@ -29,6 +29,15 @@ from .masks import Packed
 from .pixel import KEYS
 from .segment import RANGE, chains, counted, merge_repeats, segment
 
+#: Narrow rows (a video's colours, an event's frame) that may be broadcast, some 100 MB; beyond that both sides are shuffled.
+FEW = 1_000_000
+
+
+def _few(rows: DataFrame, counted_by: DataFrame) -> DataFrame:
+    """rows, to be broadcast if the stored table that has as many is small: so that no region is shuffled to meet them."""
+    return F.broadcast(rows) if counted_by.count() <= FEW else rows
+
+
 def changes(frames: DataFrame, cfg: Config) -> DataFrame:
     """A row for each change frame, and rows that only count frames (see ``packed.compared``): changed, ratio, roi_w, roi_h,
     x0, y0, roi, change_mask, good (whether the colours and a trial mask are plausible), main and outline."""
@@ -66,9 +75,9 @@ def tuned(found: DataFrame) -> DataFrame:
 
 def masks(found: DataFrame, cfg: Config) -> DataFrame:
     """mask of each change frame (null: empty), and change_mask only where it is; stored."""
-    colours = stored(tuned(found), "tuned")  # a row a video: a stored table's size is known, so that Spark broadcasts it if it is small
+    colours = stored(tuned(found), "tuned")
     rows = found.filter("roi is not null").select(*KEYS, "time", "roi", "roi_w", "roi_h", "change_mask")
-    rows = rows.join(colours, "video_id", "left")
+    rows = rows.join(_few(colours, colours), "video_id", "left")
     by_colours = F.col("idx") >= F.col("tuned_idx")
     rows = rows.select(*KEYS, "time", "roi", "roi_w", "roi_h", "change_mask", F.when(by_colours, F.col("main")).alias("main"), F.when(by_colours, F.col("outline")).alias("outline"))
     kinds = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in KEYS)
@@ -136,7 +145,7 @@ def with_images(events: DataFrame, found: DataFrame) -> DataFrame:
     box cut from the region of the source frame.  Only those regions are exchanged."""
     names = events.columns
     wanted = events.select("video_id", F.col("source_frame").alias("idx")).distinct()
-    rois = found.filter("roi is not null").select(*KEYS, "roi", "roi_w", "roi_h", "x0", "y0").join(wanted, KEYS, "left_semi")
+    rois = found.filter("roi is not null").select(*KEYS, "roi", "roi_w", "roi_h", "x0", "y0").join(_few(wanted, events), KEYS, "left_semi")
     both = events.join(rois.withColumnRenamed("idx", "source_frame"), ["video_id", "source_frame"]).select(*names, "roi", "roi_w", "roi_h", "x0", "y0")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema)
 
