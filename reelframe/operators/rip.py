@@ -215,22 +215,35 @@ class Rip:
     def rows(self) -> DataFrame:
         return marked(masks(self.found, self.cfg)).withColumn("close_only", F.col("kind") == "close")
 
+    def _segmented(self, rows: DataFrame) -> DataFrame:
+        return segment(rows, self.seconds, self.cfg.rip.gap_frames, Packed, chain="chain", number=False)
+
+    @cached_property
+    def _unmerged(self) -> DataFrame:
+        """Events before merging, without images; stored."""
+        return self._segmented(self.rows.filter("kind <> 'filtered'"))
+
+    @cached_property
+    def _missed(self) -> DataFrame:
+        """Filtered events without images; stored."""
+        return self._segmented(self.rows.filter("kind = 'filtered'").withColumn("chain", F.lit(0)))
+
+    def _merged(self, events: DataFrame, **more) -> DataFrame:
+        return merge_repeats(events, F.lit(2.0) / self.seconds, force=self.cfg.rip.force_merge, masks=Packed, order="start_frame", **more)
+
     @cached_property
     def events(self) -> DataFrame:
         """video_id, event_no, start, end, start_frame, end_frame, n, mask, source_frame, roi_w, roi_h, roi_origin, bbox, image; repeats merged; stored."""
-        gap = F.lit(2.0) / self.seconds
-        events = segment(self.rows.filter("kind <> 'filtered'"), self.seconds, self.cfg.rip.gap_frames, Packed, chain="chain", number=False)
+        events = self._unmerged
         # Chains are told apart on narrow rows, before the images join.
-        cuts = chains(events.select("video_id", "start_frame", "start", "end"), gap, "start_frame").select("video_id", "start_frame", "chain")
+        cuts = chains(events.select("video_id", "start_frame", "start", "end"), F.lit(2.0) / self.seconds, "start_frame").select("video_id", "start_frame", "chain")
         pictured = with_images(events, self.found).join(cuts, ["video_id", "start_frame"]).select("video_id", *events.columns[1:], "roi_w", "roi_h", "roi_origin", "bbox", "image", "chain")
-        return merge_repeats(pictured, gap, force=self.cfg.rip.force_merge, masks=Packed, blend=overlaid, order="start_frame", chain="chain")
+        return self._merged(pictured, blend=overlaid, chain="chain")
 
     @cached_property
     def filtered(self) -> DataFrame:
         """The same of the frames that changed without a mask, not merged."""
-        rows = self.rows.filter("kind = 'filtered'").withColumn("chain", F.lit(0))
-        events = segment(rows, self.seconds, self.cfg.rip.gap_frames, Packed, chain="chain", number=False)
-        pictured = with_images(events, self.found)
+        pictured = with_images(self._missed, self.found)
         return counted(stored(pictured, "filtered"), "start_frame").select("video_id", "event_no", *pictured.columns[1:])
 
     def totals(self) -> dict:
@@ -239,8 +252,9 @@ class Rip:
 
     def report(self) -> DataFrame:
         """Per video frames_processed, change_frames, events and filtered: one pass over the change rows and the events."""
+        events = self.events if "events" in self.__dict__ else self._merged(self._unmerged)  # counts need no images
         counts = self.found.groupBy("video_id").agg(F.sum("frames").alias("frames_processed"), F.count("changed").alias("change_frames"))
-        both = self.events.select("video_id", F.lit(1).alias("e"), F.lit(0).alias("f")).unionByName(self.filtered.select("video_id", F.lit(0).alias("e"), F.lit(1).alias("f")))
+        both = events.select("video_id", F.lit(1).alias("e"), F.lit(0).alias("f")).unionByName(self._missed.select("video_id", F.lit(0).alias("e"), F.lit(1).alias("f")))
         return counts.join(both.groupBy("video_id").agg(F.sum("e").alias("events"), F.sum("f").alias("filtered")), "video_id", "left").na.fill(0)
 
 
