@@ -53,7 +53,7 @@ def _names(spark, d):
     e = F.col("event_id").cast("string")
     kind = F.col("event_id") % 6
     name = (
-        F.when(kind == 0, F.concat(F.lit("subtitle_"), F.lpad(e, 6, "0"), F.lit(".png"))).when(kind == 1, F.concat(F.lit("subtitle_"), e, F.lit("_top.JPG")))
+        F.when(kind == 0, F.concat(F.lit("subtitle_"), F.format_string("%06d", "event_id"), F.lit(".png"))).when(kind == 1, F.concat(F.lit("subtitle_"), e, F.lit("_top.JPG")))
         .when(kind == 2, F.concat(F.lit("subtitle_x"), e, F.lit(".json"))).when(kind == 3, F.concat(F.lit("other_"), e, F.lit(".ass")))
         .when(kind == 4, F.concat(F.lit("subtitle_"), e)).otherwise(F.concat(F.lit("index."), e, F.lit(".idx")))
     )
