@@ -221,23 +221,33 @@ def dominated(chosen: list[tuple[int, int]], rest: int, others: int, room: int)
     return rest > 0 and bool(longer & others)
 
 
-def fillings(left: np.ndarray, room: int, waste: int | None = None, effort: list[int] | None = None):
+def fillings(left: np.ndarray, room: int, waste: int | None = None, effort: list[int] | None = None, top: int | None = None):
     """Yields the undominated fillings of room with lengths that remain, as ((length, times), ...), longest lengths first.
 
     A piece that fills what is left dominates every other way to go on.  A branch ends where all shorter pieces together
-    could not bring its waste down to the bound.  effort, if given, holds the steps that may still be taken.
+    could not bring its waste down to the bound.  effort, if given, holds the steps that may still be taken.  One piece of
+    length top, if given, is taken already.  Between two fillings nothing as long as left is held: left may change in place,
+    if it is as before when the next one is asked for.
     """
     waste = room if waste is None else waste
-    have = np.flatnonzero(left[: room + 1])
-    have = have[have > 0]
-    counts = left[have]
-    words = np.cumsum(have * counts)
-    lengths, counts, words = have.tolist(), counts.tolist(), words.tolist()
-    available = _bits(left[: room + 1] > 0) & ~1
     effort = [1 << 60] if effort is None else effort
+    remain = lambda n: int(left[n]) - (n == top)
+    held: list[tuple] = []
+
+    def tables():
+        """Lengths that remain up to room, their counts, the words of all up to each, and their bits."""
+        if not held:
+            part = left[: room + 1].copy()
+            if top is not None and top <= room:
+                part[top] -= 1
+            part[0] = 0
+            have = np.flatnonzero(part)
+            counts = part[have]
+            held.append((have.tolist(), counts.tolist(), np.cumsum(have * counts).tolist(), _bits(part > 0)))
+        return held[0]
 
     def others(chosen):
-        return available & ~sum(1 << n for n, t in chosen if t >= left[n])
+        return tables()[3] & ~sum(1 << n for n, t in chosen if t >= remain(n))
 
     def grow(rest: int, top: int, chosen: list):
         """Fillings of rest with lengths[:top]."""
@@ -246,27 +256,37 @@ def fillings(left: np.ndarray, room: int, waste: int | None = None, effort: list
             return
         if not rest:
             if not dominated(chosen, 0, others(chosen), room):
+                held.clear()
                 yield tuple(chosen)
             return
+        lengths = tables()[0]
         high = bisect_right(lengths, rest, 0, top)
         if high and lengths[high - 1] == rest:
             last = [*chosen, (rest, 1)]
             if not dominated(last, 0, others(last), room):
+                del lengths
+                held.clear()
                 yield tuple(last)
             return
         if not high:
             if rest <= waste and not dominated(chosen, rest, others(chosen), room):
+                del lengths
+                held.clear()
                 yield tuple(chosen)
             return
+        del lengths
         for at in range(high - 1, -1, -1):
+            lengths, counts, words, _ = tables()
+            length, most = lengths[at], min(counts[at], rest // lengths[at])
             if rest - words[at] > waste:
                 return
-            for times in range(min(counts[at], rest // lengths[at]), 0, -1):
-                yield from grow(rest - times * lengths[at], at, [*chosen, (lengths[at], times)])
+            del lengths, counts, words, _
+            for times in range(most, 0, -1):
+                yield from grow(rest - times * length, at, [*chosen, (length, times)])
                 if effort[0] < 0:
                     return
 
-    yield from grow(room, len(lengths), [])
+    yield from grow(room, len(tables()[0]), [])
 
 
 def best_fit(left: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
@@ -307,43 +327,54 @@ def complete(count: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) ->
     effort, cut = [steps], False
     allowed = lambda: (fewest - 1) * capacity - words  # noqa: E731  waste of a packing with one bin less
 
-    def branches(left: np.ndarray, top: int, waste: int, swerves: int):
+    left = count.copy()  # of the node at hand: changed in place on the way down, restored on the way back
+
+    def branches(top: int, waste: int, swerves: int):
         """(filling, times, swerves left) of a node."""
         nonlocal cut
-        without = left.copy()
-        without[top] -= 1
-        for k, filling in enumerate(fillings(without, capacity - top, waste, effort)):
-            if k == 0:
-                use = dict(filling)
-                use[top] = use.get(top, 0) + 1
-                times = int(min(left[n] // t for n, t in use.items()))
-                yield filling, times, swerves
-                cut = cut or times > 1 and not swerves
-                if times > 1 and swerves:
-                    yield filling, 1, swerves - 1
-            elif swerves:
-                yield filling, 1, swerves - 1
-            else:
+        ways = fillings(left, capacity - top, waste, effort, top)
+        filling = next(ways, None)
+        if filling is None:
+            return
+        use = dict(filling)
+        use[top] = use.get(top, 0) + 1
+        times = int(min(left[n] // t for n, t in use.items()))
+        cut = cut or times > 1 and not swerves
+        if cut and not swerves:
+            ways = iter(())  # there is something to leave out already, and no other way may be taken
+        yield filling, times, swerves
+        if times > 1 and swerves:
+            yield filling, 1, swerves - 1
+        for filling in ways:
+            if not swerves:
                 cut = True
                 return
+            yield filling, 1, swerves - 1
 
     def search(swerves: int) -> None:
+        """Depth first; a level holds its place among its branches, not the lengths left."""
         nonlocal best, fewest
         done: list[tuple[int, tuple, int]] = []
         stack: list[tuple] = []
 
-        def push(left: np.ndarray, waste: int, used: int, swerves: int) -> None:
+        def take(step: tuple[int, tuple, int], sign: int) -> None:
+            top, filling, times = step
+            for n, t in ((top, 1), *filling):
+                left[n] -= sign * t * times
+
+        def push(waste: int, used: int, swerves: int) -> None:
             nonlocal best, fewest
             on = np.flatnonzero(left > 0)
             if len(on):
-                stack.append((left, waste, used, int(on[-1]), branches(left, int(on[-1]), allowed() - waste, swerves)))
+                stack.append((waste, used, int(on[-1]), branches(int(on[-1]), allowed() - waste, swerves)))
             elif used < fewest:
                 best, fewest = [((t, *(n for n, k in f for _ in range(k))), m) for t, f, m in done], used
 
-        push(count, 0, 0, swerves)
+        push(0, 0, swerves)
         while stack:
-            left, waste, used, top, ways = stack[-1]
-            del done[len(stack) - 1 :]
+            waste, used, top, ways = stack[-1]
+            while len(done) >= len(stack):
+                take(done.pop(), -1)
             found = next(ways, None) if fewest > bound and effort[0] >= 0 else None
             if found is None:
                 stack.pop()
@@ -353,10 +384,10 @@ def complete(count: np.ndarray, capacity: int = CAPACITY, steps: int = STEPS) ->
             if more > allowed():
                 continue
             done.append((top, filling, times))
-            left = left.copy()
-            for n, t in ((top, 1), *filling):
-                left[n] -= t * times
-            push(left, more, used + times, rest)
+            take(done[-1], 1)
+            push(more, used + times, rest)
+        while done:
+            take(done.pop(), -1)
 
     swerves = 0
     while fewest > bound and effort[0] >= 0:

@@ -1,6 +1,7 @@
 """Mixing, near-duplicates, packing and the pipeline against brute force and edge cases."""
 
 import random
+import tracemalloc
 import zlib
 from itertools import combinations
 
@@ -506,3 +507,19 @@ def test_pipeline_keeps_rows_without_or_with_repeated_ids(spark, sf_dir):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = sorted((r.doc_id or 0, r.text) for r in p.drop_near_duplicates(spark, docs, sf_dir).collect())
     assert got == sorted([(0, t) for t in texts[:6]] + [(7, texts[6]), (7, texts[7]), (8, texts[8]), (3, texts[9])])
+
+
+def test_packing_search_needs_little_memory():
+    """Thousands of lengths make the search thousands of levels deep; a level keeps no table of the lengths left."""
+    count = np.random.default_rng(3).integers(0, 8, packing.CAPACITY + 1)
+    count[:200] = 0
+    tracemalloc.start()
+    best, bound, _ = packing.complete(count, steps=20_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    left = count.copy()
+    for lengths, times in best:
+        assert sum(lengths) <= packing.CAPACITY
+        np.subtract.at(left, list(lengths), times)
+    assert not left.any() and sum(n for _, n in best) >= bound
+    assert peak < 60_000_000
