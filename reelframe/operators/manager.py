@@ -113,12 +113,14 @@ def split(events: DataFrame, at: DataFrame, fps: float, frame_masks: DataFrame,
     parts = F.array(half(0, F.col("start"), F.col("t")), half(1, F.col("t"), F.col("end")))
     halves = both.filter(good).withColumn("part", F.explode(parts)).withColumns({"start": F.col("part.a"), "end": F.col("part.b"), "whole": F.col("position")})
     halves = _frames(halves.withColumn("position", F.col("position") * 2 + F.col("part.half")), F.lit(True), fps)
-    halves = _captured(halves.select(*events.columns, "whole"), frame_masks, fps, masks)
-    done = halves.groupBy(KEY, F.col("whole").alias("position")).agg(F.bool_and("captured").alias("ok")).filter("ok").drop("ok")
-    rest = events.join(done, [KEY, "position"], "left_anti").withColumn("late", F.lit(0))
-    new = halves.withColumn("late", F.pmod("position", F.lit(2)).cast("int")).withColumn("position", F.col("whole"))
-    new = new.join(done, [KEY, "position"], "left_semi").select(*events.columns, "late")
-    return numbered(rest.unionByName(new), ["start", "late", "position"]).drop("late")
+    halves = _captured(halves.select(*events.columns, "whole"), frame_masks, fps, masks, near=True)
+    row = lambda late: F.struct(*events.columns, late.cast("int").alias("late"))
+    done = halves.groupBy(KEY, F.col("whole").alias("position")).agg(F.collect_list(row(F.pmod("position", F.lit(2)))).alias("halves"), F.bool_and("captured").alias("ok"))
+    done = done.filter("ok").drop("ok")
+    # Each row gives itself or its halves, so that captures are made once.
+    parts = events.join(done, [KEY, "position"], "left").select(KEY, F.col("position").alias("whole"), F.explode(F.coalesce("halves", F.array(row(F.lit(0))))).alias("row"))
+    kept = [F.col(c) if c == KEY else F.col("whole").alias(c) if c == "position" else F.col(f"row.{c}").alias(c) for c in [*events.columns, "late"]]
+    return numbered(parts.select(*kept), ["start", "late", "position"]).drop("late")
 
 
 def merge(events: DataFrame, positions: tuple[int, int], fps: float, frame_masks: DataFrame, masks=Bits) -> DataFrame:
@@ -135,9 +137,15 @@ def merge(events: DataFrame, positions: tuple[int, int], fps: float, frame_masks
     rank = (F.col("position") != first).cast("int")
     agg = [how.get(c, F.min_by(c, rank)).alias(c) for c in events.columns if c != KEY]
     one = pair.groupBy(KEY).agg(*agg, F.count("*").alias("rows")).filter(F.col("rows") == 2).drop("rows")
-    one = _captured(_frames(one, F.lit(True), fps).select(*events.columns), frame_masks, fps, masks).filter("captured").drop("captured")
-    gone = one.select(KEY, F.explode(F.array(F.lit(first).cast("long"), F.lit(second).cast("long"))).alias("position"))
-    return _appended(events.join(gone, [KEY, "position"], "left_anti").select(*events.columns), one)
+    one = _captured(_frames(one, F.lit(True), fps).select(*events.columns), frame_masks, fps, masks, near=True).filter("captured")
+    # The merged row stands in the place of the later one; the earlier one meets an empty row, so that captures are made once.
+    row = F.struct(*[c for c in events.columns if c != KEY])
+    places = F.array(*[F.struct(F.lit(p).cast("long").alias("at"), F.when(F.col("position") == p, row).alias("row")) for p in (first, second)])
+    done = one.select(KEY, F.explode(places).alias("place")).select(KEY, F.col("place.at").alias("position"), F.col("place.row").alias("row"), F.lit(True).alias("met"))
+    both = events.join(done, [KEY, "position"], "left").filter("met is null or row is not null")
+    kept = [F.col(c) if c in (KEY, "position") else F.when(F.col("met"), F.col(f"row.{c}")).otherwise(F.col(c)).alias(c) for c in events.columns]
+    both = both.select(*kept, F.coalesce(F.col("met"), F.lit(False)).cast("int").alias("late"))
+    return numbered(both, ["start", "late", "position"]).drop("late")
 
 
 def merge_repeat(events: DataFrame, max_gap: float = 0.2, merged_from: float = 0.9, masks=Bits) -> DataFrame:
@@ -162,10 +170,17 @@ def recapture(events: DataFrame, frame_masks: DataFrame, fps: float, masks=Bits)
     return _captured(events, frame_masks, fps, masks).drop("captured")
 
 
-def _captured(events: DataFrame, frame_masks: DataFrame, fps: float, masks) -> DataFrame:
-    """recapture() with whether there was a frame."""
+def _captured(events: DataFrame, frame_masks: DataFrame, fps: float, masks, near: bool = False) -> DataFrame:
+    """recapture() with whether there was a frame.
+
+    near: the events are few of each video and lie near each other.  Frames before the first and after the last of them are
+    then left out before frames are exchanged; frames that lie together by video are not moved for that.
+    """
     spans = events.select(KEY, "position", "start_frame", "end_frame")
     full = frame_masks.filter(~masks.is_empty(F.col("mask")))
+    if near:
+        ranges = spans.groupBy(KEY).agg(F.min("start_frame").alias("from"), F.max("end_frame").alias("to"))
+        full = full.join(ranges, KEY).filter((F.col("idx") >= F.col("from")) & (F.col("idx") <= F.col("to"))).drop("from", "to")
     # The range join meets frames by blocks of 256, so that it is an equi-join.
     block = lambda c: F.floor(F.col(c) / 256)
     spans = spans.withColumn("block", F.explode(F.sequence(block("start_frame"), block("end_frame"))))

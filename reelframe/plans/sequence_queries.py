@@ -303,10 +303,10 @@ CAPTURED = """{to} AS (SELECT e.* EXCLUDE ("end", end_frame, n, mask), coalesce(
 
 
 def frame_masks(spark, d):
-    e = event_table(spark, d).select("video_id", "position")
-    ids = table(spark, d, "events").select(F.col("user_id").alias("video_id"), "event_id")
-    ids = ids.withColumn("position", F.row_number().over(W.partitionBy("video_id").orderBy("event_id")) - 1)
-    rows = e.join(ids, ["video_id", "position"]).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(19))))
+    """Frames that lie together by video, as a source gives them: events are dealt by video, and nothing is exchanged later."""
+    spread = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = table(spark, d, "events").select(F.col("user_id").alias("video_id"), "event_id").repartition(spread, "video_id")
+    rows = rows.withColumn("position", F.row_number().over(W.partitionBy("video_id").orderBy("event_id")) - 1).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(19))))
     idx = F.col("position") * 50 + F.col("event_id") % 7 + F.col("k") * 3
     return rows.groupBy("video_id", idx.alias("idx"), (idx / 25.0).alias("time")).agg(F.bit_or((F.col("event_id") * 37 + F.col("k") * 11) % 16 * 16).alias("mask"))
 

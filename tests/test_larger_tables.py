@@ -19,3 +19,10 @@ def agrees(spark, name, folder, *tables):
 def test_names_of_seven_digits(spark, sf_dir, tmp_path):
     duckdb.sql(f"SELECT * REPLACE (event_id + 999990 AS event_id) FROM '{sf_dir}/events.parquet' WHERE event_id < 40").write_parquet(str(tmp_path / "events.parquet"))
     assert agrees(spark, "tx_names", tmp_path, "events")
+
+
+def test_captures_are_made_once(spark, sf_dir):
+    """Frames are put together once in the plans of a merge and a split (one union of each frame, one of each capture)."""
+    for name in ("mg_merge", "mg_split"):
+        plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("bit_or(") == 2
