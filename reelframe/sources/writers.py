@@ -106,9 +106,17 @@ def script(events: DataFrame, cfg: Config, width: int, height: int) -> DataFrame
 
 def subpicture(mask: np.ndarray, image: np.ndarray, main: tuple, outline: tuple) -> bytes:
     """One frame of the bitmap container: sixteen palette entries, then a run-length coded span per row that has pixels."""
-    mask = render.despeckle_array(mask, 4)
+    return _spans(mask, _nearer(image, main, outline), main, outline)
+
+
+def _nearer(image: np.ndarray, main: tuple, outline: tuple) -> np.ndarray:
+    """Pixels nearer to the outline's colour than to the main one."""
     distance = lambda c: np.abs(image.astype(int) - np.array(c)).max(-1)
-    codes = np.where(mask, np.where(distance(outline) < distance(main), 2, 1), 15)
+    return distance(outline) < distance(main)
+
+
+def _spans(mask: np.ndarray, nearer: np.ndarray, main: tuple, outline: tuple) -> bytes:
+    codes = np.where(render.despeckle_array(mask, 4), np.where(nearer, 2, 1), 15)
     palette = b"".join(bytes(_yuv(c)) + b"\xff" for c in ((0, 0, 0), main, outline)) + b"\0\0\0\xff" * 13
     rows = []
     for row in codes:
@@ -176,14 +184,23 @@ def tiles(events: DataFrame, cfg: Config) -> DataFrame:
     encode, ext = encoder(ocr)
     bg = render.colour_of(ocr.bg_color, (255, 255, 255))
 
+    coloured = render.in_colour(ocr)
+
+    def files(*items):
+        """(tag, content) of the pictures of one canvas."""
+        image = render.finished(render.side_by_side([render.picture(_boxed(*boxed), own, ocr) for *boxed, own in items], bg=bg), ocr)
+        cut = render.blank_split(image, bg) if ocr.divid_into_2_lines and len(image) >= 12 else None
+        parts = [("", image)] if cut is None else list(zip(("_top", "_bottom"), render.halves(image, cut), strict=True))
+        return [(tag, encode(np.ascontiguousarray(part))) for tag, part in parts]
+
     def run(batches):
+        canvas = render.remembered(files)
         for b in batches:
             out = []
             for v, number, items in zip(*[c.to_pylist() for c in b.columns], strict=True):
-                image = render.finished(render.side_by_side([render.picture(_boxed(*(i[c] for c in BOXED)), i["image"], ocr) for i in items], bg=bg), ocr)
-                cut = render.blank_split(image, bg) if ocr.divid_into_2_lines and len(image) >= 12 else None
-                parts = [("", image)] if cut is None else list(zip(("_top", "_bottom"), render.halves(image, cut), strict=True))
-                out += [(v, f"{v}/subtitle_{number:04d}{tag}.{ext}", encode(np.ascontiguousarray(part))) for tag, part in parts]
+                own = [(i["mask"], i["roi_w"], i["roi_h"], tuple(i["bbox"]), i["image"] if coloured else None) for i in items]
+                size = sum(w * h + len(image or b"") for _, w, h, _, image in own)
+                out += [(v, f"{v}/subtitle_{number:04d}{tag}.{ext}", content) for tag, content in canvas(size, *own)]
             yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.string(), pa.binary()))], ["video_id", "name", "content"])
 
     live = artifacts.live(events).withColumn("place", F.row_number().over(W.partitionBy("video_id").orderBy("position")) - 1)
@@ -211,12 +228,17 @@ def subpictures(events: DataFrame, cfg: Config, width: int, height: int) -> Data
     main, outline = cfg.filter.subtitle_color, cfg.filter.outline_color
     columns = ["video_id", "position", "start"]
 
+    def spans(bits, w, h, box, nearer):
+        mask = _boxed(bits, w, h, box)
+        return _spans(mask, np.frombuffer(nearer, bool).reshape(mask.shape), main, outline)
+
     def run(batches):
+        frame = render.remembered(spans)
         for b in batches:
             out = []
-            for *boxed, image in zip(*[b.column(c).to_pylist() for c in (*BOXED, "image")], strict=True):
-                mask = _boxed(*boxed)
-                body = subpicture(mask, np.frombuffer(image, np.uint8).reshape(*mask.shape, 3), main, outline)
+            for bits, w, h, box, image in zip(*[b.column(c).to_pylist() for c in (*BOXED, "image")], strict=True):
+                nearer = _nearer(np.frombuffer(image, np.uint8).reshape(-1, 3), main, outline).tobytes()
+                body = frame(w * h, bits, w, h, tuple(box), nearer)
                 out.append(b"\0\0\0\0" + struct.pack(">I", len(body)) + body)
             yield pa.RecordBatch.from_arrays([*[b.column(c) for c in columns], pa.array(out, pa.binary())], [*columns, "frame"])
 

@@ -2,6 +2,7 @@
 
 import duckdb
 
+from reelframe.operators import render
 from reelframe.plans import registry
 from tests.test_oracles import rows
 
@@ -26,3 +27,14 @@ def test_captures_are_made_once(spark, sf_dir):
     for name in ("mg_merge", "mg_split"):
         plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("bit_or(") == 2
+
+
+def test_equal_small_pictures_are_made_once():
+    made = []
+    kernel = render.remembered(lambda *v: made.append(v) or v)
+    assert [kernel(8, b"a", 1), kernel(8, b"a", 1), kernel(8, b"b", 1)] == [(b"a", 1), (b"a", 1), (b"b", 1)] and len(made) == 2
+    assert kernel(render.SMALL + 1, b"c") == kernel(render.SMALL + 1, b"c") and len(made) == 4
+
+
+def test_settings_are_read_by_all_tasks(spark, sf_dir):
+    assert registry.QUERIES["src_settings"](spark, sf_dir).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
