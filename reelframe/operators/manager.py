@@ -38,12 +38,20 @@ def gallery(events: DataFrame, filtered: DataFrame, ocr) -> DataFrame:
     both = events.select(*columns, F.lit("subtitles").alias("part")).unionByName(filtered.select(*columns, F.lit("filtered").alias("part")))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in both.schema)
 
+    coloured = render.in_colour(ocr)
+
+    def made_of(bits, w, h, box, image):
+        x, y, bw, bh = box
+        tile = render.bare(Packed.unpack(bits, w, h)[y : y + bh, x : x + bw], image, ocr)
+        return np.ascontiguousarray(tile).tobytes(), tile.shape[1], tile.shape[0]
+
     def run(batches):
+        tile = render.remembered(made_of)
         for b in batches:
             made = []
-            for bits, w, h, (x, y, bw, bh), image in zip(*[b.column(c).to_pylist() for c in ("mask", "roi_w", "roi_h", "bbox", "image")], strict=True):
-                tile = render.bare(Packed.unpack(bits, w, h)[y : y + bh, x : x + bw], image, ocr) if bits else np.zeros((0, 0, 3), np.uint8)
-                made.append((np.ascontiguousarray(tile).tobytes(), tile.shape[1], tile.shape[0]))
+            for bits, w, h, box, image in zip(*[b.column(c).to_pylist() for c in ("mask", "roi_w", "roi_h", "bbox", "image")], strict=True):
+                image = image if coloured else None
+                made.append(tile(w * h + len(image or b""), bits, w, h, tuple(box), image) if bits else (b"", 0, 0))
             arrays = [pa.array([m[i] for m in made], t) for i, t in enumerate((pa.binary(), pa.int32(), pa.int32()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *arrays], [*b.schema.names, "render", "render_w", "render_h"])
 
