@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -158,11 +160,15 @@ def settings(documents: DataFrame, by: str, fps: float = 25.0, frames: int = 0)
     source = documents.select(by, "config")
     kind = source.schema[by].dataType.simpleString()
 
+    def read(document: str) -> tuple:
+        c = Config.from_json(document)
+        return c.roi_scale(), c.rip.gap_frames, ",".join(c.output.kinds()), *c.frame_range(fps, frames)
+
     def run(batches):
+        kept = lru_cache(4096)(read)  # a task's documents repeat
         for b in batches:
-            found = [Config.from_json(t or "{}") for t in b.column("config").to_pylist()]
-            ranges = [c.frame_range(fps, frames) for c in found]
-            arrays = [pa.array([c.roi_scale() for c in found], pa.float64()), pa.array([c.rip.gap_frames for c in found], pa.int64()), pa.array([",".join(c.output.kinds()) for c in found], pa.string()), *[pa.array([r[i] for r in ranges], pa.int64()) for i in (0, 1)]]
+            found = [kept(t or "{}") for t in b.column("config").to_pylist()]
+            arrays = [pa.array([f[i] for f in found], t) for i, t in enumerate((pa.float64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([b.column(by), *arrays], [by, "roi_scale", "gap_frames", "kinds", "first_frame", "end_frame"])
 
     return source.mapInArrow(run, f"{by} {kind}, roi_scale double, gap_frames bigint, kinds string, first_frame bigint, end_frame bigint")

@@ -149,5 +149,7 @@ def src_settings(spark, d):
         F.lit('},"start_seconds":'), (size / F.lit(10.0)).cast("string"), F.when(k % 2 == 0, F.concat(F.lit(',"end_seconds":'), (size / F.lit(5.0)).cast("string"))).otherwise(F.lit("")),
         F.lit(',"output":{'), outputs, F.lit("}}"),
     )
-    found = artifacts.settings(table(spark, d, "part").select("p_partkey", text.alias("config")), "p_partkey", fps=25.0, frames=1000)
+    # The table is one small file; its rows are dealt to all tasks.
+    parts = table(spark, d, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
+    found = artifacts.settings(parts.select("p_partkey", text.alias("config")), "p_partkey", fps=25.0, frames=1000)
     return found.withColumn("roi_scale", F.round("roi_scale", 9))
